@@ -1,0 +1,5 @@
+"""Named queries over the given tables, each with a SQL twin where SQL can express it."""
+
+from registry import spectral, splitting
+
+MODULES = (spectral, splitting)

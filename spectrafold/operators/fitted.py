@@ -202,16 +202,18 @@ def gram_rows(rows: DataFrame, by: Sequence[str], left, right, extra: Sequence[s
 
     def partial(batches):
         held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
 
         def flush():
             for key, m in held.items():
-                cols = [pa.array([k] * len(m)) for k in key]
+                cols = [pa.array([k] * len(m), type=t) for k, t in zip(key, types)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(m), dtype=np.int32)), from_matrix(m)], names=names)
             held.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
+            types = [batch.schema.field(c).type for c in by]
             keys = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
             code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
             codes = np.array([code[k] for k in keys])
@@ -372,17 +374,14 @@ class GCU:
 
         grams = gram_rows(rows, by, shifted, shifted, (), (column,))
         parts, energy = collect(grams.groupBy(*outer).applyInPandas(start, schema))
-        previous = dict(energy)
-        for _ in range(self.max_iter):
-            shared = spark.sparkContext.broadcast(parts)
-
-            def weights(data, key, shared=shared):
+        def iteration(shared):
+            def weights(data, key):
                 return kernels.nonneg_weights(shifted(data, key), shared.value[key])
 
-            def both(data, key, shared=shared):
-                return np.column_stack([weights(data, key, shared), shifted(data, key)])
+            def both(data, key):
+                return np.column_stack([weights(data, key), shifted(data, key)])
 
-            def update(pdf: pd.DataFrame, shared=shared) -> pd.DataFrame:
+            def update(pdf: pd.DataFrame) -> pd.DataFrame:
                 key, m = key_of(pdf), assemble(pdf)
                 ww, wx, h = m[:, : len(m)], m[:, len(m) :], shared.value[key].copy()
                 loss = energy[key] - 2 * np.sum(wx * h) + np.sum((ww @ h) * h)
@@ -393,7 +392,11 @@ class GCU:
                 return as_rows(key, h, loss)
 
             sums = gram_rows(rows, by, weights, both, (), (column,))
-            parts, loss = collect(sums.groupBy(*outer).applyInPandas(update, schema))
+            return collect(sums.groupBy(*outer).applyInPandas(update, schema))
+
+        previous = dict(energy)
+        for _ in range(self.max_iter):
+            parts, loss = iteration(spark.sparkContext.broadcast(parts))
             gain = max((previous[key] - loss[key]) / max(energy[key], 1e-300) for key in parts)
             previous = loss
             if gain < self.tol:
