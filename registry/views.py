@@ -181,12 +181,18 @@ pos AS (SELECT spectrum_id, channel, x + 2e0 + 1e-2 * channel * (spectrum_id % 7
 # ---------------------------------------------------------------- comparison
 
 
+def nudge(digits: int) -> float:
+    """Moves exact decimal ties off the rounding edge, where two engines' last bits would decide."""
+    return 0.0314159265 * 10.0**-digits
+
+
 def rounded(df: DataFrame, digits: int = 9, **special: int) -> DataFrame:
     """Doubles rounded for comparison (sums differ in the last bits between engines); -0.0 becomes 0.0."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append((F.round(f"`{f.name}`", special.get(f.name, digits)) + 0.0).alias(f.name))
+            d = special.get(f.name, digits)
+            out.append((F.round(F.col(f"`{f.name}`") + nudge(d), d) + 0.0).alias(f.name))
         elif isinstance(f.dataType, T.ByteType):
             out.append(F.col(f"`{f.name}`").cast("int").alias(f.name))
         else:
@@ -196,7 +202,7 @@ def rounded(df: DataFrame, digits: int = 9, **special: int) -> DataFrame:
 
 def r(expr: str, digits: int = 9) -> str:
     """The SQL twin of :func:`rounded` for one expression."""
-    return f"(round({expr}, {digits}) + 0e0)"
+    return f"(round(({expr}) + {nudge(digits)!r}, {digits}) + 0e0)"
 
 
 def long(df: DataFrame, column: str = "intensities", digits: int = 9, keys=("spectrum_id",)) -> DataFrame:

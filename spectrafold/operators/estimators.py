@@ -226,7 +226,7 @@ def cross_validate(rows: DataFrame, fit: Callable, predict: Callable, *, k: int
         raise ValueError(f"these tasks are too large for one worker (more than {max_rows} rows): {[r.asDict() for r in big]}")
     used = rows.select(*keys, F.col(fold).cast("int").alias("_own"), id_column, column, "target")
     train = used.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col(fold) != F.col("_own"))
-    test = used.withColumn(fold, F.col("_own"))
+    test = used.select(*[F.col(c).alias(c) for c in used.columns], F.col("_own").alias(fold))  # new column identities
     schema = key_schema(rows, keys) + f"{fold} int, {id_column} long, y_pred double, proba array<double>, error string"
     names = [*keys, fold, id_column, "y_pred", "proba", "error"]
 

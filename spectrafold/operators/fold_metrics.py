@@ -205,12 +205,15 @@ def registered_metrics(predictions: DataFrame, task_type: str, keys: Sequence[st
 
 
 def fold_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per key and every registry metric. ``problem_type`` says which kind a prediction row is."""
+    """One row per key and every registry metric. ``problem_type`` says which kind a prediction row is; without
+    a ``proba`` column there is only regression."""
     keys = list(keys)
-    reg = predictions.where(F.col("problem_type") == "regression")
-    clf = predictions.where(F.col("problem_type") != "regression")
     wanted = lambda task: [n for n, m in METRICS.items() if m.aggregate is None and m.task == task]
+    reg = predictions.where(F.col("problem_type") == "regression")
     r = regression_metrics(reg, keys, hot_rows=hot_rows).select(*keys, *wanted("regression"))
+    if "proba" not in predictions.columns:
+        return r.select(*keys, *[F.lit(None).cast("double").alias(n) for n in wanted("classification")], *wanted("regression"))
+    clf = predictions.where(F.col("problem_type") != "regression")
     k = classification_metrics(clf, keys, hot_rows=hot_rows).select(*keys, *wanted("classification"))
     return k.unionByName(r, allowMissingColumns=True)
 

@@ -104,8 +104,9 @@ def nearest(rows: DataFrame, k: int = 5, *, keys: Sequence[str] = ("task", "repe
         *keys, "_cell", "_block", "_tcell", "_tblock"))
 
     query = placed.drop("_far").join(pairs, [*keys, "_cell", "_block"])
-    train = placed.drop("_far").withColumnRenamed("_cell", "_tcell").withColumnRenamed("_block", "_tblock").join(
-        pairs, [*keys, "_tcell", "_tblock"])
+    fresh = [F.col(c).alias(c) for c in (*keys, "_fold", "_id", "_x")]  # new column identities for the second role
+    train = placed.select(*fresh, F.col("_cell").alias("_tcell"), F.col("_block").alias("_tblock")).join(
+        pairs.select(*[F.col(c).alias(c) for c in pairs.columns]), [*keys, "_tcell", "_tblock"])
     group = [*keys, "_cell", "_block", "_tcell", "_tblock"]
     out_schema = key_schema(data, keys) + "_id long, _neighbour long, _distance double"
 
