@@ -1,5 +1,5 @@
 """Named queries over the given tables, each with a SQL twin where SQL can express it."""
 
-from registry import scoring, spectral, splitting
+from registry import ranking, scoring, spectral, splitting
 
-MODULES = (spectral, splitting, scoring)
+MODULES = (spectral, splitting, scoring, ranking)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectrafold.functions.metrics import FLOAT32_EPS, METRICS, full_proba, normalized, predicted_class
-from spectrafold.operators.ordering import HOT_ROWS, average_ranks, exact_median, running_totals, skew_lookup
+from spectrafold.operators.ordering import HOT_ROWS, average_ranks, exact_median, has_hot_keys, running_totals, skew_lookup
 
 KEYS = ("task", "fold", "model")
 LABEL_METRICS = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro",
@@ -89,12 +89,14 @@ def label_metrics(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def roc_auc(predictions: DataFrame, keys: Sequence[str] = KEYS, average: str = "macro", *,
-            y_true: str = "y_true", proba: str = "proba", hot_rows: int = HOT_ROWS) -> DataFrame:
+              y_true: str = "y_true", proba: str = "proba", hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """ROC AUC from ranks over distinct scores: binary, or one-vs-rest averaged over classes.
 
     NULL when a class has no test row or the fold has one class only.
     """
     keys = list(keys)
+    if split is None:
+        split = has_hot_keys(predictions, keys, hot_rows)
     width = F.size(proba)
     scores = predictions.select(*keys, y_true, F.posexplode(
         F.when(width == 1, F.col(proba)).when(width == 2, F.slice(proba, 2, 1)).otherwise(normalized(F.col(proba)))
@@ -103,7 +105,7 @@ def roc_auc(predictions: DataFrame, keys: Sequence[str] = KEYS, average: str = "
     scores = scores.withColumn("_class", cls)
     distinct = scores.groupBy(*keys, "_class", "_score").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(y_true) == F.col("_class")).alias("_p"))
-    run = running_totals(distinct, [*keys, "_class"], "_score", ["_n", "_p"], hot_rows=hot_rows)
+    run = running_totals(distinct, [*keys, "_class"], "_score", ["_n", "_p"], hot_rows=hot_rows, split=split)
     negatives = F.col("_n") - F.col("_p")
     below = F.col("_n_before") - F.col("_p_before") + negatives / 2.0
     per_class = run.groupBy(*keys, "_class").agg(
@@ -126,7 +128,8 @@ def probability_losses(y: Column, proba: Column) -> tuple[Column, Column, Column
     return -F.log(clip(own, FLOAT32_EPS)), squares, -F.log(clip(F.element_at(share, y.cast("int") + 1), 2.0**-52))
 
 
-def classification_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def classification_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, average: str = "macro", hot_rows: int = HOT_ROWS,
+                           split: bool | None = None) -> DataFrame:
     """One row per key with every classification metric. Input: y_true (class index), proba."""
     keys = list(keys)
     log_loss, brier, renormalized = probability_losses(F.col("y_true"), F.col("proba"))
@@ -139,23 +142,31 @@ def classification_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *
         (F.sum("_ll") / F.sum("n")).alias("log_loss"), (F.sum("_b") / F.sum("n")).alias("brier"),
         (F.sum("_rl") / F.sum("n")).alias("log_loss_renormalized"))
     return (label_metrics(counts.select(*keys, "y_true", "y_pred", "n"), keys)
-            .join(losses, keys).join(roc_auc(predictions, keys, hot_rows=hot_rows), keys))
+            .join(losses, keys).join(roc_auc(predictions, keys, average, hot_rows=hot_rows, split=split), keys))
 
 
 # ---------------------------------------------------------------- regression
 
 
 def rank_correlation(predictions: DataFrame, keys: Sequence[str] = KEYS, a: str = "y_true", b: str = "y_pred",
-                     name: str = "spearman_r", *, hot_rows: int = HOT_ROWS) -> DataFrame:
+                     name: str = "spearman_r", *, hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """Spearman: correlation of average ranks; NULL when a side is constant.
 
-    Rows are counted per distinct pair; ranks are computed on distinct values and looked up.
+    Rows are counted per distinct pair; ranks are computed on distinct values and looked up. Without hot groups
+    both ranks are windows over the distinct pairs.
     """
     keys = list(keys)
+    if split is None:
+        split = has_hot_keys(predictions, keys, hot_rows)
     pairs = base = predictions.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w"))
+    group = W.partitionBy(*keys)
     for side in (a, b):
+        if not split:
+            ties, below = F.sum("_w").over(W.partitionBy(*keys, side)), F.sum("_w").over(group.orderBy(side).rangeBetween(W.unboundedPreceding, 0))
+            pairs = pairs.withColumn(f"_r_{side}", F.struct((below - (ties - 1) / 2.0).alias("r"), F.sum("_w").over(group).alias("n")))
+            continue
         values = base.groupBy(*keys, side).agg(F.sum("_w").alias("_k"))
-        ranks = average_ranks(values, keys, side, "_k", f"_r_{side}", hot_rows=hot_rows).select(
+        ranks = average_ranks(values, keys, side, "_k", f"_r_{side}", hot_rows=hot_rows, split=True).select(
             *keys, side, "_k", F.struct(F.col(f"_r_{side}").alias("r"), F.col("_k_total").alias("n")).alias(f"_r_{side}"))
         other = b if side == a else a
         pairs = skew_lookup(pairs, ranks, [*keys, side], [f"_r_{side}"], "_k", F.col(other), hot_rows=hot_rows)
@@ -165,9 +176,12 @@ def rank_correlation(predictions: DataFrame, keys: Sequence[str] = KEYS, a: str
     return out.select(*keys, F.when((F.col("_aa") > 0) & (F.col("_bb") > 0), F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).alias(name))
 
 
-def regression_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per key with every regression metric. Input: y_true, y_pred."""
+def regression_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, ranks: bool = True, hot_rows: int = HOT_ROWS,
+                       split: bool | None = None) -> DataFrame:
+    """One row per key with every regression metric (without *ranks*: no Spearman). Input: y_true, y_pred."""
     keys = list(keys)
+    if split is None:
+        split = has_hot_keys(predictions, keys, hot_rows)
     y, p = F.col("y_true"), F.col("y_pred")
     e = y - p
     c = F.col
@@ -188,8 +202,8 @@ def regression_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, ho
         F.when(c("mse") > 0, c("_sd") / F.sqrt("mse")).alias("rpd"),
         F.coalesce("_mape", F.lit(0.0)).alias("mape"))
     errors = predictions.select(*keys, F.abs(e).alias("_e"))
-    return (out.join(exact_median(errors, keys, "_e", "median_ae", hot_rows=hot_rows), keys)
-            .join(rank_correlation(predictions, keys, hot_rows=hot_rows), keys))
+    out = out.join(exact_median(errors, keys, "_e", "median_ae", hot_rows=hot_rows, split=split), keys)
+    return out.join(rank_correlation(predictions, keys, hot_rows=hot_rows, split=split), keys) if ranks else out
 
 
 # ---------------------------------------------------------------- both
@@ -209,12 +223,13 @@ def fold_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, hot_rows
     a ``proba`` column there is only regression."""
     keys = list(keys)
     wanted = lambda task: [n for n, m in METRICS.items() if m.aggregate is None and m.task == task]
+    split = has_hot_keys(predictions, keys, hot_rows)
     reg = predictions.where(F.col("problem_type") == "regression")
-    r = regression_metrics(reg, keys, hot_rows=hot_rows).select(*keys, *wanted("regression"))
+    r = regression_metrics(reg, keys, hot_rows=hot_rows, split=split).select(*keys, *wanted("regression"))
     if "proba" not in predictions.columns:
         return r.select(*keys, *[F.lit(None).cast("double").alias(n) for n in wanted("classification")], *wanted("regression"))
     clf = predictions.where(F.col("problem_type") != "regression")
-    k = classification_metrics(clf, keys, hot_rows=hot_rows).select(*keys, *wanted("classification"))
+    k = classification_metrics(clf, keys, hot_rows=hot_rows, split=split).select(*keys, *wanted("classification"))
     return k.unionByName(r, allowMissingColumns=True)
 
 
@@ -222,13 +237,12 @@ def compute_metrics(predictions: DataFrame, task_type: str, keys: Sequence[str]
     """The summary metrics of one task type (weighted averages for classification)."""
     keys = list(keys)
     if task_type == "classification":
-        full = classification_metrics(predictions, keys, hot_rows=hot_rows).drop("roc_auc").join(
-            roc_auc(predictions, keys, "weighted", hot_rows=hot_rows), keys)
+        full = classification_metrics(predictions, keys, average="weighted", hot_rows=hot_rows)
         return full.select(*keys, "accuracy", F.col("precision_weighted").alias("precision"), F.col("recall_weighted").alias("recall"),
                            F.col("f1_weighted").alias("f1_score"), "balanced_accuracy", "cohen_kappa",
                            F.col("mcc").alias("matthews_corrcoef"), "roc_auc", F.col("log_loss_renormalized").alias("log_loss"))
     if task_type == "regression":
-        full = regression_metrics(predictions, keys, hot_rows=hot_rows)
+        full = regression_metrics(predictions, keys, ranks=False, hot_rows=hot_rows)
         return full.select(*keys, "mse", "rmse", "mae", F.col("r2_guarded").alias("r2"), "mape", "explained_variance", "max_error", "median_ae")
     raise ValueError(f"unknown task type {task_type!r}")
 

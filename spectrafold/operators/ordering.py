@@ -37,16 +37,29 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
 
 
+def has_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether any key has more than *hot_rows* rows: one pass over the key columns, done before planning so
+    that tables without hot keys get the plain one-shuffle plan."""
+    return not hot_keys(df, keys, hot_rows).isEmpty()
+
+
 def hash_rank(
     df: DataFrame, keys: Sequence[str], order: Column, tie: str, name: str = "rank",
-    *, hot_rows: int = HOT_ROWS, at_most: int | None = None,
+    *, hot_rows: int = HOT_ROWS, at_most: int | None = None, split: bool | None = None,
 ) -> DataFrame:
     """*df* with the 1-based position of each row in its key group, ordered by a hash and then by *tie*.
 
     Equals ``row_number() OVER (PARTITION BY keys ORDER BY order, tie)``. With *at_most* only the first
-    rows of every group are kept, and buckets past that point are dropped before they are sorted.
+    rows of every group are kept, and buckets past that point are dropped before they are sorted. *split* says
+    whether there are hot groups (None: look).
     """
     keys = list(keys)
+    if split is None:
+        split = has_hot_keys(df, keys, hot_rows)
+    if not split:
+        ranked = df.withColumn("_h", order).withColumn(
+            name, F.row_number().over(W.partitionBy(*keys).orderBy("_h", tie)).cast("long")).drop("_h")
+        return ranked if at_most is None else ranked.where(F.col(name) <= at_most)
     hot = hot_keys(df, keys, hot_rows).select(*keys, F.lit(True).alias("_hot"))
     rows = (
         df.withColumn("_h", order)
@@ -69,10 +82,18 @@ def hash_rank(
 
 
 def running_totals(
-    v: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str], *, hot_rows: int = HOT_ROWS
+    v: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str], *, hot_rows: int = HOT_ROWS, split: bool | None = None,
 ) -> DataFrame:
     """For rows unique in (keys, value): ``<c>_before`` (sum over smaller values) and ``<c>_total`` per group."""
     keys, cols = list(keys), list(cols)
+    if split is None:
+        split = has_hot_keys(v, keys, hot_rows)
+    if not split:
+        before = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        group = W.partitionBy(*keys)
+        return v.select(
+            "*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in cols],
+            *[F.sum(c).over(group).alias(f"{c}_total") for c in cols])
     hot = hot_keys(v, keys, hot_rows).withColumn(
         "_m", F.least(F.ceil(F.col("_n") / hot_rows).cast("int") + 1, F.lit(MAX_BUCKETS))
     )
@@ -107,17 +128,26 @@ def running_totals(
     return b.drop("_b", *[f"_{c}_off" for c in cols], *[f"_{c}_all" for c in cols])
 
 
-def average_ranks(v: DataFrame, keys: Sequence[str], value: str, n: str, name: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def average_ranks(v: DataFrame, keys: Sequence[str], value: str, n: str, name: str, *, hot_rows: int = HOT_ROWS,
+                  split: bool | None = None) -> DataFrame:
     """Rows (keys, value, n copies) with the rank their copies share: mean position, 1-based."""
-    run = running_totals(v, keys, value, [n], hot_rows=hot_rows)
+    run = running_totals(v, keys, value, [n], hot_rows=hot_rows, split=split)
     return run.withColumn(name, F.col(f"{n}_before") + (F.col(n) + 1) / 2.0)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The exact median of the non-null *value* per group (mean of the two middle values for even counts)."""
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", *, hot_rows: int = HOT_ROWS,
+                 split: bool | None = None) -> DataFrame:
+    """The exact median of the non-null *value* per group (mean of the two middle values for even counts).
+
+    Spark's ``median`` keeps the distinct values of a group in one task's memory: good below *hot_rows* rows only.
+    """
     keys = list(keys)
+    if split is None:
+        split = has_hot_keys(df, keys, hot_rows)
+    if not split:
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(name))
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    run = running_totals(v, keys, value, ["_k"], hot_rows=hot_rows)
+    run = running_totals(v, keys, value, ["_k"], hot_rows=hot_rows, split=True)
     total, before, upto = F.col("_k_total"), F.col("_k_before"), F.col("_k_before") + F.col("_k")
     low, high = F.floor((total + 1) / 2), F.floor(total / 2) + 1
     covers = lambda pos: (before < pos) & (upto >= pos)
@@ -139,24 +169,25 @@ def order_statistic(df: DataFrame, keys: Sequence[str], value: str, position, na
 
 def skew_lookup(
     rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str], n: str, spread: Column,
-    *, hot_rows: int = HOT_ROWS, how: str = "left",
+    *, hot_rows: int = HOT_ROWS, split: bool | None = None,
 ) -> DataFrame:
     """Join *rows* to a one-row-per-key *table* without sending a hot key to one task.
 
     *n* counts the rows of a key. Keys above *hot_rows* (at most total / hot_rows of them) are joined by
     broadcast, and their rows are spread over all partitions by *spread* in the shuffle join of the others.
+    With ``split=False`` (known: no hot key) this is the plain left join.
     """
     keys, values = list(keys), list(values)
+    if split is False:
+        return rows.join(table.select(*keys, *values), keys, "left")
     hot = table.where(F.col(n) > hot_rows).select(
         *keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
-    cold = table.where(F.col(n) <= hot_rows).select(*keys, F.lit(0).alias("_spread"), F.lit(True).alias("_cold"), *values)
+    cold = table.where(F.col(n) <= hot_rows).select(*keys, F.lit(0).alias("_spread"), *values)
     out = (
         rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_spread", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int") + 1).otherwise(0))
         .join(cold, [*keys, "_spread"], "left")
     )
-    if how == "inner":
-        out = out.where(F.col("_hot") | F.col("_cold"))
     for c in values:
         out = out.withColumn(c, F.coalesce(F.col(f"_hot_{c}"), F.col(c)))
-    return out.drop("_hot", "_cold", "_spread", *[f"_hot_{c}" for c in values])
+    return out.drop("_hot", "_spread", *[f"_hot_{c}" for c in values])

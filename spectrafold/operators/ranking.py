@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.operators.ordering import HOT_ROWS, exact_median
 from spectrafold.operators.results import impute_missing
+from spectrafold.session import materialize
 
 
 def per_task(results: DataFrame) -> DataFrame:
@@ -185,7 +186,8 @@ def score_group(results: DataFrame, group: str = "all", *, reference_model: str
         data = results.join(types.where(F.col("_t") == n_types).select("model"), "model", "left_semi")
     else:
         data = results.where(F.col("task") == group)
-    filled = impute_missing(data, reference_model=reference_model, max_imputed_pct=max_imputed_pct)
+    # Every column of the board reads these rows; compute them once.
+    filled = materialize(impute_missing(data, reference_model=reference_model, max_imputed_pct=max_imputed_pct))
     size = filled.groupBy("model").agg(
         (F.avg(F.col("imputed").cast("double")) * 100).alias("imputed_pct"), F.count(F.lit(1)).alias("n_cells"))
     tasks = filled.groupBy("model", "dataset").count().groupBy("model").agg(F.count(F.lit(1)).alias("n_tasks"))
@@ -197,7 +199,7 @@ def score_group(results: DataFrame, group: str = "all", *, reference_model: str
         .withColumn("is_reference", F.col("model").isin(*references) if references else F.lit(False))
         .withColumn("evaluated_on", F.lit(group))
     )
-    return board, filled
+    return materialize(board), filled
 
 
 def add_subset_models(board: DataFrame, filled: DataFrame, subsets: dict[str, tuple[DataFrame, DataFrame]], *,
@@ -218,7 +220,7 @@ def add_subset_models(board: DataFrame, filled: DataFrame, subsets: dict[str, tu
         extra_cells = part if extra_cells is None else extra_cells.unionByName(part, allowMissingColumns=True)
     if extra_rows is None:
         return board, filled
-    everything = filled.unionByName(extra_cells, allowMissingColumns=True)
+    everything = materialize(filled.unionByName(extra_cells, allowMissingColumns=True))
     ratings = elo(everything, reference_model=reference_model, rounds=rounds)
     merged = board.unionByName(extra_rows, allowMissingColumns=True).drop("elo", "elo_plus", "elo_minus")
     return merged.join(ratings, "model"), everything
@@ -226,6 +228,7 @@ def add_subset_models(board: DataFrame, filled: DataFrame, subsets: dict[str, tu
 
 def score_all(results: DataFrame, groups: Sequence[str] = ("classification", "regression"), **kwargs) -> DataFrame:
     """The leaderboards of every task group in one table with a ``group`` column."""
+    results = materialize(results)
     own = {g: score_group(results, g, **kwargs) for g in groups}
     board, filled = score_group(results, "all", **kwargs)
     elo_args = {k: kwargs[k] for k in ("reference_model", "rounds") if k in kwargs}
@@ -411,8 +414,8 @@ def critical_difference(results: DataFrame, alpha: float = 0.05) -> tuple[DataFr
     cd = studentized_range_quantile(1 - alpha, k) / np.sqrt(2.0) * np.sqrt(k * (k + 1) / (6.0 * n))
     test = {**test, "cd": float(cd), "alpha": alpha}
     ordered = mean.withColumn("position", F.row_number().over(W.orderBy("mean_rank", "model")))
-    reach = W.orderBy("mean_rank").rangeBetween(W.currentRow, float(cd))
-    runs = ordered.withColumn("last", F.max("position").over(reach))
+    runs = ordered.withColumn("last", F.expr(
+        f"max(position) OVER (ORDER BY mean_rank RANGE BETWEEN CURRENT ROW AND {float(cd)!r}D FOLLOWING)"))
     before = F.max("last").over(W.orderBy("position").rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("_before", before).where(
         (F.col("last") > F.col("position")) & (F.col("_before").isNull() | (F.col("last") > F.col("_before"))))
