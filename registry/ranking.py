@@ -13,6 +13,7 @@ from spectrafold.operators import elo as elo_ops
 from spectrafold.operators import ranking as rk
 from spectrafold.operators import reports as rp
 from spectrafold.operators import results as rs
+from spectrafold.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -251,7 +252,7 @@ FROM results a JOIN results b ON a.dataset = b.dataset AND a.fold = b.fold AND a
 SELECT model, {r('avg(score)')} AS normalized_score, {r('avg(rank)')} AS rank, {r('avg(imp)')} AS improvability,
   {r('(SELECT avg(winrate) FROM wr WHERE model_i = model)')} AS winrate, count(*) AS n_tasks FROM ns JOIN rk USING (dataset, model) GROUP BY 1""")
 def _(spark, sf):
-    filled = rs.impute_missing(results_with_gaps(spark, sf), reference_model=REFERENCE)
+    filled = materialize(rs.impute_missing(results_with_gaps(spark, sf), reference_model=REFERENCE))
     tasks = filled.groupBy("model", "dataset").count().groupBy("model").agg(F.count(F.lit(1)).alias("n_tasks"))
     board = rk.normalized_score(filled).join(rk.mean_ranks(filled), "model").join(rk.winrate(rk.winrate_matrix(filled)), "model").join(tasks, "model")
     return rounded(board)

@@ -84,6 +84,5 @@ def predicted_class(proba: Column) -> Column:
     return F.when(F.size(proba) == 1, (proba[0] > 0.5).cast("int")).otherwise(best)
 
 
-def normalized(proba: Column) -> Column:
-    total = F.aggregate(proba, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(proba, lambda v: v / total)
+def total_proba(proba: Column) -> Column:
+    return F.aggregate(proba, F.lit(0.0), lambda a, v: a + v)

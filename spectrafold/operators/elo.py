@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.operators.ordering import HOT_ROWS, skew_lookup
 from spectrafold.operators.ranking import as_cells, pair_scores
+from spectrafold.session import materialize
 
 SCALE = 400.0
 RIDGE = 1e-6
@@ -80,16 +81,17 @@ def learnable_draw(results: DataFrame) -> DataFrame:
     return rows.withColumn("metric_error", F.when(F.col("_any"), F.col("metric_error")).otherwise(0.0)).drop("_any")
 
 
-def weighted_cells(results: DataFrame, rounds: int, seed: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def weighted_cells(rows: DataFrame, rounds: int, seed: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cells of :func:`pair_scores`: every task has the same total weight, times its draws per round.
 
-    Rounds are cut into chunks so that one task's (round, model, model) sums stay small.
+    *rows*: dataset, fold, model, error. Rounds are cut into chunks so that one task's (round, model, model)
+    sums stay small.
     """
-    cells = as_cells(results.groupBy("dataset", "fold", "model").agg(F.min("metric_error").alias("error")), ["dataset", "fold"])
+    cells = as_cells(rows, ["dataset", "fold"])
     cells = cells.withColumn("_pairs", F.size("models") * (F.size("models") - 1) / 2.0).where(F.col("_pairs") > 0)
     per_task = cells.groupBy("dataset").agg(F.sum("_pairs").alias("_all"), F.count(F.lit(1)).alias("_n"))
     cells = skew_lookup(cells, per_task, ["dataset"], ["_all"], "_n", F.col("fold"), hot_rows=hot_rows)
-    n_models = results.groupBy("model").count().agg(F.count(F.lit(1))).scalar()
+    n_models = rows.select("model").distinct().agg(F.count(F.lit(1))).scalar()
     width = F.greatest(F.lit(1), F.floor(F.lit(PAIR_CELLS) / (n_models * n_models)).cast("int"))
     cells = cells.withColumn("_w", poisson_weights(F.col("dataset"), rounds, seed)).withColumn("_width", width)
     return cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(rounds) / F.col("_width")).cast("int") - 1))).select(
@@ -106,9 +108,10 @@ def elo(results: DataFrame, *, reference_model: str | None = "RF", rounds: int =
     Each (dataset, fold) is a comparison of the models present. Rounds are fitted on executors; a worker sees
     one round's pair table.
     """
-    names = results.select("model").distinct()
-    cells = weighted_cells(results, rounds, seed, hot_rows)
-    n_models = results.groupBy("model").count().agg(F.count(F.lit(1))).scalar()
+    rows = materialize(results.groupBy("dataset", "fold", "model").agg(F.min("metric_error").alias("error")))
+    names = rows.select("model").distinct()
+    cells = weighted_cells(rows, rounds, seed, hot_rows)
+    n_models = names.agg(F.count(F.lit(1))).scalar()
     width = F.greatest(F.lit(1), F.floor(F.lit(PAIR_CELLS) / (n_models * n_models)).cast("int"))
     pairs = pair_scores(cells).withColumn("round", F.col("chunk") * width + F.col("round"))
 

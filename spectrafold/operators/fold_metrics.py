@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.functions.metrics import FLOAT32_EPS, METRICS, full_proba, normalized, predicted_class
+from spectrafold.functions.arrays import dot, let
+from spectrafold.functions.metrics import FLOAT32_EPS, METRICS, full_proba, predicted_class, total_proba
 from spectrafold.operators.ordering import HOT_ROWS, average_ranks, exact_median, has_hot_keys, running_totals, skew_lookup
 
 KEYS = ("task", "fold", "model")
@@ -98,9 +99,9 @@ def roc_auc(predictions: DataFrame, keys: Sequence[str] = KEYS, average: str = "
     if split is None:
         split = has_hot_keys(predictions, keys, hot_rows)
     width = F.size(proba)
-    scores = predictions.select(*keys, y_true, F.posexplode(
-        F.when(width == 1, F.col(proba)).when(width == 2, F.slice(proba, 2, 1)).otherwise(normalized(F.col(proba)))
-    ).alias("_pos", "_score"), width.alias("_width"))
+    scores = predictions.select(*keys, y_true, proba, width.alias("_width"), F.when(width > 2, total_proba(F.col(proba))).otherwise(1.0).alias("_t"))
+    scores = scores.select(*keys, y_true, "_width", "_t", F.posexplode(F.when(F.col("_width") == 2, F.slice(proba, 2, 1)).otherwise(F.col(proba))).alias("_pos", "_s"))
+    scores = scores.withColumn("_score", F.col("_s") / F.col("_t"))
     cls = F.when(F.col("_width") <= 2, F.lit(1)).otherwise(F.col("_pos"))
     scores = scores.withColumn("_class", cls)
     distinct = scores.groupBy(*keys, "_class", "_score").agg(
@@ -117,27 +118,27 @@ def roc_auc(predictions: DataFrame, keys: Sequence[str] = KEYS, average: str = "
         F.when(F.count("_auc") == F.count(F.lit(1)), F.sum(F.col("_auc") * weight) / F.sum(weight)).alias("roc_auc"))
 
 
-def probability_losses(y: Column, proba: Column) -> tuple[Column, Column, Column]:
-    """Per row: log loss (clipped at float32 epsilon, not renormalized), Brier score, renormalized log loss."""
-    full = full_proba(proba)
-    own = F.element_at(full, y.cast("int") + 1)
+def probability_losses(y: Column, proba: Column) -> Column:
+    """Per row a struct: ll (log loss, clipped at float32 epsilon, not renormalized), b (Brier score, squared
+    errors summed over classes) and rl (log loss of the renormalized row)."""
     clip = lambda p, e: F.greatest(F.least(p, F.lit(1.0 - e)), F.lit(e))
-    share = normalized(full)
-    squares = F.aggregate(F.transform(share, lambda p, i: F.pow(p - (i == y.cast("int")).cast("double"), F.lit(2.0))),
-                          F.lit(0.0), lambda a, v: a + v)
-    return -F.log(clip(own, FLOAT32_EPS)), squares, -F.log(clip(F.element_at(share, y.cast("int") + 1), 2.0**-52))
+    parts = lambda p, t, own: F.struct(
+        (-F.log(clip(own, FLOAT32_EPS))).alias("ll"),
+        (dot(p, p) / (t * t) - 2.0 * own / t + 1.0).alias("b"),  # sum of (share - hit)^2
+        (-F.log(clip(own / t, 2.0**-52))).alias("rl"))
+    return let(full_proba(proba), lambda p: let(total_proba(p), lambda t: let(
+        F.element_at(p, y.cast("int") + 1), lambda own: parts(p, t, own))))
 
 
 def classification_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, average: str = "macro", hot_rows: int = HOT_ROWS,
                            split: bool | None = None) -> DataFrame:
     """One row per key with every classification metric. Input: y_true (class index), proba."""
     keys = list(keys)
-    log_loss, brier, renormalized = probability_losses(F.col("y_true"), F.col("proba"))
     rows = predictions.select(
         *keys, F.col("y_true").cast("int").alias("y_true"), predicted_class(F.col("proba")).alias("y_pred"),
-        log_loss.alias("_ll"), brier.alias("_b"), renormalized.alias("_rl"))
+        probability_losses(F.col("y_true"), F.col("proba")).alias("_l"))
     counts = rows.groupBy(*keys, "y_true", "y_pred").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_ll").alias("_ll"), F.sum("_b").alias("_b"), F.sum("_rl").alias("_rl"))
+        F.count(F.lit(1)).alias("n"), F.sum("_l.ll").alias("_ll"), F.sum("_l.b").alias("_b"), F.sum("_l.rl").alias("_rl"))
     losses = counts.groupBy(*keys).agg(
         (F.sum("_ll") / F.sum("n")).alias("log_loss"), (F.sum("_b") / F.sum("n")).alias("brier"),
         (F.sum("_rl") / F.sum("n")).alias("log_loss_renormalized"))
@@ -261,7 +262,7 @@ def compare_metrics(results: DataFrame, metric: str, keys: Sequence[str] = ("tas
 
 def probability_warnings(predictions: DataFrame, keys: Sequence[str] = KEYS, tolerance: float = 1e-3) -> DataFrame:
     """Keys whose probability rows stray from a sum of 1 by more than *tolerance*."""
-    off = F.abs(F.aggregate(full_proba(F.col("proba")), F.lit(0.0), lambda a, v: a + v) - 1)
+    off = F.abs(total_proba(full_proba(F.col("proba"))) - 1)
     return predictions.groupBy(*keys).agg(F.max(off).alias("max_deviation")).where(F.col("max_deviation") > tolerance)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectrafold.functions.names import licence, with_names
-from spectrafold.operators.ordering import HOT_ROWS, order_statistic
+from spectrafold.operators.ordering import HOT_ROWS, has_hot_keys, order_statistic
 from spectrafold.operators.ranking import normalized_scores, per_task
 
 # ---------------------------------------------------------------- versions
@@ -233,9 +233,15 @@ def model_speed(times: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     slow = F.when(F.col("_models") >= 2, F.log(F.col("seconds") / F.col("_fastest")))
     keys = ["model", "hardware_class"]
     is_train = F.col("measure") == "time_train_s"
+    split = has_hot_keys(long, [*keys, "measure"], hot_rows)
+    upper = lambda c: F.get(F.sort_array(c), F.floor(F.size(c) / 2).cast("int"))
+    seconds = lambda c: [] if split else [upper(F.collect_list(F.when(c, F.col("seconds"))))]
     stats = rows.groupBy(*keys).agg(
         F.count_if(is_train).alias("n_tasks_on_this_hw"), F.count_if(is_train & (F.col("_models") >= 2)).alias("n_comparable_tasks"),
-        F.exp(F.avg(F.when(is_train, slow))).alias("geo_mean_train_slowdown"), F.exp(F.avg(F.when(~is_train, slow))).alias("geo_mean_infer_slowdown"))
+        F.exp(F.avg(F.when(is_train, slow))).alias("geo_mean_train_slowdown"), F.exp(F.avg(F.when(~is_train, slow))).alias("geo_mean_infer_slowdown"),
+        *[c.alias("median_train_s") for c in seconds(is_train)], *[c.alias("median_infer_s") for c in seconds(~is_train)])
+    if not split:
+        return stats
     middle = order_statistic(long, [*keys, "measure"], "seconds", lambda n: F.floor(n / 2) + 1, "_m", hot_rows=hot_rows)
     medians = middle.groupBy(*keys).agg(
         F.max(F.when(is_train, F.col("_m"))).alias("median_train_s"), F.max(F.when(~is_train, F.col("_m"))).alias("median_infer_s"))

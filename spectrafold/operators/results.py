@@ -152,29 +152,28 @@ def impute_missing(results: DataFrame, *, reference_model: str = "RF", max_imput
     """Fill each model's missing (dataset, fold) cells with the reference model's result.
 
     Cells the reference lacks are dropped for all; models above the limit are dropped; filled rows have
-    ``imputed`` and NULL times. Only the missing rows are generated: per cell, the kept models minus those
-    present (a scalar subquery holds the model names, at most one per model).
+    ``imputed`` and NULL times. One shuffle brings a cell's rows (one per model) together; models and cells are
+    never crossed: a cell adds the kept models it lacks, taken from a scalar subquery with the model names.
     """
-    cells = results.where(F.col("model") == reference_model)
     keys = ["dataset", "fold"]
+    rest = [c for c in results.columns if c not in keys]
+    row = F.struct(*rest)
+    cells = results.groupBy(*keys).agg(
+        F.collect_list(row).alias("rows"), F.max(F.when(F.col("model") == reference_model, row)).alias("ref")
+    ).where(F.col("ref").isNotNull())
     n_cells = cells.agg(F.count(F.lit(1))).scalar()
-    present = results.join(cells.select(*keys), keys, "left_semi")
-    models = results.groupBy("model").agg(F.lit(0).alias("_zero"))
-    counts = present.groupBy("model").agg(F.count(F.lit(1)).alias("_n"))
-    share = models.join(counts, "model", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).select("model", "_n").withColumn(
-        "_pct", 100.0 * (n_cells - F.col("_n")) / n_cells)
-    kept = share.where(F.col("_pct") <= max_imputed_pct)
-    # Names of models with a gap; a cell holds each model once, so both lists are at most as long as the models.
-    gaps = kept.where(F.col("_pct") > 0).agg(F.collect_list("model")).scalar()
-    has = present.groupBy(*keys).agg(F.collect_set("model").alias("_has"))
-    filled = (
-        cells.drop("model").join(has, keys)
-        .withColumn("model", F.explode(F.array_except(gaps, "_has"))).drop("_has")
-        .withColumn("time_train_s", F.lit(None).cast("double")).withColumn("time_infer_s", F.lit(None).cast("double"))
-        .withColumn("imputed", F.lit(True))
-    )
-    real = present.join(kept.select("model"), "model", "left_semi").withColumn("imputed", F.lit(False))
-    return real.unionByName(filled.select(*real.columns))
+    counts = cells.select(F.explode(F.array_distinct("rows.model")).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("_n"))
+    if max_imputed_pct >= 100:  # then also models without any of the reference's cells
+        counts = results.select("model").distinct().join(counts, "model", "left").na.fill(0, ["_n"])
+    kept = counts.where(100.0 * (n_cells - F.col("_n")) / n_cells <= max_imputed_pct).agg(F.collect_list("model")).scalar()
+    # Times of a filled row are unknown; its other values are the reference's.
+    values = lambda r, model, imputed: F.struct(*[
+        (model if c == "model" else F.when(~imputed, r[c]) if c in ("time_train_s", "time_infer_s") else r[c]).alias(c)
+        for c in rest], imputed.alias("imputed"))
+    cells = cells.withColumn("_kept", kept)
+    real = F.transform(F.filter("rows", lambda r: F.array_contains("_kept", r["model"])), lambda r: values(r, r["model"], F.lit(False)))
+    gaps = F.transform(F.array_except("_kept", "rows.model"), lambda m: values(F.col("ref"), m, F.lit(True)))
+    return cells.select(*keys, F.explode(F.concat(real, gaps)).alias("_r")).select(*keys, "_r.*").select(*results.columns, "imputed")
 
 
 def task_metadata(results: DataFrame) -> DataFrame:
