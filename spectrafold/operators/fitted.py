@@ -58,8 +58,7 @@ def leave_one_out(stats: DataFrame, by: Sequence[str], hold_out: str) -> DataFra
         out["n"], out["mean"], out["var"] = total.astype(np.int64), list(centre), list(np.maximum(second, 0.0))
         return out
 
-    keys = [F.col(c) for c in by] or [F.lit(1)]
-    return stats.groupBy(*keys).applyInPandas(merge, schema)
+    return stats.groupBy(*by).applyInPandas(merge, schema)
 
 
 def train_moments(rows: DataFrame, by: Sequence[str], hold_out: str | None, column: str) -> tuple[DataFrame, list[str]]:
@@ -313,7 +312,7 @@ class GCU:
     broadcast bound together are fitted in chunks.
     """
 
-    def __init__(self, rho: int = 16, seed: int = 0, max_iter: int = 20, tol: float = 1e-4):
+    def __init__(self, rho: int = 16, seed: int = 0, max_iter: int = 100, tol: float = 1e-4):
         self.rho, self.seed, self.max_iter, self.tol = rho, seed, max_iter, tol
 
     def fit(self, rows: DataFrame, by: Sequence[str] = (), hold_out: str | None = None, column: str = "intensities") -> FittedStep:
@@ -338,7 +337,6 @@ class GCU:
 
     def _fit_chunk(self, rows: DataFrame, by: list[str], column: str, stats: dict) -> DataFrame:
         spark, rho, seed = rows.sparkSession, self.rho, self.seed
-        outer = [F.col(c) for c in by] or [F.lit(1)]
         schema = key_schema(rows, by) + "i int, row array<double>, loss double"
         names = [*by, "i", "row", "loss"]
 
@@ -373,7 +371,8 @@ class GCU:
             return {key: np.array([h[i] for i in range(len(h))]) for key, h in found.items()}, loss
 
         grams = gram_rows(rows, by, shifted, shifted, (), (column,))
-        parts, energy = collect(grams.groupBy(*outer).applyInPandas(start, schema))
+        parts, energy = collect(grams.groupBy(*by).applyInPandas(start, schema))
+
         def iteration(shared):
             def weights(data, key):
                 return kernels.nonneg_weights(shifted(data, key), shared.value[key])
@@ -392,7 +391,7 @@ class GCU:
                 return as_rows(key, h, loss)
 
             sums = gram_rows(rows, by, weights, both, (), (column,))
-            return collect(sums.groupBy(*outer).applyInPandas(update, schema))
+            return collect(sums.groupBy(*by).applyInPandas(update, schema))
 
         previous = dict(energy)
         for _ in range(self.max_iter):

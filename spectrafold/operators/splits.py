@@ -116,9 +116,11 @@ def most_even_fold(held: np.ndarray, counts: np.ndarray, totals: np.ndarray) ->
     rows = held.sum(axis=1)
     best = 0
     for fold in range(1, k):
-        tie = np.isclose(spread[fold], spread[best]) and rows[fold] < rows[best]
-        if tie or spread[fold] < spread[best]:
-            best = fold
+        if np.isclose(spread[fold], spread[best]):  # the last bits must not decide
+            better = rows[fold] < rows[best]
+        else:
+            better = spread[fold] < spread[best]
+        best = fold if better else best
     return best
 
 
