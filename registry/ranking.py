@@ -342,6 +342,13 @@ query("near_pareto", "WITH" + BOARD + ", g AS (SELECT model, (SELECT max(elo) FR
     lambda spark, sf: rk.near_pareto(board(spark, sf), "seconds", "elo", tolerance=20.0).select("model", "gap"))
 
 
+@query("pareto_selection", "WITH" + BOARD + """, g AS (SELECT b.*, CASE category WHEN 'Tree-based' THEN 'regression' ELSE 'classification' END AS grp FROM board b WHERE NOT is_reference)
+SELECT DISTINCT model FROM g WHERE (SELECT max(elo) FROM g c WHERE c.grp = g.grp AND c.seconds <= g.seconds) - elo <= 20""")
+def _(spark, sf):
+    b = board(spark, sf).withColumn("group", F.when(F.col("category") == "Tree-based", "regression").otherwise("classification"))
+    return rk.pareto_selection(b.unionByName(b.withColumn("group", F.lit("all"))), "seconds", "elo", 20.0)
+
+
 @query("critical_difference")
 def _(spark, sf):
     ranks, _, test = rk.critical_difference(results(spark, sf))

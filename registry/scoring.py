@@ -131,27 +131,27 @@ rm AS (SELECT task, fold, model, n_test, mse, sqrt(mse) AS rmse, mae, max_error,
 REG_COLUMNS = ("mse", "rmse", "mae", "max_error", "r2", "r2_guarded", "explained_variance", "pearson_r", "rpd", "mape", "median_ae", "spearman_r")
 
 query("regression_metrics", "WITH" + REGRESSION + REG_TABLES + "SELECT task, fold, model, n_test, " + ", ".join(
-    f"{r(c, 8)} AS {c}" for c in REG_COLUMNS) + " FROM rm")(
-    lambda spark, sf: rounded(fm.regression_metrics(regression_predictions(spark, sf)), 8))
+    f"{r(c)} AS {c}" for c in REG_COLUMNS) + " FROM rm")(
+    lambda spark, sf: rounded(fm.regression_metrics(regression_predictions(spark, sf))))
 
 HOT_REGRESSION = (REGRESSION + REG_TABLES).replace("task, fold, model", "task").replace("GROUP BY 1, 2, 3", "GROUP BY 1")
-query("regression_metrics_hot", "WITH" + HOT_REGRESSION + f"SELECT task, {r('median_ae', 8)} AS median_ae, {r('spearman_r', 8)} AS spearman_r FROM rm")(
-    lambda spark, sf: rounded(fm.regression_metrics(regression_predictions(spark, sf), ["task"], hot_rows=200).select("task", "median_ae", "spearman_r"), 8))
+query("regression_metrics_hot", "WITH" + HOT_REGRESSION + f"SELECT task, {r('median_ae')} AS median_ae, {r('spearman_r')} AS spearman_r FROM rm")(
+    lambda spark, sf: rounded(fm.regression_metrics(regression_predictions(spark, sf), ["task"], hot_rows=200).select("task", "median_ae", "spearman_r")))
 
 CLF_NAMES, REG_NAMES = metric_names("classification"), metric_names("regression")
 
 
 @query("fold_metrics", "WITH" + MULTI_LABELS + LABEL_TABLES + MULTI_AUC + MULTI_LOSS + ", " + REGRESSION.split(",\n", 1)[1].strip() + REG_TABLES.replace(
     "g AS (", "g_ AS (").replace("FROM g)", "FROM g_)") + """
-SELECT task, fold, model, """ + ", ".join(f"{r(c, 8)} AS {c}" for c in CLF_NAMES) + ", " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in REG_NAMES) + """
+SELECT task, fold, model, """ + ", ".join(f"{r(c)} AS {c}" for c in CLF_NAMES) + ", " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in REG_NAMES) + """
 FROM lm JOIN auc USING (task, fold, model) JOIN loss USING (task, fold, model) WHERE CAST(substr(task, 7) AS INTEGER) % 4 = 0
-UNION ALL SELECT task, fold, model, """ + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in CLF_NAMES) + ", " + ", ".join(f"{r(c, 8)} AS {c}" for c in REG_NAMES) + """
+UNION ALL SELECT task, fold, model, """ + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in CLF_NAMES) + ", " + ", ".join(f"{r(c)} AS {c}" for c in REG_NAMES) + """
 FROM rm WHERE CAST(substr(task, 7) AS INTEGER) % 4 <> 0""")
 def _(spark, sf):
     number = F.substring("task", 7, 10).cast("int")
     clf = multiclass_predictions(spark, sf).where(number % 4 == 0).withColumn("y_true", F.col("y_true").cast("double"))
     reg = regression_predictions(spark, sf).where(number % 4 != 0)
-    return rounded(fm.fold_metrics(clf.unionByName(reg, allowMissingColumns=True)), 8)
+    return rounded(fm.fold_metrics(clf.unionByName(reg, allowMissingColumns=True)),)
 
 
 @query("compute_metrics_classification", "WITH" + MULTI_LABELS + LABEL_TABLES + MULTI_AUC + """,
@@ -165,10 +165,10 @@ def _(spark, sf):
 
 
 @query("compute_metrics_regression", "WITH" + REGRESSION + REG_TABLES + "SELECT task, fold, model, " + ", ".join(
-    f"{r(a, 8)} AS {b}" for a, b in (("mse", "mse"), ("rmse", "rmse"), ("mae", "mae"), ("r2_guarded", "r2"), ("mape", "mape"),
+    f"{r(a)} AS {b}" for a, b in (("mse", "mse"), ("rmse", "rmse"), ("mae", "mae"), ("r2_guarded", "r2"), ("mape", "mape"),
                                    ("explained_variance", "explained_variance"), ("max_error", "max_error"), ("median_ae", "median_ae"))) + " FROM rm")
 def _(spark, sf):
-    return rounded(fm.compute_metrics(regression_predictions(spark, sf), "regression"), 8)
+    return rounded(fm.compute_metrics(regression_predictions(spark, sf), "regression"),)
 
 
 @query("compare_metrics", "WITH" + RESULTS + f"""

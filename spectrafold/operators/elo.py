@@ -126,7 +126,7 @@ def elo(results: DataFrame, *, reference_model: str | None = "RF", rounds: int =
 
     rated = pairs.groupBy("round").applyInPandas(rate, "round int, model string, rating double")
     # One rating per round and model: the percentile of a model is over at most `rounds` values.
-    points = rated.groupBy("model").agg(F.percentile("rating", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q"))
+    points = materialize(rated.groupBy("model").agg(F.percentile("rating", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q")))
     shift = F.lit(0.0)
     if reference_model is not None:
         shift = F.coalesce(1000.0 - points.where(F.col("model") == reference_model).agg(F.max(F.col("q")[0])).scalar(), F.lit(0.0))

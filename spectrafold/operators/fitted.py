@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions import kernels
 from spectrafold.functions.batches import as_lists, from_matrix, matrix, widths
+from spectrafold.operators.ordering import skew_lookup
 from spectrafold.session import BROADCAST_BYTES, materialize
 
 #: Rows of one key that a task holds at once where states are too large to broadcast.
@@ -120,13 +121,12 @@ def replay(rows: DataFrame, state: DataFrame, by: Sequence[str], kernel: StateKe
 
         return rows.mapInArrow(over_batches, schema)
 
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    salts = F.ceil(F.col("_n") / ROWS_PER_TASK).cast("int")
-    table = state.join(sizes.select(*by, salts.alias("_salts")), by)
-    # One salt column for both sides: rows draw from the largest count, a state is copied to the salts it needs.
-    most = sizes.agg(F.max(salts)).scalar()
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != column]), most).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), most - 1))).drop("_salts")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_salts", F.ceil(F.col("_n") / ROWS_PER_TASK).cast("int"))
+    spread = F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns if c != column and not rows.schema[c].dataType.typeName() in ("array", "map")])
+    salted = skew_lookup(rows, sizes, by, ["_salts"], "_n", spread).withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")).drop("_salts")
+    copies = state.join(sizes, by).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_n")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

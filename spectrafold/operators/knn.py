@@ -45,10 +45,10 @@ def nearest(rows: DataFrame, k: int = 5, *, keys: Sequence[str] = ("task", "repe
     spark = rows.sparkSession
     data = materialize(rows.select(*keys, F.col(fold).cast("int").alias("_fold"), F.col(id_column).cast("long").alias("_id"), F.col(column).alias("_x")))
 
-    # Pivots: a hash sample per key, as many as the measured size allows to broadcast.
+    # Pivots: a hash sample per key, as many as the measured size allows to broadcast (none: one cell per key).
     size = data.groupBy(*keys).agg(F.max(F.size("_x")).alias("p"), F.count(F.lit(1)).alias("_n"))
     total = size.agg(F.sum("p"), F.count(F.lit(1))).first()
-    count = int(max(1, min(pivots, BROADCAST_BYTES // (8 * max(total[0] or 1, 1)))))
+    count = int(min(pivots, BROADCAST_BYTES // (8 * max(total[0] or 1, 1))))
     chosen = hash_rank(data, keys, hash_order("pivot", "_id"), "_id", "_rank", at_most=count)
     lookup: dict[tuple, np.ndarray] = {}
     for r in chosen.orderBy(*keys, "_rank").collect():
@@ -70,7 +70,10 @@ def nearest(rows: DataFrame, k: int = 5, *, keys: Sequence[str] = ("task", "repe
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "_cell", "_far"])
 
     base = key_schema(data, keys) + "_fold int, _id long, _x array<double>"
-    placed = data.mapInArrow(assign, base + ", _cell int, _far double")
+    if count:
+        placed = data.mapInArrow(assign, base + ", _cell int, _far double")
+    else:
+        placed = data.withColumn("_cell", F.lit(0)).withColumn("_far", F.lit(float("inf")))
     counts = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     blocks = counts.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
     placed = skew_lookup(placed, blocks, [*keys, "_cell"], ["_blocks"], "_n", F.col("_id")).withColumn(
@@ -96,6 +99,8 @@ def nearest(rows: DataFrame, k: int = 5, *, keys: Sequence[str] = ("task", "repe
     apart = spark.createDataFrame(
         [(*key, i, j, float(d)) for key, v in shared.value.items() for i, row in enumerate(distances(v, v)) for j, d in enumerate(row)],
         key_schema(data, keys) + "_cell int, _tcell int, _apart double")
+    if not count:
+        apart = size.select(*keys, F.lit(0).alias("_cell"), F.lit(0).alias("_tcell"), F.lit(0.0).alias("_apart"))
     reach = meta.select(*keys, "_cell", "_block", F.col("_radius").alias("_qr"), "_bound").join(apart, [*keys, "_cell"])
     target = meta.select(*keys, F.col("_cell").alias("_tcell"), F.col("_block").alias("_tblock"), "_radius")
     slack = 1e-9 * (1.0 + F.col("_apart"))  # distances are rounded; never prune on the last digits

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +57,24 @@ def mean_ranks(results: DataFrame) -> DataFrame:
         F.avg("rank").alias("rank"), F.avg("improvability").alias("improvability"))
 
 
+def improvability_interval(results: DataFrame, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """Distance from a model's mean improvability to its 97.5 and 2.5 % points over a bootstrap of tasks.
+
+    All rounds are summed in one aggregation: a row carries its task's draws as a vector.
+    """
+    from spectrafold.operators.elo import poisson_weights
+
+    rows = task_ranks(per_task(results)).withColumn("_w", poisson_weights(F.col("dataset"), rounds, seed))
+    value = F.transform("_w", lambda w: w * F.col("improvability"))
+    sums = rows.groupBy("model").agg(
+        F.avg("improvability").alias("_mean"), vector_to_array(Summarizer.sum(array_to_vector(value))).alias("_v"),
+        vector_to_array(Summarizer.sum(array_to_vector("_w"))).alias("_n"))
+    means = sums.withColumn("_q", F.sort_array(F.filter(F.zip_with("_v", "_n", lambda v, n: F.when(n > 0, v / n)), lambda m: m.isNotNull())))
+    at = lambda p: F.get("_q", F.least(F.floor(F.size("_q") * p).cast("int"), F.size("_q") - 1))
+    return means.select("model", F.greatest(at(0.975) - F.col("_mean"), F.lit(0.0)).alias("improvability_plus"),
+                        F.greatest(F.col("_mean") - at(0.025), F.lit(0.0)).alias("improvability_minus"))
+
+
 # ---------------------------------------------------------------- pairs of models
 
 TILE = 512
@@ -193,7 +213,7 @@ def score_group(results: DataFrame, group: str = "all", *, reference_model: str
     tasks = filled.groupBy("model", "dataset").count().groupBy("model").agg(F.count(F.lit(1)).alias("n_tasks"))
     board = (
         elo(filled, reference_model=reference_model, rounds=rounds)
-        .join(mean_ranks(filled), "model").join(winrate(winrate_matrix(filled)), "model")
+        .join(mean_ranks(filled), "model").join(improvability_interval(filled, rounds), "model").join(winrate(winrate_matrix(filled)), "model")
         .join(normalized_score(filled), "model").join(median_times(filled, n_splits, hot_rows=hot_rows), "model", "left")
         .join(size.drop("n_cells"), "model").join(tasks, "model")
         .withColumn("is_reference", F.col("model").isin(*references) if references else F.lit(False))
@@ -287,6 +307,14 @@ def near_pareto(df: DataFrame, x: str, y: str, tolerance: float = 0.1, higher_is
         F.col("gap") <= tolerance)
 
 
+def pareto_selection(boards: DataFrame, x: str = "median_time_total_per_1k_s", y: str = "normalized_score", tolerance: float = 0.1) -> DataFrame:
+    """Models near the front of any task type (of all tasks when there is no board per type)."""
+    near = near_pareto(split_references(boards)[0], x, y, tolerance, by=["group"])
+    typed = near.where(F.col("group") != "all")
+    has_types = boards.where(F.col("group") != "all").agg(F.count(F.lit(1)) > 0).scalar()
+    return typed.unionByName(near.where((F.col("group") == "all") & ~has_types)).select("model").distinct()
+
+
 # ---------------------------------------------------------------- the older board
 
 

@@ -98,6 +98,7 @@ def test_score_all_ranks_single_type_models(spark):
     assert top.loc["S", "n_tasks"] == 3 and top.loc["A", "n_tasks"] == 6
     assert set(got.loc[got["group"] == "regression", "model"]) == {"RF", "A"}
     assert got["median_time_total_s"].eq(1.5).all()
+    assert (got["improvability_plus"] >= 0).all() and (got["improvability_minus"] >= 0).all() and got["improvability_plus"].max() > 0
 
 
 # Published quantiles of the studentized range (5 %, infinite degrees of freedom).
