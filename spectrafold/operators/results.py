@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions.metrics import METRICS, metric_names, to_error
 from spectrafold.operators.ordering import HOT_ROWS, skew_lookup
+from spectrafold.session import materialize
 
 VARIANTS = ("default", "tuned", "tuned_ensemble")
 TIDY_COLUMNS = ("dataset", "fold", "model", "metric_error", "metric", "task", "time_train_s", "time_infer_s")
@@ -158,9 +159,9 @@ def impute_missing(results: DataFrame, *, reference_model: str = "RF", max_imput
     keys = ["dataset", "fold"]
     rest = [c for c in results.columns if c not in keys]
     row = F.struct(*rest)
-    cells = results.groupBy(*keys).agg(
+    cells = materialize(results.groupBy(*keys).agg(
         F.collect_list(row).alias("rows"), F.max(F.when(F.col("model") == reference_model, row)).alias("ref")
-    ).where(F.col("ref").isNotNull())
+    ).where(F.col("ref").isNotNull()))  # counted, then read: computed once
     n_cells = cells.agg(F.count(F.lit(1))).scalar()
     counts = cells.select(F.explode(F.array_distinct("rows.model")).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("_n"))
     if max_imputed_pct >= 100:  # then also models without any of the reference's cells
