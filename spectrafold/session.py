@@ -33,7 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spectrafold-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectrafold-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
