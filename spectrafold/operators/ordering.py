@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key above which the key is split over several tasks.
 HOT_ROWS = 1_000_000
+#: Rows of one key above which Spark's own ``median`` is not used: a task holds the distinct values of up to 128 keys.
+MEDIAN_ROWS = 100_000
 #: Hex digits of the hash prefix that names a bucket (4,096 buckets).
 PREFIX = 3
 #: Most buckets a hot group of values is cut into.
@@ -139,12 +141,11 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
                  split: bool | None = None) -> DataFrame:
     """The exact median of the non-null *value* per group (mean of the two middle values for even counts).
 
-    Spark's ``median`` keeps the distinct values of a group in one task's memory: good below *hot_rows* rows only.
+    Spark's ``median`` keeps the distinct values of its groups in memory: good for small groups only. Others take
+    the value that covers the middle position, from running counts.
     """
     keys = list(keys)
-    if split is None:
-        split = has_hot_keys(df, keys, hot_rows)
-    if not split:
+    if not split and not has_hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS)):
         return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(name))
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
     run = running_totals(v, keys, value, ["_k"], hot_rows=hot_rows, split=True)
