@@ -1,10 +1,64 @@
-"""The corpus pipeline: stages that filter, clean and encode ``documents`` one after the other."""
+"""The corpus pipeline: filters, cleans and encodes ``documents`` in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame; all but the last
+return the columns of ``documents``. Between stages the rows are written as Parquet in the cluster's shared folder, so a
+lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrafold.llm import bpe, decontaminate, pii, simhash, toxicity
+from spectrafold.session import ensure_checkpoint_dir
+
+VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; null and empty texts stay."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, into="__toxicity").filter("`__toxicity` < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id stays."""
+    return simhash.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts become the name of their kind; n_chars follows."""
+    return pii.mask(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text (little-endian unsigned 32-bit integers), their number, and digests of ids and decoded text."""
+    decoded = bpe.decode(bpe.encode(docs, VOCABULARY, PATTERN), VOCABULARY)
+    digests = {"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return decoded.withColumns(digests).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data), ("bpe", encode),
+]
+#: Training a classifier and SimHash are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from ``documents`` to the last one's rows."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,13 +19,14 @@ def narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
 
-def map_texts(docs: DataFrame, fn: Callable[[list, pa.Array], dict], schema: str, text_column: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, fn: Callable[[pa.Array], dict], schema: str, text_column: str = "text",
+              keep_text: bool = False) -> DataFrame:
     """Adds to each row the columns that *fn* computes from its text (null: empty), batch by batch.
 
     *fn(texts)* gets an Arrow string array without nulls and returns a dict of columns of the same length; *schema* lists
-    the added columns. The text itself is not returned.
+    the added columns. The text itself is returned only with *keep_text*.
     """
-    kept = [c for c in docs.columns if c != text_column]
+    kept = [c for c in docs.columns if keep_text or c != text_column]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +39,7 @@ def map_texts(docs: DataFrame, fn: Callable[[list, pa.Array], dict], schema: str
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()],
                                                  names=list(columns))
 
-    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text_column]]).mapInArrow(run, f"{fields}, {schema}" if kept else schema)
+    return docs.mapInArrow(run, f"{fields}, {schema}" if kept else schema)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

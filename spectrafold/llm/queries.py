@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import decontaminate, simhash
+from spectrafold.llm import bpe, decontaminate, langid, pii, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, by a model of the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, keep_text=False)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, by a model of the texts that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Tokens of each document and the text that they decode to."""
+    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern)
+    out = bpe.decode(encoded, vocabulary)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document, by DataFrame functions alone."""
+    found = pii.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda x: ~x["kind"].isin(*pii.ADDED))
+    kinds = F.transform("pii", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS if k not in pii.ADDED]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in an occurrence of a benchmark window."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -26,12 +59,53 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_decontamination": op8_decontamination, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op10_simhash": op10_simhash,
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": "(" + "|".join(rf"{c}[0-9]{{2}}(\x20?[A-Z0-9]){{{n - 4}}}" for c, n in pii.IBAN_LENGTHS.items()) + ")",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_CODES = "list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(m, 4), ''), lambda x: CASE WHEN x <= '9' THEN ord(x) - 48 ELSE ord(x) - 55 END)"
+_PII_CHECKS = {
+    "email": "true",
+    "ip": r"list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || left(ltrim(x, '0'), 3) AS INT) <= 255))",
+    "card": f"length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), "
+            "lambda x, i: CASE WHEN i % 2 = 1 THEN ord(x) - 48 WHEN ord(x) - 48 > 4 THEN 2 * (ord(x) - 48) - 9 ELSE 2 * (ord(x) - 48) END)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
+    "iban": f"NOT regexp_matches(right(g, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(h, 1), '[A-Za-z0-9]') AND "
+            f"list_reduce(list_prepend(0, {_CODES}), lambda r, x: (r * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1",
+}
+
+
+def _pii_sql() -> str:
+    """Positions are sums of the lengths of matches and of the texts between them."""
+    parts = [f"""SELECT doc_id, {n} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (
+        SELECT doc_id, f[i] AS m, p[i] AS g, p[i + 1] AS h,
+               CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+        FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (
+            SELECT doc_id, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS p FROM documents)))
+        WHERE {_PII_CHECKS[kind]}""" for n, (kind, pattern) in enumerate(_PII.items())]
+    text = "kind || ':' || s || ':' || e"
+    base = "FILTER (k < 4)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PII if k not in pii.ADDED)
+    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PII if k not in pii.ADDED)
+    return f"""
+WITH spans AS ({" UNION ALL ".join(parts)}),
+per AS (SELECT doc_id, {counts}, string_agg({text}, ',' ORDER BY k, s) {base} AS base, string_agg({text}, ',' ORDER BY k, s) AS spans FROM spans GROUP BY 1)
+SELECT d.doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN per USING (doc_id)"""
+
+
 ORACLES = {
+    "op6_pii": _pii_sql(),
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
 b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark) WHERE len(w) > 0),
