@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import bpe, decontaminate, langid, pii, simhash, toxicity
+from spectrafold.llm import bpe, decontaminate, langid, pii, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings that start earlier."""
+    out = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -60,7 +66,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op10_simhash": op10_simhash,
+    "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
