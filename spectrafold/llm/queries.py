@@ -6,13 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import bpe, decontaminate, langid, pii, simhash, suffix_dedup, toxicity
+from spectrafold.llm import ann, bpe, decontaminate, langid, pii, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document: fixed patterns and what the network adds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_scan.scan(docs, secret_scan.train(docs))
+    kinds = F.transform("secrets", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    base = F.filter("secrets", lambda x: x["kind"] != secret_scan.ADDED)
+    return out.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("secrets")).alias("spans"))
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each fiftieth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, by a model of the labelled rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets, "op2_neighbours": op2_neighbours,
     "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash,
 }
