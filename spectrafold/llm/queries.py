@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import ann, bpe, decontaminate, langid, pii, secret_scan, simhash, suffix_dedup, toxicity
+from spectrafold.llm import ann, bpe, decontaminate, langid, licenses, pii, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families named in each document's paragraphs."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licenses.scan(docs, licenses.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"])))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_paragraphs"), F.array_join(families, ",").alias("families"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in an occurrence of a benchmark window."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -82,7 +90,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets, "op2_neighbours": op2_neighbours,
-    "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination,
+    "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op7_licenses": op7_licenses,
+    "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash,
 }
 
