@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,10 @@ from pyspark.sql import DataFrame
 
 from spectrafold.llm.batches import chunks, map_texts
 
-#: States and words that a worker keeps; beyond, the table is emptied and built anew as needed.
-MAX_STATES, MAX_PAIRS, MAX_WORDS = 100_000, 500_000, 200_000
+#: Pairs of tokens and pieces that a worker remembers; beyond, pairs are forgotten, and pieces but those seen lately.
+MAX_PAIRS, MAX_WORDS = 500_000, 150_000
+#: Places of a piece after which what is settled is emitted.
+WINDOW = 4096
 #: Pieces up to this length are remembered; texts beyond this length are cut piece by piece; ids of a chunk of decoding.
 LONG_WORD, LONG_TEXT, DECODE_CHUNK = 64, 1 << 20, 1 << 14
 
@@ -30,114 +34,192 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings as merging by rank does, reading each byte once.
 
-    A token sequence is what merging yields exactly if each two neighbours stay apart when merged alone, so an encoding is
-    a path over configurations (last token, bytes read of the next one). Following all open configurations at once and
-    storing each set met as a state gives a deterministic machine, built only where texts lead. Output that all open
-    configurations share is emitted at once; a configuration can stay open for at most the longest token's length, which
-    bounds the lookahead and the rest that a state carries.
+    A token sequence is what merging yields exactly if each two neighbours stay apart when merged alone. So exactly one
+    token can be last in the encoding of what has been read up to a place, and it is the one token ending there that may
+    follow the last token of the place where it starts. The machine's states are the sets of tree nodes (beginnings of
+    tokens) that end at a place; they are worked out when a text first leads to them and stored, with the tokens that end
+    there. A token is settled, and emitted, once no open beginning reaches back before its end: at most the longest
+    token's length later.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes = ranks, [b""] * (max(ranks.values()) + 1)
+        self.children: dict[int, int] = {}  # node * 256 + byte -> node; the root is 0
+        self.token, self.depth = [-1], [0]
         for token, rank in ranks.items():
-            self.bytes[rank] = token
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self._empty()
-
-    def _empty(self) -> None:
-        # a configuration: (tokens not yet emitted, last token or -1, bytes read of the next token)
-        start = (((), -1, b""),)
-        self.states, self.ids, self.steps, self.ends = [start], {start: 0}, [{}], [None]
-
-    def _merged(self, word: bytes) -> list[int]:
-        """Merging by rank, for one token or two."""
-        parts = [word[i:i + 1] for i in range(len(word))]
+            self.bytes[rank], node = token, 0
+            for byte in token:
+                edge = node << 8 | byte
+                node = self.children.get(edge, 0)
+                if not node:
+                    node = self.children[edge] = len(self.token)
+                    self.token.append(-1)
+                    self.depth.append(self.depth[edge >> 8] + 1)
+            self.token[node] = rank
+        self.pairs: dict[int, bool] = {}
+        self.histories: dict[int, tuple] = {}
+        # a state: nodes open at a place, longest first; ends: (token, length) of those that are tokens; steps: byte -> state
+        self.states: list[tuple[int, ...]] = [()]
+        self.ids: dict[tuple[int, ...], int] = {(): 0}
+        self.steps: list[dict[int, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+
+    def _step(self, state: int, byte: int) -> int:
+        """The next state; stored, so each step is worked out once. There are no more states than nodes."""
+        after = tuple(n for n in (self.children.get(node << 8 | byte) for node in (*self.states[state], 0)) if n)
+        found = self.ids.get(after)
+        if found is None:
+            found = self.ids[after] = len(self.states)
+            self.states.append(after)
+            self.steps.append({})
+            self.ends.append(tuple((self.token[n], self.depth[n]) for n in after if self.token[n] >= 0 and self._history(self.token[n])))
+        self.steps[state][byte] = found
+        return found
+
+    def _history(self, token: int) -> tuple | None:
+        """How merging builds a token alone: (ranks of the merges, first part and last part before, between and after
+        them); None if merging ends in other tokens."""
+        if token in self.histories:
+            return self.histories[token]
+        ranks, word = self.ranks, self.bytes[token]
+        parts, order, firsts, lasts = [word[i:i + 1] for i in range(len(word))], [], [word[:1]], [word[-1:]]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], sys.maxsize), i) for i in range(len(parts) - 1))
+            rank, at = min((ranks.get(a + b, sys.maxsize), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if rank == sys.maxsize:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def _apart(self, a: int, b: int) -> bool:
-        """Whether token *b* may follow token *a* (-1: stand first)."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            alone = a < 0 or self._merged(self.bytes[a] + self.bytes[b]) == [a, b]
-            known = self.pairs[a, b] = alone and (a >= 0 or self._merged(self.bytes[b]) == [b])
-        return known
-
-    def _state(self, key: tuple) -> int:
-        found = self.ids.get(key)
-        if found is None:
-            found = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
-            self.ends.append(None)
+            order.append(rank)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        found = self.histories[token] = (order, firsts, lasts) if len(parts) == 1 else None
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens emitted; stored, so each step is worked out once."""
-        octet, after = bytes((byte,)), []
-        for rest, last, read in self.states[state]:
-            read += octet
-            if read not in self.prefixes:
-                continue
-            after.append((rest, last, read))
-            token = self.ranks.get(read)
-            if token is not None and self._apart(last, token):
-                after.append(((*rest, token), token, b""))
-        shared = 0
-        first = after[0][0]
-        while shared < len(first) and all(len(r) > shared and r[shared] == first[shared] for r, _, _ in after):
-            shared += 1
-        emitted = first[:shared]
-        key = tuple((r[shared:], last, read) for r, last, read in after)
-        out = self.steps[state][byte] = (self._state(key), emitted)
-        return out
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether tokens *a* and *b* stay apart when merged: the merges of both run side by side, lowest rank first and
+        leftmost first among equals, until one across the border comes first or none is left."""
+        ranks, none = self.ranks, sys.maxsize
+        (left, _, lasts), (right, firsts, _) = self._history(a), self._history(b)
+        i = j = 0
+        while True:
+            across = ranks.get(lasts[i] + firsts[j], none)
+            x, y = left[i] if i < len(left) else none, right[j] if j < len(right) else none
+            if across < x and across <= y and across != none:
+                return False
+            if x == none and y == none:
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
 
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        state, out, steps = 0, [], self.steps
-        for byte in word:
-            step = steps[state].get(byte)
-            if step is None:
-                if len(self.states) >= MAX_STATES:  # go on from this state in an empty table
-                    here = self.states[state]
-                    self._empty()
-                    state, steps = self._state(here), self.steps
-                step = self._step(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        end = self.ends[state]
-        if end is None:
-            end = self.ends[state] = next(rest for rest, _, read in self.states[state] if not read)
-        out += end
-        return out
+        steps, ends, pairs, size = self.steps, self.ends, self.pairs, len(self.bytes)
+        state, last, length, out, settled = 0, [-1], [0], [], 0
+        for at, byte in enumerate(word, 1):
+            following = steps[state].get(byte)
+            state = self._step(state, byte) if following is None else following
+            for token, n in ends[state]:
+                before = last[at - n - settled]
+                if before < 0:
+                    if at == n:
+                        break
+                    continue
+                key = before * size + token
+                apart = pairs.get(key)
+                if apart is None:
+                    if len(pairs) >= MAX_PAIRS:
+                        pairs.clear()
+                    apart = pairs[key] = self._apart(before, token)
+                if apart:
+                    break
+            last.append(token)
+            length.append(n)
+            if len(last) > WINDOW:
+                cut = self._settled(length, self.depth[self.states[state][0]] if self.states[state] else 0)
+                out += self._back(last, length, cut)
+                last, length, settled = last[cut:], length[cut:], settled + cut
+        return out + self._back(last, length, len(last) - 1)
+
+    @staticmethod
+    def _back(last: list[int], length: list[int], at: int) -> list[int]:
+        """The tokens up to place *at*, from the last one back."""
+        out = []
+        while at > 0:
+            out.append(last[at])
+            at -= length[at]
+        return out[::-1]
+
+    @staticmethod
+    def _settled(length: list[int], reach: int) -> int:
+        """The farthest place that is a border of tokens whatever follows: on the way back from every place at which an
+        open beginning, of at most *reach* bytes, may start."""
+        open_, at = {*range(max(0, len(length) - 1 - reach), len(length))}, len(length) - 1
+        while len(open_) > 1:
+            open_.discard(at)
+            open_.add(at - length[at])
+            at = max(open_)
+        return at
+
+
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """*pattern* for texts of the first 256 characters alone, with letters, numbers and white space as explicit ranges, for
+    a faster matcher; None for patterns with other properties."""
+    if re.search(r"\\[pP](?!\{[LN]\})", pattern):
+        return None
+    few, ranges = "".join(map(chr, range(256))), {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        ranges[name] = "".join(rf"\x{m.start():02x}-\x{m.end() - 1:02x}" for m in regex.finditer(f"{name}+", few))
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        name = next((n for n in ranges if pattern.startswith(n, at)), None)
+        if name:
+            out += ranges[name] if inside else f"[{ranges[name]}]"
+        elif pattern.startswith(r"\S", at) and not inside:
+            name = r"\S"
+            out += f"[^{ranges[chr(92) + 's']}]"
+        else:
+            name = pattern[at:at + 2] if pattern[at] == "\\" else pattern[at]
+            inside = (inside or name == "[") and name != "]"
+            out += name
+        at += len(name)
+    return re.compile(out)
 
 
 class Encoder:
-    """Texts to token ids: the pattern cuts a text, the transducer encodes each piece; frequent pieces are remembered."""
+    """Texts to token ids (little-endian unsigned 32-bit integers): the pattern cuts a text, the transducer encodes each
+    piece; frequent pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine, self.cut, self.words = Transducer(ranks), regex.compile(pattern), {}
-
-    def __call__(self, text: str) -> np.ndarray:
+        self.machine, self.words, self.older = Transducer(ranks), {}, {}
+        self.cut, self.plain = regex.compile(pattern), plain_pattern(pattern)
+
+    def _pieces(self, text: str) -> Iterable[str]:
+        cut = self.cut
+        if self.plain:
+            try:
+                text.encode("latin-1")
+                cut = self.plain
+            except UnicodeEncodeError:
+                pass
+        return cut.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in cut.finditer(text))
+
+    def __call__(self, text: str) -> bytes:
         words, out = self.words, []
-        for piece in self.cut.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in self.cut.finditer(text)):
+        for piece in self._pieces(text):
             ids = words.get(piece)
             if ids is None:
-                ids = self.machine.encode(piece.encode())
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = self.machine.encode(piece.encode())
+                    ids = pack(f"<{len(ids)}I", *ids)
                 if len(piece) <= LONG_WORD:
                     if len(words) >= MAX_WORDS:
-                        words.clear()
+                        self.older, words = words, {}
+                        self.words = words
                     words[piece] = ids
-            out += ids
-        return np.array(out, "<u4")
+            out.append(ids)
+        return b"".join(out)
 
 
 # UTF-8 as a state machine. States: 0 between characters; 1, 2, 3 continuation bytes to come; 4 to 7 the second byte of a
@@ -158,13 +240,16 @@ def _utf8_table() -> list[list[int]]:
 class Decoder:
     """Token ids to text, chunk by chunk: whole characters are handed on, one that a token border cuts waits.
 
-    Tokens that lead the machine from between characters back there are known beforehand, so a chunk of such tokens costs
-    one look-up each. What isn't UTF-8 becomes U+FFFD, as a decoder of the whole would replace it.
+    Tokens that lead the machine from between characters back there are known beforehand, so a chunk of such tokens needs
+    no walk. What isn't UTF-8 becomes U+FFFD, as a decoder of the whole would replace it.
     """
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens, self.table = tokens, _utf8_table()
-        self.closed = np.array([self._walk(t, 0)[:2] == (0, len(t)) and self._walk(t, 0)[2] for t in tokens])
+        self.table = _utf8_table()
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.closed = np.array([(w := self._walk(t, 0))[0] == 0 and w[1] == len(t) and w[2] for t in tokens])
 
     def _walk(self, body: bytes, state: int) -> tuple[int, int, bool]:
         """(state after *body*, bytes up to the last end of a character, whether all is UTF-8)."""
@@ -179,11 +264,16 @@ class Decoder:
                 whole = i + 1
         return state, whole, clean
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        shift = self.first[ids] - (np.cumsum(size) - size)
+        return self.flat[np.arange(int(size.sum())) + np.repeat(shift, size)].tobytes()
+
     def stream(self, chunks: Iterable[np.ndarray]) -> Iterator[str]:
         """The text of each chunk of ids as far as it is complete, and at last what is left."""
-        waiting, tokens = b"", self.tokens
+        waiting = b""
         for ids in chunks:
-            body = waiting + b"".join([tokens[i] for i in ids.tolist()])
+            body = waiting + self._bytes(ids)
             whole = len(body) if not waiting and self.closed[ids].all() else self._walk(body, 0)[1]
             yield body[:whole].decode("utf-8", "replace")
             waiting = body[whole:]
@@ -226,7 +316,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_column: str = "t
     def run(texts: pa.Array) -> dict:
         encoder = shared.value.encoder()
         found = [encoder(t) for t in texts.to_pylist()]
-        return {into: pa.array([x.tobytes() for x in found], pa.binary()), "n_tokens": pa.array([len(x) for x in found], pa.int64())}
+        return {into: pa.array(found, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64())}
 
     return map_texts(docs.drop(into, "n_tokens"), run, f"`{into}` binary, n_tokens long", text_column)
 
