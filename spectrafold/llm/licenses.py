@@ -176,9 +176,8 @@ def _predict(model: Model, slots: np.ndarray, owner: np.ndarray, n: int) -> tupl
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """A model; paragraphs of at most *max_train* texts, the same ones in any run, show what is no license."""
-    rows = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text_column}`").cast("string").alias("__text"), F.lit(1).alias("__all"))
-    found = labelled_sample(rows.filter("__text is not null"), "__all", ["__text"], max_train, "__id")
-    return fit([line for r in found for line in r[0].split("\n") if line.strip()])
+    found = labelled_sample(docs, id_column, text_column, F.lit(1), max_train)
+    return fit([line for text, _ in found for line in text.split("\n") if line.strip()])
 
 
 def scan(docs: DataFrame, model: Model, text_column: str = "text", into: str = "licenses") -> DataFrame:

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, label: str, columns: list[str], per_label: int, key: str = "doc_id") -> list:
-    """At most *per_label* rows of each label: those with the least hashes of *key*, so any run takes the same ones.
+def labelled_sample(docs: DataFrame, key: str, text: str, label: Column, per_label: int) -> list[tuple[str, object]]:
+    """(text, label) of at most *per_label* rows of *docs* for each label: those with the least hashes of *key*.
 
-    The labels' counts give a share that leaves few more rows than asked for; only these are ranked. Rows without a label
-    take no part.
+    Any run takes the same rows. Keys and labels alone are counted and ranked; only the chosen keys, whose number is
+    bounded, are broadcast to fetch their texts. A key stands for one row (its largest label, its least text); rows without
+    key, label or text take no part.
     """
-    rows = rows.filter(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    rows = docs.select(F.col(f"`{key}`").alias("key"), label.alias("label"), F.col(f"`{text}`").cast("string").alias("text"))
+    marks = rows.filter("key is not null and label is not null and text is not null").groupBy("key").agg(F.max("label").alias("label"))
+    counts = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
     if not counts:
         return []
-    draw = F.xxhash64(F.col(key), F.lit("sample")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * per_label / n + 50.0 / n))])
-    few = rows.withColumn("__draw", draw).filter(F.col("__draw") < share[F.col(label)] + F.lit(1e-9))
-    ranked = few.selectExpr("*", f"row_number() over (partition by `{label}` order by __draw, `{key}`) as __rank")
-    return ranked.filter(F.col("__rank") <= per_label).orderBy(label, "__rank").select(*columns).collect()
+    draw = F.xxhash64(F.col("key"), F.lit("sample")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * per_label + 50.0) / n))])
+    few = marks.withColumn("draw", draw).filter(F.col("draw") <= share[F.col("label")])
+    ranked = few.selectExpr("*", "row_number() over (partition by label order by draw, key) as position")
+    chosen = ranked.filter(F.col("position") <= per_label).select("key", "label").collect()
+    kept = docs.sparkSession.createDataFrame(chosen, marks.schema)
+    found = rows.select("key", "text").join(F.broadcast(kept), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return [(r["text"], r["label"]) for r in found.orderBy("label", "key").collect()]

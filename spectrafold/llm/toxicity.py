@@ -25,7 +25,7 @@ IDENTITY_TERMS = (
 #: Words of a sentence at most, length of the weight table, bytes of the word beginnings that are features beside words.
 SENTENCE, BUCKETS, BEGINNINGS = 16, 1 << 18, (4, 5, 6)
 #: Labelled texts that the model is fitted on: at most this many of each label.
-MAX_TRAIN = 3000
+MAX_TRAIN = 1500
 #: Weight of a squared score change between a sentence and its counterpart with another identity term or none.
 COUNTERFACTUAL = 2.0
 DECAY, ROUNDS, STEPS, RATE = 1e-4, 3, 60, 0.5
@@ -62,8 +62,11 @@ class Sentences:
         fresh = at % SENTENCE == 0
         again = np.zeros(len(starts), bool)  # a word repeated at once counts once
         again[1:] = (hashes[1:] == hashes[:-1]) & ~fresh[1:]
-        keep = np.stack([~again] + [(size > n) & ~again for n in BEGINNINGS])
-        self.buckets = np.where(keep, np.stack(self.buckets) & np.uint64(BUCKETS - 1), np.uint64(BUCKETS)).astype(np.int64)
+        keep = [~again, *((size > n) & ~again for n in BEGINNINGS)]
+        for part, kept in zip(self.buckets, keep):
+            part &= np.uint64(BUCKETS - 1)
+            part[~kept] = BUCKETS
+        self.buckets = np.stack([x.astype(np.int32) for x in self.buckets])
         self.starts = np.flatnonzero(fresh)  # of sentences
         self.row = row[self.starts]
         self.rows = len(texts)
@@ -111,7 +114,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     used = ~check
     # features that go with the label, and smoothed log odds of their presence in a text as starting weights
     word_row = np.repeat(sent.row, np.diff(np.r_[sent.starts, sent.buckets.shape[1]]))
-    pairs = np.unique((np.tile(word_row, len(sent.buckets)) * (BUCKETS + 1) + sent.buckets.ravel()))
+    pairs = np.unique(np.concatenate([np.unique(word_row * (BUCKETS + 1) + part) for part in sent.buckets]))
     pairs = np.stack([pairs // (BUCKETS + 1), pairs % (BUCKETS + 1)])
     pairs = pairs[:, used[pairs[0]]]
     has = [np.bincount(pairs[1][y[pairs[0]] == k], minlength=BUCKETS + 1)[:BUCKETS].astype(float) for k in (0, 1)]
@@ -203,11 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     Of repeated labels of one id the largest counts; ids without a text and labels that are neither 0 nor 1 take no part.
     """
     marks = labels.filter(F.col(f"`{label_column}`").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max(f"`{label_column}`").cast("int").alias("__label"))
-    texts = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text_column}`").alias("__text")).filter("__text is not null")
-    rows = texts.filter(~held_out(F.col("__id"))).join(marks, "__id")
-    found = labelled_sample(rows, "__label", ["__text", "__label"], max_train, "__id")
-    order = np.random.default_rng(11).permutation(len(found))
-    return fit([found[i][0] for i in order], [found[i][1] for i in order])
+    own = F.col(f"`{id_column}`")
+    marked = docs.select(own, F.col(f"`{text_column}`")).filter(~held_out(own))
+    chosen = labelled_sample(marked.join(marks, own == F.col("__id")), id_column, text_column, F.col("__label"), max_train)
+    order = np.random.default_rng(11).permutation(len(chosen))
+    return fit([chosen[i][0] for i in order], [chosen[i][1] for i in order])
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", into: str = "score", keep_text: bool = True) -> DataFrame:
