@@ -62,28 +62,30 @@ def nan_to_zero(x: np.ndarray) -> np.ndarray:
 def despike(x: np.ndarray, threshold: float = 6.0, kernel: int = 3) -> np.ndarray:
     """Points whose first difference is an outlier (modified z-score) become the mean of unflagged neighbours.
 
-    Scores are computed once; replacement runs left to right and repeats until nothing changes.
+    Scores are computed once. All spectra move from channel to channel together: a flagged channel is replaced where a
+    neighbour within *kernel* is clean, and counts as clean from then on; passes repeat while flags disappear.
     """
     step = np.diff(x, axis=1)
     centre = step - np.median(step, axis=1, keepdims=True)
     mad = np.median(np.abs(centre), axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        flagged = np.where(mad > 0, np.abs(0.6745 * centre / mad) > threshold, False)
+    scaled = 0.6745 * np.abs(centre) / np.where(mad > 0, mad, 1.0)
+    hit = (scaled > threshold) & (mad > 0)
+    rows, last = np.flatnonzero(hit.any(axis=1)), x.shape[1] - 1  # the last channel has no difference and is no neighbour
     out = x.copy()
-    last = x.shape[1] - 1  # the last channel has no difference of its own and is never a neighbour
-    for r in np.flatnonzero(flagged.any(axis=1)):
-        y, spikes = out[r], flagged[r].copy()
-        while True:
-            fixed = False
-            for i in np.flatnonzero(spikes):
-                window = slice(max(0, i - kernel), min(last, i + 1 + kernel))
-                good = y[window][~spikes[window]]
-                if good.size:
-                    y[i] = good.mean()
-                    spikes[i] = False
-                    fixed = True
-            if not fixed or not spikes.any():
-                break
+    y, dirty = out[rows], hit[rows]
+    left = dirty.sum()
+    while left:
+        for i in np.flatnonzero(dirty.any(axis=0)):
+            low, high = max(0, i - kernel), min(last, i + 1 + kernel)
+            clean = ~dirty[:, low:high]
+            count = clean.sum(axis=1)
+            now = dirty[:, i] & (count > 0)
+            y[now, i] = np.where(clean, y[:, low:high], 0.0).sum(axis=1)[now] / count[now]
+            dirty[now, i] = False
+        before, left = left, dirty.sum()
+        if left == before:
+            break
+    out[rows] = y
     return out
 
 
@@ -203,48 +205,85 @@ def wavelet_denoise(x: np.ndarray, wavelet: str = "sym7", level: int = 4) -> np.
 
 
 class Smoother:
-    """Solves (diag(w) + lam * D'D) z = w * y for a batch; D takes second differences.
+    """Minimises sum(w * (y - z)^2) + lam * sum((D z)^2) for a batch; D takes second differences.
 
-    The system is symmetric and pentadiagonal: an LDL' factorization that walks over the channels and
-    handles all spectra of the batch in each step. Arrays are channels x spectra, so steps are contiguous.
+    The least-squares rows themselves are brought to triangular form by rotations, channel by channel, all spectra of the
+    batch in each step: the error then follows the condition of the rows, not its square, so a fit that only a few weights
+    hold in place stays exact. Two refinement steps on the residual of the normal equations remove what is left. Arrays are
+    channels x spectra, so steps are contiguous.
     """
 
     def __init__(self, n: int, lam: float):
-        main, first, second = np.zeros(n), np.zeros(max(n - 1, 0)), np.zeros(max(n - 2, 0))
-        if n >= 3:
-            for offset, weight in ((0, 1.0), (1, 4.0), (2, 1.0)):
-                main[offset : offset + n - 2] += weight
-            first[: n - 2] -= 2.0
-            first[1:] -= 2.0
-            second += 1.0
-        self.n, self.main, self.first, self.second = n, lam * main, lam * first, lam * second
+        self.n, self.lam, self.root = n, lam, math.sqrt(lam)
 
     def solve(self, w: np.ndarray, y: np.ndarray) -> np.ndarray:
-        n = self.n
-        d = np.empty_like(y)
-        l1, l2, u = np.zeros_like(y), np.zeros_like(y), np.empty_like(y)
+        r0, r1, r2 = self._factor(np.sqrt(w))
+        z = self._apply(r0, r1, r2, w * y)
+        for _ in range(2):
+            z = z + self._apply(r0, r1, r2, w * (y - z) - self.lam * self._penalty(z))
+        return z
+
+    @staticmethod
+    def _penalty(z: np.ndarray) -> np.ndarray:
+        """D'D z."""
+        out = np.zeros_like(z)
+        if len(z) >= 3:
+            bend = z[:-2] - 2 * z[1:-1] + z[2:]
+            out[:-2] += bend
+            out[1:-1] -= 2 * bend
+            out[2:] += bend
+        return out
+
+    def _factor(self, root_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The three diagonals of the triangular factor. Between channels two rows are open: (a, b) and (0, c)."""
+        n, zero = self.n, np.zeros(root_w.shape[1])
+        r0, r1, r2 = (np.zeros_like(root_w) for _ in range(3))
+        a, b, c = zero, zero, zero
+        for i in range(n):
+            # rows with an entry in channel i: the data row (root_w), (a, b), and the penalty row, if there is one left
+            top = [np.hypot(root_w[i], a), None, zero]
+            cos, sin = self._rotation(a, root_w[i], top[0])
+            top[1], left = cos * b, -sin * b  # the rest of the data row
+            if i + 2 < n:
+                k = self.root
+                length = np.hypot(top[0], k)
+                cos, sin = top[0] / length, k / length
+                rest1, rest2 = cos * -2 * k - sin * top[1], cos * k
+                r0[i], r1[i], r2[i] = length, cos * top[1] + sin * -2 * k, sin * k
+                a, b = rest1, rest2
+            else:
+                r0[i], r1[i] = top[0], top[1]
+                a, b = zero, zero
+            # what is left has entries in channels i + 1 and i + 2: (left, 0), (c, 0), (a, b)
+            below = np.hypot(left, c)
+            length = np.hypot(a, below)
+            cos, sin = self._rotation(a, below, length)
+            a, b, c = length, cos * b, -sin * b
+        return r0, r1, r2
+
+    @staticmethod
+    def _rotation(x: np.ndarray, y: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        safe = np.where(length > 0, length, 1.0)
+        return np.where(length > 0, x / safe, 1.0), y / safe
+
+    def _apply(self, r0: np.ndarray, r1: np.ndarray, r2: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+        """Solves R'R z = rhs."""
+        n, z = self.n, np.empty_like(rhs)
+        inverse = np.where(r0 != 0, 1.0 / np.where(r0 != 0, r0, 1.0), 0.0)
         for i in range(n):
-            pivot = w[i] + self.main[i]
-            rhs = w[i] * y[i]
+            t = rhs[i]
             if i >= 1:
-                pivot = pivot - d[i - 1] * l1[i - 1] ** 2
-                rhs = rhs - l1[i - 1] * u[i - 1]
+                t = t - r1[i - 1] * z[i - 1]
             if i >= 2:
-                pivot = pivot - d[i - 2] * l2[i - 2] ** 2
-                rhs = rhs - l2[i - 2] * u[i - 2]
-            d[i], u[i] = pivot, rhs
+                t = t - r2[i - 2] * z[i - 2]
+            z[i] = t * inverse[i]
+        for i in range(n - 1, -1, -1):
+            t = z[i]
             if i + 1 < n:
-                off = self.first[i]
-                if i >= 1:
-                    off = off - d[i - 1] * l1[i - 1] * l2[i - 1]
-                l1[i] = off / pivot
+                t = t - r1[i] * z[i + 1]
             if i + 2 < n:
-                l2[i] = self.second[i] / pivot
-        z = u / d
-        for i in range(n - 2, -1, -1):
-            z[i] -= l1[i] * z[i + 1]
-            if i + 2 < n:
-                z[i] -= l2[i] * z[i + 2]
+                t = t - r2[i] * z[i + 2]
+            z[i] = t * inverse[i]
         return z
 
 
@@ -260,17 +299,26 @@ def baseline_asls(x: np.ndarray, lam: float = 1e5, p: float = 0.01, n_iter: int
     return (y - z).T
 
 
+#: Distance from the baseline, as a share of the largest value, within which a point is on it.
+ON_IT = 1e-10
+
+
 def baseline_airpls(x: np.ndarray, lam: float = 1e5, max_iter: int = 15, tol: float = 1e-3) -> np.ndarray:
-    """Adaptive reweighting: points on or above the baseline weigh 0, points below it exp(t * d / |sum of d below|)."""
+    """Adaptive reweighting: points on or above the baseline weigh 0, points below it exp(t * d / |sum of d below|).
+
+    A point is below if it is so by more than ON_IT of the largest value: a baseline that few points hold goes through
+    them, and the sign of what rounding leaves there must not decide. Fewer than two points below leave the next baseline
+    undetermined, so the present one is kept.
+    """
     y = np.ascontiguousarray(x.T)
     smoother, out = Smoother(len(y), lam), np.empty_like(y)
     todo, w = np.arange(y.shape[1]), np.ones_like(y)
-    limit = tol * np.abs(y).sum(axis=0)
+    limit, on_it = tol * np.abs(y).sum(axis=0), ON_IT * np.abs(y).max(axis=0)
     for t in range(1, max_iter + 1):
         residual = y[:, todo] - smoother.solve(w, y[:, todo])
-        below = residual < 0
+        below = residual < -on_it[todo]
         negative = np.abs(np.where(below, residual, 0.0).sum(axis=0))
-        done = (negative < limit[todo]) | (negative == 0) | (t == max_iter)
+        done = (negative < limit[todo]) | (below.sum(axis=0) < 2) | (t == max_iter)
         out[:, todo[done]] = residual[:, done]
         todo, residual, below, negative = todo[~done], residual[:, ~done], below[:, ~done], negative[~done]
         if not todo.size:

@@ -152,3 +152,61 @@ def test_nonneg_weights_meet_the_optimality_conditions(rng):
     slope = (w @ parts - x) @ parts.T
     assert (w >= 0).all()
     assert (slope > -1e-6).all() and np.abs(slope * w).max() < 1e-6
+
+
+def precise_airpls(y, lam, max_iter=15, tol=1e-3):
+    """airPLS with 60 decimal digits (banded elimination), for one spectrum."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as context:
+        context.prec = 60
+        n, lam, y = len(y), Decimal(lam), [Decimal(float(v)) for v in y]
+        penalty = [[Decimal(0)] * 3 for _ in range(n)]  # diagonals of lam * D'D
+        for i in range(n - 2):
+            for a, u in enumerate((1, -2, 1)):
+                for b, v in enumerate((1, -2, 1)):
+                    if b >= a:
+                        penalty[i + a][b - a] += lam * u * v
+        w, size = [Decimal(1)] * n, sum(abs(v) for v in y)
+        for t in range(1, max_iter + 1):
+            m = [[penalty[i][0] + w[i], penalty[i][1], penalty[i][2]] for i in range(n)]
+            z = [w[i] * y[i] for i in range(n)]
+            for i in range(n):
+                for step in (1, 2):
+                    if i + step < n:
+                        f = m[i][step] / m[i][0]
+                        m[i + step][0] -= f * m[i][step]
+                        if step == 1 and i + 2 < n:
+                            m[i + 1][1] -= f * m[i][2]
+                        z[i + step] -= f * z[i]
+            for i in range(n - 1, -1, -1):
+                z[i] = (z[i] - sum(m[i][s] * z[i + s] for s in (1, 2) if i + s < n)) / m[i][0]
+            residual = [a - b for a, b in zip(y, z)]
+            on_it = Decimal("1e-10") * max(abs(v) for v in y)
+            negative = abs(sum(v for v in residual if v < -on_it))
+            if negative < Decimal(tol) * size or sum(v < -on_it for v in residual) < 2 or t == max_iter:
+                return [float(v) for v in residual]
+            w = [(Decimal(t) * v / negative).exp() if v < -on_it else Decimal(0) for v in residual]
+
+
+def test_baselines_on_hard_spectra():
+    """Spectra on which few weights stay positive: the plain normal equations lose them."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
+    x = np.array([r[1] for r in rows], float)
+    with np.errstate(all="raise", under="ignore"):
+        for lam in (1e5, 1e9):
+            got = k.baseline_airpls(x, lam)
+            assert np.isfinite(got).all()
+            for i in (282, 567, 783, 1619, *range(0, 2000, 250)):
+                assert np.abs(got[i] - precise_airpls(x[i], lam)).max() < 1e-6
+        for lam in (1e5, 1e9):
+            w = np.random.default_rng(0).random((64, 20)) ** 8
+            z = k.Smoother(64, lam).solve(w, np.ascontiguousarray(x[:20].T))
+            bend = np.diff(np.eye(64), 2, axis=0) * lam**0.5
+            for j in range(20):
+                rows_ = np.vstack([np.diag(np.sqrt(w[:, j])), bend])
+                want = np.linalg.lstsq(rows_, np.r_[np.sqrt(w[:, j]) * x[j], np.zeros(62)], rcond=None)[0]
+                assert np.abs(z[:, j] - want).max() < 1e-6
+            assert np.isfinite(k.baseline_asls(x, lam)).all() and np.isfinite(k.baseline_arpls(x, lam)).all()
