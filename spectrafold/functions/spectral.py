@@ -133,12 +133,12 @@ def once_per_distinct(df: DataFrame, step, column: str = "intensities", id_colum
     """Apply *step* (DataFrame -> DataFrame on *column*) to each distinct spectrum once and join the result back.
 
     Copies meet at a digest; one row per digest is computed, so a spectrum copied a billion times costs one
-    computation. The join back spreads hot digests (see ``skew_lookup``).
+    computation. The join back spreads hot digests (see ``with_values``).
     """
-    from spectrafold.operators.ordering import skew_lookup
+    from spectrafold.operators.ordering import with_values
 
     rows = df.withColumn("_digest", spectrum_digest(column))
     distinct = rows.groupBy("_digest").agg(F.first(column).alias(column), F.count(F.lit(1)).alias("_n"))
     done = step(distinct).withColumnRenamed(column, "_done")
-    out = skew_lookup(rows, done, ["_digest"], ["_done"], "_n", F.col(id_column))
+    out = with_values(rows, done, ["_digest"], ["_done"])
     return out.withColumn(column, F.col("_done")).drop("_done", "_digest")

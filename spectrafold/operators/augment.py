@@ -3,7 +3,6 @@ recomputed task gives the same copies."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,11 +12,35 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions.arrays import let
 from spectrafold.functions.batches import as_lists, from_matrix, matrix, widths
-from spectrafold.operators.ordering import HOT_ROWS, hash_order, hash_rank, skew_lookup
+from spectrafold.operators.ordering import HOT_ROWS, hash_order, hash_rank, with_values
 
 
-def generator(*parts) -> np.random.Generator:
-    return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, parts)).encode()).digest()[:8], "little"))
+#: Odd constants of the counter-based generator.
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
+def uniforms(keys: np.ndarray, n: int, stream: int) -> np.ndarray:
+    """(rows, n) numbers in (0, 1): counter-based, a function of each row's key, the column and *stream* alone."""
+    counters = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_MIX[0])
+    base = _scrambled(keys.astype(np.int64).view(np.uint64) + np.uint64(stream * 2 + 1) * np.uint64(_MIX[2]))
+    return ((_scrambled(base[:, None] + counters[None, :]) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def normals(keys: np.ndarray, n: int, stream: int) -> np.ndarray:
+    """(rows, n) standard normal numbers, by the Box-Muller transform."""
+    radius = np.sqrt(-2.0 * np.log(uniforms(keys, n, stream)))
+    return radius * np.cos(2.0 * np.pi * uniforms(keys, n, stream + 1))
+
+
+def row_key(seed, *cols: str | Column) -> Column:
+    """A 64-bit key of a row's draws."""
+    return F.xxhash64(F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])
 
 
 def global_std(df: DataFrame, column: str = "intensities") -> Column:
@@ -32,7 +55,8 @@ def global_std(df: DataFrame, column: str = "intensities") -> Column:
 
 def perturb(df: DataFrame, *, noise: float, shift: int, seed: int, id_column: str, column: str, scale: str = "_scale") -> DataFrame:
     """Shift every spectrum by a random number of channels (edges repeat) and add Gaussian noise."""
-    fields = [f for f in df.schema.fields if f.name not in (column, scale)]
+    df = df.withColumn("_key", row_key(seed, id_column, "copy"))
+    fields = [f for f in df.schema.fields if f.name not in (column, scale, "_key")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{column}` array<double>"])
 
     def run(batches):
@@ -41,19 +65,17 @@ def perturb(df: DataFrame, *, noise: float, shift: int, seed: int, id_column: st
                 continue
             lists = as_lists(batch.column(column))
             n = widths(lists)
-            ids, copies = batch.column(id_column).to_pylist(), batch.column("copy").to_pylist()
+            keys = batch.column("_key").to_numpy()
             sigma = batch.column(scale).to_numpy(zero_copy_only=False)
             parts, order = [], []
             for width in np.unique(n):
-                at = np.flatnonzero(n == width)
-                x = matrix(lists, at, int(width)).copy()
-                for i, r in enumerate(at):
-                    rng = generator(seed, ids[r], copies[r])
-                    if shift > 0:
-                        by = int(rng.integers(-shift, shift + 1))
-                        x[i] = x[i, np.clip(np.arange(width) - by, 0, width - 1)]
-                    if noise > 0:
-                        x[i] += rng.normal(0.0, noise * sigma[r], int(width))
+                at, w = np.flatnonzero(n == width), int(width)
+                x = matrix(lists, at, w)
+                if shift > 0:
+                    by = np.floor(uniforms(keys[at], 1, 0) * (2 * shift + 1)).astype(int) - shift
+                    x = np.take_along_axis(x, np.clip(np.arange(w)[None, :] - by, 0, w - 1), axis=1)
+                if noise > 0:
+                    x = x + noise * sigma[at][:, None] * normals(keys[at], w, 1)
                 parts.append(from_matrix(x))
                 order.append(at)
             back = np.argsort(np.concatenate(order), kind="stable")
@@ -64,13 +86,20 @@ def perturb(df: DataFrame, *, noise: float, shift: int, seed: int, id_column: st
 
 
 def beta_draw(alpha: float, seed: int, key: Column) -> Column:
-    """A Beta(alpha, alpha) draw per row from its hash."""
+    """A Beta(alpha, alpha) draw per row from its hash (Johnk's method: the first of many trials that is accepted; if none
+    is, as for large alpha, a normal approximation cut to 0..1)."""
 
     @F.arrow_udf("double")
     def draw(k: pa.Array) -> pa.Array:
-        return pa.array([generator(seed, "beta", v).beta(alpha, alpha) for v in k.to_pylist()], pa.float64())
+        keys = k.to_numpy(zero_copy_only=False)
+        u, v = (uniforms(keys, 32, stream) ** (1.0 / alpha) for stream in (0, 1))
+        accepted = (u + v <= 1.0) & (u + v > 0)
+        first = accepted.argmax(axis=1)[:, None]
+        x, y = np.take_along_axis(u, first, 1)[:, 0], np.take_along_axis(v, first, 1)[:, 0]
+        near = np.clip(0.5 + normals(keys, 1, 2)[:, 0] / np.sqrt(8.0 * alpha + 4.0), 0.0, 1.0)
+        return pa.array(np.where(accepted.any(axis=1), x / np.where(x + y > 0, x + y, 1.0), near), pa.float64())
 
-    return draw(key)
+    return draw(row_key(f"{seed}|beta", key))
 
 
 def _partners(df: DataFrame, seed, by: Sequence[str], id_column: str, column: str, tag: str, hot_rows: int) -> DataFrame:
@@ -78,7 +107,7 @@ def _partners(df: DataFrame, seed, by: Sequence[str], id_column: str, column: st
     by = list(by)
     ranked = hash_rank(df.select(*by, id_column, column, "y"), by, hash_order(seed, id_column), id_column, "_pos", hot_rows=hot_rows)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rows = skew_lookup(df, sizes.withColumn("_size", F.col("_n")), by, ["_size"], "_n", F.col(id_column), hot_rows=hot_rows)
+    rows = with_values(df, sizes.withColumn("_size", F.col("_n")), by, ["_size"])
     pick = F.pmod(F.xxhash64(F.lit(f"{seed}|{tag}"), F.col(id_column)), F.col("_size")) + 1
     other = ranked.select(*by, F.col("_pos").alias("_pick"), F.col(column).alias(f"{tag}_x"), F.col("y").alias(f"{tag}_y"))
     return rows.withColumn("_pick", pick).join(other, [*by, "_pick"]).drop("_pick", "_size")
@@ -108,20 +137,16 @@ def mixup(df: DataFrame, alpha: float, *, classify: bool, label: str = "label",
 
 def augment(df: DataFrame, n: int = 2, *, noise: float = 0.01, shift: int = 0, mixup_alpha: float = 0.0, classify: bool = True,
             label: str = "label", by: Sequence[str] = (), seed: int = 0, id_column: str = "spectrum_id", column: str = "intensities",
-            max_rows: int | None = 2_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+            hot_rows: int = HOT_ROWS) -> DataFrame:
     """The originals (copy 0), *n* perturbed copies of each, and one mixup row per original (copy -1).
 
-    Above *max_rows* training rows nothing is added. *by* are further keys whose rows may be blended.
+    *by* are further keys whose rows may be blended.
     """
-    base = df
-    if max_rows is not None:
-        few = df.agg(F.count(F.lit(1)) <= max_rows).scalar()
-        base = df.where(few)
-    copies = base.withColumn("_scale", global_std(df, column)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, n)))))
+    copies = df.withColumn("_scale", global_std(df, column)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, n)))))
     out = df.withColumn("copy", F.lit(0)).unionByName(
         perturb(copies, noise=noise, shift=shift, seed=seed, id_column=id_column, column=column))
     if mixup_alpha > 0:
-        mixed = mixup(base, mixup_alpha, classify=classify, label=label, by=by, seed=seed, id_column=id_column, column=column, hot_rows=hot_rows)
+        mixed = mixup(df, mixup_alpha, classify=classify, label=label, by=by, seed=seed, id_column=id_column, column=column, hot_rows=hot_rows)
         out = out.unionByName(mixed.withColumn("copy", F.lit(-1)))
     return out
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.operators.ordering import HOT_ROWS, skew_lookup
+from spectrafold.operators.ordering import HOT_ROWS, with_values
 from spectrafold.operators.ranking import as_cells, pair_scores
 from spectrafold.session import materialize
 
@@ -77,7 +77,7 @@ def fit_ratings(score: np.ndarray, n: np.ndarray, iterations: int = 100) -> np.n
 def learnable_draw(results: DataFrame) -> DataFrame:
     """Tasks without any learnable model count as draws: every error there becomes the same."""
     known = results.groupBy("dataset").agg(F.max(F.coalesce("learnable", F.lit(False))).alias("_any"), F.count(F.lit(1)).alias("_n"))
-    rows = skew_lookup(results, known, ["dataset"], ["_any"], "_n", F.concat_ws("|", "fold", "model"))
+    rows = with_values(results, known, ["dataset"], ["_any"])
     return rows.withColumn("metric_error", F.when(F.col("_any"), F.col("metric_error")).otherwise(0.0)).drop("_any")
 
 
@@ -90,7 +90,7 @@ def weighted_cells(rows: DataFrame, rounds: int, seed: int, hot_rows: int = HOT_
     cells = as_cells(rows, ["dataset", "fold"])
     cells = cells.withColumn("_pairs", F.size("models") * (F.size("models") - 1) / 2.0).where(F.col("_pairs") > 0)
     per_task = cells.groupBy("dataset").agg(F.sum("_pairs").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    cells = skew_lookup(cells, per_task, ["dataset"], ["_all"], "_n", F.col("fold"), hot_rows=hot_rows)
+    cells = with_values(cells, per_task, ["dataset"], ["_all"])
     n_models = rows.select("model").distinct().agg(F.count(F.lit(1))).scalar()
     width = F.greatest(F.lit(1), F.floor(F.lit(PAIR_CELLS) / (n_models * n_models)).cast("int"))
     cells = cells.withColumn("_w", poisson_weights(F.col("dataset"), rounds, seed)).withColumn("_width", width)

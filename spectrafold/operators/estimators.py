@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectrafold.operators.fitted import assemble, gram_rows, key_schema, replay
-from spectrafold.operators.ordering import HOT_ROWS, skew_lookup
+from spectrafold.operators.ordering import HOT_ROWS, hash_order, hash_rank, with_values
 from spectrafold.session import materialize
 
 KEYS = ("task", "repeat")
@@ -34,7 +35,7 @@ def one_hot(rows: DataFrame, label: str = "label", by: Sequence[str] = ("task",)
     by = list(by)
     classes = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_c")).groupBy(*by).agg(
         F.sort_array(F.collect_list(label)).alias("classes"), F.sum("_c").alias("_n"))
-    out = skew_lookup(rows, classes, by, ["classes"], "_n", F.col(id_column), hot_rows=hot_rows)
+    out = with_values(rows, classes, by, ["classes"])
     return out.withColumn("target", F.transform("classes", lambda c: (c == F.col(label)).cast("double")))
 
 
@@ -144,26 +145,30 @@ def pca_lda(k: int = 30) -> Solver:
 
 
 def fit_linear(rows: DataFrame, solver: Solver, keys: Sequence[str] = KEYS, fold: str = "fold", column: str = "intensities") -> DataFrame:
-    """One linear model per (keys, fold), trained on the other folds: coef (channels x outputs, flat), intercept."""
+    """One linear model per (keys, fold), trained on the other folds: coef (channels x outputs, flat), intercept.
+
+    Products are summed of the distances to one spectrum of the key, so a large common offset costs no digits.
+    """
     keys = list(keys)
+    outputs = rows.groupBy(*keys).agg(F.max(F.size("target")).alias("_c"), F.min(column).alias("_pilot"))
+    rows = with_values(rows, outputs, keys, ["_pilot"]).withColumn(column, F.zip_with(column, "_pilot", lambda a, b: a - b))
 
     def design(data, _):
         x = data[column]
         return np.column_stack([np.ones(len(x)), x, data["target"]])
 
     sums = gram_rows(rows, [*keys, fold], design, design, (), (column, "target"))
-    outputs = rows.groupBy(*keys).agg(F.max(F.size("target")).alias("_c"))
     schema = key_schema(rows, [*keys, fold]) + "coef array<double>, intercept array<double>"
     names = [*keys, fold, "coef", "intercept"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["_c"].iloc[0])
+        c, pilot = int(pdf["_c"].iloc[0]), np.asarray(pdf["_pilot"].iloc[0], float)
         parts = {f: assemble(g) for f, g in pdf.groupby(fold)}
         total = sum(parts.values())
         out = []
         for f, own in parts.items():
             coef, intercept = solver(Moments(total - own, c))
-            out.append([*pdf[keys].iloc[0], f, coef.ravel().tolist(), intercept.tolist()])
+            out.append([*pdf[keys].iloc[0], f, coef.ravel().tolist(), (intercept - pilot @ coef).tolist()])
         return pd.DataFrame(out, columns=names)
 
     # A group holds one (1 + channels + outputs)^2 matrix per fold.
@@ -205,7 +210,7 @@ def cross_val_dummy(rows: DataFrame, keys: Sequence[str] = KEYS, fold: str = "fo
     total = sums.groupBy(*keys).agg(F.sum("_n").alias("_all"), vector_to_array(Summarizer.sum(array_to_vector("_s"))).alias("_t"))
     share = F.zip_with("_t", "_s", lambda a, b: (a - b) / (F.col("_all") - F.col("_n")))
     state = sums.join(total, keys).withColumn("proba", share)
-    return skew_lookup(rows, state, [*keys, fold], ["proba"], "_n", F.col(id_column), hot_rows=hot_rows).drop("target", "intensities")
+    return with_values(rows, state, [*keys, fold], ["proba"]).drop("target", "intensities")
 
 
 # ---------------------------------------------------------------- any estimator
@@ -213,38 +218,58 @@ def cross_val_dummy(rows: DataFrame, keys: Sequence[str] = KEYS, fold: str = "fo
 
 def cross_validate(rows: DataFrame, fit: Callable, predict: Callable, *, k: int = 3, classify: bool = False,
                    keys: Sequence[str] = KEYS, fold: str = "fold", id_column: str = "spectrum_id",
-                   column: str = "intensities", max_rows: int = 200_000) -> DataFrame:
+                   column: str = "intensities", max_train: int = 200_000, test_rows: int = 20_000) -> DataFrame:
     """A user's estimator on every (keys, fold): ``model = fit(X, y)``, ``predict(model, X)`` -> values or an
     (n, classes) probability matrix.
 
-    One training set must fit a worker: a task with more than *max_rows* rows raises (cap its rows first).
-    A fold that fails is reported in ``error`` and the others go on; a classifier without probabilities fails.
+    A classifier is fitted on at most *max_train* labelled rows of a fold's training set, those with the least hashes; a
+    regressor on all, so its training set must fit a worker. Every test row is predicted, in parts of about *test_rows*
+    rows that each meet the fitted (pickled) model. A fold that fails is reported in ``error`` and the others go on; a
+    classifier without probabilities fails.
     """
     keys = list(keys)
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows).limit(5).collect()
-    if big:
-        raise ValueError(f"these tasks are too large for one worker (more than {max_rows} rows): {[r.asDict() for r in big]}")
+    by = [*keys, fold]
     used = rows.select(*keys, F.col(fold).cast("int").alias("_own"), id_column, column, "target")
-    train = used.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col(fold) != F.col("_own"))
-    test = used.select(*[F.col(c).alias(c) for c in used.columns], F.col("_own").alias(fold))  # new column identities
-    schema = key_schema(rows, keys) + f"{fold} int, {id_column} long, y_pred double, proba array<double>, error string"
-    names = [*keys, fold, id_column, "y_pred", "proba", "error"]
+    train = used.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col(fold) != F.col("_own")).drop("_own")
+    if classify:
+        train = hash_rank(train, by, hash_order("train", id_column), id_column, "_position", at_most=max_train).drop("_position")
+    names = [*by, "model", "error"]
 
-    def run(key, tr: pd.DataFrame, te: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         try:
-            x, y = np.stack(tr[column].to_list()), np.stack(tr["target"].to_list())
-            model = fit(x, y.argmax(axis=1) if classify else y[:, 0])
-            out = np.asarray(predict(model, np.stack(te[column].to_list())), dtype=float)
+            x, y = np.stack(part[column].to_list()), np.stack(part["target"].to_list())
+            return pd.DataFrame([[*key, cloudpickle.dumps(fit(x, y.argmax(axis=1) if classify else y[:, 0])), None]], columns=names)
+        except Exception as e:  # one failing fold must not end the others
+            return pd.DataFrame([[*key, None, repr(e)]], columns=names)
+
+    models = materialize(train.groupBy(*by).applyInPandas(learn, key_schema(rows, keys) + f"{fold} int, model binary, error string"))
+    test = used.select(*keys, F.col("_own").alias(fold), id_column, column)
+    parts = test.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / float(test_rows)).cast("int").alias("_parts"))
+    test = with_values(test, parts, by, ["_parts"]).withColumn("_part", F.pmod(F.xxhash64(id_column), F.col("_parts")).cast("int"))
+    places = parts.select(*[F.col(c).alias(c) for c in by], F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))  # new column identities
+    fitted = models.where(F.col("error").isNull()).join(places, by)
+    columns = [*by, id_column, "y_pred", "proba", "error"]
+
+    def score(key: tuple, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(model):
+            return pd.DataFrame([], columns=columns)
+        try:
+            out = np.asarray(predict(cloudpickle.loads(model["model"].iloc[0]), np.stack(part[column].to_list())), dtype=float)
             if classify and out.ndim != 2:
                 raise ValueError("the classifier gives no probabilities")
-            values = [None] * len(te) if classify else list(out.ravel())
-            proba = list(out) if classify else [None] * len(te)
-            return pd.DataFrame([[*key, i, v, p, None] for i, v, p in zip(te[id_column], values, proba)], columns=names)
-        except Exception as e:  # one failing fold must not end the others
-            return pd.DataFrame([[*key, None, None, None, repr(e)]], columns=names)
+            values = [None] * len(part) if classify else list(out.ravel())
+            proba = list(out) if classify else [None] * len(part)
+            return pd.DataFrame([[*key[:-1], i, v, p, None] for i, v, p in zip(part[id_column], values, proba)], columns=columns)
+        except Exception as e:
+            return pd.DataFrame([[*key[:-1], None, None, None, repr(e)]], columns=columns)
 
-    by = [*keys, fold]
-    return train.groupBy(*by).cogroup(test.groupBy(*by)).applyInPandas(run, schema)
+    schema = key_schema(rows, keys) + f"{fold} int, {id_column} long, y_pred double, proba array<double>, error string"
+    scored = test.groupBy(*by, "_part").cogroup(fitted.groupBy(*by, "_part")).applyInPandas(score, schema)
+    failed = models.where(F.col("error").isNotNull()).select(
+        *by, F.lit(None).cast("long").alias(id_column), F.lit(None).cast("double").alias("y_pred"),
+        F.lit(None).cast("array<double>").alias("proba"), "error")
+    broken = scored.where(F.col("error").isNotNull()).dropDuplicates([*by, "error"])
+    return scored.where(F.col("error").isNull()).unionByName(broken).unionByName(failed)
 
 
 # ---------------------------------------------------------------- weighted ensemble
@@ -270,7 +295,7 @@ def cawpe_ensemble(validation: DataFrame, test: DataFrame, components: Sequence[
     sizes = rows.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("_n"))
     complete = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == need).select(*keys)
     table = weights.join(sizes, [*keys, "model"]).join(complete, keys)
-    rows = skew_lookup(rows, table, [*keys, "model"], ["_w"], "_n", F.col(id_column), hot_rows=hot_rows).where(F.col("_w").isNotNull())
+    rows = with_values(rows, table, [*keys, "model"], ["_w"]).where(F.col("_w").isNotNull())
     mixed = rows.groupBy(*keys, id_column).agg(
         F.max("y_true").alias("y_true"), F.count(F.lit(1)).alias("_k"),
         vector_to_array(Summarizer.sum(array_to_vector(F.transform("_p", lambda p: p * F.col("_w"))))).alias("_s"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions import kernels
 from spectrafold.functions.batches import as_lists, from_matrix, matrix, widths
-from spectrafold.operators.ordering import skew_lookup
+from spectrafold.operators.ordering import with_values
 from spectrafold.session import BROADCAST_BYTES, materialize
 
 #: Rows of one key that a task holds at once where states are too large to broadcast.
@@ -124,7 +124,7 @@ def replay(rows: DataFrame, state: DataFrame, by: Sequence[str], kernel: StateKe
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_salts", F.ceil(F.col("_n") / ROWS_PER_TASK).cast("int"))
     spread = F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns if c != column and not rows.schema[c].dataType.typeName() in ("array", "map")])
-    salted = skew_lookup(rows, sizes, by, ["_salts"], "_n", spread).withColumn(
+    salted = with_values(rows, sizes, by, ["_salts"]).withColumn(
         "_salt", F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")).drop("_salts")
     copies = state.join(sizes, by).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_n")
 
@@ -258,7 +258,11 @@ class LVSE:
     def fit(self, rows: DataFrame, by: Sequence[str] = (), hold_out: str | None = None, column: str = "intensities") -> FittedStep:
         keys = [*by, hold_out] if hold_out else list(by)
         k = self.k
-        pieces = rows.select(*keys, F.posexplode(self.regions(column)).alias("region", column))
+        # products of the distances to one spectrum, so a large common offset costs no digits
+        pilot = rows.groupBy(*by).agg(F.min(column).alias("_pilot"))
+        shifted = with_values(rows, pilot, by, ["_pilot"]).withColumn(column, F.zip_with(column, "_pilot", lambda a, b: a - b))
+        pieces = shifted.select(*keys, F.posexplode(self.regions(column)).alias("region", column))
+        pilots = pilot.select(*by, F.posexplode(self.regions("_pilot")).alias("region", "_pilot"))
 
         def design(data, _):
             x = data[column]
@@ -277,7 +281,7 @@ class LVSE:
                 s = total - m if hold_out else m
                 n, mean = s[0, 0], s[0, 1:] / s[0, 0]
                 cov = s[1:, 1:] / n - np.outer(mean, mean)
-                var = np.diag(cov)
+                var, mean = np.diag(cov), mean + np.asarray(g["_pilot"].iloc[0], float)
                 scale = np.where(var > 1e-12 * mean**2, np.sqrt(np.maximum(var, 0.0)), 1.0)
                 _, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
                 axes = vectors[:, ::-1][:, : max(1, min(k, len(mean), int(n)))].T
@@ -285,7 +289,7 @@ class LVSE:
                 out.append([*g[[*keys, "region"]].iloc[0], mean.tolist(), scale.tolist(), axes.ravel().tolist()])
             return pd.DataFrame(out, columns=names)
 
-        solved = sums.groupBy(*by, "region").applyInPandas(solve, schema)
+        solved = sums.join(pilots, [*by, "region"]).groupBy(*by, "region").applyInPandas(solve, schema)
         joined = solved.groupBy(*[F.col(c) for c in keys]).agg(
             F.array_sort(F.collect_list(F.struct("region", "mean", "scale", "axes"))).alias("r"))
         state = materialize(joined.select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions.arrays import dot, let
 from spectrafold.functions.metrics import FLOAT32_EPS, METRICS, full_proba, predicted_class, total_proba
-from spectrafold.operators.ordering import HOT_ROWS, average_ranks, exact_median, has_hot_keys, running_totals, skew_lookup
+from spectrafold.operators.ordering import HOT_ROWS, average_ranks, exact_median, has_hot_keys, running_totals, with_values
 
 KEYS = ("task", "fold", "model")
 LABEL_METRICS = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro",
@@ -40,16 +40,16 @@ def confusion(predictions: DataFrame, keys: Sequence[str] = KEYS, normalize: str
     return out.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*keys, *over)))
 
 
-def class_table(counts: DataFrame, keys: Sequence[str] = KEYS, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Per class of the true and predicted labels: tp, support (true rows) and predicted rows."""
-    sides = F.explode(F.array(
-        F.struct(F.col(y_true).alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
-                 F.when(F.col(y_true) == F.col(y_pred), F.col("n")).otherwise(0).alias("tp")),
-        F.struct(F.col(y_pred).alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
-                 F.lit(0).cast("long").alias("tp")),
-    )).alias("s")
-    return counts.select(*keys, sides).groupBy(*keys, F.col("s.label").alias("label")).agg(
-        F.sum("s.tp").alias("tp"), F.sum("s.support").alias("support"), F.sum("s.predicted").alias("predicted"))
+def class_table(counts: DataFrame, keys: Sequence[str] = KEYS, y_true: str = "y_true", y_pred: str = "y_pred",
+                sums: Sequence[str] = ()) -> DataFrame:
+    """Per class of the true and predicted labels: tp, support (true rows), predicted rows, and *sums* over the true rows."""
+    zero = F.lit(0).cast("long")
+    true = F.struct(F.col(y_true).alias("label"), F.col("n").alias("support"), zero.alias("predicted"),
+                    F.when(F.col(y_true) == F.col(y_pred), F.col("n")).otherwise(zero).alias("tp"), *[F.col(x) for x in sums])
+    predicted = F.struct(F.col(y_pred).alias("label"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp"),
+                         *[F.lit(0.0).alias(x) for x in sums])
+    return counts.select(*keys, F.explode(F.array(true, predicted)).alias("s")).groupBy(*keys, F.col("s.label").alias("label")).agg(
+        *[F.sum(f"s.{x}").alias(x) for x in ("tp", "support", "predicted", *sums)])
 
 
 def classification_report(predictions: DataFrame, keys: Sequence[str] = KEYS, **names) -> DataFrame:
@@ -60,8 +60,8 @@ def classification_report(predictions: DataFrame, keys: Sequence[str] = KEYS, **
         ratio(2 * c("tp"), c("support") + c("predicted")).alias("f1"), "support")
 
 
-def label_metrics(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """All label metrics from a confusion table."""
+def label_metrics(counts: DataFrame, keys: Sequence[str] = KEYS, sums: Sequence[str] = ()) -> DataFrame:
+    """All label metrics from a confusion table, and its columns *sums* added up."""
     c = F.col
     precision, recall = ratio(c("tp"), c("predicted")), ratio(c("tp"), c("support"))
     f1 = ratio(2 * c("tp"), c("support") + c("predicted"))
@@ -70,7 +70,8 @@ def label_metrics(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     correct, cross = F.sum("tp"), F.sum(big("support") * big("predicted"))
     pp, tt = F.sum(big("predicted") * big("predicted")), F.sum(big("support") * big("support"))
     weighted = lambda m: F.sum(m * c("support")) / s
-    agg = class_table(counts, keys).groupBy(*keys).agg(
+    agg = class_table(counts, keys, sums=sums).groupBy(*keys).agg(
+        *[F.sum(x).alias(x) for x in sums],
         s.alias("n_test"), correct.alias("_correct"), cross.alias("_cross"), pp.alias("_pp"), tt.alias("_tt"),
         F.avg(F.when(c("support") > 0, recall)).alias("balanced_accuracy"),
         F.avg(precision).alias("precision_macro"), F.avg(recall).alias("recall_macro"), F.avg(f1).alias("f1_macro"),
@@ -83,7 +84,7 @@ def label_metrics(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *keys, "n_test", (c("_correct") / n).alias("accuracy"), "balanced_accuracy", "precision_macro", "recall_macro",
         "f1_macro", "precision_weighted", "recall_weighted", "f1_weighted",
         ratio(c("_correct") * n - c("_cross"), spread).alias("mcc"),
-        F.when(chance == 1, F.lit(None)).otherwise((c("_correct") / n - chance) / (1 - chance)).alias("cohen_kappa"))
+        F.when(chance == 1, F.lit(None)).otherwise((c("_correct") / n - chance) / (1 - chance)).alias("cohen_kappa"), *sums)
 
 
 # ---------------------------------------------------------------- probabilities
@@ -139,27 +140,31 @@ def classification_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *
         probability_losses(F.col("y_true"), F.col("proba")).alias("_l"))
     counts = rows.groupBy(*keys, "y_true", "y_pred").agg(
         F.count(F.lit(1)).alias("n"), F.sum("_l.ll").alias("_ll"), F.sum("_l.b").alias("_b"), F.sum("_l.rl").alias("_rl"))
-    losses = counts.groupBy(*keys).agg(
-        (F.sum("_ll") / F.sum("n")).alias("log_loss"), (F.sum("_b") / F.sum("n")).alias("brier"),
-        (F.sum("_rl") / F.sum("n")).alias("log_loss_renormalized"))
-    return (label_metrics(counts.select(*keys, "y_true", "y_pred", "n"), keys)
-            .join(losses, keys).join(roc_auc(predictions, keys, average, hot_rows=hot_rows, split=split), keys))
+    found = label_metrics(counts, keys, ("_ll", "_b", "_rl"))
+    found = found.withColumns({name: F.col(x) / F.col("n_test") for name, x in (
+        ("log_loss", "_ll"), ("brier", "_b"), ("log_loss_renormalized", "_rl"))}).drop("_ll", "_b", "_rl")
+    return found.join(roc_auc(predictions, keys, average, hot_rows=hot_rows, split=split), keys)
 
 
 # ---------------------------------------------------------------- regression
 
 
+def distinct_pairs(predictions: DataFrame, keys: Sequence[str] = KEYS, a: str = "y_true", b: str = "y_pred") -> DataFrame:
+    """Rows per distinct pair of values, as ``_w``."""
+    return predictions.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w"))
+
+
 def rank_correlation(predictions: DataFrame, keys: Sequence[str] = KEYS, a: str = "y_true", b: str = "y_pred",
-                     name: str = "spearman_r", *, hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
+                     name: str = "spearman_r", *, pairs: DataFrame | None = None, hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """Spearman: correlation of average ranks; NULL when a side is constant.
 
-    Rows are counted per distinct pair; ranks are computed on distinct values and looked up. Without hot groups
+    Rows are counted per distinct pair (or given so, as *pairs*); ranks are computed on distinct values and looked up. Without hot groups
     both ranks are windows over the distinct pairs.
     """
     keys = list(keys)
     if split is None:
         split = has_hot_keys(predictions, keys, hot_rows)
-    pairs = base = predictions.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w"))
+    pairs = base = distinct_pairs(predictions, keys, a, b) if pairs is None else pairs
     group = W.partitionBy(*keys)
     for side in (a, b):
         if not split:
@@ -170,7 +175,7 @@ def rank_correlation(predictions: DataFrame, keys: Sequence[str] = KEYS, a: str
         ranks = average_ranks(values, keys, side, "_k", f"_r_{side}", hot_rows=hot_rows, split=True).select(
             *keys, side, "_k", F.struct(F.col(f"_r_{side}").alias("r"), F.col("_k_total").alias("n")).alias(f"_r_{side}"))
         other = b if side == a else a
-        pairs = skew_lookup(pairs, ranks, [*keys, side], [f"_r_{side}"], "_k", F.col(other), hot_rows=hot_rows)
+        pairs = with_values(pairs, ranks, [*keys, side], [f"_r_{side}"])
     middle = (F.col(f"_r_{a}.n") + 1) / 2.0
     da, db, w = F.col(f"_r_{a}.r") - middle, F.col(f"_r_{b}.r") - middle, F.col("_w")
     out = pairs.groupBy(*keys).agg(F.sum(w * da * db).alias("_ab"), F.sum(w * da * da).alias("_aa"), F.sum(w * db * db).alias("_bb"))
@@ -202,9 +207,10 @@ def regression_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, ra
         F.when(~flat & ~pflat, c("_cov") / F.sqrt(c("_vy") * c("_vp"))).alias("pearson_r"),
         F.when(c("mse") > 0, c("_sd") / F.sqrt("mse")).alias("rpd"),
         F.coalesce("_mape", F.lit(0.0)).alias("mape"))
-    errors = predictions.select(*keys, F.abs(e).alias("_e"))
-    out = out.join(exact_median(errors, keys, "_e", "median_ae", hot_rows=hot_rows, split=split), keys)
-    return out.join(rank_correlation(predictions, keys, hot_rows=hot_rows, split=split), keys) if ranks else out
+    pairs = distinct_pairs(predictions, keys)  # one shuffle for the median and both ranks
+    errors = pairs.select(*keys, F.abs(e).alias("_e"), "_w")
+    out = out.join(exact_median(errors, keys, "_e", "median_ae", weight="_w", hot_rows=hot_rows, split=split), keys)
+    return out.join(rank_correlation(predictions, keys, pairs=pairs, hot_rows=hot_rows, split=split), keys) if ranks else out
 
 
 # ---------------------------------------------------------------- both

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions.batches import as_lists, matrix, widths
 from spectrafold.operators.fitted import key_schema
-from spectrafold.operators.ordering import hash_order, hash_rank, skew_lookup
+from spectrafold.operators.ordering import hash_order, hash_rank, with_values
 from spectrafold.session import BROADCAST_BYTES, materialize
 
 BLOCK_ROWS = 4_096
@@ -76,7 +76,7 @@ def nearest(rows: DataFrame, k: int = 5, *, keys: Sequence[str] = ("task", "repe
         placed = data.withColumn("_cell", F.lit(0)).withColumn("_far", F.lit(float("inf")))
     counts = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     blocks = counts.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
-    placed = skew_lookup(placed, blocks, [*keys, "_cell"], ["_blocks"], "_n", F.col("_id")).withColumn(
+    placed = with_values(placed, blocks, [*keys, "_cell"], ["_blocks"]).withColumn(
         "_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")).drop("_blocks")
     placed = materialize(placed)
 

@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectrafold.session import materialize, measured_broadcast
+
 #: Rows of one key above which the key is split over several tasks.
 HOT_ROWS = 1_000_000
 #: Rows of one key above which Spark's own ``median`` is not used: a task holds the distinct values of up to 128 keys.
 MEDIAN_ROWS = 100_000
-#: Hex digits of the hash prefix that names a bucket (4,096 buckets).
+#: Hex digits of the hash prefix that names a bucket, at least; groups with more rows have more.
 PREFIX = 3
-#: Most buckets a hot group of values is cut into.
-MAX_BUCKETS = 512
 #: Sampled values per split point.
 OVERSAMPLE = 64
 
@@ -35,7 +35,7 @@ def hash_order(seed, *cols: str | Column) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than *hot_rows* rows. At most ``count(df) / hot_rows`` rows, hence safe to broadcast."""
+    """Keys with more than *hot_rows* rows and their number ``_n``: at most ``count(df) / hot_rows`` rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
 
 
@@ -56,18 +56,17 @@ def hash_rank(
     whether there are hot groups (None: look).
     """
     keys = list(keys)
-    if split is None:
-        split = has_hot_keys(df, keys, hot_rows)
-    if not split:
+    hot = None if split is False else materialize(hot_keys(df, keys, hot_rows))
+    if hot is None or (split is None and hot.isEmpty()):
         ranked = df.withColumn("_h", order).withColumn(
             name, F.row_number().over(W.partitionBy(*keys).orderBy("_h", tie)).cast("long")).drop("_h")
         return ranked if at_most is None else ranked.where(F.col(name) <= at_most)
-    hot = hot_keys(df, keys, hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    digits = F.greatest(F.lit(PREFIX), F.ceil(F.log(16.0, F.col("_n") / float(hot_rows))).cast("int") + 1)
     rows = (
         df.withColumn("_h", order)
-        .join(F.broadcast(hot), keys, "left")
-        .withColumn("_b", F.when(F.col("_hot"), F.substring("_h", 1, PREFIX)).otherwise(F.lit("")))
-        .drop("_hot")
+        .join(measured_broadcast(hot.select(*keys, digits.alias("_digits"))), keys, "left")
+        .withColumn("_b", F.when(F.col("_digits").isNotNull(), F.substr("_h", F.lit(1), F.col("_digits"))).otherwise(F.lit("")))
+        .drop("_digits")
     )
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -88,19 +87,16 @@ def running_totals(
 ) -> DataFrame:
     """For rows unique in (keys, value): ``<c>_before`` (sum over smaller values) and ``<c>_total`` per group."""
     keys, cols = list(keys), list(cols)
-    if split is None:
-        split = has_hot_keys(v, keys, hot_rows)
-    if not split:
+    hot = None if split is False else materialize(hot_keys(v, keys, hot_rows))
+    if hot is None or (split is None and hot.isEmpty()):
         before = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
         group = W.partitionBy(*keys)
         return v.select(
             "*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in cols],
             *[F.sum(c).over(group).alias(f"{c}_total") for c in cols])
-    hot = hot_keys(v, keys, hot_rows).withColumn(
-        "_m", F.least(F.ceil(F.col("_n") / hot_rows).cast("int") + 1, F.lit(MAX_BUCKETS))
-    )
+    hot = measured_broadcast(hot.withColumn("_m", F.ceil(F.col("_n") / hot_rows).cast("int") + 1))
     unit = F.pmod(F.xxhash64(value), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sampled = v.select(*keys, value).join(F.broadcast(hot), keys).where(unit < OVERSAMPLE * F.col("_m") / F.col("_n"))
+    sampled = v.select(*keys, value).join(hot, keys).where(unit < OVERSAMPLE * F.col("_m") / F.col("_n"))
     splits = (
         sampled.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s"), F.max("_m").alias("_m"))
         .select(*keys, F.transform(
@@ -108,8 +104,8 @@ def running_totals(
             lambda i: F.element_at("_s", F.greatest(F.lit(1), F.floor(i * F.size("_s") / F.col("_m")).cast("int"))),
         ).alias("_s"))
     )
-    # Every hot group has one split point per hot_rows rows: the table stays below 16 B per hot_rows rows.
-    b = v.join(F.broadcast(splits), keys, "left").withColumn(
+    # Every hot group has one split point per hot_rows rows.
+    b = v.join(measured_broadcast(materialize(splits)), keys, "left").withColumn(
         "_b", F.when(F.col("_s").isNull(), F.lit(-1)).otherwise(
             F.size(F.filter("_s", lambda s: s <= F.col(value))))
     ).drop("_s")
@@ -137,18 +133,19 @@ def average_ranks(v: DataFrame, keys: Sequence[str], value: str, n: str, name: s
     return run.withColumn(name, F.col(f"{n}_before") + (F.col(n) + 1) / 2.0)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", *, hot_rows: int = HOT_ROWS,
-                 split: bool | None = None) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", *, weight: str | None = None,
+                 hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """The exact median of the non-null *value* per group (mean of the two middle values for even counts).
 
-    Spark's ``median`` keeps the distinct values of its groups in memory: good for small groups only. Others take
-    the value that covers the middle position, from running counts.
+    *weight* counts the copies a row stands for. Spark's ``median`` keeps the distinct values of its groups in memory: good
+    for small groups of single rows only. Others take the value that covers the middle position, from running counts.
     """
     keys = list(keys)
-    if not split and not has_hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS)):
+    if weight is None and not split and not has_hot_keys(df, keys, min(hot_rows, MEDIAN_ROWS)):
         return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(name))
-    v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    run = running_totals(v, keys, value, ["_k"], hot_rows=hot_rows, split=True)
+    copies = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(copies.alias("_k"))
+    run = running_totals(v, keys, value, ["_k"], hot_rows=hot_rows, split=True if weight is None else split)
     total, before, upto = F.col("_k_total"), F.col("_k_before"), F.col("_k_before") + F.col("_k")
     low, high = F.floor((total + 1) / 2), F.floor(total / 2) + 1
     covers = lambda pos: (before < pos) & (upto >= pos)
@@ -168,27 +165,9 @@ def order_statistic(df: DataFrame, keys: Sequence[str], value: str, position, na
     return run.where(hit).select(*keys, F.col(value).alias(name))
 
 
-def skew_lookup(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str], n: str, spread: Column,
-    *, hot_rows: int = HOT_ROWS, split: bool | None = None,
-) -> DataFrame:
-    """Join *rows* to a one-row-per-key *table* without sending a hot key to one task.
-
-    *n* counts the rows of a key. Keys above *hot_rows* (at most total / hot_rows of them) are joined by
-    broadcast, and their rows are spread over all partitions by *spread* in the shuffle join of the others.
-    With ``split=False`` (known: no hot key) this is the plain left join.
-    """
-    keys, values = list(keys), list(values)
-    if split is False:
-        return rows.join(table.select(*keys, *values), keys, "left")
-    hot = table.where(F.col(n) > hot_rows).select(
-        *keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
-    cold = table.where(F.col(n) <= hot_rows).select(*keys, F.lit(0).alias("_spread"), *values)
-    out = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_spread", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int") + 1).otherwise(0))
-        .join(cold, [*keys, "_spread"], "left")
-    )
-    for c in values:
-        out = out.withColumn(c, F.coalesce(F.col(f"_hot_{c}"), F.col(c)))
-    return out.drop("_hot", "_spread", *[f"_hot_{c}" for c in values])
+def with_values(rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """*rows* with the *values* of a one-row-per-key *table*. A left join: adaptive execution broadcasts a table that turns
+    out small, and splits the partitions of hot keys otherwise. Without *keys* the table has one row, which all get."""
+    if not keys:
+        return rows.join(F.broadcast(table.select(*values)), F.lit(True), "left")
+    return rows.join(table.select(*keys, *values), list(keys), "left")

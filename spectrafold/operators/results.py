@@ -7,36 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.functions.metrics import METRICS, metric_names, to_error
-from spectrafold.operators.ordering import HOT_ROWS, skew_lookup
-from spectrafold.session import materialize
+from spectrafold.functions.metrics import metric_names, to_error
+from spectrafold.operators.ordering import HOT_ROWS, with_values
+from spectrafold.session import materialize, one_of
 
 VARIANTS = ("default", "tuned", "tuned_ensemble")
 TIDY_COLUMNS = ("dataset", "fold", "model", "metric_error", "metric", "task", "time_train_s", "time_infer_s")
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
-    """One row per key, the last in *order* (remaining columns break ties). An aggregate with partial
-    combination, so many copies of one key are reduced before the shuffle."""
+    """One row per key, the last in *order*. Rows of a key that stand alike in *order* and differ raise: which one counts
+    can't be known. An aggregate with partial combination, so many copies of one key are reduced before the shuffle."""
+    keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if df.schema[c].dataType.typeName() != "map"]))
-    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    place = F.struct(*order) if order else F.lit(0)
+    row, told = F.struct(*rest), F.struct(*[c for c in rest if df.schema[c].dataType.typeName() != "map"])
+    kept = df.groupBy(*keys, place.alias("_place")).agg(F.min_by(row, told).alias("_row"), F.min(told).alias("_a"), F.max(told).alias("_b"))
+    last = kept.groupBy(*keys).agg(F.max_by(F.struct("_row", "_a", "_b"), "_place").alias("_last"))
+    where = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    clash = F.raise_error(F.concat(F.lit("several rows stand last and differ: "), where)).cast(last.schema["_last"].dataType["_row"].dataType)
+    row = F.when(F.col("_last._a").eqNullSafe(F.col("_last._b")), F.col("_last._row")).otherwise(clash)
+    return last.select(*keys, row.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
 def load_results(
     hpo: DataFrame, *, variant: str = "default", models: Sequence[str] | None = None, targets: DataFrame | None = None,
     exclude_models: Sequence[str] = ("DUMMY",), references: dict[str, str] | None = None, own_prefix: str | None = None,
-    n_splits: int = 3,
+    n_splits: int = 3, order: str | None = None,
 ) -> DataFrame:
     """Aggregated tuning results -> one tidy row per (dataset, fold, model).
 
     *references* maps the ``method`` of reference systems (rows without a config type) to their model key.
     Of duplicate rows the variant beats the default, then rows whose ``ta_name`` starts with *own_prefix*
-    win, then the last. *models* is the scope; *targets* (dataset, target_idx, num_instances, n_repeats,
+    win, then the last by the column *order*; rows that still stand alike raise. The winner's missing error stays missing:
+    its cell is left out here and filled by :func:`impute_missing`. *models* is the scope; *targets* (dataset, target_idx, num_instances, n_repeats,
     excluded) drops excluded tasks and folds beyond n_repeats x n_splits, and attaches sizes.
     """
-    if variant not in VARIANTS:
-        raise ValueError(f"variant must be one of {VARIANTS}, got {variant!r}")
+    one_of("variant", variant, VARIANTS)
     references = references or {}
     c = F.col
     df = hpo
@@ -45,8 +52,7 @@ def load_results(
         is_ref = c("config_type").isNull() & c("method").isin(*references)
         df = df.withColumn("method_subtype", F.when(is_ref, "default").otherwise(c("method_subtype"))).withColumn(
             "config_type", F.when(is_ref, F.element_at(key, c("method"))).otherwise(c("config_type")))
-    df = df.where(c("config_type").isNotNull() & c("method_subtype").isin("default", variant)
-                  & c("metric_error").isNotNull() & ~F.isnan(c("metric_error").cast("double")))
+    df = df.where(c("config_type").isNotNull() & c("method_subtype").isin("default", variant))
     if exclude_models:
         df = df.where(~c("config_type").isin(*exclude_models))
     if models is not None:
@@ -54,7 +60,8 @@ def load_results(
     own = c("ta_name").startswith(own_prefix) if own_prefix else F.lit(False)
     df = last_per_key(
         df.withColumn("_pref", (c("method_subtype") == variant).cast("int")).withColumn("_own", F.coalesce(own, F.lit(False)).cast("int")),
-        ["dataset", "fold", "config_type"], "_pref", "_own")
+        ["dataset", "fold", "config_type"], "_pref", "_own", *([order] if order else []))
+    df = df.where(c("metric_error").isNotNull() & ~F.isnan(c("metric_error").cast("double")))
     out = df.select(
         "dataset", c("fold").cast("int").alias("fold"), c("config_type").alias("model"),
         F.greatest(c("metric_error").cast("double"), F.lit(0.0)).alias("metric_error"), "metric",
@@ -96,10 +103,8 @@ def select_metric(results: DataFrame, *, classification: str | None = None, regr
     for task, name in (("classification", classification), ("regression", regression)):
         if name is None:
             continue
-        if name not in METRICS or METRICS[name].task != task:
-            raise ValueError(f"{task} metric must be one of {metric_names(task)}, got {name!r}")
-        if name not in results.columns:
-            raise ValueError(f"no {name!r} column in these results")
+        one_of(f"{task} metric", name, metric_names(task))
+        one_of("column of the results", name, results.columns)
         here = F.col("task") == task
         error = F.when(here, to_error(F.col(name), name)).otherwise(error)
         metric = F.when(here, F.lit(name)).otherwise(metric)
@@ -123,8 +128,7 @@ def coverage(own: DataFrame, protocol: DataFrame) -> DataFrame:
 def merge_reference(own: DataFrame, reference: DataFrame, *, replace: bool = False, tasks: str = "all") -> DataFrame:
     """Own and reference rows together. A shared model name is an error, or replaces the reference's rows;
     ``tasks="own"`` keeps only the tasks the own models ran."""
-    if tasks not in ("all", "own"):
-        raise ValueError(f"tasks must be 'all' or 'own', got {tasks!r}")
+    one_of("tasks", tasks, ("all", "own"))
     names = own.select("model").distinct()
     if not replace:
         clash = [r[0] for r in names.intersect(reference.select("model").distinct()).orderBy("model").limit(20).collect()]
@@ -287,5 +291,5 @@ def lookup_sizes(results: DataFrame, sizes: DataFrame, hot_rows: int = HOT_ROWS)
     """Attach ``num_instances`` per dataset; a dataset with very many result rows is not sent to one task."""
     n = results.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n")).join(sizes, "dataset")
     spread = F.concat_ws("|", "fold", "model")
-    return skew_lookup(results, n, ["dataset"], ["num_instances"], "_n", spread, hot_rows=hot_rows)
+    return with_values(results, n, ["dataset"], ["num_instances"])
 

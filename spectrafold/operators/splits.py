@@ -9,10 +9,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.operators.ordering import HOT_ROWS, hash_order, hash_rank, skew_lookup
+from spectrafold.operators.ordering import HOT_ROWS, hash_order, hash_rank, with_values
 from spectrafold.session import materialize
 
 
@@ -41,8 +40,8 @@ def infer_groups(
     measured = F.size("_key") > 0
     keys = rows.where(measured).groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("_n"), F.min(id_column).alias("_first"))
     matched = keys.groupBy(*by).agg(F.max("_n").alias("_most"), F.sum("_n").alias("_n")).where(F.col("_most") > 1)
-    rows = skew_lookup(rows, keys, [*by, "_key"], ["_first"], "_n", F.col(id_column), hot_rows=hot_rows)
-    rows = skew_lookup(rows, matched.withColumn("_any", F.lit(True)), by, ["_any"], "_n", F.col(id_column), hot_rows=hot_rows)
+    rows = with_values(rows, keys, [*by, "_key"], ["_first"])
+    rows = with_values(rows, matched.withColumn("_any", F.lit(True)), by, ["_any"])
     group = F.coalesce(F.col("_first"), F.col(id_column)).cast("string")
     return rows.withColumn("group_id", F.when(F.col("_any"), group)).drop("_key", "_first", "_any")
 
@@ -87,7 +86,7 @@ def stratified_kfold(
 def _spread_to_rows(df, assigned, by, repeats, group, id_column, hot_rows):
     """Give every row of every repeat its group's fold."""
     rows = with_repeats(df, repeats).select(*by, "repeat", id_column, group)
-    out = skew_lookup(rows, assigned, [*by, "repeat", group], ["fold"], "_n", F.col(id_column), hot_rows=hot_rows)
+    out = with_values(rows, assigned, [*by, "repeat", group], ["fold"])
     return out.select(*by, "repeat", id_column, F.col("fold").cast("tinyint").alias("fold"))
 
 
@@ -184,7 +183,7 @@ def stratified_group_kfold(
     plans = profiles.groupBy(*by, "repeat").applyInPandas(assign, schema)
     placed = hash_rank(with_repeats(groups, repeats), [*by, "repeat", "_profile"], hash_order(F.col("repeat"), group),
                        group, "_pos", hot_rows=hot_rows)
-    placed = skew_lookup(placed, plans, [*by, "repeat", "_profile"], ["_first", "_cycle"], "_copies", F.col(group), hot_rows=hot_rows)
+    placed = with_values(placed, plans, [*by, "repeat", "_profile"], ["_first", "_cycle"])
     n_first = F.size("_first")
     fold = F.when(F.col("_pos") <= n_first, F.get("_first", (F.col("_pos") - 1).cast("int"))).otherwise(
         F.get("_cycle", F.pmod(F.col("_pos") - 1 - n_first, F.lit(k)).cast("int")))
@@ -208,7 +207,7 @@ def semi_supervised_folds(
     free = df.where(F.col(label).isNull()).select(*keep)
     repeats = folds.groupBy(*by).agg((F.max("repeat") + 1).alias("_repeats")).join(
         free.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
-    free = skew_lookup(free, repeats, by, ["_repeats"], "_n", F.col(id_column), hot_rows=hot_rows)
+    free = with_values(free, repeats, by, ["_repeats"])
     free = with_repeats(free.where(F.col("_repeats").isNotNull()), "_repeats")
     free = free.select("*", every).withColumn("fold", F.col("fold").cast("tinyint"))
     if group:
@@ -216,7 +215,7 @@ def semi_supervised_folds(
         tested = folds.join(df.select(*keep), [*by, id_column]).where(F.col(group).isNotNull()).select(
             *by, "repeat", "fold", group).distinct().withColumn("_tested", F.lit(True))
         tested = sizes.join(tested, [*by, "repeat", "fold", group])
-        free = skew_lookup(free, tested, [*by, "repeat", "fold", group], ["_tested"], "_n", F.col(id_column), hot_rows=hot_rows)
+        free = with_values(free, tested, [*by, "repeat", "fold", group], ["_tested"])
         free = free.where(F.col("_tested").isNull())
     return labeled.unionByName(free.select(*by, "repeat", "fold", id_column, F.lit("train").alias("part")))
 
@@ -233,7 +232,7 @@ def train_test_split(
 def _head_is_test(df, keys, test, order, tie, hot_rows, spread):
     ranked = hash_rank(df, keys, order, tie, "_rank", hot_rows=hot_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = skew_lookup(ranked, sizes.withColumn("_size", F.col("_n")), keys, ["_size"], "_n", F.col(spread), hot_rows=hot_rows)
+    ranked = with_values(ranked, sizes.withColumn("_size", F.col("_n")), keys, ["_size"])
     is_test = F.col("_rank") <= F.ceil(F.lit(test) * F.col("_size"))
     return ranked.withColumn("part", F.when(is_test, "test").otherwise("train")).drop("_rank", "_size")
 
@@ -249,7 +248,7 @@ def group_shuffle_split(
     by = list(by)
     groups = df.groupBy(*by, group).agg(F.count(F.lit(1)).alias("_rows"))
     split = _head_is_test(groups, by, test, hash_order(seed, group), group, hot_rows, group)
-    return skew_lookup(df, split, [*by, group], ["part"], "_rows", F.col(id_column), hot_rows=hot_rows)
+    return with_values(df, split, [*by, group], ["part"])
 
 
 def task_folds(
@@ -307,7 +306,7 @@ def bag_folds(train: DataFrame, k: int = 8, *, group: str | None = None, by: Seq
         groups = train.groupBy(*by, group).agg(F.count(F.lit(1)).alias("_n"))
         ranked = hash_rank(groups, by, hash_order("bag", group), group, "_rank", hot_rows=hot_rows)
         assigned = ranked.withColumn("bag", F.pmod(F.col("_rank") - 1, F.lit(k)))
-        rows = skew_lookup(train.select(*by, id_column, group), assigned, [*by, group], ["bag"], "_n", F.col(id_column), hot_rows=hot_rows)
+        rows = with_values(train.select(*by, id_column, group), assigned, [*by, group], ["bag"])
         return rows.select(*by, id_column, F.col("bag").cast("int").alias("bag"))
     ranked = hash_rank(train.select(*by, id_column), by, hash_order("bag", id_column), id_column, "_rank", hot_rows=hot_rows)
     return ranked.select(*by, id_column, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int").alias("bag"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.operators.ordering import HOT_ROWS, hash_order, hash_rank, skew_lookup
+from spectrafold.operators.ordering import HOT_ROWS, hash_order, hash_rank, with_values
 from spectrafold.operators.splits import infer_groups
+from spectrafold.session import one_of
 
 
 def select_target(spectra: DataFrame, name: str, as_: str = "y") -> DataFrame:
@@ -54,8 +55,8 @@ def filter_rare_classes(
     per_task = W.partitionBy(*by)
     kept = kept.withColumn("_classes", F.count(F.lit(1)).over(per_task)).where(F.col("_classes") >= 2)
     task_rows = kept.groupBy(*by).agg(F.sum("_n").alias("_n"))
-    rows = skew_lookup(df, kept.withColumn("_kept", F.lit(True)), [*by, label], ["_kept"], "_n", F.col(id_column), hot_rows=hot_rows)
-    has_task = skew_lookup(rows, task_rows.withColumn("_task", F.lit(True)), by, ["_task"], "_n", F.col(id_column), hot_rows=hot_rows)
+    rows = with_values(df, kept.withColumn("_kept", F.lit(True)), [*by, label], ["_kept"])
+    has_task = with_values(rows, task_rows.withColumn("_task", F.lit(True)), by, ["_task"])
     return has_task.where(F.col("_kept") | (F.col(label).isNull() & F.col("_task"))).drop("_kept", "_task")
 
 
@@ -84,8 +85,8 @@ def prepare_task(
 
 def protocol_tasks(protocol: DataFrame, task_type: str | None = None, tasks: Sequence[str] | None = None) -> DataFrame:
     """Protocol tasks of one type and/or by name (a task key or a dataset); an unknown name raises."""
-    if task_type not in (None, "classification", "regression"):
-        raise ValueError(f"task_type must be 'classification' or 'regression', got {task_type!r}")
+    if task_type is not None:
+        one_of("task type", task_type, ("classification", "regression"))
     out = protocol if task_type is None else protocol.where(F.col("problem_type") == task_type)
     if tasks is None:
         return out

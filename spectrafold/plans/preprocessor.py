@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
-import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a folder of our own only where the session names none."""
+    """The shared checkpoint folder. Where the session names none, a local session gets a temporary one; on a cluster that
+    is an error, as executors and driver would each write to their own disks."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectrafold-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spectrafold-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
@@ -44,11 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, bytes_per_row, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """(*df* with a broadcast hint, True) when its measured size is below *limit*, else (*df*, False).
+def measured_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """*df* (materialized) with a broadcast hint if it was measured to have at most *limit* bytes; else without, and a join
+    with it is a shuffle join whose skewed partitions adaptive execution splits."""
+    size = df.select(F.length(F.to_json(F.struct("*"))).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
-    *bytes_per_row* is a column expression for the payload of a row. *df* should be materialized,
-    so that measuring it is one cheap pass.
-    """
-    size = df.agg(F.coalesce(F.sum(bytes_per_row), F.lit(0)).cast("long")).first()[0]
-    return (F.broadcast(df), True) if size <= limit else (df, False)
+
+def one_of(what: str, value, known: Sequence) -> None:
+    """Raises unless *value* is one of *known*."""
+    if value not in known:
+        raise ValueError(f"{what}: {value!r} is none of {', '.join(map(str, sorted(known)))}")

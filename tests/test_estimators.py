@@ -136,8 +136,13 @@ def test_cross_validate_reports_failing_folds(regression, classes):
     assert len(got) == 27
     labels_only = est.cross_validate(classes, lambda x, y: 0, lambda m, x: np.zeros(len(x)), classify=True).toPandas()
     assert labels_only["error"].str.contains("no probabilities").all()
-    with pytest.raises(ValueError, match="too large"):
-        est.cross_validate(regression, fit, None, max_rows=10)
+    small = est.cross_validate(regression, lambda x, y: y.mean(), lambda m, x: np.full(len(x), m), test_rows=4).toPandas()
+    assert sorted(small["spectrum_id"]) == list(range(40)) and small["error"].isna().all()
+
+
+def test_classifiers_learn_from_a_bounded_sample(classes):
+    out = est.cross_validate(classes, lambda x, y: len(x), lambda n, x: np.full((len(x), 2), float(n)), classify=True, max_train=9).toPandas()
+    assert out["proba"].map(lambda p: p[0]).eq(9).all() and len(out) == classes.count()
 
 
 def component_rows(spark, shift=0):
@@ -156,17 +161,16 @@ def test_cawpe(spark):
 
 def test_augmentation(spectra_df, smooth):
     base = spectra_df.select("spectrum_id", "label", "intensities")
-    got = aug.augment(base, 2, noise=0.0, shift=3, mixup_alpha=0.5, max_rows=None)
+    got = aug.augment(base, 2, noise=0.0, shift=3, mixup_alpha=0.5)
     rows = got.toPandas()
     assert rows.groupby("copy").size().to_dict() == {-1: 40, 0: 40, 1: 40, 2: 40}
     for r in rows[rows["copy"] > 0].itertuples():
         x = smooth[r.spectrum_id]
         assert any(np.allclose(r.intensities, x[np.clip(np.arange(60) - s, 0, 59)]) for s in range(-3, 4))
-    again = aug.augment(base.repartition(5), 2, noise=0.0, shift=3, mixup_alpha=0.5, max_rows=None).toPandas()
+    again = aug.augment(base.repartition(5), 2, noise=0.0, shift=3, mixup_alpha=0.5).toPandas()
     key = ["spectrum_id", "copy"]
     assert np.allclose(np.stack(rows.sort_values(key)["intensities"]), np.stack(again.sort_values(key)["intensities"]))
-    assert aug.augment(base, 2, max_rows=10).count() == 40  # above the limit nothing is added
-    noisy = aug.augment(base, 1, noise=0.1, max_rows=None).where("copy = 1").orderBy("spectrum_id").toPandas()
+    noisy = aug.augment(base, 1, noise=0.1).where("copy = 1").orderBy("spectrum_id").toPandas()
     spread = (np.stack(noisy["intensities"]) - smooth).std()
     assert abs(spread / (0.1 * smooth.std()) - 1) < 0.1
 

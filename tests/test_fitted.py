@@ -158,3 +158,12 @@ def test_single_step_transformers(spectra_df, smooth):
     assert np.allclose(got, k.savgol(smooth, 15, 2, 2))
     got = matrix_of(prep.AveragePooling(size=4).fit(spectra_df).transform(spectra_df))
     assert np.allclose(got, k.avg_pool(smooth, 4))
+
+
+def test_large_offsets_cost_no_digits(spark, spectra_df, smooth):
+    from spectrafold.operators import estimators as est
+
+    rows = est.numeric_target(spectra_df)
+    far = rows.withColumn("intensities", F.transform("intensities", lambda v: v + 1e6))
+    a, b = (est.cross_val_linear(x, est.ridge(1.0), classify=False).orderBy("spectrum_id").toPandas()["y_pred"].to_numpy() for x in (rows, far))
+    assert np.allclose(a, b, atol=1e-6)

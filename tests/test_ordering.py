@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectrafold.operators.ordering import average_ranks, exact_median, has_hot_keys, hash_order, hash_rank, order_statistic, running_totals, skew_lookup
+from spectrafold.operators.ordering import average_ranks, exact_median, has_hot_keys, hash_order, hash_rank, order_statistic, running_totals, with_values
 
 
 @pytest.fixture(scope="module")
@@ -52,8 +52,8 @@ def test_medians(skewed):
     assert upper == {k: np.sort(g["v"])[len(g) // 2] for k, g in pdf.groupby("k")}
 
 
-def test_skew_lookup(skewed):
+def test_lookup(skewed):
     table = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).where(F.col("k") != "k0")
     plain = sorted(map(str, skewed.join(table.select("k", "top"), "k", "left").select("k", "id", "top").collect()))
-    got = skew_lookup(skewed, table, ["k"], ["top"], "n", F.col("id"), hot_rows=500)
+    got = with_values(skewed, table, ["k"], ["top"])
     assert sorted(map(str, got.select("k", "id", "top").collect())) == plain
