@@ -1,24 +1,27 @@
-"""Incremental scoring: predictions and result files arrive, only new keys are computed and appended."""
+"""Incremental scoring: predictions and result files arrive, only keys with something new are computed."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spectrafold.operators.fold_metrics import KEYS, fold_metrics
+from spectrafold.session import materialize
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been written at *path*."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def read_if_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at *path*, empty when nothing has been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """The table at *path*, empty when nothing has been written yet; one that can't be read raises."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def new_keys(batch: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,38 +30,68 @@ def new_keys(batch: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def stream_fold_metrics(
-    source: DataFrame, sink: str, checkpoint: str, *, staging: str | None = None, expected: DataFrame | None = None,
+    source: DataFrame, sink: str, checkpoint: str, *, staging: str, expected: DataFrame | None = None,
     keys: Sequence[str] = KEYS, score=fold_metrics, id_column: str = "spectrum_id",
 ) -> StreamingQuery:
-    """Score each (task, fold, model) once, when it is complete, and append its metrics to *sink*.
+    """Score each (task, fold, model) as its predictions arrive and append its metrics to *sink*.
 
-    Without *expected* a key is complete with the batch that brings it. With *expected* (keys without model,
-    ``n_expected`` ids) predictions collect in *staging* until all ids of a key are there. A repeated batch
-    appends nothing: rows already staged and keys already scored are left out.
+    Predictions collect in *staging*, each id once. With *expected* (keys without model, ``n_expected`` ids) a key is
+    scored once, when all its ids are there, and its rows leave the staging. Without, it is scored anew with each batch that
+    brings it more, from all its rows; ``batch_id`` tells the results apart and :func:`latest` reads the last of each key.
+    A batch writes a new generation of the staging and reads the one before, so a repeated batch changes nothing.
     """
     keys = list(keys)
-    if expected is not None and staging is None:
-        raise ValueError("a staging path is needed to wait for complete keys")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if expected is not None:
-            staged = read_if_any(spark, staging, batch.schema)
-            fresh = batch.join(staged.select(*keys, id_column), [*keys, id_column], "left_anti").dropDuplicates([*keys, id_column])
-            fresh.write.mode("append").parquet(staging)
-            staged = read_if_any(spark, staging, batch.schema)
-            have = staged.join(batch.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(
-                F.count(F.lit(1)).alias("n_have"))
-            fold = [k for k in keys if k in expected.columns]
-            complete = have.join(expected, fold).where(F.col("n_have") >= F.col("n_expected")).select(*keys)
-            rows = staged.join(complete, keys, "left_semi")
-        scored = score(rows, keys)
-        new_keys(scored, read_if_any(spark, sink, scored.schema), keys).write.mode("append").parquet(sink)
+        before = [g for g in generations(spark, staging) if g < batch_id]
+        staged = read_if_any(spark, f"{staging}/{max(before)}", batch.schema) if before else spark.createDataFrame([], batch.schema)
+        fresh = batch.join(staged.select(*keys, id_column), [*keys, id_column], "left_anti").dropDuplicates([*keys, id_column])
+        rows = materialize(staged.unionByName(fresh))
+        if expected is None:
+            ready = fresh.select(*keys).distinct()
+            rows.write.mode("overwrite").parquet(f"{staging}/{batch_id}")
+        else:
+            rows = materialize(new_keys(rows, done_keys(spark, sink, batch.schema, keys), keys))
+            have = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_have"))
+            ready = have.join(expected, [k for k in keys if k in expected.columns]).where(F.col("n_have") >= F.col("n_expected")).select(*keys)
+            rows.join(ready, keys, "left_anti").write.mode("overwrite").parquet(f"{staging}/{batch_id}")
+        scored = score(rows.join(ready, keys, "left_semi"), keys).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        scored.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        for old in before:
+            if old < max(before):
+                remove(spark, f"{staging}/{old}")
 
     return source.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the generations below *path*."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    return [int(f.getPath().getName()) for f in system.listStatus(place) if f.getPath().getName().isdigit()]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def done_keys(spark: SparkSession, sink: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """Keys that have metrics in *sink*."""
+    if exists(spark, sink):
+        return spark.read.parquet(sink).select(*keys)
+    return spark.createDataFrame([], T.StructType([schema[k] for k in keys]))
+
+
+def latest(metrics: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The last metrics of each key of a sink."""
+    rest = [c for c in metrics.columns if c not in (*keys, "batch")]
+    return metrics.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_m")).select(*keys, "_m.*")
+
+
 def stream_scan_results(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
     """A stream of new per-fold result files; files already read (per checkpoint) and unreadable ones are skipped."""
     reader = spark.readStream.schema(schema).format(fmt).option("ignoreCorruptFiles", True)
@@ -68,10 +101,12 @@ def stream_scan_results(spark: SparkSession, path: str, schema: T.StructType, fm
 
 
 def append_new_files(stream: DataFrame, sink: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
-    """Append each batch's keys that the sink does not hold yet."""
+    """Append each batch's keys that the sink does not hold yet; of a key's rows in one batch the least."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c not in keys]
+        once = batch.select(*keys).distinct() if not rest else batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
         done = read_if_any(batch.sparkSession, sink, batch.schema)
-        new_keys(batch.dropDuplicates(list(keys)), done, keys).write.mode("append").parquet(sink)
+        new_keys(once.select(*batch.columns), done, keys).write.mode("append").parquet(sink)
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -47,11 +47,14 @@ def test_predictions_from_paths(spark, tmp_path):
     for seed in (1, 2):
         folder = tmp_path / f"seed_{seed}" / "predictions"
         folder.mkdir(parents=True)
-        (folder / "sugar_mix_0_PLS_predictions.csv").write_text(",target\n5,1.5\n6,2.5\n")
-        (folder / "sugar_mix_0_ground_truth.csv").write_text(",target\n5,1\n")
-    got = results.read_predictions(spark, str(tmp_path)).toPandas()
-    assert len(got) == 4 and set(got["key"]) == {"sugar_mix_0"} and set(got["model"]) == {"PLS"} and set(got["seed"]) == {1, 2}
-    assert got["prediction"].sum() == 8
+        (folder / "sugar_mix_0_MY_PLS_2_predictions.csv").write_text(",target\n5,1.5\n6,2.5\n")
+        (folder / "acid_1_KNN_predictions.csv").write_text(",target,0,1\n5,1,0.25,0.75\n")
+        (folder / "sugar_mix_0_ground_truth.csv").write_text(",target\n5,1\n6,2\n")
+    got = results.read_predictions(spark, str(tmp_path)).orderBy("key", "seed", "spectrum_id").collect()
+    assert [(r.key, r.model, r.seed) for r in got] == [("acid_1", "KNN", 1), ("acid_1", "KNN", 2)] + [("sugar_mix_0", "MY_PLS_2", s) for s in (1, 1, 2, 2)]
+    assert got[0].proba == [0.25, 0.75] and got[0].proba_classes == ["0", "1"] and got[-1].proba is None and got[-1].prediction == 2.5
+    truth = results.read_ground_truth(spark, str(tmp_path)).collect()
+    assert sorted((r.seed, r.key, r.spectrum_id, r.y_true) for r in truth) == [(s, "sugar_mix_0", i, float(i - 4)) for s in (1, 2) for i in (5, 6)]
 
 
 def test_registries(spark, tmp_path):

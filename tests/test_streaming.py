@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spectrafold.streaming.metrics import append_new_files, stream_fold_metrics, stream_scan_results
+from spectrafold.streaming.metrics import append_new_files, generations, latest, stream_fold_metrics, stream_scan_results
 
 SCHEMA = "task string, fold int, model string, problem_type string, spectrum_id long, y_true double, y_pred double"
 
@@ -13,37 +13,38 @@ def put(spark, path, rows):
 
 def run(spark, tmp_path, **kwargs):
     source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    stream_fold_metrics(source, str(tmp_path / "out"), str(tmp_path / "ck"), **kwargs).awaitTermination()
-    return spark.read.parquet(str(tmp_path / "out"))
+    stream_fold_metrics(source, str(tmp_path / "out"), str(tmp_path / "ck"), staging=str(tmp_path / "staged"), **kwargs).awaitTermination()
+    return latest(spark.read.parquet(str(tmp_path / "out")))
 
 
-def test_each_key_is_scored_once(spark, tmp_path):
+def test_keys_are_scored_again_from_all_their_rows(spark, tmp_path):
     put(spark, str(tmp_path / "in"), [(0, "a", 1), (0, "a", 2), (1, "a", 3)])
     assert run(spark, tmp_path).count() == 2
-    put(spark, str(tmp_path / "in"), [(0, "a", 9), (0, "b", 1)])  # fold 0 of a is done already
+    put(spark, str(tmp_path / "in"), [(0, "a", 9), (0, "a", 2), (0, "b", 1)])  # more of fold 0, and a copy
     got = run(spark, tmp_path)
-    assert got.count() == 3 and got.groupBy("fold", "model").count().where("count > 1").count() == 0
-    assert got.where("rmse = 1").count() == 3
+    assert got.count() == 3 and got.where("rmse = 1").count() == 3
+    assert spark.read.parquet(str(tmp_path / "staged" / str(max(generations(spark, str(tmp_path / "staged")))))).count() == 5
 
 
-def test_incomplete_keys_wait(spark, tmp_path):
+def test_incomplete_keys_wait_and_leave_when_scored(spark, tmp_path):
     need = spark.createDataFrame([("t", 0, 3), ("t", 1, 1)], "task string, fold int, n_expected long")
-    args = {"expected": need, "staging": str(tmp_path / "staged")}
     put(spark, str(tmp_path / "in"), [(0, "a", 1), (0, "a", 2), (1, "a", 3)])
-    assert run(spark, tmp_path, **args).count() == 1
+    assert run(spark, tmp_path, expected=need).count() == 1
     put(spark, str(tmp_path / "in"), [(0, "a", 2)])  # a copy does not complete the key
-    assert run(spark, tmp_path, **args).count() == 1
-    put(spark, str(tmp_path / "in"), [(0, "a", 4)])
-    got = run(spark, tmp_path, **args)
+    assert run(spark, tmp_path, expected=need).count() == 1
+    put(spark, str(tmp_path / "in"), [(0, "a", 4), (1, "a", 3)])
+    got = run(spark, tmp_path, expected=need)
     assert got.count() == 2 and got.where("fold = 0 AND mae = 1").count() == 1
+    last = max(generations(spark, str(tmp_path / "staged")))
+    assert spark.read.parquet(str(tmp_path / "staged" / str(last))).count() == 0
 
 
-def test_a_repeated_run_adds_nothing(spark, tmp_path):
+def test_a_lost_checkpoint_changes_no_result(spark, tmp_path):
     put(spark, str(tmp_path / "in"), [(0, "a", 1)])
-    run(spark, tmp_path)
-    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))  # a lost checkpoint: everything comes again
-    stream_fold_metrics(source, str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    before = run(spark, tmp_path).drop("batch_id").collect()
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))  # everything comes again
+    stream_fold_metrics(source, str(tmp_path / "out"), str(tmp_path / "ck2"), staging=str(tmp_path / "staged2")).awaitTermination()
+    assert latest(spark.read.parquet(str(tmp_path / "out"))).drop("batch_id").collect() == before
 
 
 def test_only_new_result_files(spark, tmp_path):
