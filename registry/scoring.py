@@ -19,7 +19,7 @@ from spectrafold.operators import fold_metrics as fm
 from spectrafold.operators.knn import cross_val_knn, nearest
 from spectrafold.session import ensure_checkpoint_dir
 from spectrafold.sources.sinks import summary
-from spectrafold.streaming.metrics import append_new_files, stream_fold_metrics, stream_scan_results
+from spectrafold.streaming.metrics import append_new_files, latest, stream_fold_metrics, stream_scan_results
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -249,25 +249,50 @@ def _(spark, sf):
         "spectrum_id", F.col("z.classes").alias("class"), F.col("z.proba").alias("share")))
 
 
-def classified(name: str, solver):
-    @query(name)
+def ridge_sql(classify: bool) -> str:
+    """Normal equations of the other folds' rows, solved by elimination, a pivot in each step of the recursion."""
+    targets = ("SELECT spectrum_id, o, CAST(x.label = k.label AS INTEGER) * 1e0 AS t FROM x, (SELECT label, row_number() OVER (ORDER BY label) - 1 AS o FROM (SELECT DISTINCT label FROM x)) k"
+               if classify else "SELECT spectrum_id, 0 AS o, y AS t FROM x")
+    raw = "SELECT spectrum_id, o, sum(x * b) + any_value(b0) AS s FROM xl JOIN coef ON f = spectrum_id % 3 AND i = channel JOIN icept USING (f, o) GROUP BY 1, 2"
+    last = (f"""SELECT CAST(spectrum_id % 3 AS INTEGER) AS fold, spectrum_id, label, CAST(o AS INTEGER) AS class, {r('e / sum(e) OVER (PARTITION BY spectrum_id)')} AS share
+FROM (SELECT spectrum_id, o, exp(s - max(s) OVER (PARTITION BY spectrum_id)) AS e FROM raw) JOIN x USING (spectrum_id)"""
+            if classify else f"SELECT CAST(spectrum_id % 3 AS INTEGER) AS fold, spectrum_id, {r('y')} AS y, {r('s')} AS y_pred FROM raw JOIN x USING (spectrum_id)")
+    return "WITH RECURSIVE" + SPECTRA + f""",
+fs AS (SELECT f FROM range(3) t(f)), tgt AS ({targets}),
+m AS (SELECT f, channel, avg(x) AS m FROM xl, fs WHERE spectrum_id % 3 <> f GROUP BY 1, 2),
+tm AS (SELECT f, o, avg(t) AS tm FROM tgt, fs WHERE spectrum_id % 3 <> f GROUP BY 1, 2),
+c AS (SELECT f, spectrum_id, channel, x - m AS x FROM xl JOIN m USING (channel) WHERE spectrum_id % 3 <> f),
+xx AS (SELECT a.f, a.channel AS i, b.channel AS j, sum(a.x * b.x) + CASE WHEN a.channel = b.channel THEN 1 ELSE 0 END AS v FROM c a JOIN c b USING (f, spectrum_id) GROUP BY 1, 2, 3),
+xy AS (SELECT c.f, channel AS i, 64 + tgt.o AS j, sum(x * (t - tm)) AS v FROM c JOIN tgt USING (spectrum_id) JOIN tm ON tm.f = c.f AND tm.o = tgt.o GROUP BY 1, 2, 3),
+rows_ AS (SELECT f, i, list(v ORDER BY j) AS v FROM (SELECT * FROM xx UNION ALL SELECT * FROM xy) GROUP BY 1, 2),
+g AS (SELECT f, i, v, 0 AS k FROM rows_ UNION ALL
+  SELECT f, i, CASE WHEN i = k THEN list_transform(v, lambda a: a / p[k + 1]) ELSE list_transform(v, lambda a, q: a - v[k + 1] / p[k + 1] * p[q]) END, k + 1
+  FROM (SELECT *, first_value(v) OVER (PARTITION BY f ORDER BY CASE WHEN i = k THEN 0 ELSE 1 END) AS p FROM g) WHERE k < 64),
+coef AS (SELECT f, i, unnest(range(len(v) - 64)) AS o, unnest(v[65:]) AS b FROM g WHERE k = 64),
+icept AS (SELECT coef.f, coef.o, any_value(tm) - sum(m * b) AS b0 FROM coef JOIN m ON m.f = coef.f AND channel = i JOIN tm ON tm.f = coef.f AND tm.o = coef.o GROUP BY 1, 2),
+raw AS ({raw})
+{last}"""
+
+
+def classified(name: str, solver, sql: str | None = None):
+    @query(name, sql)
     def _(spark, sf):
         out = est.cross_val_linear(folded(spark, sf, True), solver, classify=True)
         return rounded(out.select("fold", "spectrum_id", "label", F.posexplode("proba").alias("class", "share")), 6)
 
 
-def regressed(name: str, solver):
-    @query(name)
+def regressed(name: str, solver, sql: str | None = None):
+    @query(name, sql)
     def _(spark, sf):
         out = est.cross_val_linear(folded(spark, sf, False), solver, classify=False)
         return rounded(out.select("fold", "spectrum_id", "y", "y_pred"), 6)
 
 
-classified("ridge_classify", est.ridge(1.0))
+classified("ridge_classify", est.ridge(1.0), ridge_sql(True))
 classified("pls_classify", est.pls(10))
 classified("pcr_classify", est.pcr(20))
 classified("pca_lda", est.pca_lda(30))
-regressed("ridge", est.ridge(1.0))
+regressed("ridge", est.ridge(1.0), ridge_sql(False))
 regressed("pls", est.pls(10))
 regressed("pcr", est.pcr(20))
 
@@ -341,8 +366,8 @@ def scratch(spark, name: str) -> str:
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def event_stream(spark, sf):
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
+def event_stream(spark, path, **options):
+    raw = spark.readStream.schema(EVENT_SCHEMA).options(**options).parquet(path)
     return raw.select(
         F.concat(F.lit("u"), F.pmod("user_id", F.lit(5)).cast("string")).alias("task"), F.pmod("event_id", F.lit(3)).cast("int").alias("fold"),
         F.col("event_type").alias("model"), F.lit("regression").alias("problem_type"), F.col("event_id").alias("spectrum_id"),
@@ -357,8 +382,11 @@ EVENT_METRICS = f"SELECT task, fold, model, {r('sqrt(avg((y_true - y_pred) ** 2)
 @query("stream_fold_metrics", "WITH" + EVENT_REG + EVENT_METRICS)
 def _(spark, sf):
     sink = scratch(spark, "metrics")
-    stream_fold_metrics(event_stream(spark, sf), sink, scratch(spark, "state")).awaitTermination()
-    return rounded(spark.read.parquet(sink).select("task", "fold", "model", "rmse", "mae", "median_ae"))
+    parts = scratch(spark, "events")  # the table in parts, a micro-batch each
+    table(spark, sf, "events").repartition(3, "event_id").write.parquet(parts)
+    stream = event_stream(spark, parts, maxFilesPerTrigger=1)
+    stream_fold_metrics(stream, sink, scratch(spark, "state"), staging=scratch(spark, "staging")).awaitTermination()
+    return rounded(latest(spark.read.parquet(sink)).select("task", "fold", "model", "rmse", "mae", "median_ae"))
 
 
 @query("stream_fold_metrics_expected", "WITH" + EVENT_REG + EVENT_METRICS)
@@ -368,7 +396,7 @@ def _(spark, sf):
         F.concat(F.lit("u"), F.pmod("user_id", F.lit(5)).cast("string")).alias("task"), F.pmod("event_id", F.lit(3)).cast("int").alias("fold"),
         F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n_expected"))
     sink = scratch(spark, "metrics")
-    stream_fold_metrics(event_stream(spark, sf), sink, scratch(spark, "state"), staging=scratch(spark, "staging"), expected=need).awaitTermination()
+    stream_fold_metrics(event_stream(spark, sf, pathGlobFilter="events.parquet"), sink, scratch(spark, "state"), staging=scratch(spark, "staging"), expected=need).awaitTermination()
     return rounded(spark.read.parquet(sink).select("task", "fold", "model", "rmse", "mae", "median_ae"))
 
 

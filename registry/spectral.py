@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from registry import steps
 from registry.views import POSITIVE, SPECTRA, axis, long, positive_spectra, r, rounded, spectra, table
 from spectrafold.functions import kernels
 from spectrafold.functions import spectral as native
@@ -11,6 +12,7 @@ from spectrafold.functions.batches import kernel_column
 from spectrafold.operators import augment as aug
 from spectrafold.operators import fitted
 from spectrafold.plans.preprocessor import Preprocessor
+from spectrafold.plans.recipes import recipe_names
 from spectrafold.sources import results as result_sources
 from spectrafold.sources import spectra as sources
 
@@ -147,52 +149,14 @@ def kernel_step(name: str, kernel, sql: str | None = None, source=spectra, digit
         return long(source(spark, sf).withColumn("intensities", kernel_column("intensities", kernel)), digits=digits)
 
 
-def savgol_sql(window: int, poly: int, deriv: int) -> str:
-    """The filter from orthogonal polynomials on the window (Gram-Schmidt on powers), built in SQL.
-
-    Column k of ``b`` is the k-th orthonormal polynomial at the window positions; its derivative comes from the
-    same combination of the powers' derivatives.
-    """
-    half = window // 2
-    ctes, names = [f"pos AS (SELECT i - {half} AS t FROM range({window}) g(i))"], []
-    previous = "SELECT t" + "".join(f", CAST(t AS DOUBLE) ** {k} AS f{k}, " + (
-        f"{k} * CAST(t AS DOUBLE) ** {k - 1}" if k else "0e0") + f" AS d{k}" for k in range(poly + 1)) + " FROM pos"
-    ctes.append(f"g0 AS ({previous})")
-    for k in range(poly + 1):
-        dots = ", ".join([f"sum(f{k} * f{j}) OVER () / sum(f{j} * f{j}) OVER () AS c{j}" for j in range(k)] or ["0 AS c_"])
-        ctes.append(f"h{k} AS (SELECT *, {dots} FROM g{k})")
-        cols = ["t"] + [f"{a}{j}" for j in range(poly + 1) for a in ("f", "d") if j != k]
-        new_f = f"f{k}" + "".join(f" - c{j} * f{j}" for j in range(k))
-        new_d = f"d{k}" + "".join(f" - c{j} * d{j}" for j in range(k))
-        ctes.append(f"g{k + 1} AS (SELECT {', '.join(cols)}, {new_f} AS f{k}, {new_d} AS d{k} FROM h{k})")
-        names.append(k)
-    g = f"g{poly + 1}"
-    evaluate = "f" if deriv == 0 else "d"
-    norms = ", ".join(f"sum(f{k} * f{k}) AS n{k}" for k in names)
-    ctes.append(f"norms AS (SELECT {norms} FROM {g})")
-    ctes.append("operator AS (SELECT a.t AS at_, s.t AS sample, " + " + ".join(
-        f"a.{evaluate}{k} * s.f{k} / n{k}" for k in names) + f" AS weight FROM {g} a, {g} s, norms)")
-    return "WITH" + SPECTRA + ", " + ", ".join(ctes) + f""",
-centres AS (SELECT channel, least(greatest(channel, {half}), 63 - {half}) AS centre FROM range(64) c(channel))
-SELECT spectrum_id, CAST(c.channel AS BIGINT) AS channel, {r('sum(weight * xl.x)')} AS x
-FROM centres c JOIN operator o ON o.at_ = c.channel - c.centre JOIN xl ON xl.channel = c.centre + o.sample GROUP BY 1, 2"""
-
-
-kernel_step("savgol", kernels.savgol, savgol_sql(9, 3, 0))
-kernel_step("savgol_derivative", kernels.savgol_derivative, savgol_sql(11, 2, 1))
-kernel_step("despike", lambda x: kernels.despike(x, threshold=3.0, kernel=3))
+kernel_step("savgol", kernels.savgol, steps.chained([steps.savgol(9, 3, 0)], source="xl", base=SPECTRA))
+kernel_step("savgol_derivative", kernels.savgol_derivative, steps.chained([steps.savgol(11, 2, 1)], source="xl", base=SPECTRA))
+kernel_step("despike", lambda x: kernels.despike(x, threshold=3.0, kernel=3), steps.chained([steps.despike(3.0)], source="xl", base=SPECTRA))
 kernel_step("wavelet_denoise", kernels.wavelet_denoise)
-kernel_step("baseline_asls", kernels.baseline_asls, source=positive_spectra)
-kernel_step("baseline_airpls", kernels.baseline_airpls, source=positive_spectra)
-kernel_step("baseline_arpls", kernels.baseline_arpls, source=positive_spectra)
-# The lower hull at a channel is the lowest chord over it.
-kernel_step("baseline_rubberband", kernels.baseline_rubberband, "WITH" + POSITIVE + f""",
-chords AS (SELECT a.spectrum_id, c.channel, min(CASE WHEN a.channel = b.channel THEN a.x
-    ELSE a.x + (b.x - a.x) * (c.channel - a.channel) / (b.channel - a.channel) END) AS low
-  FROM pos a JOIN pos b ON a.spectrum_id = b.spectrum_id AND a.channel <= b.channel
-  JOIN range(64) c(channel) ON c.channel BETWEEN a.channel AND b.channel GROUP BY 1, 2)
-SELECT spectrum_id, CAST(channel AS BIGINT) AS channel, {r('x - low')} AS x FROM pos JOIN chords USING (spectrum_id, channel)""",
-            source=positive_spectra)
+kernel_step("baseline_asls", kernels.baseline_asls, steps.chained([steps.asls()]), source=positive_spectra)
+kernel_step("baseline_airpls", kernels.baseline_airpls, steps.chained([steps.airpls()]), source=positive_spectra)
+kernel_step("baseline_arpls", kernels.baseline_arpls, steps.chained([steps.arpls()]), source=positive_spectra)
+kernel_step("baseline_rubberband", kernels.baseline_rubberband, steps.chained([steps.rubberband]), source=positive_spectra)
 
 # ---------------------------------------------------------------- fitted steps: each fold's state comes from the other folds
 # Scatter correction divides by slopes near 0, so values reach 1000; three decimals are compared.
@@ -202,15 +166,7 @@ def folded(spark, sf, source=spectra):
     return source(spark, sf).withColumn("fold", F.pmod("spectrum_id", F.lit(3)).cast("int"))
 
 
-MEANS = POSITIVE + """,
-folds AS (SELECT f FROM range(3) t(f)),
-ref AS (SELECT f AS fold, channel, avg(x) AS m, stddev_pop(x) AS s FROM pos, folds WHERE spectrum_id % 3 <> f GROUP BY 1, 2),
-joined AS (SELECT spectrum_id, channel, x, m, s FROM pos JOIN ref USING (channel) WHERE fold = spectrum_id % 3)"""
-
-
-@query("msc_by_fold", "WITH" + MEANS + f""",
-fit AS (SELECT spectrum_id, regr_slope(x, m) AS slope, regr_intercept(x, m) AS icept FROM joined GROUP BY 1)
-SELECT spectrum_id, CAST(channel AS BIGINT) AS channel, {r('(x - icept) / slope', 3)} AS x FROM joined JOIN fit USING (spectrum_id)""")
+@query("msc_by_fold", steps.chained([steps.msc], digits=3))
 def _(spark, sf):
     rows = folded(spark, sf, positive_spectra)
     return long(fitted.MSC().fit(rows, ["task"], "fold").transform(rows), digits=3)
@@ -228,41 +184,22 @@ def _(spark, sf):
     return long(joined.withColumn("intensities", native.msc("intensities", "reference", 0.25, 0.75)), digits=3)
 
 
-@query("standard_scaler_by_fold", "WITH" + MEANS + f"""
-SELECT spectrum_id, CAST(channel AS BIGINT) AS channel, {r('(x - m) / s')} AS x FROM joined""")
+@query("standard_scaler_by_fold", steps.chained([steps.scaling]))
 def _(spark, sf):
     rows = folded(spark, sf, positive_spectra)
     return long(fitted.StandardScaler().fit(rows, ["task"], "fold").transform(rows))
 
 
-def emsc_sql(order: int) -> str:
-    """Least squares by Gram-Schmidt: 1, w .. w^order, then the reference; built in SQL."""
-    ctes = [f"d0 AS (SELECT fold, channel, m, {', '.join(f'(-1e0 + 2e0 * channel / 63) ** {k} AS b{k}' for k in range(order + 1))}, m AS b{order + 1} FROM ref)"]
-    for k in range(order + 2):
-        dots = ", ".join([f"sum(b{k} * b{j}) OVER w / sum(b{j} * b{j}) OVER w AS c{j}" for j in range(k)] or ["0 AS c_"])
-        ctes.append(f"e{k} AS (SELECT *, {dots} FROM d{k} WINDOW w AS (PARTITION BY fold))")
-        keep = ", ".join(f"b{j}" for j in range(order + 2) if j != k)
-        ctes.append(f"d{k + 1} AS (SELECT fold, channel, m, {keep}, b{k}" + "".join(f" - c{j} * b{j}" for j in range(k)) + f" AS b{k} FROM e{k})")
-    last = f"d{order + 2}"
-    coefs = ", ".join(f"sum(x * b{k}) / sum(b{k} * b{k}) AS k{k}" for k in range(order + 2))
-    fit = " + ".join(f"k{k} * b{k}" for k in range(order + 2))
-    return "WITH" + MEANS + ", " + ", ".join(ctes) + f""",
-basis AS (SELECT spectrum_id, d.* FROM {last} d JOIN (SELECT DISTINCT spectrum_id FROM pos) s ON d.fold = s.spectrum_id % 3),
-coef AS (SELECT spectrum_id, {coefs} FROM basis JOIN pos USING (spectrum_id, channel) GROUP BY 1)
-SELECT spectrum_id, CAST(channel AS BIGINT) AS channel, {r(f'm + (x - ({fit})) / k{order + 1}', 3)} AS x
-FROM basis JOIN pos USING (spectrum_id, channel) JOIN coef USING (spectrum_id)"""
-
-
-@query("emsc_by_fold", emsc_sql(2))
+@query("emsc_by_fold", steps.chained([steps.emsc(4)], digits=3))
 def _(spark, sf):
     rows = folded(spark, sf, positive_spectra)
-    return long(fitted.EMSC(2).fit(rows, ["task"], "fold").transform(rows), digits=3)
+    return long(fitted.EMSC().fit(rows, ["task"], "fold").transform(rows), digits=3)
 
 
 @query("lvse_by_fold")
 def _(spark, sf):
     rows = folded(spark, sf)
-    return long(fitted.LVSE(8, 2).fit(rows, ["task"], "fold").transform(rows), digits=6)
+    return long(fitted.LVSE().fit(rows, ["task"], "fold").transform(rows), digits=6)
 
 
 @query("gcu")
@@ -279,21 +216,37 @@ def _(spark, sf):
     return long(Preprocessor({"snv": True, "avgpool": True}).fit(rows).transform(rows))
 
 
+_bc, _sg, _snv, _crr = steps.asls(), steps.savgol(9, 3, 0), steps.snv, steps.despike(6.0)
+#: The steps of the recipes, in order, for the SQL twins; an ensemble has blocks.
+RECIPE_STEPS = {
+    "none": [[]], "snv": [[_snv]], "msc": [[steps.msc]], "emsc": [[steps.emsc(4)]], "sg": [[_sg]], "bc": [[_bc]], "stdscale": [[steps.scaling]],
+    "bc_sg": [[_sg, _bc]], "bc_snv": [[_bc, _snv]], "bc_sg_snv": [[_sg, _bc, _snv]], "bc_sg_msc": [[_sg, _bc, steps.msc]],
+    "airpls_snv": [[steps.airpls(), _snv]], "arpls_snv": [[steps.arpls(), _snv]], "sg_rubberband_snv": [[_sg, steps.rubberband, _snv]],
+    "crr_snv": [[_crr, _snv]], "sg_d1_snv": [[steps.savgol(11, 2, 1), _snv]], "sg_d2_snv": [[steps.savgol(15, 2, 2), _snv]],
+    "all": [[_crr, _sg, _bc, steps.msc, _snv, steps.scaling]], "avgpool": [[steps.avg_pool]], "decimate": [[steps.decimate]],
+    "bc_snv_avgpool": [[_bc, _snv, steps.avg_pool]],
+    "prep_ensemble": [[_snv], [steps.emsc(4)], [steps.airpls(), _snv], []],
+}
+
+
 def recipe_query(name: str):
-    @query(f"recipe_{name}")
+    blocks = RECIPE_STEPS.get(name)
+    digits = 3 if {"msc", "emsc"} & set(name.split("_")) or name in ("all", "prep_ensemble") else 5
+
+    @query(f"recipe_{name}", steps.chained(*blocks, digits=digits) if blocks else None)
     def _(spark, sf):
         rows = folded(spark, sf, positive_spectra)
-        return long(Preprocessor.named(name, by=["task"], hold_out="fold").fit(rows).transform(rows), digits=6)
+        return long(Preprocessor.named(name, by=["task"], hold_out="fold").fit(rows).transform(rows), digits=digits)
 
 
-for _name in ("bc_snv_avgpool", "sg_rubberband_snv", "wavelet_bc_snv", "sg_d2_snv", "all", "prep_ensemble"):
+for _name in sorted(set(recipe_names()) - {"gcu", "gcu_lvse"}):  # these two are not fitted by fold
     recipe_query(_name)
 
 
 @query("augment")
 def _(spark, sf):
     rows = spectra(spark, sf).select("spectrum_id", "label", "intensities")
-    out = aug.augment(rows, 2, noise=0.01, shift=2, mixup_alpha=0.4, max_rows=None)
+    out = aug.augment(rows, 2, noise=0.01, shift=2, mixup_alpha=0.4)
     return long(out, digits=6, keys=("spectrum_id", "copy", "label"))
 
 
@@ -301,4 +254,4 @@ def _(spark, sf):
 SELECT c AS copy, label, count(*) AS n FROM x, copies GROUP BY 1, 2""")
 def _(spark, sf):
     rows = spectra(spark, sf).select("spectrum_id", "label", "intensities")
-    return aug.augment(rows, 3, noise=0.01, shift=1, mixup_alpha=0.2, max_rows=None).groupBy("copy", "label").agg(F.count(F.lit(1)).alias("n"))
+    return aug.augment(rows, 3, noise=0.01, shift=1, mixup_alpha=0.2).groupBy("copy", "label").agg(F.count(F.lit(1)).alias("n"))
