@@ -130,7 +130,7 @@ def held_out(id_column: Column) -> Column:
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """A model of at most *max_train* texts with a letter of each language; rows of :func:`held_out` are left out."""
     rows = docs.filter(~held_out(F.col(f"`{id_column}`")) & has_letter(F.col(f"`{text_column}`")))
-    found = labelled_sample(rows, id_column, text_column, F.col(f"`{lang_column}`").cast("string"), max_train)
+    found = labelled_sample(rows, rows, id_column, text_column, F.col(f"`{lang_column}`").cast("string"), max_train)
     order = np.random.default_rng(11).permutation(len(found))
     return fit([found[i][0] for i in order], [found[i][1] for i in order])
 

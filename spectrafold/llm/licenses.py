@@ -176,7 +176,7 @@ def _predict(model: Model, slots: np.ndarray, owner: np.ndarray, n: int) -> tupl
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """A model; paragraphs of at most *max_train* texts, the same ones in any run, show what is no license."""
-    found = labelled_sample(docs, id_column, text_column, F.lit(1), max_train)
+    found = labelled_sample(docs, docs, id_column, text_column, F.lit(1), max_train)
     return fit([line for text, _ in found for line in text.split("\n") if line.strip()])
 
 

@@ -207,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """
     marks = labels.filter(F.col(f"`{label_column}`").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max(f"`{label_column}`").cast("int").alias("__label"))
     own = F.col(f"`{id_column}`")
-    marked = docs.select(own, F.col(f"`{text_column}`")).filter(~held_out(own))
-    chosen = labelled_sample(marked.join(marks, own == F.col("__id")), id_column, text_column, F.col("__label"), max_train)
+    ids = docs.filter(~held_out(own) & F.col(f"`{text_column}`").isNotNull()).select(own)
+    chosen = labelled_sample(ids.join(marks, own == F.col("__id")), docs, id_column, text_column, F.col("__label"), max_train)
     order = np.random.default_rng(11).permutation(len(chosen))
     return fit([chosen[i][0] for i in order], [chosen[i][1] for i in order])
 
