@@ -13,6 +13,7 @@ from spectrafold.operators import elo as elo_ops
 from spectrafold.operators import ranking as rk
 from spectrafold.operators import reports as rp
 from spectrafold.operators import results as rs
+from spectrafold.plans.compare import compare
 from spectrafold.session import materialize
 
 QUERIES: dict = {}
@@ -258,6 +259,30 @@ def _(spark, sf):
     return rounded(board)
 
 
+@query("compare_board", "WITH" + FILLED + f"""
+SELECT model, model IN ('M1', 'M5') AS own, {r('avg(score)')} AS normalized_score, {r('avg(rank)')} AS rank, {r('avg(imp)')} AS improvability,
+  {r('(SELECT avg(winrate) FROM wr WHERE model_i = model)')} AS winrate, count(*) AS n_tasks,
+  {r('any_value(pct)')} AS imputed_pct FROM ns JOIN rk USING (dataset, model)
+  JOIN (SELECT model, avg(CAST(imputed AS INTEGER)) * 100 AS pct FROM imputed GROUP BY 1) USING (model) GROUP BY 1""")
+def _(spark, sf):
+    rows = results_with_gaps(spark, sf)
+    mine = F.col("model").isin("M1", "M5")
+    spec = protocol(spark, sf).withColumn("task", F.col("dataset"))
+    return rounded(compare(rows.where(mine), rows.where(~mine), spec, reference_model=REFERENCE, ratings=False).board)
+
+
+@query("compare_coverage", "WITH" + RESULTS_WITH_GAPS + """,
+ran AS (SELECT model, task, dataset, count(DISTINCT fold) AS n FROM gaps WHERE model IN ('M1', 'M5') GROUP BY 1, 2, 3),
+need AS (SELECT dataset, task, count(DISTINCT fold) AS n FROM results GROUP BY 1, 2)
+SELECT model, ran.task, count(*) AS tasks_run, (SELECT count(*) FROM need b WHERE b.task = ran.task) AS tasks_total,
+  count(*) FILTER (ran.n >= need.n) AS tasks_complete FROM ran JOIN need USING (dataset) GROUP BY 1, 2""")
+def _(spark, sf):
+    rows = results_with_gaps(spark, sf)
+    mine = F.col("model").isin("M1", "M5")
+    spec = protocol(spark, sf).withColumn("task", F.col("dataset"))
+    return compare(rows.where(mine), rows.where(~mine), spec, reference_model=REFERENCE, ratings=False).coverage.drop("missing_tasks")
+
+
 @query("median_times", "WITH" + IMPUTED + f"""
 SELECT model, {r('median(time_train_s)', 5)} AS median_time_train_s, {r('median(time_infer_s)', 5)} AS median_time_infer_s,
   {r('median(time_train_s + time_infer_s)', 5)} AS median_time_total_s, {r('median(time_infer_s / (num_instances / 3e0) * 1000)', 5)} AS median_infer_per_1k_s,

@@ -155,3 +155,17 @@ def test_hardware_classes(spark):
     df = spark.createDataFrame(rows, "g string, n int")
     assert [r[0] for r in df.select(rp.hardware_class(F.col("g"), F.col("n"))).collect()] == [
         "a100", "apple-mps", "cpu", "unknown", "unknown", "rtx-4090"]
+
+
+def test_compare_needs_its_reference_model(spark):
+    from spectrafold.plans.compare import compare
+
+    schema = "dataset string, fold int, model string, metric_error double, metric string, task string, time_train_s double, time_infer_s double, num_instances long"
+    own = spark.createDataFrame([("a", 0, "mine", 0.1, "rmse", "regression", 1.0, 1.0, 10)], schema)
+    ref = spark.createDataFrame([("a", 0, "other", 0.2, "rmse", "regression", 1.0, 1.0, 10)], schema)
+    protocol = spark.createDataFrame([("a", "regression", 1, 10)], "task string, problem_type string, n_folds int, num_instances long")
+    with pytest.raises(ValueError, match="no results to fill"):
+        compare(own, ref, protocol, reference_model="RF")
+    out = compare(own, ref, protocol, reference_model="other", ratings=False)
+    assert {r.model: (r["rank"], r.own) for r in out.board.collect()} == {"mine": (1.0, True), "other": (2.0, False)}
+    assert out.coverage.first().tasks_complete == 1 and out.outside.count() == 0
