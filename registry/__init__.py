@@ -6,6 +6,6 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from registry import ranking, scoring, spectral, splitting  # noqa: E402
+from registry import files, ranking, scoring, spectral, splitting  # noqa: E402
 
-MODULES = (spectral, splitting, scoring, ranking)
+MODULES = (spectral, splitting, scoring, ranking, files)

@@ -294,13 +294,13 @@ def _(spark, sf):
 
 @query("elo")
 def _(spark, sf):
-    return rounded(elo_ops.elo(results(spark, sf), reference_model=REFERENCE, rounds=100), 4)
+    return rounded(elo_ops.elo(results(spark, sf), reference_model=REFERENCE), 4)
 
 
 @query("elo_learnable_draw")
 def _(spark, sf):
     rows = results(spark, sf).withColumn("learnable", (F.col("task") == "regression") & (F.col("model") != "M0"))
-    return rounded(elo_ops.elo(elo_ops.learnable_draw(rows), reference_model=REFERENCE, rounds=50), 4)
+    return rounded(elo_ops.elo(elo_ops.learnable_draw(rows), reference_model=REFERENCE), 4)
 
 
 @query("learnable_draw", "WITH" + RESULTS + f"SELECT dataset, model, fold, {r("CASE WHEN task = 'regression' THEN metric_error ELSE 0 END")} AS metric_error FROM results")
@@ -311,14 +311,14 @@ def _(spark, sf):
 
 @query("score_group")
 def _(spark, sf):
-    board, _ = rk.score_group(results_with_gaps(spark, sf), "regression", reference_model=REFERENCE, rounds=50)
+    board, _ = rk.score_group(results_with_gaps(spark, sf), "regression", reference_model=REFERENCE)
     return rounded(board, 4)
 
 
 @query("score_all")
 def _(spark, sf):
     rows = results_with_gaps(spark, sf).where(~((F.col("model") == "M8") & (F.col("task") == "regression")))
-    return rounded(rk.score_all(rows, reference_model=REFERENCE, rounds=20), 4)
+    return rounded(rk.score_all(rows, reference_model=REFERENCE), 4)
 
 
 @query("score_all_groups", "WITH" + RESULTS + """

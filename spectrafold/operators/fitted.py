@@ -313,16 +313,20 @@ class GCU:
     Alternating least squares: with the parts fixed, every row solves its own non-negative problem inside its
     task; the parts are updated from two small sums over all rows (weights' weights, weights' spectra). One
     iteration is one distributed aggregation for all keys together. Keys whose parts would exceed the
-    broadcast bound together are fitted in chunks.
+    broadcast bound together are fitted in chunks. With left-out folds a row is in the training rows of every other fold.
+    The state's ``converged`` says whether the loss had stopped falling by *tol* of the energy within *max_iter* iterations.
     """
 
-    def __init__(self, rho: int = 16, seed: int = 0, max_iter: int = 100, tol: float = 1e-4):
+    def __init__(self, rho: int = 16, seed: int = 0, max_iter: int = 500, tol: float = 1e-4):
         self.rho, self.seed, self.max_iter, self.tol = rho, seed, max_iter, tol
 
     def fit(self, rows: DataFrame, by: Sequence[str] = (), hold_out: str | None = None, column: str = "intensities") -> FittedStep:
-        if hold_out is not None:
-            raise ValueError("a factorization cannot be fitted on left-out folds at once; pass one copy of the rows per fold")
         by = list(by)
+        if hold_out is not None:
+            folds = rows.groupBy(*by).agg(F.collect_set(hold_out).alias("_folds"))
+            rows = with_values(rows, folds, by, ["_folds"]).withColumn("_left_out", F.explode("_folds"))
+            rows = rows.where(F.col("_left_out") != F.col(hold_out)).select(*by, F.col("_left_out").alias(hold_out), column)
+            by = [*by, hold_out]
         rows = materialize(rows.select(*by, column))  # read once per iteration
         low = rows.groupBy(*by).agg(
             F.min(F.array_min(column)).alias("shift"), F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("p")).collect()
@@ -397,13 +401,13 @@ class GCU:
             sums = gram_rows(rows, by, weights, both, (), (column,))
             return collect(sums.groupBy(*by).applyInPandas(update, schema))
 
-        previous = dict(energy)
+        previous, gain = dict(energy), {key: float("inf") for key in parts}
         for _ in range(self.max_iter):
             parts, loss = iteration(spark.sparkContext.broadcast(parts))
-            gain = max((previous[key] - loss[key]) / max(energy[key], 1e-300) for key in parts)
+            gain = {key: (previous[key] - loss[key]) / max(energy[key], 1e-300) for key in parts}
             previous = loss
-            if gain < self.tol:
+            if max(gain.values()) < self.tol:
                 break
-        data = [(*key, float(stats[key][0]), [r.tolist() for r in h], float(previous[key])) for key, h in parts.items()]
+        data = [(*key, float(stats[key][0]), [r.tolist() for r in h], float(previous[key]), gain[key] < self.tol) for key, h in parts.items()]
         return materialize(spark.createDataFrame(
-            data, key_schema(rows, by) + "shift double, parts array<array<double>>, loss double"))
+            data, key_schema(rows, by) + "shift double, parts array<array<double>>, loss double, converged boolean"))

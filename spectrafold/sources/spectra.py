@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spectrafold.session import one_of
+
 GROUP_COLUMN = "_group_id"
 
 
@@ -51,12 +53,14 @@ def infer_task_type(schema: T.StructType, meta: int | str | None = None) -> str:
 
 
 def wide_to_spectra(
-    df: DataFrame, dataset: str, *, id_column: str | None = None, ignore: tuple[str, ...] = ()
+    df: DataFrame, dataset: str, *, id_column: str | None = None, ignore: tuple[str, ...] = (), classes: tuple[str, ...] = (),
+    label: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(spectra, axis) of a wide table whose float-named columns are channels.
 
-    ``spectra``: dataset, spectrum_id, intensities, targets (numeric targets by name), label (first
-    non-numeric target), group_id. Without *id_column* the id is a digest-free row number of the scan
+    ``spectra``: dataset, spectrum_id, intensities, targets (numeric targets by name), labels (class targets by name: those
+    that are not numeric, and the numeric ones in *classes*), label (the class target named *label*, else the first),
+    group_id. Without *id_column* the id is a digest-free row number of the scan
     (``monotonically_increasing_id``), unique but dependent on the file layout; name a stored id
     column whenever there is one.
     """
@@ -66,20 +70,27 @@ def wide_to_spectra(
         raise ValueError("no column name parses as a wavenumber")
     skip = {id_column, *ignore}
     targets = [c for c in target_columns(schema) if c not in skip]
-    numeric = [c for c in targets if isinstance(schema[c].dataType, T.NumericType)]
+    numeric = [c for c in targets if isinstance(schema[c].dataType, T.NumericType) and c not in classes]
     text = [c for c in targets if c not in numeric]
+    if label is not None:
+        one_of("class target", label, text)
     quoted = lambda c: F.col(f"`{c}`")
     target_map = (
         F.map_from_arrays(
             F.array(*[F.lit(c) for c in numeric]), F.array(*[nan_to_null(quoted(c).cast("double")) for c in numeric]))
         if numeric else F.lit(None).cast("map<string,double>")
     )
+    label_map = (
+        F.map_from_arrays(F.array(*[F.lit(c) for c in text]), F.array(*[quoted(c).cast("string") for c in text]))
+        if text else F.lit(None).cast("map<string,string>")
+    )
     spectra = df.select(
         F.lit(dataset).alias("dataset"),
         (quoted(id_column).cast("long") if id_column else F.monotonically_increasing_id()).alias("spectrum_id"),
         F.array(*[nan_to_null(quoted(c).cast("double")) for c in channels]).alias("intensities"),
         target_map.alias("targets"),
-        (quoted(text[0]).cast("string") if text else F.lit(None).cast("string")).alias("label"),
+        label_map.alias("labels"),
+        (quoted(label or text[0]).cast("string") if text else F.lit(None).cast("string")).alias("label"),
         (quoted(GROUP_COLUMN).cast("string") if GROUP_COLUMN in df.columns
          else F.lit(None).cast("string")).alias("group_id"),
     )

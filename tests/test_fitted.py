@@ -167,3 +167,12 @@ def test_large_offsets_cost_no_digits(spark, spectra_df, smooth):
     far = rows.withColumn("intensities", F.transform("intensities", lambda v: v + 1e6))
     a, b = (est.cross_val_linear(x, est.ridge(1.0), classify=False).orderBy("spectrum_id").toPandas()["y_pred"].to_numpy() for x in (rows, far))
     assert np.allclose(a, b, atol=1e-6)
+
+
+def test_gcu_by_fold_uses_the_other_folds(spectra_df):
+    step = fitted.GCU(rho=3, max_iter=8).fit(spectra_df, ["task"], "fold")
+    state = {r["fold"]: r for r in step.state.collect()}
+    assert sorted(state) == [0, 1, 2] and all(isinstance(r["converged"], bool) for r in state.values())
+    alone = fitted.GCU(rho=3, max_iter=8).fit(spectra_df.where("fold <> 1"), ["task"]).state.first()
+    assert np.allclose(np.array(alone["parts"]), np.array(state[1]["parts"]))
+    assert step.transform(spectra_df).count() == spectra_df.count()
