@@ -599,13 +599,13 @@ query("regret", "WITH" + FULL + f"SELECT model, {r('median(1 - score)')} AS medi
 
 
 @query("best_by_licence", "WITH" + BOARD + """,
-n AS (SELECT CASE model WHEN 'M1' THEN 'CHAKRA-TAB' WHEN 'M2' THEN 'LIMIX' WHEN 'M3' THEN 'TABFM' ELSE model END AS model, elo FROM board ORDER BY elo DESC, board.model LIMIT 30)
-SELECT CASE model WHEN 'CHAKRA-TAB' THEN 'hosted' WHEN 'LIMIX' THEN 'nc' WHEN 'TABFM' THEN 'nc' ELSE 'open' END AS licence,
+n AS (SELECT model, elo FROM board ORDER BY elo DESC, model LIMIT 30)
+SELECT CASE WHEN model = 'M1' THEN 'hosted' WHEN model IN ('M2', 'M3') THEN 'nc' ELSE 'open' END AS licence,
   min_by(model, (-elo, model)) AS model, max(elo) AS elo, count(*) AS models FROM n GROUP BY 1""")
 def _(spark, sf):
-    name = F.col("model")
-    renamed = F.when(name == "M1", "CHAKRA-TAB").when(name == "M2", "LIMIX").when(name == "M3", "TABFM").otherwise(name)
-    return rp.best_by_licence(board(spark, sf).withColumn("model", renamed))
+    rows, name = board(spark, sf), F.col("model")
+    models = rows.where(name.isin("M1", "M2", "M3")).select("model", F.when(name == "M1", "hosted").otherwise("nc").alias("licence"))
+    return rp.best_by_licence(rows, models)
 
 
 # ---------------------------------------------------------------- times and single models

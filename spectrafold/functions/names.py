@@ -1,26 +1,14 @@
-"""Families, categories and licence classes of models by name."""
+"""Families, categories and licence classes of models, from a table that the caller keeps."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Name patterns of model families and the family they belong to.
-FAMILIES = (
-    (r"^(REALTABPFN|TABPFN)", "TabPFN"), (r"^TABICL", "TabICL"), (r"^TABDPT", "TabDPT"), (r"MITRA", "Mitra"),
-    (r"^LIMIX", "LimiX"), (r"^KUMO", "Kumo-Tabular"), (r"^CHAKRA", "Chakra-Tab"), (r"^TABFM", "TabFM"),
-    (r"^RAMANPFN$", "RamanPFN"), (r"^SAP_RPT", "SAP-RPT"), (r"EXAONE", "EXAONE"), (r"^NORI", "Nori"),
-)
-# Models whose weights are not licensed for commercial use, and hosted ones.
-NON_COMMERCIAL = (
-    "REALTABPFN-V2.5", "REALTABPFN-V2.6", "TABPFN-V3", "TABPFN-V3.5", "TABPFN-V3.5-FAST", "TABFM", "TABFM-PLUS",
-    "TA-EXAONE-TABULAR", "LIMIX", "LIMIX2", "SAP_RPT_OSS", "CAUSILO", "RAMANPFN",
-)
-HOSTED = ("CHAKRA-TAB", "CHAKRA-TAB-FULL")
-
-
-def family(model: Column, fallback: Column | None = None, patterns=FAMILIES) -> Column:
-    """The first family whose pattern matches; any other model is its own family."""
+def family(model: Column, fallback: Column | None = None, patterns: Sequence[tuple[str, str]] = ()) -> Column:
+    """The first family of *patterns* (regular expression, family) that matches; any other model is its own family."""
     out = None
     for pattern, name in patterns:
         out = F.when(model.rlike(pattern), name) if out is None else out.when(model.rlike(pattern), name)
@@ -33,13 +21,18 @@ def merged_category(category: Column) -> Column:
     return F.when(category.isin("Tree-based", "Gradient Boosting"), "Trees").otherwise(category)
 
 
-def licence(model: Column, non_commercial=NON_COMMERCIAL, hosted=HOSTED) -> Column:
-    return F.when(model.isin(*hosted), "hosted").when(model.isin(*non_commercial), "nc").otherwise("open")
+def with_licence(df: DataFrame, models: DataFrame) -> DataFrame:
+    """Attach the licence class from a *models* table (model, licence); models without one are ``open``."""
+    return df.join(models.select("model", "licence"), "model", "left").withColumn("licence", F.coalesce("licence", F.lit("open")))
+
 
+def with_names(df: DataFrame, models: DataFrame, patterns: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Attach display name, family and category from a *models* table (model, display_name, category; optional family).
 
-def with_names(df: DataFrame, models: DataFrame, patterns=FAMILIES) -> DataFrame:
-    """Attach display name, family and category from a *models* table (model, display_name, category)."""
-    out = df.join(models.select("model", "display_name", F.col("category").alias("_category")), "model", "left")
+    A family named there comes first, then *patterns*.
+    """
+    named = models if "family" in models.columns else models.withColumn("family", F.lit(None).cast("string"))
+    out = df.join(named.select("model", "display_name", F.col("category").alias("_category"), F.col("family").alias("_family")), "model", "left")
     name = F.coalesce("display_name", "model")
-    return out.withColumn("display_name", name).withColumn("family", family(F.col("model"), name, patterns)).withColumn(
-        "category", merged_category(F.coalesce("_category", F.lit("Other")))).drop("_category")
+    return out.withColumn("display_name", name).withColumn("family", F.coalesce("_family", family(F.col("model"), name, patterns))).withColumn(
+        "category", merged_category(F.coalesce("_category", F.lit("Other")))).drop("_category", "_family")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.functions.names import licence, with_names
+from spectrafold.functions.names import with_licence, with_names
 from spectrafold.operators.ordering import HOT_ROWS, has_hot_keys, order_statistic
 from spectrafold.operators.ranking import normalized_scores, per_task
 
@@ -199,9 +199,9 @@ def regret(results: DataFrame, models: Sequence[str] | None = None, within: floa
     return scores.groupBy("model").agg(F.median(r).alias("median_regret"), F.avg((r <= within).cast("double")).alias("share_within"))
 
 
-def best_by_licence(board: DataFrame, n: int = 30) -> DataFrame:
-    """The best model of every licence class among the top *n* by rating."""
-    top = board.orderBy(F.desc("elo"), "model").limit(n).withColumn("licence", licence(F.col("model")))
+def best_by_licence(board: DataFrame, models: DataFrame, n: int = 30) -> DataFrame:
+    """The best model of every licence class (*models*: model, licence) among the top *n* by rating."""
+    top = with_licence(board.orderBy(F.desc("elo"), "model").limit(n), models)
     order = F.struct((-F.col("elo")).alias("e"), "model")
     return top.groupBy("licence").agg(F.min_by("model", order).alias("model"), F.max("elo").alias("elo"), F.count(F.lit(1)).alias("models"))
 
