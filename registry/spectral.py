@@ -161,7 +161,7 @@ def kernel_step(name: str, kernel, sql: str | None = None, source=spectra, digit
 kernel_step("savgol", kernels.savgol, steps.chained([steps.savgol(9, 3, 0)], source="xl", base=SPECTRA))
 kernel_step("savgol_derivative", kernels.savgol_derivative, steps.chained([steps.savgol(11, 2, 1)], source="xl", base=SPECTRA))
 kernel_step("despike", lambda x: kernels.despike(x, threshold=3.0, kernel=3), steps.chained([steps.despike(3.0)], source="xl", base=SPECTRA))
-kernel_step("wavelet_denoise", kernels.wavelet_denoise)
+kernel_step("wavelet_denoise", kernels.wavelet_denoise, steps.chained([steps.wavelet(kernels.WAVELETS["sym7"])], source="xl", base=SPECTRA))
 kernel_step("baseline_asls", kernels.baseline_asls, steps.chained([steps.asls()]), source=positive_spectra)
 kernel_step("baseline_airpls", kernels.baseline_airpls, steps.chained([steps.airpls()]), source=positive_spectra)
 kernel_step("baseline_arpls", kernels.baseline_arpls, steps.chained([steps.arpls()]), source=positive_spectra)
@@ -233,7 +233,7 @@ RECIPE_STEPS = {
     "airpls_snv": [[steps.airpls(), _snv]], "arpls_snv": [[steps.arpls(), _snv]], "sg_rubberband_snv": [[_sg, steps.rubberband, _snv]],
     "crr_snv": [[_crr, _snv]], "sg_d1_snv": [[steps.savgol(11, 2, 1), _snv]], "sg_d2_snv": [[steps.savgol(15, 2, 2), _snv]],
     "all": [[_crr, _sg, _bc, steps.msc, _snv, steps.scaling]], "avgpool": [[steps.avg_pool]], "decimate": [[steps.decimate]],
-    "bc_snv_avgpool": [[_bc, _snv, steps.avg_pool]],
+    "bc_snv_avgpool": [[_bc, _snv, steps.avg_pool]], "wavelet_bc_snv": [[steps.wavelet(kernels.WAVELETS["sym7"]), _bc, _snv]],
     "prep_ensemble": [[_snv], [steps.emsc(4)], [steps.airpls(), _snv], []],
 }
 

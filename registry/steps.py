@@ -6,6 +6,7 @@ output, number of channels); tables are ``name AS (...)`` texts. :func:`chained`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from registry.views import POSITIVE, r
@@ -240,3 +241,42 @@ def despike(threshold: float, kernel: int = 3, passes: int = 4) -> Step:
         out.append(unlisted("y", f"{p}{passes}", p, n))
         return out, f"{p}out", n
     return step
+
+
+# ---------------------------------------------------------------- wavelets
+
+
+def wavelet(taps: tuple[float, ...], level: int = 4) -> Step:
+    """Soft threshold of the details at sigma * sqrt(2 ln n), sigma from the finest ones; edges are mirrored."""
+    def step(name, p, n):
+        f, low = len(taps), list(taps)
+        high = [v * (-1.0 if i % 2 == 0 else 1.0) for i, v in enumerate(low[::-1])]
+        listed = lambda v: "[" + ", ".join(f"{x!r}::DOUBLE" for x in v) + "]"
+        deepest = max(1, min(level, int(math.floor(math.log2(n / (f - 1)))) if n >= f - 1 else 0))
+
+        def analysed(column: str, filter_: list[float], width: int) -> str:
+            at = "(1 - j + 2 * k)"
+            mirrored = f"CASE WHEN {at} < 0 THEN -1 - {at} WHEN {at} >= {width} THEN {2 * width - 1} - {at} ELSE {at} END"
+            return (f"list_transform(range({(width + f - 1) // 2}), lambda k: list_sum(list_transform(range({f}), "
+                    f"lambda j: {listed(filter_)}[j + 1] * {column}[{mirrored} + 1])))")
+
+        def synthesised(column: str, filter_: list[float], width: int) -> str:
+            inner = f"list_transform(list_filter(range({f}), lambda j: (k + {f - 2} - j) % 2 = 0 AND k + {f - 2} - j >= 0 AND (k + {f - 2} - j) // 2 < {width}), lambda j: {listed(filter_)}[j + 1] * {column}[(k + {f - 2} - j) // 2 + 1])"
+            return f"list_transform(range({2 * width - f + 2}), lambda k: coalesce(list_sum({inner}), 0))"
+
+        out, widths, details = [lists(name, p), f"{p}a0 AS (SELECT spectrum_id, y AS a FROM {p}y)"], [n], ""
+        for i in range(deepest):
+            out.append(f"{p}a{i + 1} AS (SELECT spectrum_id{details}, {analysed('a', high, widths[-1])} AS d{i}, {analysed('a', low, widths[-1])} AS a FROM {p}a{i})")
+            widths.append((widths[-1] + f - 1) // 2)
+            details += f", d{i}"
+        out.append(f"{p}r{deepest} AS (SELECT *, list_median(list_transform(d0, lambda v: abs(v))) / 0.6745e0 * {math.sqrt(2.0 * math.log(n))!r}::DOUBLE AS cut FROM {p}a{deepest})")
+        for i in range(deepest - 1, -1, -1):
+            width = widths[i + 1]
+            soft = f"list_transform(d{i}, lambda v: sign(v) * greatest(abs(v) - cut, 0e0))"
+            kept = "".join(f", d{j}" for j in range(i))
+            out.append(f"{p}k{i} AS (SELECT spectrum_id{kept}, cut, a, {soft} AS s FROM {p}r{i + 1})")
+            out.append(f"{p}j{i} AS (SELECT spectrum_id{kept}, cut, {synthesised('a', low[::-1], width)} AS u, {synthesised('s', high[::-1], width)} AS v FROM {p}k{i})")
+            out.append(f"{p}r{i} AS (SELECT spectrum_id{kept}, cut, list_transform(u, lambda x, q: x + v[q]) AS a FROM {p}j{i})")
+        out.append(unlisted(f"a[1:{n}]", f"{p}r0", p, n))
+        return out, f"{p}out", n
+    return step

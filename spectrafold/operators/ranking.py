@@ -22,7 +22,9 @@ from spectrafold.session import materialize
 
 
 def per_task(results: DataFrame) -> DataFrame:
-    """Mean error per (dataset, model) over folds."""
+    """Mean error per (dataset, model) over folds; a table of such errors (dataset, model, error) is handed back."""
+    if "metric_error" not in results.columns:
+        return results
     return results.groupBy("dataset", "model").agg(F.avg("metric_error").alias("error"))
 
 
@@ -208,14 +210,13 @@ def score_group(results: DataFrame, group: str = "all", *, reference_model: str
         data = results.where(F.col("task") == group)
     # Every column of the board reads these rows; compute them once.
     filled = materialize(impute_missing(data, reference_model=reference_model, max_imputed_pct=max_imputed_pct))
-    size = filled.groupBy("model").agg(
-        (F.avg(F.col("imputed").cast("double")) * 100).alias("imputed_pct"), F.count(F.lit(1)).alias("n_cells"))
-    tasks = filled.groupBy("model", "dataset").count().groupBy("model").agg(F.count(F.lit(1)).alias("n_tasks"))
+    errors = materialize(per_task(filled))
+    size = filled.groupBy("model").agg((F.avg(F.col("imputed").cast("double")) * 100).alias("imputed_pct"), F.count_distinct("dataset").alias("n_tasks"))
     board = (
         elo(filled, reference_model=reference_model, rounds=rounds)
-        .join(mean_ranks(filled), "model").join(improvability_interval(filled, rounds), "model").join(winrate(winrate_matrix(filled)), "model")
-        .join(normalized_score(filled), "model").join(median_times(filled, n_splits, hot_rows=hot_rows), "model", "left")
-        .join(size.drop("n_cells"), "model").join(tasks, "model")
+        .join(mean_ranks(errors), "model").join(improvability_interval(errors, rounds), "model").join(winrate(winrate_matrix(errors)), "model")
+        .join(normalized_score(errors), "model").join(median_times(filled, n_splits, hot_rows=hot_rows), "model", "left")
+        .join(size, "model")
         .withColumn("is_reference", F.col("model").isin(*references) if references else F.lit(False))
         .withColumn("evaluated_on", F.lit(group))
     )
