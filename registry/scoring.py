@@ -274,6 +274,38 @@ raw AS ({raw})
 {last}"""
 
 
+def pls_sql(k: int) -> str:
+    """Partial least squares of one output, component by component, on the cross products of the other folds' rows."""
+    tables, dot = [], lambda a, b: f"list_dot_product({a}, {b})"
+    for i in range(k):
+        r_ = "list_transform(v, lambda e: e / n)"
+        for j in range(i):  # w without its part along the components before; p and w keep their meaning
+            r_ = f"list_transform({r_}, lambda e, q: e - {dot(f'p{j}', 'list_transform(v, lambda g: g / n)')} * r{j}[q])"
+        before = "".join(f", r{j}, p{j}, q{j}" for j in range(i))
+        tables += [
+            f"w{i} AS (SELECT f, xx, v, sqrt({dot('v', 'v')}) AS n{before} FROM c{i})",
+            f"o{i} AS (SELECT f, xx, v{before}, {r_} AS r{i} FROM w{i})",
+            f"t{i} AS (SELECT *, list_transform(xx, lambda row_: {dot('row_', f'r{i}')}) AS xr FROM o{i})",
+            f"u{i} AS (SELECT *, {dot(f'r{i}', 'xr')} AS tt FROM t{i})",
+            f"z{i} AS (SELECT f, xx, v, tt{before}, r{i}, list_transform(xr, lambda e: e / tt) AS p{i}, {dot('v', f'r{i}')} / tt AS q{i} FROM u{i})",
+            f"c{i + 1} AS (SELECT f, xx, list_transform(v, lambda e, q: e - tt * p{i}[q] * q{i}) AS v{before}, r{i}, p{i}, q{i} FROM z{i})"]
+    total = " + ".join(f"r{j}[q] * q{j}" for j in range(k))
+    return "WITH" + SPECTRA + f""",
+fs AS (SELECT f FROM range(3) t(f)),
+m AS (SELECT f, channel, avg(x) AS m, stddev_samp(x) AS s FROM xl, fs WHERE spectrum_id % 3 <> f GROUP BY 1, 2),
+tm AS (SELECT f, avg(y) AS tm, stddev_samp(y) AS ts FROM x, fs WHERE spectrum_id % 3 <> f GROUP BY 1),
+c AS (SELECT f, spectrum_id, channel, (x - m) / s AS x FROM xl JOIN m USING (channel) WHERE spectrum_id % 3 <> f),
+xx AS (SELECT a.f, a.channel AS i, list(v ORDER BY j) AS row_ FROM (SELECT a.f, a.channel, b.channel AS j, sum(a.x * b.x) AS v FROM c a JOIN c b USING (f, spectrum_id) GROUP BY 1, 2, 3) a GROUP BY 1, 2),
+xy AS (SELECT c.f, channel AS i, sum(c.x * (y - tm) / ts) AS v FROM c JOIN x USING (spectrum_id) JOIN tm ON tm.f = c.f GROUP BY 1, 2),
+c0 AS (SELECT f, list(row_ ORDER BY i) AS xx, list(v ORDER BY i) AS v FROM xx JOIN xy USING (f, i) GROUP BY 1),
+{", ".join(tables)},
+coef AS (SELECT f, unnest(range(64)) AS channel, unnest(list_transform(range(1, 65), lambda q: {total})) AS b FROM c{k}),
+scaled AS (SELECT f, channel, m, b * ts / s AS b FROM coef JOIN m USING (f, channel) JOIN tm USING (f)),
+icept AS (SELECT f, any_value(tm) - sum(m * b) AS b0 FROM scaled JOIN tm USING (f) GROUP BY 1)
+SELECT CAST(spectrum_id % 3 AS INTEGER) AS fold, spectrum_id, {r('any_value(x.y)')} AS y, {r('sum(xl.x * b) + any_value(b0)')} AS y_pred
+FROM xl JOIN x USING (spectrum_id) JOIN scaled ON f = spectrum_id % 3 AND scaled.channel = xl.channel JOIN icept USING (f) GROUP BY spectrum_id"""
+
+
 def classified(name: str, solver, sql: str | None = None):
     @query(name, sql)
     def _(spark, sf):
@@ -293,7 +325,7 @@ classified("pls_classify", est.pls(10))
 classified("pcr_classify", est.pcr(20))
 classified("pca_lda", est.pca_lda(30))
 regressed("ridge", est.ridge(1.0), ridge_sql(False))
-regressed("pls", est.pls(10))
+regressed("pls", est.pls(10), pls_sql(10))
 regressed("pcr", est.pcr(20))
 
 KNN = SPECTRA + f""",
