@@ -28,7 +28,7 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
 def uniforms(keys: np.ndarray, n: int, stream: int) -> np.ndarray:
     """(rows, n) numbers in (0, 1): counter-based, a function of each row's key, the column and *stream* alone."""
     counters = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_MIX[0])
-    base = _scrambled(keys.astype(np.int64).view(np.uint64) + np.uint64(stream * 2 + 1) * np.uint64(_MIX[2]))
+    base = _scrambled(keys.astype(np.int64).view(np.uint64) + np.uint64((stream * 2 + 1) * _MIX[2] % (1 << 64)))
     return ((_scrambled(base[:, None] + counters[None, :]) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
