@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are held as numpy arrays at a time; a single longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Bytes handed on after which unused memory is given back.
+RELEASE_BYTES = 1 << 25
 
 
 def narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -19,6 +21,26 @@ def narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
 
+def filled(column: pa.Array, value: str | bytes) -> pa.Array:
+    """*column* with *value* for nulls; without nulls it is not copied."""
+    return pc.fill_null(column, value) if column.null_count else column
+
+
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """*run* for mapInArrow, giving memory that Arrow keeps for later back to the system after each batch it has handed on."""
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, size = pa.default_memory_pool(), 0
+        for out in run(batches):
+            size += out.nbytes
+            yield out
+            if size > RELEASE_BYTES:
+                pool.release_unused()
+                size = 0
+        pool.release_unused()
+
+    return wrapped
+
+
 def map_texts(docs: DataFrame, fn: Callable[[pa.Array], dict], schema: str, text_column: str = "text",
               keep_text: bool = False) -> DataFrame:
     """Adds to each row the columns that *fn* computes from its text (null: empty), batch by batch.
@@ -31,7 +53,7 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.Array], dict], schema: str, text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(text_column), "")
+            texts = filled(batch.column(text_column), "")
             for low, high in chunks(texts):
                 added = fn(texts.slice(low, high - low))
                 part = batch.slice(low, high - low)
@@ -39,7 +61,7 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.Array], dict], schema: str, text
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()],
                                                  names=list(columns))
 
-    return docs.mapInArrow(run, f"{fields}, {schema}" if kept else schema)
+    return docs.mapInArrow(released(run), f"{fields}, {schema}" if kept else schema)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,14 +11,14 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from spectrafold.llm.batches import chunks, map_texts
+from spectrafold.llm.batches import chunks, filled, map_texts, released
 
-#: Pairs of tokens and pieces that a worker remembers; beyond, pairs are forgotten, and pieces but those seen lately.
-MAX_PAIRS, MAX_WORDS = 500_000, 150_000
+#: Pairs, merge histories and pieces that a worker remembers, some 60 MB; beyond, pairs and histories are forgotten, and
+#: pieces but those seen lately.
+MAX_PAIRS, MAX_HISTORIES, MAX_WORDS = 200_000, 10_000, 50_000
 #: Places of a piece after which what is settled is emitted.
 WINDOW = 4096
 #: Pieces up to this length are remembered; texts beyond this length are cut piece by piece; ids of a chunk of decoding.
@@ -91,6 +91,8 @@ class Transducer:
             order.append(rank)
             firsts.append(parts[0])
             lasts.append(parts[-1])
+        if len(self.histories) >= MAX_HISTORIES:
+            self.histories.clear()
         found = self.histories[token] = (order, firsts, lasts) if len(parts) == 1 else None
         return found
 
@@ -330,9 +332,9 @@ def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", into: s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             decoder = shared.value.decoder()
-            for low, high in chunks(pc.fill_null(batch.column(ids_column), b"")):
+            for low, high in chunks(filled(batch.column(ids_column), b"")):
                 part = batch.slice(low, high - low)
                 texts = [decoder(np.frombuffer(x or b"", "<u4")) for x in part.column(ids_column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
-    return encoded.mapInArrow(run, f"{fields}, `{into}` string")
+    return encoded.mapInArrow(released(run), f"{fields}, `{into}` string")

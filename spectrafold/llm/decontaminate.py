@@ -6,11 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.batches import LOWER, WORD_BYTES, chunks, flat, mix, narrow, rows_of, span_hashes, spans, window_min
+from spectrafold.llm.batches import LOWER, WORD_BYTES, chunks, filled, flat, mix, narrow, released, rows_of, span_hashes, spans, window_min
 from spectrafold.session import materialize
 
 #: Words of a window; a shared span of so many words is always found.
@@ -73,7 +72,7 @@ def _fingerprint_rows(batches: Iterable[pa.RecordBatch], classes: list[tuple[int
     classes: (k, width) pairs; seen: bits of the benchmark's hashes; other k-grams of the documents can't match.
     """
     for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
+        texts = filled(batch.column("text"), "")
         for low, high in chunks(texts):
             part = texts.slice(low, high - low)
             data, starts, ends, row, first, stop, count = _words(part)
@@ -173,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     def run(batches):
         return _fingerprint_rows(batches, classes, seen, "doc_id", True)
 
-    rows = texts.mapInArrow(run, f"doc_id {kind}, key long, n_words long, {_CANDIDATE}")
+    rows = texts.mapInArrow(released(run), f"doc_id {kind}, key long, n_words long, {_CANDIDATE}")
     items = fps.select("hash", *[F.col(c).alias(f"i_{c}") for c in ("pos", "before", "after")], "need", "items")
     met = rows.join(items, "hash", "left")
     left, right = _prefix(F.col("before"), F.col("i_before")), _prefix(F.col("after"), F.col("i_after"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrafold.llm import suffixes
-from spectrafold.llm.batches import BYTE_VALUES, chunks, flat, mix, powers, rows_of, window_min
+from spectrafold.llm.batches import BYTE_VALUES, chunks, filled, flat, mix, powers, released, rows_of, window_min
 
 #: Bytes of a repeated string, and of the grams of which a window of that length has one as its anchor.
 LENGTH, GRAM = 100, 32
@@ -82,7 +82,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     are copies of it, whatever comes from elsewhere.
     """
     for batch in batches:
-        texts, found = pc.fill_null(batch.column("text"), ""), []
+        texts, found = filled(batch.column("text"), ""), []
         order, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in _OWNER)
         for low, high in chunks(texts):
             data, offsets = flat(texts.slice(low, high - low))
@@ -289,7 +289,7 @@ def _shard_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their removed ranges."""
     for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
+        texts = filled(batch.column("text"), "")
         kept, size, gone, spans = [], [], [], []
         for text, ranges in zip(texts, batch.column("ranges")):
             body = text.as_py().encode()
@@ -324,13 +324,13 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     texts = texts.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("key"))
-    anchors = texts.mapInArrow(_anchor_rows, _ANCHOR_SCHEMA)
+    anchors = texts.mapInArrow(released(_anchor_rows), _ANCHOR_SCHEMA)
     by_hash = anchors.repartition("h").sortWithinPartitions("h", "c", "ord", "key", "start")
     first = by_hash.mapInArrow(_first_strings, _FIRST_SCHEMA)
     spots = first.groupBy(*_OWNER).agg(F.collect_list(F.struct("h", "place", "start", "end", "hot", "kind")).alias("spots"))
-    strings = texts.join(spots, list(_OWNER), "left").mapInArrow(_cut_strings, _STRING_SCHEMA)
+    strings = texts.join(spots, list(_OWNER), "left").mapInArrow(released(_cut_strings), _STRING_SCHEMA)
     ranges = strings.repartition("h").sortWithinPartitions("h").mapInArrow(_shard_ranges, "ord long, key long, start int, end int")
     listed = ranges.groupBy(*_OWNER).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     kind = docs.schema[id_column].dataType.simpleString()
     return texts.join(listed, list(_OWNER), "left").mapInArrow(
-        _keep, f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary")
+        released(_keep), f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary")
