@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.batches import WORD_BYTES, flat, map_texts, mix, rows_of, span_hashes, spans
+from spectrafold.llm.batches import WORD_BYTES, chunks, flat, map_texts, mix, rows_of, span_hashes, spans
 from spectrafold.llm.samples import labelled_sample
 
 # Identity terms that are swapped for one another, by language.
@@ -24,6 +24,8 @@ IDENTITY_TERMS = (
 
 #: Words of a sentence at most, length of the weight table, bytes of the word beginnings that are features beside words.
 SENTENCE, BUCKETS, BEGINNINGS = 16, 1 << 18, (4, 5, 6)
+#: Bytes of text whose features are made at a time for fitting, which is done on the driver.
+CHUNK = 1 << 18
 #: Labelled texts that the model is fitted on: at most this many of each label.
 MAX_TRAIN = 1500
 #: Weight of a squared score change between a sentence and its counterpart with another identity term or none.
@@ -71,11 +73,26 @@ class Sentences:
         self.row = row[self.starts]
         self.rows = len(texts)
 
+    @classmethod
+    def of(cls, texts: pa.Array) -> Sentences:
+        """The same for many texts, made chunk by chunk, as the features need far less memory than their making."""
+        parts, out = [cls(texts.slice(low, high - low)) for low, high in chunks(texts, CHUNK)], cls(texts.slice(0, 0))
+        words = np.cumsum([0, *(p.buckets.shape[1] for p in parts)])
+        rows = np.cumsum([0, *(p.rows for p in parts)])
+        out.buckets = np.concatenate([out.buckets, *(p.buckets for p in parts)], axis=1)
+        out.starts = np.concatenate([out.starts, *(p.starts + w for p, w in zip(parts, words))])
+        out.row = np.concatenate([out.row, *(p.row + r for p, r in zip(parts, rows))])
+        out.rows = int(rows[-1])
+        return out
+
     def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
         """A logit for each sentence."""
         if not len(self.starts):
             return np.zeros(0)
-        each = np.append(weights, 0.0)[self.buckets].sum(axis=0)
+        full = np.append(weights, 0.0)
+        each = full[self.buckets[0]]
+        for part in self.buckets[1:]:
+            each += full[part]
         return np.add.reduceat(each, self.starts) + bias
 
     def highest(self, logits: np.ndarray, bias: float) -> np.ndarray:
@@ -109,15 +126,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 8.0 if len(y) and y[0] else -8.0)
     rng = np.random.default_rng(seed)
-    sent = Sentences(pa.array(texts, pa.string()))
+    sent = Sentences.of(pa.array(texts, pa.string()))
     check = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     used = ~check
     # features that go with the label, and smoothed log odds of their presence in a text as starting weights
     word_row = np.repeat(sent.row, np.diff(np.r_[sent.starts, sent.buckets.shape[1]]))
-    pairs = np.unique(np.concatenate([np.unique(word_row * (BUCKETS + 1) + part) for part in sent.buckets]))
-    pairs = np.stack([pairs // (BUCKETS + 1), pairs % (BUCKETS + 1)])
-    pairs = pairs[:, used[pairs[0]]]
-    has = [np.bincount(pairs[1][y[pairs[0]] == k], minlength=BUCKETS + 1)[:BUCKETS].astype(float) for k in (0, 1)]
+    has = np.zeros((2, BUCKETS + 1))
+    cuts = np.searchsorted(word_row, np.arange(0, len(y) + 100, 100))
+    for low, high in zip(cuts, cuts[1:]):  # texts that have a feature, by label
+        for part in sent.buckets:
+            row, bucket = np.divmod(np.unique(word_row[low:high] * (BUCKETS + 1) + part[low:high]), BUCKETS + 1)
+            for k in (0, 1):
+                has[k] += np.bincount(bucket[used[row] & (y[row] == k)], minlength=BUCKETS + 1)
+    has = has[:, :BUCKETS]
     n0, n1 = float((used & (y == 0)).sum()), float((used & (y == 1)).sum())
     weights = np.log((has[1] + 0.5) / (n1 + 1)) - np.log((has[0] + 0.5 * n0 / max(n1, 1)) / (n0 + 1))
     told = _association(has[1], has[0], n1, n0) >= ASSOCIATION
@@ -167,6 +188,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     held = check if min((y[check] == 1).sum(), (y[check] == 0).sum()) >= 20 else np.ones(len(y), bool)
     top = sent.highest(sent.logits(weights, bias), bias)
     slope, offset = platt(top[held], y[held])
+    pa.default_memory_pool().release_unused()
     return Model(weights, float(bias), slope, offset)
 
 

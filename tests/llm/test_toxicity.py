@@ -67,3 +67,12 @@ def test_repeated_words_do_not_add_up():
     w = np.zeros(tx.BUCKETS)
     w[:] = 1.0
     assert s.highest(s.logits(w, 0.5), 0.5).tolist() == [s.logits(w, 0.5)[1]] * 2 + [0.5]
+
+
+def test_chunks_make_no_difference(monkeypatch):
+    import pyarrow as pa
+    texts = pa.array([f"word{i} again again {'long ' * (i % 40)}" for i in range(200)] + ["", "x"])
+    a, b = tx.Sentences(texts), None
+    monkeypatch.setattr(tx, "CHUNK", 300)
+    b = tx.Sentences.of(texts)
+    assert (a.buckets == b.buckets).all() and (a.starts == b.starts).all() and (a.row == b.row).all() and a.rows == b.rows
