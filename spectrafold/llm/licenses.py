@@ -42,7 +42,7 @@ OTHER = ["Licensed under the Foobar Community License, version 7", "Released und
 
 NONE, UNKNOWN = "none", "unknown"
 #: Words of an n-gram at most, and length of the table of features.
-GRAMS, BUCKETS = 3, 1 << 16
+GRAMS, BUCKETS = 3, 1 << 20
 #: Paragraphs of the corpus that are examples of no license come from at most this many texts.
 MAX_TRAIN, EXAMPLES, STEPS, RATE, SPARSE = 500, 60, 120, 0.5, 2e-4
 #: A paragraph names a family if the classifier and a template's share of n-grams reach these.
@@ -174,6 +174,30 @@ def _predict(model: Model, slots: np.ndarray, owner: np.ndarray, n: int) -> tupl
     return p.argmax(axis=1), p.max(axis=1)
 
 
+def _possible(model: Model, slots: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Paragraphs that may be taken for a license: those for which all that speaks for some family, counted as often as it
+    occurs, outweighs the bias for none. The others can't be; most have next to nothing that speaks for one."""
+    over_none = model.weights[:, 1:] - model.weights[:, :1]
+    gain = np.maximum(over_none.max(axis=1), 0.0)
+    some = np.flatnonzero(gain[slots] > 0)
+    total = np.bincount(owner[some], gain[slots[some]], minlength=n)
+    return np.flatnonzero(total + (model.bias[1:] - model.bias[0]).max() > 0)
+
+
+def _distinct(owner: np.ndarray, grams: np.ndarray, wanted: np.ndarray, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(place in *wanted*, n-gram) of the distinct n-grams of the *wanted* paragraphs (sorted), of those under *mask*."""
+    place = np.full(int(owner.max(initial=0)) + 1, -1)
+    place[wanted] = np.arange(len(wanted))
+    part = place[owner]
+    kept = part >= 0 if mask is None else (part >= 0) & mask
+    part, gram = part[kept], grams[kept]
+    by = np.lexsort((gram, part))
+    part, gram = part[by], gram[by]
+    new = np.ones(len(part), bool)
+    new[1:] = (part[1:] != part[:-1]) | (gram[1:] != gram[:-1])
+    return part[new], gram[new]
+
+
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """A model; paragraphs of at most *max_train* texts, the same ones in any run, show what is no license."""
     found = labelled_sample(docs, docs, id_column, text_column, F.lit(1), max_train)
@@ -195,16 +219,17 @@ def scan(docs: DataFrame, model: Model, text_column: str = "text", into: str = "
         m = shared.value
         grams, owner, row = features(texts)
         slots = m.slot[grams & (BUCKETS - 1)]
-        touched = np.unique(owner[slots > 0])
+        touched = _possible(m, slots, owner, len(row))
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         if len(touched):
-            mine = np.isin(owner, touched)
-            part, gram = np.unique(np.stack([np.searchsorted(touched, owner[mine]), grams[mine]]), axis=1)
+            part, gram = _distinct(owner, grams, touched, slots > 0)
             best, p = _predict(m, m.slot[gram & (BUCKETS - 1)], part, len(touched))
+            taken = np.flatnonzero(best > 0)
+            part, gram = _distinct(owner, grams, touched[taken], None)
+            cuts = np.searchsorted(part, np.arange(len(taken) + 1))
             first = np.searchsorted(row, np.arange(len(texts)))
-            cuts = np.searchsorted(part, np.arange(len(touched) + 1))
-            for i in np.flatnonzero(best > 0).tolist():
-                family, mine = m.names[best[i]], set(gram[cuts[i]:cuts[i + 1]].tolist())
+            for j, i in enumerate(taken.tolist()):
+                family, mine = m.names[best[i]], set(gram[cuts[j]:cuts[j + 1]].tolist())
                 share = confirmed(family, mine)
                 if p[i] < m.least or share < CONFIRM:
                     if not mine & _WORDS:
