@@ -18,10 +18,10 @@ from spectrafold.llm.batches import BYTE_VALUES, chunks, filled, flat, mix, powe
 LENGTH, GRAM = 100, 32
 #: Bytes of the strings that are sorted together, at least; more only where strings of one anchor have more.
 SHARD_BYTES = 1 << 21
-#: Rows of one anchor that a task holds; beyond, its strings are dealt out anew by more of their bytes.
+#: Rows of one anchor that a task holds; beyond, each window of its strings is dealt out by itself.
 HOT_ROWS = 20_000
-#: Neighbouring windows that are dealt out together then; they have LENGTH - HOT_BLOCK + 1 bytes in common.
-HOT_BLOCK = 8
+#: Such windows that are looked at together: only the earliest of equal ones among them is dealt out.
+HOT_WINDOWS = 1 << 18
 
 _OWNER = ("ord", "key")
 _COPIES, _STRINGS = 0, 1
@@ -176,21 +176,58 @@ def _first_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 _FIRST_SCHEMA = "h long, ord long, key long, place int, start int, end int, hot boolean, kind byte"
-_STRING_SCHEMA = "h long, ord long, key long, start int, end int, string binary"
+_STRING_SCHEMA = "h long, c long, ord long, key long, start int, end int, string binary"
+
+
+def _later(h: np.ndarray, c: np.ndarray, order: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows sorted by all of these: which are the first with their hash (h, c), and which start later than it."""
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return new, (order != order[head]) | (key != key[head]) | (start != start[head])
+
+
+def _hot_windows(digests: list[bytes], row: np.ndarray, start: np.ndarray, order: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """The earliest of equal windows, by their *digests* of 16 bytes, and the ranges of the later ones, put together."""
+    h, c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+    by = np.lexsort((start, key[row], order[row], c, h))
+    h, c, row, start = h[by], c[by], row[by], start[by]
+    new, later = _later(h, c, order[row], key[row], start)
+    picked = np.flatnonzero(later)
+    picked = picked[np.lexsort((start[picked], row[picked]))]
+    m_row, m_start, m_end = merged(row[picked], start[picked], start[picked] + LENGTH)
+    k, n = len(m_row), int(new.sum())
+    owner, low = np.r_[row[new], m_row], np.r_[start[new], m_start]
+    return _batch({
+        "h": np.r_[h[new], mix(np.arange(k, dtype=np.uint64) + key[m_row].view(np.uint64)).view(np.int64)],
+        "c": pa.array(np.r_[c[new], np.zeros(k, np.int64)], mask=np.arange(n + k) >= n), "ord": order[owner], "key": key[owner],
+        "start": low.astype(np.int32), "end": np.r_[start[new] + LENGTH, m_end].astype(np.int32), "string": pa.nulls(n + k, pa.binary())})
 
 
 def _cut_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings themselves, from texts with their *spots*; the ranges of copies are put together and handed on."""
+    """The strings themselves, from texts with their *spots*; the ranges of copies are put together and handed on.
+
+    Of a hot anchor's strings, each window by itself: its hash (h, c) and place, once in HOT_WINDOWS of a batch."""
     for batch in batches:
         spots = batch.column("spots")
         have = np.flatnonzero(~np.asarray(spots.is_null()))
         out: dict[str, list] = {n: [] for n in ("h", "ord", "key", "start", "end", "string")}
+        digests: list[bytes] = []
+        hot: list[tuple[int, int, int]] = []  # row, first window, number of windows
 
         def add(h: int, row: int, start: int, end: int, string: bytes | None) -> None:
             for name, value in zip(out, (h, order[row], key[row], start, end, string)):
                 out[name].append(value)
 
-        order, key = (batch.column(c).to_pylist() for c in _OWNER)
+        def dealt() -> pa.RecordBatch:
+            row, first, n = np.array(hot, np.int64).T
+            start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)
+            whole = _hot_windows(digests, np.repeat(row, n), start, *owners)
+            digests.clear()
+            hot.clear()
+            return whole
+
+        owners = [batch.column(c).to_numpy(zero_copy_only=False) for c in _OWNER]
+        order, key = (x.tolist() for x in owners)
         texts = batch.column("text")
         for row in have.tolist():
             part = spots[row].values
@@ -203,16 +240,18 @@ def _cut_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             strings = np.flatnonzero(f["kind"] == _STRINGS)
             body = texts[row].as_py().encode() if len(strings) else b""
             for i in strings.tolist():
-                h, place, a, b = int(f["h"][i]), int(f["place"][i]), int(f["start"][i]), int(f["end"][i])
+                a, b = int(f["start"][i]), int(f["end"][i])
                 if not f["hot"][i]:
-                    add(h, row, a, b, body[a:b])
+                    add(int(f["h"][i]), row, a, b, body[a:b])
                     continue
-                for block in range((place - (b - LENGTH)) // HOT_BLOCK, (place - a) // HOT_BLOCK + 1):
-                    last = place - block * HOT_BLOCK  # windows last - HOT_BLOCK + 1 .. last start in this block
-                    core = xxhash.xxh3_64_intdigest(body[last:last - HOT_BLOCK + 1 + LENGTH], seed=(h + block) % 2**64)
-                    low, high = max(a, last - HOT_BLOCK + 1), min(b, last + LENGTH)
-                    add(core - (core >> 63 << 64), row, low, high, body[low:high])
-        yield _batch({n: pa.array(v, pa.binary() if n == "string" else pa.int32() if n in ("start", "end") else pa.int64()) for n, v in out.items()})
+                digests += [xxhash.xxh3_128_digest(body[w:w + LENGTH]) for w in range(a, b - LENGTH + 1)]
+                hot.append((row, a, b - LENGTH + 1 - a))
+                if len(digests) >= HOT_WINDOWS:
+                    yield dealt()
+        if hot:
+            yield dealt()
+        cut = {n: pa.array(v, pa.binary() if n == "string" else pa.int32() if n in ("start", "end") else pa.int64()) for n, v in out.items()}
+        yield _batch({"h": cut.pop("h"), "c": pa.nulls(len(out["h"]), pa.int64())} | cut)
 
 
 def repeated_windows(strings: list[bytes], order: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +283,11 @@ def repeated_windows(strings: list[bytes], order: np.ndarray, key: np.ndarray, s
 
 
 def _shard_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges (ord, key, start, end) to remove, from strings sorted by h: whole anchors are sorted in shards."""
+    """Ranges (ord, key, start, end) to remove, from rows sorted by h, c, ord, key, start: whole anchors are sorted in shards.
+
+    Of equal windows of hot anchors all but the earliest go; they pass by without being held."""
     held: list[pa.RecordBatch] = []
+    first = None  # the earliest of the last hot window's equals: (h, c, ord, key, start)
 
     def ranges(rows: pa.Table) -> pa.RecordBatch:
         order, key, start = (rows.column(n).to_numpy() for n in ("ord", "key", "start"))
@@ -272,6 +314,16 @@ def _shard_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     waiting = 0
     for batch in batches:
+        single = np.asarray(batch.column("c").is_valid())
+        if single.any():
+            windows = batch.filter(pa.array(single))
+            x = [windows.column(n).to_numpy().astype(np.int64) for n in ("h", "c", *_OWNER, "start")]
+            x = [np.r_[a, b] for a, b in zip(first, x)] if first is not None else x
+            new, later = _later(*x)
+            head = int(np.flatnonzero(new)[-1])
+            first = [a[head:head + 1] for a in x]
+            yield windows.filter(pa.array(later[-windows.num_rows:])).select(["ord", "key", "start", "end"])
+            batch = batch.filter(pa.array(~single))
         whole = np.asarray(batch.column("string").is_null())
         if whole.any():
             yield batch.filter(pa.array(whole)).select(["ord", "key", "start", "end"])
@@ -319,8 +371,8 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Each window of LENGTH bytes belongs to the gram of least hash in it, so that equal windows, wherever they are, get the
     same hash and are judged in the same place. An anchor's string (its windows' bytes) is dealt out by that hash; equal
     strings are counted out first, in their batch and then by hash, so copies are never gathered. The different strings of
-    an anchor are put into shards; a shard's suffix array and permuted common prefixes find the equal windows. An anchor
-    with very many rows is dealt out anew by longer parts of its strings.
+    an anchor are put into shards; a shard's suffix array and permuted common prefixes find the equal windows. Of an
+    anchor with very many rows each window is dealt out by its own hash, once in HOT_WINDOWS of them.
     """
     texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     texts = texts.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64("text").alias("key"))
@@ -329,7 +381,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     first = by_hash.mapInArrow(_first_strings, _FIRST_SCHEMA)
     spots = first.groupBy(*_OWNER).agg(F.collect_list(F.struct("h", "place", "start", "end", "hot", "kind")).alias("spots"))
     strings = texts.join(spots, list(_OWNER), "left").mapInArrow(released(_cut_strings), _STRING_SCHEMA)
-    ranges = strings.repartition("h").sortWithinPartitions("h").mapInArrow(_shard_ranges, "ord long, key long, start int, end int")
+    ranges = strings.repartition("h").sortWithinPartitions("h", "c", "ord", "key", "start").mapInArrow(_shard_ranges, "ord long, key long, start int, end int")
     listed = ranges.groupBy(*_OWNER).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     kind = docs.schema[id_column].dataType.simpleString()
     return texts.join(listed, list(_OWNER), "left").mapInArrow(

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spectrafold.llm import suffix_dedup as sd
@@ -81,6 +82,31 @@ def test_small_gram_makes_many_strings_of_one_anchor(spark, monkeypatch):
     check(spark, rows, 2)
 
 
+def test_one_passage_in_different_neighbourhoods_is_not_gathered(monkeypatch):
+    rng = np.random.default_rng(3)
+    passage, n = "".join(rng.choice(list("abcdefgh "), 300)), 40
+    texts = ["".join(rng.choice(list("stuvw"), 120)) + passage + "".join(rng.choice(list("stuvw"), 120)) for _ in range(n)]
+    monkeypatch.setattr(sd, "HOT_ROWS", 3)
+    owners = pa.table({"ord": np.arange(n), "key": np.arange(n) * 7919})
+    anchors = pa.Table.from_batches(sd._anchor_rows(owners.append_column("text", pa.array(texts)).to_batches()))
+    first = pa.Table.from_batches(sd._first_strings(anchors.sort_by([(c, "ascending") for c in ("h", "c", "ord", "key", "start")]).to_batches(max_chunksize=2)))
+    assert first["hot"].to_numpy().any()
+    spots = [[r for r in first.to_pylist() if r["ord"] == i] for i in range(n)]
+    names, parts = ("h", "place", "start", "end", "hot", "kind"), []
+    kind = pa.list_(pa.struct([first.schema.field(c) for c in names]))
+    whole = owners.append_column("text", pa.array(texts)).append_column("spots", pa.array([[{c: r[c] for c in names} for r in x] for x in spots], kind))
+    for low in (0, n // 2):
+        parts += sd._cut_strings(whole.slice(low, n // 2).combine_chunks().to_batches())
+    cut = pa.Table.from_batches(parts)
+    assert np.unique(cut["h"].to_numpy(), return_counts=True)[1].max() <= 2  # once a batch
+    ranges = pa.Table.from_batches(sd._shard_ranges(cut.sort_by([(c, "ascending") for c in ("h", "c", "ord", "key", "start")]).to_batches(max_chunksize=50)))
+    gone = np.zeros((n, len(texts[0])), bool)
+    for r in ranges.to_pylist():
+        gone[r["ord"], r["start"]:r["end"]] = True
+    want = slow(list(enumerate(texts)))
+    assert all((gone[i] == want[i, t]).all() for i, t in enumerate(texts))
+
+
 def test_empty_table_and_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "a" * 300, "h", 1), (2, "b", None, 2)], "doc_id long, text string, h string, ord int")
     assert {r.doc_id: r.n_removed for r in sd.deduplicate(frame).collect()} == {1: 299, 2: 0}
