@@ -327,7 +327,7 @@ SELECT 'all' AS "group", CASE model WHEN 'M8' THEN 'classification' ELSE 'all' E
 UNION ALL SELECT task, task, count(DISTINCT dataset), model FROM results WHERE NOT (model = 'M8' AND task = 'regression') GROUP BY task, model""")
 def _(spark, sf):
     rows = results(spark, sf).where(~((F.col("model") == "M8") & (F.col("task") == "regression")))
-    return rk.score_all(rows, reference_model=REFERENCE, rounds=5).select("group", "evaluated_on", "n_tasks", "model")
+    return rk.score_all(rows, reference_model=REFERENCE).select("group", "evaluated_on", "n_tasks", "model")
 
 
 def board(spark, sf):

@@ -169,3 +169,12 @@ def test_compare_needs_its_reference_model(spark):
     out = compare(own, ref, protocol, reference_model="other", ratings=False)
     assert {r.model: (r["rank"], r.own) for r in out.board.collect()} == {"mine": (1.0, True), "other": (2.0, False)}
     assert out.coverage.first().tasks_complete == 1 and out.outside.count() == 0
+
+
+def test_score_all_groups_runs_with_default_rounds(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from registry import ranking as registered
+
+    seen, whole = {}, registered.rk.score_all
+    monkeypatch.setattr(registered.rk, "score_all", lambda rows, **kwargs: seen.update(kwargs) or whole(rows, **kwargs))
+    assert "group" in entry.queries()["score_all_groups"](spark, "/root/testdata/sf0.001").columns and "rounds" not in seen
