@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -43,17 +44,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def _fingerprint_column(texts: pa.Array, shingle: int = SHINGLE) -> dict:
+    return {"fp": np.array([fingerprint(t, shingle) for t in texts.to_pylist()], np.uint64).view(np.int64)}
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) of every row: a bit is 1 if it is set in over half of the shingles' XXH64 hashes (seed 42).
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles are *shingle* words (repeats count; the whole
     sequence if it is shorter). No words, empty or null: zero. Repeated rows stay.
     """
-    def run(texts: pa.Array) -> dict:
-        found = np.array([fingerprint(t, shingle) for t in texts.to_pylist()], np.uint64)
-        return {"fp": found.view(np.int64)}
-
-    return map_texts(narrow(docs, id_column, text_column), run, "fp long")
+    return map_texts(narrow(docs, id_column, text_column), partial(_fingerprint_column, shingle=shingle), "fp long")
 
 
 def block_masks(free: int, blocks: int = BLOCKS, same: int = SAME) -> list[int]:
@@ -156,6 +157,13 @@ def near_edges(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return found.distinct()
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """The rows of *prints* (fp, ...) with the root fingerprint of their class."""
+    nodes = prints.select("fp").distinct()
+    roots = connected_components(near_edges(nodes), "a", "b").withColumnRenamed("node", "fp")
+    return prints.join(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the least doc_id that links of at most four bits reach.
 
@@ -164,10 +172,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     linked like others; repeated rows stay. An empty table gives an empty table.
     """
     prints = materialize(fingerprints(docs, id_column, text_column))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_edges(nodes.select("fp")), "a", "b")
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least")
+    placed = _classes(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -176,9 +181,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each class of near-duplicates, with the columns of *docs*: that of the least id.
 
-    Of repeated rows with that id one stays. Rows with a null id can't stand for a class; one of each text stays.
+    A row is known by its id and a hash of all its columns (but maps), so several rows of one id with different texts stand
+    for their own classes, and the choice among them is the same whenever it is made. A row with a null id stands for a
+    class only if no other has an id. Of rows that agree in all columns one stays.
     """
-    classes = near_duplicates(docs, id_column, text_column)
-    named = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(named, F.col(f"`{id_column}`") == F.col("_kept"), "left_semi").dropDuplicates([id_column])
-    return kept.unionByName(docs.filter(F.col(f"`{id_column}`").isNull()).dropDuplicates([text_column]))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), F.xxhash64(*hashed).alias("_key"))
+    prints = materialize(map_texts(keyed, _fingerprint_column, "fp long"))
+    first = _classes(prints).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))).alias("_first"))
+    first = first.select(F.col("_first.doc_id").alias("_kept_id"), F.col("_first._key").alias("_kept_key"))
+    marked = docs.withColumn("_key", F.xxhash64(*hashed))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key"))
+    return marked.join(first, same, "left_semi").dropDuplicates([id_column, "_key"]).drop("_key")

@@ -69,6 +69,16 @@ def test_extra_columns(spark):
     assert kept.columns == frame.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_one_row_of_each_class_stays(spark):
+    shared, other = "these four words and five more", "something else that nobody has written before"
+    rows = [(1, "a first text of its own kind"), (2, other), (2, shared), (3, shared), (None, shared), (None, "only without an id at all"),
+            (None, "only without an id at all"), (4, None), (5, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(
+        [(1, rows[0][1]), (2, other), (2, shared), (None, rows[5][1]), (4, None)], key=repr)
+    assert simhash.keep_first(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 @pytest.mark.parametrize("hot", [4, simhash.HOT_BUCKET])
 def test_edges_connect_like_all_pairs(spark, rng, hot):
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
