@@ -26,9 +26,10 @@ def found(spark, rows, schema="vec_id long, embedding array<double>", every=50):
     return out
 
 
-@pytest.mark.parametrize("path", ["sf0.1"])
-def test_recall_on_given_vectors(spark, path, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 600)
+@pytest.mark.parametrize("block", [600, ann.BLOCK_ROWS])
+def test_recall_on_given_vectors(spark, block, monkeypatch):
+    path = "sf0.1"
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{path}/embeddings.parquet").collect()]
     want, got = brute(*zip(*rows)), found(spark, rows)
     assert set(want) == set(got)
@@ -62,5 +63,16 @@ def test_unusable_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0], 1), (3, [float("nan"), 1.0], 1), (4, [None, 1.0], 1), (5, [float("inf"), 1.0], 1),
             (6, [1.0, 1.0], 1), (6, [1.0, 1.0], 1), (None, [1.0, 0.0], 1), (50, [1.0, 0.0, 0.0], 1), (100, [0.0, 0.0], 1), (7, [], 1)]
     out = found(spark, rows, "vec_id long, embedding array<double>, size int")
-    assert set(out) == {0} and [i for i, _ in out[0]] == [6]
+    assert set(out) == {0} and [i for i, _ in out[0]] == [6, 6]
     assert found(spark, [], "vec_id long, embedding array<double>") == {}
+
+
+def test_repeated_ids_and_extreme_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-160, 1e-161]), (2, [1e151, 0.0]), (3, [1.0, 1.0]), (3, [1.0, 2.0]), (4, [5e-324, 0.0]), (4, [5e-324, 0.0])]
+    out = found(spark, rows)[0]
+    assert [i for i, _ in out] == [2, 4, 4, 1, 3]
+    assert np.allclose([s for _, s in out], [1, 1, 1, 10 / 101 ** 0.5, 0.5 ** 0.5], atol=1e-12)
+    frame = spark.createDataFrame([(50, [1.0, 0.0])] * 3 + [(50, [0.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 3)) for r in ann.nearest(frame, F.col("vec_id") % 50 == 0).collect())
+    of_a_copy, of_the_other = [(1, 50, 1.0), (2, 50, 1.0), (3, 7, 0.707), (4, 50, 0.0)], [(1, 7, 0.707), (2, 50, 0.0), (3, 50, 0.0), (4, 50, 0.0)]
+    assert got == sorted(of_a_copy * 3 + of_the_other)
