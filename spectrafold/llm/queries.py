@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import ann, bpe, decontaminate, langid, licenses, pii, secret_scan, simhash, suffix_dedup, toxicity
+from spectrafold.llm import ann, bpe, decontaminate, langid, licenses, pii, quality, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,11 +88,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules say of each document, the cascade in the order of a sample's rejections per cost."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs, quality.plan(docs, report=_REPORTED), _REPORTED, quality.BASE)
+    return out.select("doc_id", *_REPORTED, (F.col("short") | F.col("repetition")).alias("base_failed"), "kept")
+
+
+_REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 QUERIES = {
     "op1_secrets": op1_secrets, "op2_neighbours": op2_neighbours,
     "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
-    "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash, "op13_quality": op13_quality,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,7 +145,31 @@ per AS (SELECT doc_id, {counts}, string_agg({text}, ',' ORDER BY k, s) {base} AS
 SELECT d.doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN per USING (doc_id)"""
 
 
+_BLANK = r"\x20\x09-\x0D"
+
+
+def _rejects(rule: quality.Rule) -> str:
+    return f"{' + '.join(f'{w} * {f}' for f, w in rule.weights)} > {rule.above}"
+
+
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+p AS (SELECT *, regexp_extract_all(t, '[^{_BLANK}]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS l FROM d),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+covered AS (SELECT r, count(DISTINCT k) AS n FROM (
+    SELECT r, unnest([i, i + 1, i + 2]) AS k FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1) GROUP BY 1),
+tops AS (SELECT r, max(n) AS n FROM (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM p) GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word,
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+        len(list_filter(l, lambda x: regexp_matches(x, '^[{_BLANK}]*[-*•]'))) AS n_bullet_lines,
+        len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[{_BLANK}]*$'))) AS n_ellipsis_lines, coalesce(tops.n, 0) AS n_top_word
+      FROM p LEFT JOIN covered USING (r) LEFT JOIN tops USING (r))
+SELECT doc_id, {", ".join(_REPORTED)}, {" OR ".join(map(_rejects, quality.BASE))} AS base_failed, NOT ({" OR ".join(map(_rejects, quality.RULES))}) AS kept FROM f"""
+
 ORACLES = {
+    "op13_quality": _QUALITY,
     "op6_pii": _pii_sql(),
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
