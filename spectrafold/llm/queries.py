@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import ann, bpe, decontaminate, langid, licenses, pii, quality, secret_scan, simhash, suffix_dedup, toxicity
+from spectrafold.llm import ann, bpe, decontaminate, langid, licenses, pii, quality, secret_scan, simhash, spelling, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form that each word of the documents is a spelling variant of."""
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents")))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the quality rules say of each document, the cascade in the order of a sample's rejections per cost."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,7 +106,7 @@ QUERIES = {
     "op1_secrets": op1_secrets, "op2_neighbours": op2_neighbours,
     "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
-    "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash, "op13_quality": op13_quality,
+    "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash, "op11_spelling": op11_spelling, "op13_quality": op13_quality,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
