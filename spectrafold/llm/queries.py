@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import ann, bpe, decontaminate, langid, licenses, pii, quality, secret_scan, simhash, spelling, suffix_dedup, toxicity
+from spectrafold.llm import ann, bpe, decontaminate, hard_negatives, langid, licenses, pii, quality, secret_scan, simhash, spelling, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each hundredth vector and its five positives, after labels of each seventh have moved on."""
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the quality rules say of each document, the cascade in the order of a sample's rejections per cost."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,7 +113,8 @@ QUERIES = {
     "op1_secrets": op1_secrets, "op2_neighbours": op2_neighbours,
     "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_pii": op6_pii, "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
-    "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash, "op11_spelling": op11_spelling, "op13_quality": op13_quality,
+    "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash, "op11_spelling": op11_spelling,
+    "op12_hard_negatives": op12_hard_negatives, "op13_quality": op13_quality,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -173,7 +181,20 @@ f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
       FROM p LEFT JOIN covered USING (r) LEFT JOIN tops USING (r))
 SELECT doc_id, {", ".join(_REPORTED)}, {" OR ".join(map(_rejects, quality.BASE))} AS base_failed, NOT ({" OR ".join(map(_rejects, quality.RULES))}) AS kept FROM f"""
 
+_NEGATIVES = """
+WITH r AS (SELECT row_number() OVER () AS n, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.n AS a, a.id AS anchor, r.n, r.id, r.label = a.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+      FROM r a JOIN r ON a.n <> r.n AND len(a.v) = len(r.v) WHERE a.id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.n ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.n ORDER BY s.score DESC, s.id) <= 10"""
+
 ORACLES = {
+    "op12_hard_negatives": _NEGATIVES,
     "op13_quality": _QUALITY,
     "op6_pii": _pii_sql(),
     "op8_decontamination": f"""
