@@ -165,7 +165,7 @@ def _rejects(rule: quality.Rule) -> str:
     return f"{' + '.join(f'{w} * {f}' for f, w in rule.weights)} > {rule.above}"
 
 
-_QUALITY = f"""
+_QUALITY = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 p AS (SELECT *, regexp_extract_all(t, '[^{_BLANK}]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS l FROM d),
 windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
