@@ -1,21 +1,23 @@
 """Metrics per (task, fold, model) from prediction tables, as two-level aggregates.
 
-Predictions are reduced to small tables first (confusion counts, distinct scores, sums), with partial
-aggregation in the map tasks, so a (task, fold, model) with a third of all rows is not one task's work.
-NULL means "does not apply".
+Predictions are counted by truth and prediction first (:func:`prediction_cells`), with partial aggregation in the map
+tasks; all metrics come from these cells. Nothing runs before the plan does, and a (task, fold, model) with a third of
+all rows is not one task's work. NULL means "does not apply".
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectrafold.functions.arrays import dot, let
 from spectrafold.functions.metrics import FLOAT32_EPS, METRICS, full_proba, predicted_class, total_proba
-from spectrafold.operators.ordering import HOT_ROWS, average_ranks, exact_median, has_hot_keys, running_totals, with_values
+from spectrafold.operators.ordering import HOT_ROWS, ordered
 
 KEYS = ("task", "fold", "model")
 LABEL_METRICS = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro",
@@ -27,6 +29,24 @@ def ratio(a, b) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
+def prediction_cells(predictions: DataFrame, keys: Sequence[str] = KEYS, task_type: str | None = None) -> DataFrame:
+    """(keys, y_true, y_pred or proba or both, regression, n): how often each key has each truth and prediction.
+
+    All metrics are functions of these counts, and counts of parts of the rows add up, so they are also what a stream keeps.
+    *task_type* says what all rows are (only the column it needs is read), else ``problem_type`` does. Whether a cell is of a
+    regression is an aggregate on purpose: a filter on it stays above the exchange, which both kinds then share; and rows with
+    a null key, truth or prediction, which take no part, are left out before it for the same reason.
+    """
+    used = [x for x in {"classification": ["proba"], "regression": ["y_pred"]}.get(task_type, ["y_pred", "proba"]) if x in predictions.columns]
+    kind = F.lit(task_type == "regression") if task_type else F.col("problem_type") == "regression"
+    plain = {x for x in ("y_true", *used) if x == "proba" or predictions.schema[x].dataType == T.DoubleType()}  # no needless alias: it would tell branches apart
+    rows = predictions.select(*keys, *[x if x in plain else F.col(x).cast("double").alias(x) for x in ("y_true", *used)], kind.alias("regression"))
+    there = {"y_pred": F.col("regression"), "proba": ~F.col("regression")}
+    given = reduce(lambda a, b: a | b, [there[x] & F.col(x).isNotNull() for x in used]) if not task_type else F.col(used[0]).isNotNull()
+    rows = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*keys, "y_true")]) & given)
+    return rows.groupBy(*keys, "y_true", *used).agg(F.max("regression").alias("regression"), F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- labels
 
 
@@ -90,33 +110,31 @@ def label_metrics(counts: DataFrame, keys: Sequence[str] = KEYS, sums: Sequence[
 # ---------------------------------------------------------------- probabilities
 
 
+def auc_of_cells(cells: DataFrame, keys: Sequence[str] = KEYS, average: str = "macro", *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """:func:`roc_auc` of :func:`prediction_cells`."""
+    keys, c = list(keys), F.col
+    several = F.size("proba") > 2
+    scores = cells.select(*keys, "y_true", "n", several.alias("_many"), F.when(several, total_proba(c("proba"))).otherwise(1.0).alias("_t"),
+                          F.posexplode(F.when(F.size("proba") == 2, F.slice("proba", 2, 1)).otherwise(c("proba"))).alias("_pos", "_s"))
+    scores = scores.withColumns({"_class": F.when(c("_many"), c("_pos")).otherwise(1), "_score": c("_s") / c("_t")})
+    scores = scores.select(*keys, "_class", "_score", "n", F.when(c("y_true") == c("_class"), c("n")).otherwise(F.lit(0).cast("long")).alias("p"))
+    run = ordered(scores, [*keys, "_class"], {"s": "_score"}, ["n", "p"], hot_rows=hot_rows)
+    below = c("s_n_before") - c("s_p_before") + (c("s_n_ties") - c("s_p_ties")) / 2.0
+    per_class = run.groupBy(*keys, "_class").agg(F.sum(c("p") * below).alias("_u"), F.sum("p").cast("double").alias("_pos"), F.sum("n").cast("double").alias("_all"))
+    auc = per_class.withColumn("_neg", c("_all") - c("_pos")).withColumn("_auc", F.when((c("_pos") > 0) & (c("_neg") > 0), c("_u") / (c("_pos") * c("_neg"))))
+    weight = F.lit(1.0) if average == "macro" else c("_pos")
+    return auc.groupBy(*keys).agg(
+        F.when(F.count("_auc") == F.count(F.lit(1)), F.sum(c("_auc") * weight) / F.sum(weight)).alias("roc_auc"))
+
+
 def roc_auc(predictions: DataFrame, keys: Sequence[str] = KEYS, average: str = "macro", *,
-              y_true: str = "y_true", proba: str = "proba", hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
-    """ROC AUC from ranks over distinct scores: binary, or one-vs-rest averaged over classes.
+            y_true: str = "y_true", proba: str = "proba", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """ROC AUC from ranks of scores: binary, or one-vs-rest averaged over classes.
 
     NULL when a class has no test row or the fold has one class only.
     """
-    keys = list(keys)
-    if split is None:
-        split = has_hot_keys(predictions, keys, hot_rows)
-    width = F.size(proba)
-    scores = predictions.select(*keys, y_true, proba, width.alias("_width"), F.when(width > 2, total_proba(F.col(proba))).otherwise(1.0).alias("_t"))
-    scores = scores.select(*keys, y_true, "_width", "_t", F.posexplode(F.when(F.col("_width") == 2, F.slice(proba, 2, 1)).otherwise(F.col(proba))).alias("_pos", "_s"))
-    scores = scores.withColumn("_score", F.col("_s") / F.col("_t"))
-    cls = F.when(F.col("_width") <= 2, F.lit(1)).otherwise(F.col("_pos"))
-    scores = scores.withColumn("_class", cls)
-    distinct = scores.groupBy(*keys, "_class", "_score").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(y_true) == F.col("_class")).alias("_p"))
-    run = running_totals(distinct, [*keys, "_class"], "_score", ["_n", "_p"], hot_rows=hot_rows, split=split)
-    negatives = F.col("_n") - F.col("_p")
-    below = F.col("_n_before") - F.col("_p_before") + negatives / 2.0
-    per_class = run.groupBy(*keys, "_class").agg(
-        F.sum(F.col("_p") * below).alias("_u"), F.max("_p_total").cast("double").alias("_pos"), F.max("_n_total").cast("double").alias("_all"))
-    auc = per_class.withColumn("_neg", F.col("_all") - F.col("_pos")).withColumn(
-        "_auc", F.when((F.col("_pos") > 0) & (F.col("_neg") > 0), F.col("_u") / (F.col("_pos") * F.col("_neg"))))
-    weight = F.lit(1.0) if average == "macro" else F.col("_pos")
-    return auc.groupBy(*keys).agg(
-        F.when(F.count("_auc") == F.count(F.lit(1)), F.sum(F.col("_auc") * weight) / F.sum(weight)).alias("roc_auc"))
+    rows = predictions.select(*keys, F.col(y_true).alias("y_true"), F.col(proba).alias("proba"))
+    return auc_of_cells(prediction_cells(rows, keys, "classification"), keys, average, hot_rows=hot_rows)
 
 
 def probability_losses(y: Column, proba: Column) -> Column:
@@ -131,86 +149,64 @@ def probability_losses(y: Column, proba: Column) -> Column:
         F.element_at(p, y.cast("int") + 1), lambda own: parts(p, t, own))))
 
 
-def classification_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, average: str = "macro", hot_rows: int = HOT_ROWS,
-                           split: bool | None = None) -> DataFrame:
-    """One row per key with every classification metric. Input: y_true (class index), proba."""
-    keys = list(keys)
-    rows = predictions.select(
-        *keys, F.col("y_true").cast("int").alias("y_true"), predicted_class(F.col("proba")).alias("y_pred"),
-        probability_losses(F.col("y_true"), F.col("proba")).alias("_l"))
-    counts = rows.groupBy(*keys, "y_true", "y_pred").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_l.ll").alias("_ll"), F.sum("_l.b").alias("_b"), F.sum("_l.rl").alias("_rl"))
-    found = label_metrics(counts, keys, ("_ll", "_b", "_rl"))
-    found = found.withColumns({name: F.col(x) / F.col("n_test") for name, x in (
-        ("log_loss", "_ll"), ("brier", "_b"), ("log_loss_renormalized", "_rl"))}).drop("_ll", "_b", "_rl")
-    return found.join(roc_auc(predictions, keys, average, hot_rows=hot_rows, split=split), keys)
+def classification_of_cells(cells: DataFrame, keys: Sequence[str] = KEYS, *, average: str = "macro", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """:func:`classification_metrics` of :func:`prediction_cells`."""
+    keys, losses = list(keys), {"_ll": "_l.ll", "_b": "_l.b", "_rl": "_l.rl"}
+    rows = cells.select(*keys, F.col("y_true").cast("int").alias("y_true"), predicted_class(F.col("proba")).alias("y_pred"), "n",
+                        probability_losses(F.col("y_true"), F.col("proba")).alias("_l"))
+    counts = rows.groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"), *[F.sum(F.col(x) * F.col("n")).alias(k) for k, x in losses.items()])
+    found = label_metrics(counts, keys, tuple(losses))
+    found = found.withColumns({name: F.col(x) / F.col("n_test") for name, x in zip(("log_loss", "brier", "log_loss_renormalized"), losses)}).drop(*losses)
+    return found.join(auc_of_cells(cells, keys, average, hot_rows=hot_rows), keys)
 
 
-# ---------------------------------------------------------------- regression
-
+def classification_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, average: str = "macro", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per key with every classification metric. Input: y_true (class index), proba."""
+    return classification_of_cells(prediction_cells(predictions, keys, "classification"), keys, average=average, hot_rows=hot_rows)
 
-def distinct_pairs(predictions: DataFrame, keys: Sequence[str] = KEYS, a: str = "y_true", b: str = "y_pred") -> DataFrame:
-    """Rows per distinct pair of values, as ``_w``."""
-    return predictions.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_w"))
 
+# ---------------------------------------------------------------- regression
 
-def rank_correlation(predictions: DataFrame, keys: Sequence[str] = KEYS, a: str = "y_true", b: str = "y_pred",
-                     name: str = "spearman_r", *, pairs: DataFrame | None = None, hot_rows: int = HOT_ROWS, split: bool | None = None) -> DataFrame:
-    """Spearman: correlation of average ranks; NULL when a side is constant.
 
-    Rows are counted per distinct pair (or given so, as *pairs*); ranks are computed on distinct values and looked up. Without hot groups
-    both ranks are windows over the distinct pairs.
-    """
-    keys = list(keys)
-    if split is None:
-        split = has_hot_keys(predictions, keys, hot_rows)
-    pairs = base = distinct_pairs(predictions, keys, a, b) if pairs is None else pairs
-    group = W.partitionBy(*keys)
-    for side in (a, b):
-        if not split:
-            ties, below = F.sum("_w").over(W.partitionBy(*keys, side)), F.sum("_w").over(group.orderBy(side).rangeBetween(W.unboundedPreceding, 0))
-            pairs = pairs.withColumn(f"_r_{side}", F.struct((below - (ties - 1) / 2.0).alias("r"), F.sum("_w").over(group).alias("n")))
-            continue
-        values = base.groupBy(*keys, side).agg(F.sum("_w").alias("_k"))
-        ranks = average_ranks(values, keys, side, "_k", f"_r_{side}", hot_rows=hot_rows, split=True).select(
-            *keys, side, "_k", F.struct(F.col(f"_r_{side}").alias("r"), F.col("_k_total").alias("n")).alias(f"_r_{side}"))
-        other = b if side == a else a
-        pairs = with_values(pairs, ranks, [*keys, side], [f"_r_{side}"])
-    middle = (F.col(f"_r_{a}.n") + 1) / 2.0
-    da, db, w = F.col(f"_r_{a}.r") - middle, F.col(f"_r_{b}.r") - middle, F.col("_w")
-    out = pairs.groupBy(*keys).agg(F.sum(w * da * db).alias("_ab"), F.sum(w * da * da).alias("_aa"), F.sum(w * db * db).alias("_bb"))
-    return out.select(*keys, F.when((F.col("_aa") > 0) & (F.col("_bb") > 0), F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).alias(name))
-
-
-def regression_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, ranks: bool = True, hot_rows: int = HOT_ROWS,
-                       split: bool | None = None) -> DataFrame:
-    """One row per key with every regression metric (without *ranks*: no Spearman). Input: y_true, y_pred."""
-    keys = list(keys)
-    if split is None:
-        split = has_hot_keys(predictions, keys, hot_rows)
-    y, p = F.col("y_true"), F.col("y_pred")
-    e = y - p
-    c = F.col
-    sums = predictions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_test"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
-        F.max(F.abs(e)).alias("max_error"), F.var_pop(y).alias("_vy"), F.var_pop(p).alias("_vp"), F.var_pop(e).alias("_ve"),
-        F.covar_pop(y, p).alias("_cov"), F.stddev_samp(y).alias("_sd"), F.avg(F.abs(y)).alias("_size"),
+def regression_of_cells(cells: DataFrame, keys: Sequence[str] = KEYS, *, ranks: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """:func:`regression_metrics` of :func:`prediction_cells`: one pass for means and split points, one for ranks and sums."""
+    keys, c = list(keys), F.col
+    y, p, n = c("y_true"), c("y_pred"), c("n")
+    rows = cells.select(*keys, "y_true", "y_pred", "n", F.abs(y - p).alias("_e"))
+    sums = {"n_test": F.sum("n"), "_sum_y": F.sum(y * n), "_sum_p": F.sum(p * n)}
+    rows = ordered(rows, keys, {"e": "_e"} | ({"y": "y_true", "p": "y_pred"} if ranks else {}), ["n"], also=sums, hot_rows=hot_rows)
+    total, e = c("n_test"), y - p
+    dy, dp = y - c("_sum_y") / total, p - c("_sum_p") / total
+    mean = lambda x: F.sum(x * n) / F.first("n_test")
+    covers = lambda at: (c("e_n_before") < at) & (c("e_n_before") + c("e_n_ties") >= at)
+    middle = F.when(covers(F.floor((total + 1) / 2)) | covers(F.floor(total / 2) + 1), c("_e"))
+    of_ranks = {}
+    if ranks:
+        ry, rp = (c(f"{k}_n_before") + (c(f"{k}_n_ties") - total) / 2.0 for k in ("y", "p"))  # average ranks less their mean
+        of_ranks = {"_ryp": F.sum(n * ry * rp), "_ryy": F.sum(n * ry * ry), "_rpp": F.sum(n * rp * rp)}
+    found = rows.groupBy(*keys).agg(
+        F.first("n_test").alias("n_test"), mean(e * e).alias("mse"), mean(F.abs(e)).alias("mae"), F.max("_e").alias("max_error"),
+        mean(dy * dy).alias("_vy"), mean(dp * dp).alias("_vp"), mean((dy - dp) * (dy - dp)).alias("_ve"), mean(dy * dp).alias("_cov"), mean(F.abs(y)).alias("_size"),
         F.min(y).alias("_low"), F.max(y).alias("_high"), F.min(p).alias("_plow"), F.max(p).alias("_phigh"),
-        (F.avg(F.when(y != 0, F.abs(e / y))) * 100).alias("_mape"))
+        (F.sum(F.when(y != 0, F.abs(e / y) * n)) / F.sum(F.when(y != 0, n)) * 100).alias("_mape"),
+        ((F.min(middle) + F.max(middle)) / 2).alias("median_ae"), *[x.alias(k) for k, x in of_ranks.items()])
     flat, pflat = c("_low") == c("_high"), c("_plow") == c("_phigh")
     share = lambda part, whole: F.when(~flat, 1 - part / whole).when(part == 0, 1.0).otherwise(0.0)
-    out = sums.select(
+    spread = F.when(c("n_test") > 1, F.sqrt(c("_vy") * c("n_test") / (c("n_test") - 1)))
+    return found.select(
         *keys, "n_test", "mse", F.sqrt("mse").alias("rmse"), "mae", "max_error",
         share(c("mse"), c("_vy")).alias("r2"),
         F.when(~flat & (F.sqrt("_vy") >= 1e-3 * c("_size")), 1 - c("mse") / c("_vy")).alias("r2_guarded"),
         share(c("_ve"), c("_vy")).alias("explained_variance"),
         F.when(~flat & ~pflat, c("_cov") / F.sqrt(c("_vy") * c("_vp"))).alias("pearson_r"),
-        F.when(c("mse") > 0, c("_sd") / F.sqrt("mse")).alias("rpd"),
-        F.coalesce("_mape", F.lit(0.0)).alias("mape"))
-    pairs = distinct_pairs(predictions, keys)  # one shuffle for the median and both ranks
-    errors = pairs.select(*keys, F.abs(e).alias("_e"), "_w")
-    out = out.join(exact_median(errors, keys, "_e", "median_ae", weight="_w", hot_rows=hot_rows, split=split), keys)
-    return out.join(rank_correlation(predictions, keys, pairs=pairs, hot_rows=hot_rows, split=split), keys) if ranks else out
+        F.when(c("mse") > 0, spread / F.sqrt("mse")).alias("rpd"),
+        F.coalesce("_mape", F.lit(0.0)).alias("mape"), "median_ae",
+        *([F.when((c("_ryy") > 0) & (c("_rpp") > 0), c("_ryp") / F.sqrt(c("_ryy") * c("_rpp"))).alias("spearman_r")] if ranks else []))
+
+
+def regression_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, ranks: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per key with every regression metric (without *ranks*: no Spearman). Input: y_true, y_pred."""
+    return regression_of_cells(prediction_cells(predictions, keys, "regression"), keys, ranks=ranks, hot_rows=hot_rows)
 
 
 # ---------------------------------------------------------------- both
@@ -225,21 +221,23 @@ def registered_metrics(predictions: DataFrame, task_type: str, keys: Sequence[st
     return predictions.groupBy(*keys).agg(*[m.aggregate(*args).alias(n) for n, m in custom.items()])
 
 
-def fold_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per key and every registry metric. ``problem_type`` says which kind a prediction row is; without
-    a ``proba`` column there is only regression."""
+def metrics_of_cells(cells: DataFrame, keys: Sequence[str] = KEYS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """:func:`fold_metrics` of :func:`prediction_cells`."""
     keys = list(keys)
     wanted = lambda task: [n for n, m in METRICS.items() if m.aggregate is None and m.task == task]
-    split = has_hot_keys(predictions, keys, hot_rows)
-    reg = predictions.where(F.col("problem_type") == "regression")
-    r = regression_metrics(reg, keys, hot_rows=hot_rows, split=split).select(*keys, *wanted("regression"))
-    if "proba" not in predictions.columns:
+    r = regression_of_cells(cells.where("regression"), keys, hot_rows=hot_rows).select(*keys, *wanted("regression"))
+    if "proba" not in cells.columns:
         return r.select(*keys, *[F.lit(None).cast("double").alias(n) for n in wanted("classification")], *wanted("regression"))
-    clf = predictions.where(F.col("problem_type") != "regression")
-    k = classification_metrics(clf, keys, hot_rows=hot_rows, split=split).select(*keys, *wanted("classification"))
+    k = classification_of_cells(cells.where("not regression"), keys, hot_rows=hot_rows).select(*keys, *wanted("classification"))
     return k.unionByName(r, allowMissingColumns=True)
 
 
+def fold_metrics(predictions: DataFrame, keys: Sequence[str] = KEYS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per key and every registry metric. ``problem_type`` says which kind a prediction row is; without
+    a ``proba`` column there is only regression. The input is read once; every metric comes from its cells."""
+    return metrics_of_cells(prediction_cells(predictions, keys), keys, hot_rows=hot_rows)
+
+
 def compute_metrics(predictions: DataFrame, task_type: str, keys: Sequence[str] = KEYS, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The summary metrics of one task type (weighted averages for classification)."""
     keys = list(keys)

@@ -23,6 +23,8 @@ HOT_ROWS = 1_000_000
 MEDIAN_ROWS = 100_000
 #: Hex digits of the hash prefix that names a bucket, at least; groups with more rows have more.
 PREFIX = 3
+#: Split points of one hot key in :func:`ordered` at most.
+SPLITS = 511
 #: Sampled values per split point.
 OVERSAMPLE = 64
 
@@ -126,6 +128,70 @@ def running_totals(
     return b.drop("_b", *[f"_{c}_off" for c in cols], *[f"_{c}_all" for c in cols])
 
 
+def ordered(rows: DataFrame, keys: Sequence[str], values: dict[str, str], weights: Sequence[str], *, also: dict[str, Column] | None = None,
+            hot_rows: int = HOT_ROWS) -> DataFrame:
+    """*rows* with, for each name and column of *values* and each weight, ``<name>_<weight>_before`` (its sum over the key's
+    rows of smaller value) and ``<name>_<weight>_ties`` (over those of equal value), and the aggregates *also* of the key.
+
+    The plan is fixed: nothing is looked at before it runs. Keys of up to *hot_rows* rows meet in one exchange and are sorted
+    once for each value; hot keys, of which there are at most rows / *hot_rows*, are split by :func:`_in_ranges`. Without any,
+    adaptive execution drops that branch. Keys and values are not null; *rows* should know that (by a filter), or joins that find
+    it out make the exchanges below differ, and they are run for each branch.
+    """
+    keys, also = list(keys), also or {}
+    hot = rows.groupBy(*keys).agg(_all_rows(rows, keys).alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")  # a semi or anti join would be pushed below that exchange
+    group, kept = W.partitionBy(*keys), [*rows.columns, *also]
+    cells = [(v, c, w, f"{v}_{w}") for v, c in values.items() for w in weights]
+    plain = marked.where(F.col("_hot").isNull()).drop("_hot").select(
+        "*", *[a.over(group).alias(k) for k, a in also.items()],
+        *[F.sum(w).over(group.orderBy(c).rangeBetween(W.unboundedPreceding, 0)).alias(f"{x}_before") for v, c, w, x in cells],
+        *[F.sum(w).over(W.partitionBy(*keys, c)).alias(f"{x}_ties") for v, c, w, x in cells])
+    split = _in_ranges(marked.where("_hot").drop("_hot"), keys, values, weights, also, hot_rows)
+    both = plain.unionByName(split)  # so far with the ties
+    return both.select(*kept, *[f"{x}_ties" for *_, x in cells], *[(F.col(f"{x}_before") - F.col(f"{x}_ties")).alias(f"{x}_before") for *_, x in cells])
+
+
+def _all_rows(rows: DataFrame, keys: Sequence[str]) -> Column:
+    """Number of rows, by looking at every column: so no branch of a plan prunes one, and all share the exchange below."""
+    return F.count_if(F.hash(*[F.col(c) for c in rows.columns if c not in keys]) <= (1 << 31) - 1)
+
+
+def _up_to(value: str):
+    return lambda x: x <= F.col(value)
+
+
+def _in_ranges(rows: DataFrame, keys: list[str], values: dict[str, str], weights: Sequence[str], also: dict[str, Column], hot_rows: int) -> DataFrame:
+    """:func:`ordered` for hot keys. A sketch of a key's values gives a split point about every *hot_rows* rows, up to SPLITS
+    of them; rows are summed within their ranges, and what lies in the ranges before is added, so that where the split points
+    lie changes no result."""
+    names = list(values)
+    points = F.expr(f"cast(split('{','.join(repr(i / (SPLITS + 1)) for i in range(1, SPLITS + 1))}', ',') as array<double>)")
+    n_splits = F.least(F.lit(SPLITS), F.floor(_all_rows(rows, keys) / float(hot_rows)).cast("int"))
+    found = rows.groupBy(*keys).agg(
+        n_splits.alias("_n"), *[F.percentile_approx(c, points, 4 * SPLITS).alias(f"_s_{v}") for v, c in values.items()],
+        *[a.alias(k) for k, a in also.items()])
+
+    def chosen(points: str) -> Column:  # as many points as the key's rows need, spread evenly
+        place = lambda i: F.floor(i * (SPLITS + 1) / (F.col("_n") + 1)).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.element_at(points, place(i)))
+
+    found = found.select(*keys, *also, *[chosen(f"_s_{v}").alias(f"_s_{v}") for v in names])
+    buckets = [F.size(F.filter(f"_s_{v}", _up_to(c))).alias(f"_b_{v}") for v, c in values.items()]
+    placed = rows.join(found, keys).select(*rows.columns, *also, *buckets)
+    ranges = placed.select(*keys, *weights, F.explode(F.array(*[F.struct(F.lit(i).alias("v"), F.col(f"_b_{v}").alias("b")) for i, v in enumerate(names)])).alias("_r"))
+    ranges = ranges.groupBy(*keys, "_r").agg(*[F.sum(w).alias(w) for w in weights])
+    below = W.partitionBy(*keys, "_r.v").orderBy("_r.b").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "_r", F.struct(*[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(w) for w in weights]).alias("_o"))
+    offsets = ranges.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_o"))).alias("_o"))
+    out = []
+    for i, (v, c) in enumerate(values.items()):
+        inside, equal = W.partitionBy(*keys, f"_b_{v}").orderBy(c).rangeBetween(W.unboundedPreceding, 0), W.partitionBy(*keys, f"_b_{v}", c)
+        offset = F.element_at("_o", F.struct(F.lit(i).alias("v"), F.col(f"_b_{v}").alias("b")))
+        out += [(F.sum(w).over(inside) + offset[w]).alias(f"{v}_{w}_before") for w in weights] + [F.sum(w).over(equal).alias(f"{v}_{w}_ties") for w in weights]
+    return placed.join(offsets, keys).select(*rows.columns, *also, *out)
+
+
 def average_ranks(v: DataFrame, keys: Sequence[str], value: str, n: str, name: str, *, hot_rows: int = HOT_ROWS,
                   split: bool | None = None) -> DataFrame:
     """Rows (keys, value, n copies) with the rank their copies share: mean position, 1-based."""

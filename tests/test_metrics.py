@@ -113,3 +113,37 @@ def test_registering(spark):
         with pytest.raises(ValueError):
             bad()
     assert "bias" not in METRICS
+
+
+def test_one_read_and_no_job_before_the_action(spark, tmp_path):
+    rows = [("t", f, m, "regression", float(i), i + 0.5 * f, None) for i in range(20) for f in (0, 1) for m in "ab"]
+    rows += [("u", 0, "a", "binary", float(i % 2), None, [0.3 + 0.02 * i]) for i in range(20)]
+    spark.createDataFrame(rows, "task string, fold int, model string, problem_type string, y_true double, y_pred double, proba array<double>").write.parquet(f"{tmp_path}/p")
+    source = spark.read.parquet(f"{tmp_path}/p")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.sparkContext.setJobGroup("plan", "while the plan is made")
+    try:
+        out = fm.fold_metrics(source)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    assert out.count() == 5
+
+
+def test_rows_of_hot_keys_are_summed_in_ranges(spark, rng):
+    from collections import defaultdict
+
+    from spectrafold.operators.ordering import ordered
+    rows = [("h", float(v), int(w)) for v, w in zip(rng.integers(0, 60, 400), rng.integers(1, 4, 400))] + [("c", 1.0, 2), ("c", 1.0, 5), ("c", 0.5, 1)]
+    frame = spark.createDataFrame(rows, "k string, v double, w int")
+    got = ordered(frame, ["k"], {"v": "v"}, ["w"], also={"total": F.sum("w")}, hot_rows=25).collect()
+    sums = defaultdict(int)
+    for k, v, w in rows:
+        sums[k, v] += w
+    for r in got:
+        assert (r.v_w_before, r.v_w_ties) == (sum(n for (k, v), n in sums.items() if k == r.k and v < r.v), sums[r.k, r.v])
+        assert r.total == sum(n for (k, _), n in sums.items() if k == r.k)
+    assert len(got) == len(rows)
