@@ -129,27 +129,29 @@ def running_totals(
 
 
 def ordered(rows: DataFrame, keys: Sequence[str], values: dict[str, str], weights: Sequence[str], *, also: dict[str, Column] | None = None,
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+            hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """*rows* with, for each name and column of *values* and each weight, ``<name>_<weight>_before`` (its sum over the key's
     rows of smaller value) and ``<name>_<weight>_ties`` (over those of equal value), and the aggregates *also* of the key.
 
     The plan is fixed: nothing is looked at before it runs. Keys of up to *hot_rows* rows meet in one exchange and are sorted
     once for each value; hot keys, of which there are at most rows / *hot_rows*, are split by :func:`_in_ranges`. Without any,
-    adaptive execution drops that branch. Keys and values are not null; *rows* should know that (by a filter), or joins that find
+    adaptive execution drops that branch; with *hot_rows* None, who calls knows that there are none. Keys and values are not null; *rows* should know that (by a filter), or joins that find
     it out make the exchanges below differ, and they are run for each branch.
     """
     keys, also = list(keys), also or {}
-    hot = rows.groupBy(*keys).agg(_all_rows(rows, keys).alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    marked = rows.join(F.broadcast(hot), keys, "left")  # a semi or anti join would be pushed below that exchange
     group, kept = W.partitionBy(*keys), [*rows.columns, *also]
     cells = [(v, c, w, f"{v}_{w}") for v, c in values.items() for w in weights]
-    plain = marked.where(F.col("_hot").isNull()).drop("_hot").select(
-        "*", *[a.over(group).alias(k) for k, a in also.items()],
-        *[F.sum(w).over(group.orderBy(c).rangeBetween(W.unboundedPreceding, 0)).alias(f"{x}_before") for v, c, w, x in cells],
-        *[F.sum(w).over(W.partitionBy(*keys, c)).alias(f"{x}_ties") for v, c, w, x in cells])
+    summed = [*[a.over(group).alias(k) for k, a in also.items()],
+              *[F.sum(w).over(group.orderBy(c).rangeBetween(W.unboundedPreceding, 0)).alias(f"{x}_before") for v, c, w, x in cells],
+              *[F.sum(w).over(W.partitionBy(*keys, c)).alias(f"{x}_ties") for v, c, w, x in cells]]  # so far with the ties
+    less = [*kept, *[f"{x}_ties" for *_, x in cells], *[(F.col(f"{x}_before") - F.col(f"{x}_ties")).alias(f"{x}_before") for *_, x in cells]]
+    if hot_rows is None:
+        return rows.select("*", *summed).select(*less)
+    hot = rows.groupBy(*keys).agg(_all_rows(rows, keys).alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")  # a semi or anti join would be pushed below that exchange
+    plain = marked.where(F.col("_hot").isNull()).drop("_hot").select("*", *summed)
     split = _in_ranges(marked.where("_hot").drop("_hot"), keys, values, weights, also, hot_rows)
-    both = plain.unionByName(split)  # so far with the ties
-    return both.select(*kept, *[f"{x}_ties" for *_, x in cells], *[(F.col(f"{x}_before") - F.col(f"{x}_ties")).alias(f"{x}_before") for *_, x in cells])
+    return plain.unionByName(split).select(*less)
 
 
 def _all_rows(rows: DataFrame, keys: Sequence[str]) -> Column:
