@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.operators.ordering import HOT_ROWS, with_values
+from spectrafold.operators.ordering import hash_order, with_values
 from spectrafold.operators.ranking import as_cells, pair_scores
 from spectrafold.session import materialize
 
@@ -27,14 +28,15 @@ def poisson_weights(task: Column, rounds: int, seed: int) -> Column:
         bounds.append(total)
         p /= k + 1
 
-    def draw(r: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), r, task), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    def draw(u: Column) -> Column:
         out = F.when(u < bounds[0], 0.0)
         for k, b in enumerate(bounds[1:], 1):
             out = out.when(u < b, float(k))
         return out.otherwise(float(len(bounds)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), draw)
+    # 40 bits of the hash, once for each round.
+    unit = lambda r: F.conv(F.substring(hash_order(seed, r, task), 1, 10), 16, 10).cast("double") / float(1 << 40)
+    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), unit), draw)
 
 
 def fit_ratings(score: np.ndarray, n: np.ndarray, iterations: int = 100) -> np.ndarray:
@@ -81,39 +83,39 @@ def learnable_draw(results: DataFrame) -> DataFrame:
     return rows.withColumn("metric_error", F.when(F.col("_any"), F.col("metric_error")).otherwise(0.0)).drop("_any")
 
 
-def weighted_cells(rows: DataFrame, rounds: int, seed: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def weighted_cells(rows: DataFrame, rounds: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Cells of :func:`pair_scores`: every task has the same total weight, times its draws per round.
 
-    *rows*: dataset, fold, model, error. Rounds are cut into chunks so that one task's (round, model, model)
+    *rows*: *by*, dataset, fold, model, error. Rounds are cut into chunks so that one task's (round, model, model)
     sums stay small.
     """
-    cells = as_cells(rows, ["dataset", "fold"])
+    cells = as_cells(rows, [*by, "dataset", "fold"])
     cells = cells.withColumn("_pairs", F.size("models") * (F.size("models") - 1) / 2.0).where(F.col("_pairs") > 0)
-    per_task = cells.groupBy("dataset").agg(F.sum("_pairs").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    cells = with_values(cells, per_task, ["dataset"], ["_all"])
+    per_task = cells.groupBy(*by, "dataset").agg(F.sum("_pairs").alias("_all"))
+    cells = with_values(cells, per_task, [*by, "dataset"], ["_all"])
     n_models = rows.select("model").distinct().agg(F.count(F.lit(1))).scalar()
     width = F.greatest(F.lit(1), F.floor(F.lit(PAIR_CELLS) / (n_models * n_models)).cast("int"))
     cells = cells.withColumn("_w", poisson_weights(F.col("dataset"), rounds, seed)).withColumn("_width", width)
     return cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(rounds) / F.col("_width")).cast("int") - 1))).select(
-        "chunk", "models", "errors",
+        *by, "chunk", "models", "errors",
         F.transform(F.slice("_w", F.col("chunk") * F.col("_width") + 1, F.col("_width")), lambda d: d / F.col("_all")).alias("weights"),
         "_width")
 
 
-def elo(results: DataFrame, *, reference_model: str | None = "RF", rounds: int = 200, seed: int = 42,
-        hot_rows: int = HOT_ROWS) -> DataFrame:
+def elo(results: DataFrame, *, reference_model: str | None = "RF", rounds: int = 200, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """(model, elo, elo_plus, elo_minus): median over bootstrap rounds and the distance to the 97.5 / 2.5 %
-    points, with the reference model at 1000. A model without any battle gets 1000.
+    points, with the reference model at 1000. A model without any battle gets 1000. With *by* each group has its own ratings.
 
     Each (dataset, fold) is a comparison of the models present. Rounds are fitted on executors; a worker sees
     one round's pair table.
     """
-    rows = materialize(results.groupBy("dataset", "fold", "model").agg(F.min("metric_error").alias("error")))
-    names = rows.select("model").distinct()
-    cells = weighted_cells(rows, rounds, seed, hot_rows)
-    n_models = names.agg(F.count(F.lit(1))).scalar()
+    by = list(by)
+    rows = materialize(results.groupBy(*by, "dataset", "fold", "model").agg(F.min("metric_error").alias("error")))
+    names = rows.select(*by, "model").distinct()
+    cells = weighted_cells(rows, rounds, seed, by)
+    n_models = rows.select("model").distinct().agg(F.count(F.lit(1))).scalar()
     width = F.greatest(F.lit(1), F.floor(F.lit(PAIR_CELLS) / (n_models * n_models)).cast("int"))
-    pairs = pair_scores(cells).withColumn("round", F.col("chunk") * width + F.col("round"))
+    pairs = pair_scores(cells, [*by, "chunk"]).withColumn("round", F.col("chunk") * width + F.col("round"))
 
     def rate(pdf: pd.DataFrame) -> pd.DataFrame:
         models = sorted(set(pdf["model_i"]) | set(pdf["model_j"]))
@@ -122,17 +124,17 @@ def elo(results: DataFrame, *, reference_model: str | None = "RF", rounds: int =
         score, n = np.zeros((len(models),) * 2), np.zeros((len(models),) * 2)
         score[i, j], n[i, j] = pdf["score"], pdf["n"]
         rating = 1000.0 + SCALE / math.log(10.0) * fit_ratings(score, n)
-        return pd.DataFrame({"round": pdf["round"].iloc[0], "model": models, "rating": rating})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "round": pdf["round"].iloc[0], "model": models, "rating": rating})
 
-    rated = pairs.groupBy("round").applyInPandas(rate, "round int, model string, rating double")
+    typed = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in by)
+    rated = pairs.groupBy(*by, "round").applyInPandas(rate, f"{typed}round int, model string, rating double")
     # One rating per round and model: the percentile of a model is over at most `rounds` values.
-    points = materialize(rated.groupBy("model").agg(F.percentile("rating", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q")))
-    shift = F.lit(0.0)
-    if reference_model is not None:
-        shift = F.coalesce(1000.0 - points.where(F.col("model") == reference_model).agg(F.max(F.col("q")[0])).scalar(), F.lit(0.0))
-    out = points.withColumn("_shift", shift).select(
-        "model", (F.col("q")[0] + F.col("_shift")).alias("elo"), (F.col("q")[2] - F.col("q")[0]).alias("elo_plus"),
+    points = materialize(rated.groupBy(*by, "model").agg(F.percentile("rating", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q")))
+    at = points.where(F.lit(False) if reference_model is None else F.col("model") == reference_model).groupBy(*by).agg(F.max(F.col("q")[0]).alias("_at"))
+    shift = F.coalesce(1000.0 - F.col("_at"), F.lit(0.0))
+    out = with_values(points, at, by, ["_at"]).select(
+        *by, "model", (F.col("q")[0] + shift).alias("elo"), (F.col("q")[2] - F.col("q")[0]).alias("elo_plus"),
         (F.col("q")[0] - F.col("q")[1]).alias("elo_minus"))
-    return names.join(out, "model", "left").select(
-        "model", F.coalesce("elo", F.lit(1000.0)).alias("elo"), F.coalesce("elo_plus", F.lit(0.0)).alias("elo_plus"),
+    return names.join(out, [*by, "model"], "left").select(
+        *by, "model", F.coalesce("elo", F.lit(1000.0)).alias("elo"), F.coalesce("elo_plus", F.lit(0.0)).alias("elo_plus"),
         F.coalesce("elo_minus", F.lit(0.0)).alias("elo_minus"))

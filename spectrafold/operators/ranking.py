@@ -12,29 +12,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.operators.ordering import HOT_ROWS, exact_median
+from spectrafold.operators.ordering import HOT_ROWS, exact_median, with_values
 from spectrafold.operators.results import impute_missing
 from spectrafold.session import materialize
 
 
-def per_task(results: DataFrame) -> DataFrame:
+def per_task(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean error per (dataset, model) over folds; a table of such errors (dataset, model, error) is handed back."""
     if "metric_error" not in results.columns:
         return results
-    return results.groupBy("dataset", "model").agg(F.avg("metric_error").alias("error"))
+    return results.groupBy(*by, "dataset", "model").agg(F.avg("metric_error").alias("error"))
+
+
+def scaled_score(error: Column, best: Column, median: Column) -> Column:
+    """best = 1, median = 0, clipped at 0; if the median equals the best (1e-12), 1 for errors up to the median and 0 above."""
+    gap = median - best
+    return F.when(gap > 1e-12, F.greatest((median - error) / gap, F.lit(0.0))).otherwise((error <= median).cast("double"))
 
 
 def normalized_scores(errors: DataFrame) -> DataFrame:
-    """Per (dataset, model): best = 1, median = 0, clipped at 0; if the median equals the best (1e-12),
-    1 for errors up to the median and 0 above."""
+    """:func:`scaled_score` per (dataset, model)."""
     stats = errors.groupBy("dataset").agg(F.min("error").alias("_best"), F.median("error").alias("_median"))
-    gap = F.col("_median") - F.col("_best")
-    score = F.when(gap > 1e-12, F.greatest((F.col("_median") - F.col("error")) / gap, F.lit(0.0))).otherwise(
-        (F.col("error") <= F.col("_median")).cast("double"))
+    score = scaled_score(F.col("error"), F.col("_best"), F.col("_median"))
     return errors.join(stats, "dataset").select("dataset", "model", "error", score.alias("score"))
 
 
@@ -43,11 +46,11 @@ def normalized_score(results: DataFrame) -> DataFrame:
     return normalized_scores(per_task(results)).groupBy("model").agg(F.avg("score").alias("normalized_score"))
 
 
-def task_ranks(errors: DataFrame) -> DataFrame:
+def task_ranks(errors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Average rank (ties share their mean position), best error and improvability per (dataset, model)."""
-    task = W.partitionBy("dataset")
+    task = W.partitionBy(*by, "dataset")
     first = F.rank().over(task.orderBy("error"))
-    ties = F.count(F.lit(1)).over(W.partitionBy("dataset", "error"))
+    ties = F.count(F.lit(1)).over(W.partitionBy(*by, "dataset", "error"))
     best = F.min("error").over(task)
     return errors.withColumn("rank", first + (ties - 1) / 2.0).withColumn("best", best).withColumn(
         "improvability", F.when(F.col("error") == 0, 0.0).otherwise((1 - F.col("best") / F.col("error")) * 100.0))
@@ -59,22 +62,35 @@ def mean_ranks(results: DataFrame) -> DataFrame:
         F.avg("rank").alias("rank"), F.avg("improvability").alias("improvability"))
 
 
-def improvability_interval(results: DataFrame, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Distance from a model's mean improvability to its 97.5 and 2.5 % points over a bootstrap of tasks.
+def standing(errors: DataFrame, by: Sequence[str] = (), rounds: int = 0, seed: int = 42) -> DataFrame:
+    """Normalized score, average rank, improvability and number of tasks per model (within *by*); with *rounds* also the
+    distance from its mean improvability to the 97.5 and 2.5 % points over a bootstrap of tasks.
 
-    All rounds are summed in one aggregation: a row carries its task's draws as a vector.
+    A task's models meet once, in one exchange; from there a model's columns are one aggregate. All rounds are summed in it:
+    a row carries its task's draws as a vector.
     """
     from spectrafold.operators.elo import poisson_weights
 
-    rows = task_ranks(per_task(results)).withColumn("_w", poisson_weights(F.col("dataset"), rounds, seed))
+    rows = task_ranks(errors, by).withColumn("_median", F.median("error").over(W.partitionBy(*by, "dataset")))
+    rows = rows.withColumn("score", scaled_score(F.col("error"), F.col("best"), F.col("_median")))
+    found = [F.avg("score").alias("normalized_score"), F.avg("rank").alias("rank"), F.avg("improvability").alias("_mean"),
+             F.count(F.lit(1)).alias("n_tasks")]
+    if not rounds:
+        return rows.groupBy(*by, "model").agg(*found).withColumnRenamed("_mean", "improvability")
+    rows = rows.withColumn("_w", poisson_weights(F.col("dataset"), rounds, seed))
     value = F.transform("_w", lambda w: w * F.col("improvability"))
-    sums = rows.groupBy("model").agg(
-        F.avg("improvability").alias("_mean"), vector_to_array(Summarizer.sum(array_to_vector(value))).alias("_v"),
+    sums = rows.groupBy(*by, "model").agg(
+        *found, vector_to_array(Summarizer.sum(array_to_vector(value))).alias("_v"),
         vector_to_array(Summarizer.sum(array_to_vector("_w"))).alias("_n"))
     means = sums.withColumn("_q", F.sort_array(F.filter(F.zip_with("_v", "_n", lambda v, n: F.when(n > 0, v / n)), lambda m: m.isNotNull())))
     at = lambda p: F.get("_q", F.least(F.floor(F.size("_q") * p).cast("int"), F.size("_q") - 1))
-    return means.select("model", F.greatest(at(0.975) - F.col("_mean"), F.lit(0.0)).alias("improvability_plus"),
-                        F.greatest(F.col("_mean") - at(0.025), F.lit(0.0)).alias("improvability_minus"))
+    return means.withColumn("improvability_plus", F.greatest(at(0.975) - F.col("_mean"), F.lit(0.0))).withColumn(
+        "improvability_minus", F.greatest(F.col("_mean") - at(0.025), F.lit(0.0))).withColumnRenamed("_mean", "improvability").drop("_v", "_n", "_q")
+
+
+def improvability_interval(results: DataFrame, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """Distance from a model's mean improvability to its 97.5 and 2.5 % points over a bootstrap of tasks."""
+    return standing(per_task(results), (), rounds, seed).select("model", "improvability_plus", "improvability_minus")
 
 
 # ---------------------------------------------------------------- pairs of models
@@ -83,14 +99,16 @@ TILE = 512
 BUDGET = 256 * 1024 * 1024
 
 
-def pair_scores(cells: DataFrame, key: str = "chunk", tile: int = TILE, budget: int = BUDGET) -> DataFrame:
-    """Weighted head-to-head sums: (chunk, round, model_i, model_j, score, n) for i != j.
+def pair_scores(cells: DataFrame, keys: Sequence[str] = ("chunk",), tile: int = TILE, budget: int = BUDGET) -> DataFrame:
+    """Weighted head-to-head sums: (*keys*, round, model_i, model_j, score, n) for i != j.
 
-    *cells*: chunk, models ARRAY<STRING>, errors ARRAY<DOUBLE>, weights ARRAY<DOUBLE> (one per round). A cell
+    *cells*: *keys*, models ARRAY<STRING>, errors ARRAY<DOUBLE>, weights ARRAY<DOUBLE> (one per round). A cell
     is one comparison of the models it lists. Pairs are never rows: a task adds up model x model matrices
     for its cells (in tiles, flushed when they exceed *budget*) and emits each pair once.
     """
-    schema = f"{key} int, round int, model_i string, model_j string, score double, n double"
+    keys = list(keys)
+    typed = "".join(f"`{k}` {cells.schema[k].dataType.simpleString()}, " for k in keys)
+    schema = f"{typed}round int, model_i string, model_j string, score double, n double"
 
     def widen(pair, rounds, size):
         """The (score, n) matrices of a tile with room for *size* models."""
@@ -104,31 +122,33 @@ def pair_scores(cells: DataFrame, key: str = "chunk", tile: int = TILE, budget:
     def add_up(batches):
         codes: dict[str, int] = {}
         held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        kinds: list[pa.DataType] = []
 
         def flush():
             names = np.array(list(codes), dtype=object)
-            for (chunk, bi, bj), (score, n) in held.items():
+            for (of, bi, bj), (score, n) in held.items():
                 r, i, j = np.nonzero(n)
                 off = i + bi * tile != j + bj * tile
                 r, i, j = r[off], i[off], j[off]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(r), chunk, np.int32)), pa.array(r.astype(np.int32)),
+                    *[pa.array([v] * len(r), kind) for v, kind in zip(of, kinds)], pa.array(r.astype(np.int32)),
                     pa.array(names[i + bi * tile], pa.string()), pa.array(names[j + bj * tile], pa.string()),
                     pa.array(score[r, i, j]), pa.array(n[r, i, j])],
-                    names=[key, "round", "model_i", "model_j", "score", "n"])
+                    names=[*keys, "round", "model_i", "model_j", "score", "n"])
             held.clear()
 
         for batch in batches:
-            chunks = batch.column(key).to_pylist()
+            kinds = [batch.column(k).type for k in keys]
+            cell_keys = list(zip(*[batch.column(k).to_pylist() for k in keys]))
             models, errors, weights = (batch.column(c).to_pylist() for c in ("models", "errors", "weights"))
-            for chunk, ms, es, ws in zip(chunks, models, errors, weights):
+            for of, ms, es, ws in zip(cell_keys, models, errors, weights):
                 at = np.array([codes.setdefault(m, len(codes)) for m in ms])
                 e, w = np.array(es, dtype=float), np.array(ws, dtype=float)
                 for bi in np.unique(at // tile):
                     for bj in np.unique(at // tile):
                         left, right = at // tile == bi, at // tile == bj
                         need = min(tile, max(16, 1 << (len(codes) - 1).bit_length()))
-                        score, n = held[chunk, bi, bj] = widen(held.get((chunk, bi, bj)), len(w), need)
+                        score, n = held[of, bi, bj] = widen(held.get((of, bi, bj)), len(w), need)
                         ei, ej = e[left][:, None], e[right][None, :]
                         won = (ei < ej) + 0.5 * (ei == ej)
                         box = np.ix_(np.arange(len(w)), at[left] - bi * tile, at[right] - bj * tile)
@@ -138,8 +158,8 @@ def pair_scores(cells: DataFrame, key: str = "chunk", tile: int = TILE, budget:
                     yield from flush()
         yield from flush()
 
-    parts = cells.select(key, "models", "errors", "weights").mapInArrow(add_up, schema)
-    return parts.groupBy(key, "round", "model_i", "model_j").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+    parts = cells.select(*keys, "models", "errors", "weights").mapInArrow(add_up, schema)
+    return parts.groupBy(*keys, "round", "model_i", "model_j").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
 
 
 def as_cells(rows: DataFrame, keys: Sequence[str], error: str = "error") -> DataFrame:
@@ -149,16 +169,16 @@ def as_cells(rows: DataFrame, keys: Sequence[str], error: str = "error") -> Data
     return packed.select(*keys, F.col("_p.model").alias("models"), F.col("_p.e").alias("errors"))
 
 
-def winrate_matrix(results: DataFrame) -> DataFrame:
+def winrate_matrix(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(model_i, model_j, winrate): share of shared tasks where i has the lower mean error, ties count half."""
-    cells = as_cells(per_task(results), ["dataset"]).withColumn("chunk", F.lit(0)).withColumn("weights", F.array(F.lit(1.0)))
-    return pair_scores(cells).select(
-        "model_i", "model_j", (F.col("score") / F.col("n")).alias("winrate"), F.col("n").cast("long").alias("n_tasks"))
+    cells = as_cells(per_task(results, by), [*by, "dataset"]).withColumn("chunk", F.lit(0)).withColumn("weights", F.array(F.lit(1.0)))
+    return pair_scores(cells, [*by, "chunk"]).select(
+        *by, "model_i", "model_j", (F.col("score") / F.col("n")).alias("winrate"), F.col("n").cast("long").alias("n_tasks"))
 
 
-def winrate(matrix: DataFrame) -> DataFrame:
+def winrate(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean win rate of a model over its opponents."""
-    return matrix.groupBy(F.col("model_i").alias("model")).agg(F.avg("winrate").alias("winrate"))
+    return matrix.groupBy(*by, F.col("model_i").alias("model")).agg(F.avg("winrate").alias("winrate"))
 
 
 def battles(results: DataFrame) -> DataFrame:
@@ -178,7 +198,7 @@ def battles(results: DataFrame) -> DataFrame:
 TIMES = ("time_train_s", "time_infer_s", "time_total_s", "infer_per_1k_s", "time_total_per_1k_s")
 
 
-def median_times(filled: DataFrame, n_splits: int = 3, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def median_times(filled: DataFrame, n_splits: int = 3, *, hot_rows: int = HOT_ROWS, by: Sequence[str] = ()) -> DataFrame:
     """Exact medians of the measured (not imputed) times per model, also per 1,000 spectra."""
     real = filled.where(~F.col("imputed")) if "imputed" in filled.columns else filled
     c = F.col
@@ -188,39 +208,54 @@ def median_times(filled: DataFrame, n_splits: int = 3, *, hot_rows: int = HOT_RO
         real = real.withColumn("infer_per_1k_s", c("time_infer_s") / (c("num_instances") / n_splits) * 1000.0).withColumn(
             "time_total_per_1k_s", c("time_total_s") / c("num_instances") * 1000.0)
         names = list(TIMES)
-    long = real.unpivot(["model"], names, "measure", "seconds")
-    medians = exact_median(long, ["model", "measure"], "seconds", "median", hot_rows=hot_rows)
-    return medians.groupBy("model").agg(
+    long = real.unpivot([*by, "model"], names, "measure", "seconds")
+    medians = exact_median(long, [*by, "model", "measure"], "seconds", "median", hot_rows=hot_rows)
+    return medians.groupBy(*by, "model").agg(
         *[F.max(F.when(c("measure") == m, c("median"))).alias(f"median_{m}") for m in names])
 
 
-def score_group(results: DataFrame, group: str = "all", *, reference_model: str = "RF", max_imputed_pct: float = 50.0,
-                rounds: int = 200, n_splits: int = 3, references: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+#: The column that holds a row's task group on boards.
+GROUP = "evaluated_on"
+
+
+def in_groups(results: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """*results* once for each of *groups* (task types, ``all``) that a row counts in. Models that ran some of the task types
+    only don't count in ``all``."""
+    types = results.groupBy("model").agg(F.count_distinct("task").alias("_t"))
+    n_types = results.agg(F.count_distinct("task")).scalar()
+    rows = with_values(results, types.withColumn("_whole", F.col("_t") == n_types), ["model"], ["_whole"])
+    counts_in = [F.when(F.col("task") == g, F.lit(g)) for g in groups if g != "all"]
+    if "all" in groups:
+        counts_in.append(F.when(F.col("_whole"), F.lit("all")))
+    return rows.withColumn(GROUP, F.explode(F.array_compact(F.array(*counts_in)))).drop("_whole")
+
+
+def group_boards(results: DataFrame, groups: Sequence[str], *, reference_model: str = "RF", max_imputed_pct: float = 50.0,
+                 rounds: int = 200, n_splits: int = 3, references: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(boards without ratings, filled results) of *groups*, both with the group as a key: one plan for all of them."""
+    by = [GROUP]
+    # Every column of the boards reads these rows; compute them once.
+    filled = materialize(impute_missing(in_groups(results, groups), reference_model=reference_model, max_imputed_pct=max_imputed_pct, by=by))
+    errors = per_task(filled, by)
+    imputed = filled.groupBy(*by, "model").agg((F.avg(F.col("imputed").cast("double")) * 100).alias("imputed_pct"))
+    keys = [*by, "model"]
+    board = (
+        standing(errors, by, rounds).join(winrate(winrate_matrix(errors, by), by), keys)
+        .join(median_times(filled, n_splits, hot_rows=hot_rows, by=by), keys, "left").join(imputed, keys)
+        .withColumn("is_reference", F.col("model").isin(*references) if references else F.lit(False)))
+    return materialize(board), filled
+
+
+def score_group(results: DataFrame, group: str = "all", *, reference_model: str = "RF", rounds: int = 200, **kwargs) -> tuple[DataFrame, DataFrame]:
     """(leaderboard, filled results) of one task group (all / classification / regression).
 
     For ``all`` a model that ran one task type only is left out here; see :func:`add_subset_models`.
     """
     from spectrafold.operators.elo import elo
 
-    if group == "all":
-        types = results.groupBy("model", "task").count().groupBy("model").agg(F.count(F.lit(1)).alias("_t"))
-        n_types = results.select("task").distinct().agg(F.count(F.lit(1))).scalar()
-        data = results.join(types.where(F.col("_t") == n_types).select("model"), "model", "left_semi")
-    else:
-        data = results.where(F.col("task") == group)
-    # Every column of the board reads these rows; compute them once.
-    filled = materialize(impute_missing(data, reference_model=reference_model, max_imputed_pct=max_imputed_pct))
-    errors = materialize(per_task(filled))
-    size = filled.groupBy("model").agg((F.avg(F.col("imputed").cast("double")) * 100).alias("imputed_pct"), F.count_distinct("dataset").alias("n_tasks"))
-    board = (
-        elo(filled, reference_model=reference_model, rounds=rounds)
-        .join(mean_ranks(errors), "model").join(improvability_interval(errors, rounds), "model").join(winrate(winrate_matrix(errors)), "model")
-        .join(normalized_score(errors), "model").join(median_times(filled, n_splits, hot_rows=hot_rows), "model", "left")
-        .join(size, "model")
-        .withColumn("is_reference", F.col("model").isin(*references) if references else F.lit(False))
-        .withColumn("evaluated_on", F.lit(group))
-    )
-    return materialize(board), filled
+    board, filled = group_boards(results, [group], reference_model=reference_model, rounds=rounds, **kwargs)
+    ratings = elo(filled, reference_model=reference_model, rounds=rounds)
+    return board.join(ratings, "model"), filled.drop(GROUP)
 
 
 def add_subset_models(board: DataFrame, filled: DataFrame, subsets: dict[str, tuple[DataFrame, DataFrame]], *,
@@ -247,17 +282,23 @@ def add_subset_models(board: DataFrame, filled: DataFrame, subsets: dict[str, tu
     return merged.join(ratings, "model"), everything
 
 
-def score_all(results: DataFrame, groups: Sequence[str] = ("classification", "regression"), **kwargs) -> DataFrame:
-    """The leaderboards of every task group in one table with a ``group`` column."""
-    results = materialize(results)
-    own = {g: score_group(results, g, **kwargs) for g in groups}
-    board, filled = score_group(results, "all", **kwargs)
-    elo_args = {k: kwargs[k] for k in ("reference_model", "rounds") if k in kwargs}
-    board, _ = add_subset_models(board, filled, own, **elo_args)
-    out = board.withColumn("group", F.lit("all"))
-    for g, (b, _) in own.items():
-        out = out.unionByName(b.withColumn("group", F.lit(g)), allowMissingColumns=True)
-    return out
+def score_all(results: DataFrame, groups: Sequence[str] = ("classification", "regression"), *, reference_model: str = "RF",
+              rounds: int = 200, **kwargs) -> DataFrame:
+    """The leaderboards of every task group in one table with a ``group`` column.
+
+    The group is a key through all steps, so their number does not grow with the groups. Models that are on a group's board
+    but not on that of all tasks join the latter as in :func:`add_subset_models`.
+    """
+    from spectrafold.operators.elo import elo
+
+    keys = [GROUP, "model"]
+    boards, filled = group_boards(materialize(results), [*groups, "all"], reference_model=reference_model, rounds=rounds, **kwargs)
+    part = F.col(GROUP) != "all"
+    added = boards.where(part).join(boards.where(~part).select("model"), "model", "left_anti")
+    cells = filled.join(added.select(*keys), keys, "left_semi").withColumn(GROUP, F.lit("all"))
+    ratings = elo(filled.unionByName(cells), reference_model=reference_model, rounds=rounds, by=[GROUP]).withColumnRenamed(GROUP, "group")
+    rows = boards.withColumn("group", F.col(GROUP)).unionByName(added.withColumn("group", F.lit("all")))
+    return rows.join(ratings, ["group", "model"])
 
 
 def split_references(board: DataFrame) -> tuple[DataFrame, DataFrame]:

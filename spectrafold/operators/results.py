@@ -153,29 +153,31 @@ def load_reference(reference: DataFrame, models: Sequence[str] | None = None, ex
     return out.where(~F.col("model").isin(*exclude)) if exclude else out
 
 
-def impute_missing(results: DataFrame, *, reference_model: str = "RF", max_imputed_pct: float = 50.0) -> DataFrame:
+def impute_missing(results: DataFrame, *, reference_model: str = "RF", max_imputed_pct: float = 50.0, by: Sequence[str] = ()) -> DataFrame:
     """Fill each model's missing (dataset, fold) cells with the reference model's result.
 
     Cells the reference lacks are dropped for all; models above the limit are dropped; filled rows have
     ``imputed`` and NULL times. One shuffle brings a cell's rows (one per model) together; models and cells are
-    never crossed: a cell adds the kept models it lacks, taken from a scalar subquery with the model names.
+    never crossed: a cell adds the kept models it lacks, taken from the list of model names. With *by* each of its groups
+    is filled on its own.
     """
-    keys = ["dataset", "fold"]
+    keys = [*by, "dataset", "fold"]
     rest = [c for c in results.columns if c not in keys]
     row = F.struct(*rest)
     cells = materialize(results.groupBy(*keys).agg(
         F.collect_list(row).alias("rows"), F.max(F.when(F.col("model") == reference_model, row)).alias("ref")
     ).where(F.col("ref").isNotNull()))  # counted, then read: computed once
-    n_cells = cells.agg(F.count(F.lit(1))).scalar()
-    counts = cells.select(F.explode(F.array_distinct("rows.model")).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("_n"))
+    totals = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_cells"))
+    counts = cells.select(*by, F.explode(F.array_distinct("rows.model")).alias("model")).groupBy(*by, "model").agg(F.count(F.lit(1)).alias("_n"))
     if max_imputed_pct >= 100:  # then also models without any of the reference's cells
-        counts = results.select("model").distinct().join(counts, "model", "left").na.fill(0, ["_n"])
-    kept = counts.where(100.0 * (n_cells - F.col("_n")) / n_cells <= max_imputed_pct).agg(F.collect_list("model")).scalar()
+        counts = results.select(*by, "model").distinct().join(counts, [*by, "model"], "left").na.fill(0, ["_n"])
+    kept = with_values(counts, totals, by, ["_cells"]).where(100.0 * (F.col("_cells") - F.col("_n")) / F.col("_cells") <= max_imputed_pct)
+    kept = kept.groupBy(*by).agg(F.collect_list("model").alias("_kept"))
     # Times of a filled row are unknown; its other values are the reference's.
     values = lambda r, model, imputed: F.struct(*[
         (model if c == "model" else F.when(~imputed, r[c]) if c in ("time_train_s", "time_infer_s") else r[c]).alias(c)
         for c in rest], imputed.alias("imputed"))
-    cells = cells.withColumn("_kept", kept)
+    cells = with_values(cells, kept, by, ["_kept"])
     real = F.transform(F.filter("rows", lambda r: F.array_contains("_kept", r["model"])), lambda r: values(r, r["model"], F.lit(False)))
     gaps = F.transform(F.array_except("_kept", "rows.model"), lambda m: values(F.col("ref"), m, F.lit(True)))
     return cells.select(*keys, F.explode(F.concat(real, gaps)).alias("_r")).select(*keys, "_r.*").select(*results.columns, "imputed")

@@ -23,12 +23,9 @@ class Comparison:
 
 def standings(filled: DataFrame) -> DataFrame:
     """One row per model without ratings: normalized score, rank, improvability, win rate, tasks and imputed share."""
-    size = filled.groupBy("model").agg(
-        F.count_distinct("dataset").alias("n_tasks"), (F.avg(F.col("imputed").cast("double")) * 100).alias("imputed_pct"))
-    errors = materialize(ranking.per_task(filled))
-    return (
-        ranking.normalized_score(errors).join(ranking.mean_ranks(errors), "model")
-        .join(ranking.winrate(ranking.winrate_matrix(errors)), "model").join(size, "model"))
+    imputed = filled.groupBy("model").agg((F.avg(F.col("imputed").cast("double")) * 100).alias("imputed_pct"))
+    errors = ranking.per_task(filled)
+    return ranking.standing(errors).join(ranking.winrate(ranking.winrate_matrix(errors)), "model").join(imputed, "model")
 
 
 def compare(
