@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from registry.splitting import protocol
@@ -292,15 +294,59 @@ def _(spark, sf):
     return rounded(rk.median_times(filled), 5)
 
 
-@query("elo")
+# Bootstrap draws and ratings in SQL, for source tables with a group column grp. The ratings are found by steps of bounded
+# curvature (a step never overshoots) instead of Newton's.
+ROUNDS, STEPS = 200, 300
+POISSON = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def draws(source: str) -> str:
+    at_least = " + ".join(f"CAST(u >= {b!r} AS INTEGER)" for b in POISSON)
+    return f""",
+draws AS (SELECT dataset, round, {at_least} AS w FROM (
+  SELECT dataset, round, CAST('0x' || substr(md5('42|' || round || '|' || dataset), 1, 10) AS BIGINT) / 1099511627776e0 AS u
+  FROM (SELECT DISTINCT dataset FROM {source}) d, range({ROUNDS}) t(round)))"""
+
+
+def ratings(source: str) -> str:
+    """CTE elo (grp, model, elo, elo_plus, elo_minus) of a table (grp, dataset, fold, model, metric_error)."""
+    return f""",
+fights AS (SELECT a.grp, a.dataset, a.model AS mi, b.model AS mj, sum(CASE WHEN a.metric_error < b.metric_error THEN 1e0 WHEN a.metric_error = b.metric_error THEN 5e-1 ELSE 0e0 END) AS s, count(*) AS n
+  FROM {source} a JOIN {source} b ON a.grp = b.grp AND a.dataset = b.dataset AND a.fold = b.fold AND a.model <> b.model GROUP BY 1, 2, 3, 4),
+task_n AS (SELECT grp, dataset, sum(n) / 2e0 AS pairs FROM fights GROUP BY 1, 2),
+pairs AS (SELECT grp, round, mi, mj, sum(s * w / pairs) AS s, sum(n * w / pairs) AS n FROM fights JOIN task_n USING (grp, dataset) JOIN draws USING (dataset) WHERE w > 0 GROUP BY 1, 2, 3, 4),
+pair_share AS (SELECT grp, round, mi, mj, s / sum(n) OVER (PARTITION BY grp, round) AS s, n / sum(n) OVER (PARTITION BY grp, round) AS n FROM pairs),
+in_round AS (SELECT DISTINCT grp, round, mi AS model FROM pairs),
+cells_r AS (SELECT i.grp, i.round, i.model AS mi, j.model AS mj, coalesce(p.s, 0) AS s, coalesce(p.n, 0) AS n FROM in_round i JOIN in_round j ON i.grp = j.grp AND i.round = j.round
+  LEFT JOIN pair_share p ON p.grp = i.grp AND p.round = i.round AND p.mi = i.model AND p.mj = j.model),
+lines_r AS (SELECT grp, round, mi, sum(s) AS s, sum(n) AS d, list(n ORDER BY mj) AS n FROM cells_r GROUP BY 1, 2, 3),
+start AS (SELECT grp, round, list(mi ORDER BY mi) AS models, list(s ORDER BY mi) AS s, list(d ORDER BY mi) AS d, list(n ORDER BY mi) AS n, list(0e0 ORDER BY mi) AS th FROM lines_r GROUP BY 1, 2),
+steps(step, grp, round, th) AS (
+  SELECT 0, grp, round, th FROM start
+  UNION ALL
+  SELECT step + 1, grp, round, list_transform(range(1, len(steps.th) + 1), lambda i:
+    steps.th[i] + (s[i] - list_sum(list_transform(range(1, len(steps.th) + 1), lambda j: n[i][j] / (1e0 + exp(steps.th[j] - steps.th[i])))) - 1e-6 * (steps.th[i] - list_avg(steps.th))) / (d[i] / 2 + 1e-6))
+  FROM steps JOIN start USING (grp, round) WHERE step < {STEPS}),
+rated AS (SELECT grp, unnest(models) AS model, unnest(list_transform(steps.th, lambda t: (t - list_avg(steps.th)) * 400 / ln(10e0))) AS rating
+  FROM steps JOIN start USING (grp, round) WHERE step = {STEPS}),
+points AS (SELECT grp, model, quantile_cont(rating, 5e-1) AS mid, quantile_cont(rating, 25e-3) AS low, quantile_cont(rating, 975e-3) AS high FROM rated GROUP BY 1, 2),
+elo AS (SELECT p.grp, p.model, p.mid - z.mid + 1000 AS elo, p.high - p.mid AS elo_plus, p.mid - p.low AS elo_minus
+  FROM points p JOIN points z ON z.grp = p.grp AND z.model = '{REFERENCE}')"""
+
+
+ELO_COLUMNS = f"model, {r('elo', 3)} AS elo, {r('elo_plus', 3)} AS elo_plus, {r('elo_minus', 3)} AS elo_minus"
+
+
+@query("elo", "WITH RECURSIVE" + RESULTS + ", src AS (SELECT 'all' AS grp, * FROM results)" + draws("src") + ratings("src") + f"SELECT {ELO_COLUMNS} FROM elo")
 def _(spark, sf):
-    return rounded(elo_ops.elo(results(spark, sf), reference_model=REFERENCE), 4)
+    return rounded(elo_ops.elo(results(spark, sf), reference_model=REFERENCE), 3)
 
 
-@query("elo_learnable_draw")
+@query("elo_learnable_draw", "WITH RECURSIVE" + RESULTS + """,
+src AS (SELECT 'all' AS grp, dataset, fold, model, CASE WHEN task = 'regression' THEN metric_error ELSE 0 END AS metric_error FROM results)""" + draws("src") + ratings("src") + f"SELECT {ELO_COLUMNS} FROM elo")
 def _(spark, sf):
     rows = results(spark, sf).withColumn("learnable", (F.col("task") == "regression") & (F.col("model") != "M0"))
-    return rounded(elo_ops.elo(elo_ops.learnable_draw(rows), reference_model=REFERENCE), 4)
+    return rounded(elo_ops.elo(elo_ops.learnable_draw(rows), reference_model=REFERENCE), 3)
 
 
 @query("learnable_draw", "WITH" + RESULTS + f"SELECT dataset, model, fold, {r("CASE WHEN task = 'regression' THEN metric_error ELSE 0 END")} AS metric_error FROM results")
@@ -309,16 +355,63 @@ def _(spark, sf):
     return rounded(elo_ops.learnable_draw(rows).select("dataset", "model", "fold", "metric_error"))
 
 
-@query("score_group")
+def group_board_sql(where: str) -> str:
+    """The boards of all groups in SQL: rows of each group filled on their own, then every column of the board. Models of one
+    group alone join the board of all tasks with their own columns and a rating among all."""
+    grouped = f""",
+gap_rows AS (SELECT * FROM gaps WHERE {where}),
+whole AS (SELECT model FROM gap_rows GROUP BY 1 HAVING count(DISTINCT task) = (SELECT count(DISTINCT task) FROM gap_rows)),
+g AS (SELECT task AS grp, * FROM gap_rows UNION ALL SELECT 'all', * FROM gap_rows SEMI JOIN whole USING (model)),
+cells AS (SELECT * FROM g WHERE model = '{REFERENCE}'),
+present AS (SELECT g.* FROM g SEMI JOIN cells c ON c.grp = g.grp AND c.dataset = g.dataset AND c.fold = g.fold),
+kept AS (SELECT p.grp, p.model FROM (SELECT grp, model, count(*) AS n FROM present GROUP BY 1, 2) p JOIN (SELECT grp, count(*) AS n FROM cells GROUP BY 1) c USING (grp) WHERE (c.n - p.n) * 1e2 / c.n <= 50),
+filled AS (SELECT c.grp, c.dataset, c.fold, k.model, c.num_instances, coalesce(p.metric_error, c.metric_error) AS metric_error, p.time_train_s, p.time_infer_s, p.model IS NULL AS imputed
+  FROM cells c JOIN kept k USING (grp) LEFT JOIN present p ON p.grp = c.grp AND p.dataset = c.dataset AND p.fold = c.fold AND p.model = k.model),
+t AS (SELECT grp, dataset, model, avg(metric_error) AS e FROM filled GROUP BY 1, 2, 3),
+st AS (SELECT grp, dataset, min(e) AS best, median(e) AS med FROM t GROUP BY 1, 2),
+scored AS (SELECT grp, dataset, model, CASE WHEN med - best > 1e-12 THEN greatest((med - e) / (med - best), 0e0) ELSE CAST(e <= med AS INTEGER) END AS score,
+  rank() OVER (PARTITION BY grp, dataset ORDER BY e) + (count(*) OVER (PARTITION BY grp, dataset, e) - 1) / 2e0 AS rank,
+  CASE WHEN e = 0 THEN 0e0 ELSE (1 - best / e) * 100 END AS imp FROM t JOIN st USING (grp, dataset)),
+wins AS (SELECT grp, model, avg(rate) AS winrate FROM (SELECT a.grp, a.model, b.model AS other, avg(CASE WHEN a.e < b.e THEN 1e0 WHEN a.e = b.e THEN 5e-1 ELSE 0e0 END) AS rate
+  FROM t a JOIN t b ON a.grp = b.grp AND a.dataset = b.dataset AND a.model <> b.model GROUP BY 1, 2, 3) GROUP BY 1, 2),
+times AS (SELECT grp, model, median(time_train_s) AS median_time_train_s, median(time_infer_s) AS median_time_infer_s, median(time_train_s + time_infer_s) AS median_time_total_s,
+  median(time_infer_s / (num_instances / 3e0) * 1000) AS median_infer_per_1k_s, median((time_train_s + time_infer_s) / num_instances * 1000) AS median_time_total_per_1k_s
+  FROM filled WHERE NOT imputed GROUP BY 1, 2),
+pct AS (SELECT grp, model, avg(CAST(imputed AS INTEGER)) * 100 AS imputed_pct FROM filled GROUP BY 1, 2)""" + draws("filled") + f""",
+boot AS (SELECT grp, model, list_sort(list(m)) AS q FROM (SELECT grp, model, round, sum(imp * w) / sum(w) AS m FROM scored JOIN draws USING (dataset) GROUP BY 1, 2, 3 HAVING sum(w) > 0) GROUP BY 1, 2),
+base_board AS (SELECT grp, model, avg(score) AS normalized_score, avg(rank) AS rank, avg(imp) AS improvability, count(*) AS n_tasks FROM scored GROUP BY 1, 2),
+part_board AS (SELECT *, greatest(q[least(CAST(floor(len(q) * 975e-3) AS BIGINT) + 1, len(q))] - improvability, 0e0) AS improvability_plus,
+  greatest(improvability - q[least(CAST(floor(len(q) * 25e-3) AS BIGINT) + 1, len(q))], 0e0) AS improvability_minus
+  FROM base_board JOIN boot USING (grp, model) JOIN wins USING (grp, model) LEFT JOIN times USING (grp, model) JOIN pct USING (grp, model)),
+added AS (SELECT * FROM part_board p WHERE grp <> 'all' AND NOT EXISTS (SELECT 1 FROM part_board w WHERE w.grp = 'all' AND w.model = p.model)),
+src AS (SELECT grp, dataset, fold, model, metric_error FROM filled UNION ALL SELECT 'all', dataset, fold, model, metric_error FROM filled SEMI JOIN added USING (grp, model))""" + ratings("src") + """,
+all_boards AS (SELECT grp AS evaluated_on, * FROM part_board UNION ALL SELECT grp, * REPLACE ('all' AS grp) FROM added)"""
+    values = ["elo", "elo_plus", "elo_minus", "normalized_score", "rank", "improvability", "improvability_plus", "improvability_minus", "winrate",
+              "median_time_train_s", "median_time_infer_s", "median_time_total_s", "median_infer_per_1k_s", "median_time_total_per_1k_s", "imputed_pct"]
+    return "WITH RECURSIVE" + RESULTS_WITH_GAPS + grouped + f"""
+SELECT grp AS "group", evaluated_on, model, false AS is_reference, n_tasks, {', '.join(f'{r(v, 3)} AS {v}' for v in values)} FROM all_boards JOIN elo USING (grp, model)"""
+
+
+@query("compare_ratings", "WITH RECURSIVE" + IMPUTED + ", src AS (SELECT 'all' AS grp, dataset, fold, model, metric_error FROM imputed)" + draws("src") + ratings("src") + f"""
+SELECT model IN ('M1', 'M5') AS own, {ELO_COLUMNS} FROM elo""")
+def _(spark, sf):
+    rows = results_with_gaps(spark, sf)
+    mine = F.col("model").isin("M1", "M5")
+    spec = protocol(spark, sf).withColumn("task", F.col("dataset"))
+    board = compare(rows.where(mine), rows.where(~mine), spec, reference_model=REFERENCE).board
+    return rounded(board.select("own", "model", "elo", "elo_plus", "elo_minus"), 3)
+
+
+@query("score_group", "SELECT * EXCLUDE (\"group\") FROM (" + group_board_sql("task = 'regression'") + ") WHERE \"group\" = 'regression'")
 def _(spark, sf):
     board, _ = rk.score_group(results_with_gaps(spark, sf), "regression", reference_model=REFERENCE)
-    return rounded(board, 4)
+    return rounded(board, 3)
 
 
-@query("score_all")
+@query("score_all", group_board_sql("NOT (model = 'M8' AND task = 'regression')"))
 def _(spark, sf):
     rows = results_with_gaps(spark, sf).where(~((F.col("model") == "M8") & (F.col("task") == "regression")))
-    return rounded(rk.score_all(rows, reference_model=REFERENCE), 4)
+    return rounded(rk.score_all(rows, reference_model=REFERENCE), 3)
 
 
 @query("score_all_groups", "WITH" + RESULTS + """
@@ -367,6 +460,20 @@ query("near_pareto", "WITH" + BOARD + ", g AS (SELECT model, (SELECT max(elo) FR
     lambda spark, sf: rk.near_pareto(board(spark, sf), "seconds", "elo", tolerance=20.0).select("model", "gap"))
 
 
+def offers(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        "l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("model"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("pieces"))
+
+
+OFFERS = "offers AS (SELECT l_returnflag, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS model, l_extendedprice AS price, l_quantity AS pieces FROM lineitem)"
+query("pareto_front_lines", "WITH " + OFFERS + """, o AS (SELECT *, max(pieces) OVER (ORDER BY price, pieces DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM offers)
+SELECT price, pieces FROM o WHERE best IS NULL OR pieces > best""")(
+    lambda spark, sf: rk.pareto_front(offers(spark, sf), "price", "pieces").select("price", "pieces"))
+query("near_pareto_lines", "WITH " + OFFERS + """, o AS (SELECT *, max(pieces) OVER (PARTITION BY l_returnflag ORDER BY price) - pieces AS gap FROM offers)
+SELECT l_returnflag, model, gap FROM o WHERE gap <= 1""")(
+    lambda spark, sf: rk.near_pareto(offers(spark, sf), "price", "pieces", 1.0, by=["l_returnflag"]).select("l_returnflag", "model", "gap"))
+
+
 @query("pareto_selection", "WITH" + BOARD + """, g AS (SELECT b.*, CASE category WHEN 'Tree-based' THEN 'regression' ELSE 'classification' END AS grp FROM board b WHERE NOT is_reference)
 SELECT DISTINCT model FROM g WHERE (SELECT max(elo) FROM g c WHERE c.grp = g.grp AND c.seconds <= g.seconds) - elo <= 20""")
 def _(spark, sf):

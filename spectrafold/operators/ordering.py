@@ -239,3 +239,23 @@ def with_values(rows: DataFrame, table: DataFrame, keys: Sequence[str], values:
     if not keys:
         return rows.join(F.broadcast(table.select(*values)), F.lit(True), "left")
     return rows.join(table.select(*keys, *values), list(keys), "left")
+
+
+#: Ranges that :func:`best_before` cuts a key into at most.
+RANGES = 256
+
+
+def best_before(rows: DataFrame, keys: Sequence[str], order: str, best: Column) -> DataFrame:
+    """*rows* cut into ranges of *order* (``_range``), with the largest *best* of the key's ranges before (``_earlier``, null
+    in the first): the first half of a running maximum, the other is a window within (*keys*, ``_range``).
+
+    A sketch of the key's *order* (numbers or dates, not null) gives the cuts; rows of equal *order* share a range, and where
+    the cuts lie changes no result. Between tasks go the cuts and one value for each range, at most RANGES for a key.
+    """
+    keys = list(keys)
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)).alias("_cuts"))
+    placed = with_values(rows, cuts, keys, ["_cuts"]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    tops = placed.groupBy(*keys, "_range").agg(F.max(best).alias("_top")).groupBy(*keys).agg(F.collect_list(F.struct("_range", "_top")).alias("_tops"))
+    before = lambda t: t["_range"] < F.col("_range")
+    earlier = F.array_max(F.transform(F.filter("_tops", before), lambda t: t["_top"]))
+    return with_values(placed, tops, keys, ["_tops"]).withColumn("_earlier", earlier).drop("_tops")

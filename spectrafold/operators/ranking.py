@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spectrafold.operators.ordering import HOT_ROWS, exact_median, with_values
+from spectrafold.operators.ordering import HOT_ROWS, best_before, exact_median, with_values
 from spectrafold.operators.results import impute_missing
 from spectrafold.session import materialize
 
@@ -335,18 +335,19 @@ def select_focus(board: DataFrame, top_k: int | None, always: Sequence[str] = ()
 def pareto_front(df: DataFrame, x: str, y: str, higher_is_better: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Rows with a strictly better *y* than every row of lower *x* (equal *x*: the better one first)."""
     value = F.col(y) if higher_is_better else -F.col(y)
-    over = W.partitionBy(*by).orderBy(F.col(x), value.desc(), F.col("model")).rowsBetween(W.unboundedPreceding, -1)
-    best = F.max(value).over(over)
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_best", best).where(
-        F.col("_best").isNull() | (value > F.col("_best"))).drop("_best")
+    rows = best_before(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, value)
+    over = W.partitionBy(*by, "_range").orderBy(F.col(x), value.desc(), F.col("model")).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_best", F.greatest(F.max(value).over(over), "_earlier")).where(
+        F.col("_best").isNull() | (value > F.col("_best"))).drop("_best", "_range", "_earlier")
 
 
 def near_pareto(df: DataFrame, x: str, y: str, tolerance: float = 0.1, higher_is_better: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Rows within *tolerance* of the best *y* reached at the same or lower *x* (as-of: a running maximum)."""
     value = F.col(y) if higher_is_better else -F.col(y)
-    upto = W.partitionBy(*by).orderBy(x).rangeBetween(W.unboundedPreceding, W.currentRow)
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("gap", F.max(value).over(upto) - value).where(
-        F.col("gap") <= tolerance)
+    rows = best_before(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, value)
+    upto = W.partitionBy(*by, "_range").orderBy(x).rangeBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("gap", F.greatest(F.max(value).over(upto), "_earlier") - value).where(
+        F.col("gap") <= tolerance).drop("_range", "_earlier")
 
 
 def pareto_selection(boards: DataFrame, x: str = "median_time_total_per_1k_s", y: str = "normalized_score", tolerance: float = 0.1) -> DataFrame:

@@ -128,6 +128,30 @@ def test_fronts(spark):
     assert sorted(r["model"] for r in rk.near_pareto(df, "t", "s", 0.1).collect()) == ["a", "c", "d", "e", "f"]
 
 
+def test_fronts_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i:04d}", "gh"[i % 2], float(rng.integers(0, 900)), float(rng.integers(0, 40))) for i in range(3000)]
+    df = spark.createDataFrame(rows + [("n", "g", None, 50.0), ("o", "h", 1.0, None)], "model string, g string, t double, s double").repartition(7)
+    for by in ([], ["g"]):
+        front, near = set(), set()
+        for m, g, t, v in rows:
+            peers = [(u, w, k) for k, h, u, w in rows if h == g or not by]
+            if not any(u < t and w >= v or u == t and (-w, k) < (-v, m) for u, w, k in peers):
+                front.add(m)
+            if max(w for u, w, _ in peers if u <= t) - v <= 1:
+                near.add(m)
+        assert {r["model"] for r in rk.pareto_front(df, "t", "s", by=by).collect()} == front
+        assert {r["model"] for r in rk.near_pareto(df, "t", "s", 1.0, by=by).collect()} == near
+    assert rk.pareto_front(df.limit(0), "t", "s").isEmpty()
+
+
+def test_ratings_in_groups_equal_ratings_of_each(spark, field):
+    rows = field.withColumn("g", F.lit("x")).unionByName(field.where("dataset < 'd6' AND model <> 'D'").withColumn("g", F.lit("y")))
+    got = {(r["g"], r["model"]): round(r["elo"], 6) for r in elo_ops.elo(rows, rounds=20, by=["g"]).collect()}
+    alone = {(g, r["model"]): round(r["elo"], 6) for g in "xy" for r in elo_ops.elo(rows.where(F.col("g") == g), rounds=20).collect()}
+    assert got == alone and len(got) == 7
+
+
 def test_merging(field, spark):
     with pytest.raises(ValueError, match="already"):
         rs.merge_reference(field, field)
