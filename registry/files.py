@@ -34,6 +34,22 @@ def _(spark, sf):
     return back.withColumn("repeat", c("repeat").cast("int")).withColumn("fold", c("fold").cast("int"))
 
 
+@query("row_ids", "SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber FROM lineitem")
+def _(spark, sf):
+    return spectra_sources.with_row_ids(table(spark, sf, "lineitem")).select("row_id", "l_orderkey", "l_linenumber")
+
+
+@query("row_ids_files", f"SELECT CAST(event_id % 3 AS BIGINT) * {spectra_sources.FILE_ROWS} + row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) - 1 AS spectrum_id, event_id AS y FROM events")
+def _(spark, sf):
+    # Three files by name: part-0 holds the events of remainder 0, in order.
+    path = scratch(spark, "wide")
+    third = F.pmod("event_id", F.lit(3))
+    wide = table(spark, sf, "events").select(F.col("event_id").alias("y"), F.col("value").alias("400.5"), third.alias("part"))
+    wide.repartition(3, "part").sortWithinPartitions("part", "y").write.partitionBy("part").parquet(path)
+    found, _ = spectra_sources.read_spectra(spark, path, "events", ignore=("part",))
+    return found.select("spectrum_id", F.col("targets")["y"].cast("long").alias("y"))
+
+
 @query("write_leaderboards", "WITH" + RESULTS + f"SELECT task AS \"group\", model, {r('avg(metric_error)', 4)} AS elo FROM results GROUP BY 1, 2")
 def _(spark, sf):
     path = scratch(spark, "boards")

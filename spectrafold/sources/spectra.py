@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +61,8 @@ def wide_to_spectra(
 
     ``spectra``: dataset, spectrum_id, intensities, targets (numeric targets by name), labels (class targets by name: those
     that are not numeric, and the numeric ones in *classes*), label (the class target named *label*, else the first),
-    group_id. Without *id_column* the id is a digest-free row number of the scan
-    (``monotonically_increasing_id``), unique but dependent on the file layout; name a stored id
-    column whenever there is one.
+    group_id. Without *id_column* the id is ``monotonically_increasing_id``: unique, but dependent on how the table is split
+    into tasks. :func:`read_spectra` gives stable ids.
     """
     schema = df.schema
     channels = channel_columns(schema)
@@ -101,9 +101,37 @@ def wide_to_spectra(
     return spectra, axis
 
 
-def read_spectra(spark: SparkSession, path: str, dataset: str, **kwargs) -> tuple[DataFrame, DataFrame]:
-    """:func:`wide_to_spectra` of a Parquet path."""
-    return wide_to_spectra(spark.read.parquet(path), dataset, **kwargs)
+#: Rows of one file at most (2^36); the file's position is in the bits above.
+FILE_ROWS = 1 << 36
+#: Scheme of a path; Spark writes it with one slash or with three.
+ROOT = r"^([A-Za-z][A-Za-z0-9+.-]*:)/+"
+
+
+def with_row_ids(scan: DataFrame, name: str = "row_id") -> DataFrame:
+    """A file scan with a long *name* for each row: position of its file in the order of paths, times FILE_ROWS, plus position
+    of the row in the file. The same rows get the same ids however the files are split into tasks or read again; a file
+    added behind the others changes none. One file counts from 0.
+
+    The scan must come straight from files. The list of files is what the scan holds already; no job runs for it.
+    """
+    files = sorted(re.sub(ROOT, r"\1/", f) for f in scan.inputFiles())
+    row = F.col("_metadata.row_index")
+    if len(files) < 2:
+        return scan.withColumn(name, row)
+    listed = scan.sparkSession.createDataFrame(list(enumerate(files)), "_file_at long, _file string")
+    rows = scan.select("*", F.regexp_replace("_metadata.file_path", ROOT, "$1/").alias("_path"), row.alias("_row"))
+    placed = rows.join(listed, F.col("_path") == F.col("_file"), "left")
+    at = F.coalesce("_file_at", F.raise_error(F.concat(F.lit("not among the files of the scan: "), "_path")).cast("long"))
+    return placed.withColumn(name, at * FILE_ROWS + F.col("_row")).drop("_path", "_row", "_file", "_file_at")
+
+
+def read_spectra(spark: SparkSession, path: str, dataset: str, *, id_column: str | None = None, **kwargs) -> tuple[DataFrame, DataFrame]:
+    """:func:`wide_to_spectra` of a Parquet path; without *id_column* the ids are those of :func:`with_row_ids`."""
+    scan = spark.read.parquet(path)
+    if id_column is None:
+        id_column = "_row_id"
+        scan = with_row_ids(scan, id_column)
+    return wide_to_spectra(scan, dataset, id_column=id_column, **kwargs)
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

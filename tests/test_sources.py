@@ -91,3 +91,17 @@ def test_sinks(spark, tmp_path):
     sinks.write_summary(res.withColumnRenamed("dataset", "key"), str(tmp_path / "s"))
     got = spark.read.option("header", True).csv(str(tmp_path / "s"))
     assert "metric_error_mean" in got.columns and "metric_error_std" in got.columns
+
+
+def test_row_ids_do_not_depend_on_the_split(spark, tmp_path):
+    path = str(tmp_path / "wide 100%")
+    spark.range(5000, numPartitions=3).selectExpr("id AS y", "id * 0.5 AS `400.5`", "id * 2.0 AS `401`").write.option(
+        "parquet.block.size", 4096).parquet(path)
+    ids = lambda: {r["spectrum_id"]: r["y"] for r in spectra.read_spectra(spark, path, "d")[0].selectExpr("spectrum_id", "targets['y'] AS y").collect()}
+    whole, before = ids(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        assert spark.read.parquet(path).rdd.getNumPartitions() > 3
+        assert ids() == whole and len(whole) == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
