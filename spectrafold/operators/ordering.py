@@ -254,8 +254,11 @@ def best_before(rows: DataFrame, keys: Sequence[str], order: str, best: Column)
     """
     keys = list(keys)
     cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)).alias("_cuts"))
-    placed = with_values(rows, cuts, keys, ["_cuts"]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    tops = placed.groupBy(*keys, "_range").agg(F.max(best).alias("_top")).groupBy(*keys).agg(F.collect_list(F.struct("_range", "_top")).alias("_tops"))
-    before = lambda t: t["_range"] < F.col("_range")
-    earlier = F.array_max(F.transform(F.filter("_tops", before), lambda t: t["_top"]))
-    return with_values(placed, tops, keys, ["_tops"]).withColumn("_earlier", earlier).drop("_tops")
+    placed, step = with_values(rows, cuts, keys, ["_cuts"]).withColumn("_range", F.lit(0)), RANGES // 2
+    while step:  # binary search: the number of cuts below the row
+        placed = placed.withColumn("_range", F.col("_range") + F.when(F.get("_cuts", F.col("_range") + (step - 1)) < F.col(order), step).otherwise(0))
+        step //= 2
+    placed = placed.drop("_cuts")
+    below = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    tops = placed.groupBy(*keys, "_range").agg(F.max(best).alias("_top")).withColumn("_earlier", F.max("_top").over(below))
+    return with_values(placed, tops, [*keys, "_range"], ["_earlier"])
