@@ -46,22 +46,27 @@ def numeric_target(rows: DataFrame, column: str = "y") -> DataFrame:
 # ---------------------------------------------------------------- solvers on cross products
 
 
-class Moments:
-    """Training sums of [1, x, y] split into the parts the solvers need."""
+class MeanSums:
+    """Counts, means and the products with the targets of a fold's training rows."""
 
-    def __init__(self, m: np.ndarray, c: int):
-        self.n = m[0, 0]
-        self.c = c
-        self.x_mean, self.y_mean = m[0, 1:-c] / self.n, m[0, -c:] / self.n
-        self.xx = m[1:-c, 1:-c] - self.n * np.outer(self.x_mean, self.x_mean)
-        self.xy = m[1:-c, -c:] - self.n * np.outer(self.x_mean, self.y_mean)
-        self.yy = m[-c:, -c:] - self.n * np.outer(self.y_mean, self.y_mean)
-        self.class_sums, self.class_n = m[1:-c, -c:], m[0, -c:]
-        self.p = len(self.x_mean)
+    def __init__(self, n: float, x_sum: np.ndarray, y_sum: np.ndarray, xy: np.ndarray, yy: np.ndarray):
+        self.n, self.p, self.c = n, len(x_sum), len(y_sum)
+        self.x_mean, self.y_mean = x_sum / n, y_sum / n
+        self.xy = xy - n * np.outer(self.x_mean, self.y_mean)
+        self.yy = yy - n * np.outer(self.y_mean, self.y_mean)
+        self.class_sums, self.class_n = xy, y_sum
 
     def with_intercept(self, coef: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return coef, self.y_mean - self.x_mean @ coef
 
+
+class Moments(MeanSums):
+    """Training sums of [1, x, y] split into the parts the solvers need."""
+
+    def __init__(self, m: np.ndarray, c: int):
+        super().__init__(m[0, 0], m[0, 1:-c], m[0, -c:], m[1:-c, -c:], m[-c:, -c:])
+        self.xx = m[1:-c, 1:-c] - self.n * np.outer(self.x_mean, self.x_mean)
+
     def components(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Leading principal axes and their sums of squares; directions without variance are left out."""
         k = max(1, min(k, self.p, int(self.n) - 1))
@@ -79,79 +84,107 @@ def ridge(alpha: float = 1.0) -> Solver:
     return lambda m: m.with_intercept(np.linalg.solve(m.xx + alpha * np.eye(m.p), m.xy))
 
 
+def regress_on_axes(m: MeanSums, axes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares on the scores of principal axes with the sums of squares *value*."""
+    return m.with_intercept(axes @ ((axes.T @ m.xy) / value[:, None]))
+
+
+def discriminate_on_axes(m: MeanSums, axes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear discriminants on the scores of principal axes: log posteriors up to a constant."""
+    n_c = np.maximum(m.class_n, 1e-300)
+    centres = axes.T @ (m.class_sums / n_c - m.x_mean[:, None])  # components x classes
+    within = np.diag(value) - (centres * m.class_n) @ centres.T
+    pooled = within / max(m.n - (m.class_n > 0).sum(), 1)
+    direction = np.linalg.pinv(pooled, hermitian=True) @ centres
+    prior = np.where(m.class_n > 0, np.log(n_c / m.n), -1e3)
+    coef = axes @ direction
+    return coef, prior - 0.5 * np.sum(centres * direction, axis=0) - m.x_mean @ coef
+
+
 def pcr(k: int = 20) -> Solver:
     """Least squares on the first principal component scores."""
+    return lambda m: regress_on_axes(m, *m.components(k))
 
-    def solve(m: Moments):
-        axes, value = m.components(k)
-        return m.with_intercept(axes @ ((axes.T @ m.xy) / value[:, None]))
 
-    return solve
+class PlsLoop:
+    """The components of partial least squares on standardized x and y, one by one: ``direction`` gives the next
+    component's rotation (none: done), ``deflate`` takes its product with the standardized cross products."""
+
+    def __init__(self, m: MeanSums, x_squares: np.ndarray, k: int, scale: bool):
+        unit = lambda ss: np.where(ss > 1e-300, np.sqrt(np.maximum(ss, 0) / max(m.n - 1, 1)), 1.0)
+        self.sx = unit(x_squares) if scale else np.ones(m.p)
+        self.sy = unit(np.diag(m.yy)) if scale else np.ones(m.c)
+        self.xy, self.least = m.xy / np.outer(self.sx, self.sy), 1e-14 * np.sum(x_squares / self.sx**2)
+        self.left = max(1, min(k, m.p, int(m.n) - 1))
+        self.rotations, self.loadings, self.weights = [], [], []
+
+    def direction(self) -> np.ndarray | None:
+        if not self.left:
+            return None
+        if self.xy.shape[1] == 1:
+            w = self.xy[:, 0].copy()
+        else:
+            _, vec = np.linalg.eigh(self.xy.T @ self.xy)
+            w = self.xy @ vec[:, -1]
+        norm = np.linalg.norm(w)
+        if norm < 1e-12:
+            return None
+        w /= norm
+        self.r = w.copy()
+        for p, done in zip(self.loadings, self.rotations):
+            self.r -= (p @ w) * done
+        return self.r
+
+    def deflate(self, xr: np.ndarray) -> None:
+        tt = self.r @ xr
+        if tt <= self.least:
+            self.left = 0
+            return
+        p, q = xr / tt, self.xy.T @ self.r / tt
+        self.xy = self.xy - tt * np.outer(p, q)
+        self.left -= 1
+        self.rotations.append(self.r)
+        self.loadings.append(p)
+        self.weights.append(q)
+
+    def coef(self) -> np.ndarray:
+        if not self.rotations:
+            return np.zeros(self.xy.shape)
+        return np.array(self.rotations).T @ np.array(self.weights) * self.sy[None, :] / self.sx[:, None]
 
 
 def pls(k: int = 10, scale: bool = True) -> Solver:
     """Partial least squares by the kernel algorithm on the cross products of standardized x and y."""
 
     def solve(m: Moments):
-        unit = lambda ss: np.where(ss > 1e-300, np.sqrt(np.maximum(ss, 0) / max(m.n - 1, 1)), 1.0)
-        sx = unit(np.diag(m.xx)) if scale else np.ones(m.p)
-        sy = unit(np.diag(m.yy)) if scale else np.ones(m.c)
-        xx, xy = m.xx / np.outer(sx, sx), m.xy / np.outer(sx, sy)
-        rotations, loadings, weights = [], [], []
-        for _ in range(max(1, min(k, m.p, int(m.n) - 1))):
-            if m.c == 1:
-                w = xy[:, 0].copy()
-            else:
-                _, vec = np.linalg.eigh(xy.T @ xy)
-                w = xy @ vec[:, -1]
-            norm = np.linalg.norm(w)
-            if norm < 1e-12:
-                break
-            w /= norm
-            r = w.copy()
-            for p, done in zip(loadings, rotations):
-                r -= (p @ w) * done
-            tt = r @ xx @ r
-            if tt <= 1e-14 * np.trace(xx):
-                break
-            p, q = xx @ r / tt, xy.T @ r / tt
-            xy = xy - tt * np.outer(p, q)
-            rotations.append(r)
-            loadings.append(p)
-            weights.append(q)
-        if not rotations:
-            return m.with_intercept(np.zeros((m.p, m.c)))
-        coef = np.array(rotations).T @ np.array(weights)
-        return m.with_intercept(coef * sy[None, :] / sx[:, None])
+        loop = PlsLoop(m, np.diag(m.xx), k, scale)
+        xx = m.xx / np.outer(loop.sx, loop.sx)
+        while (r := loop.direction()) is not None:
+            loop.deflate(xx @ r)
+        return m.with_intercept(loop.coef())
 
     return solve
 
 
 def pca_lda(k: int = 30) -> Solver:
     """Linear discriminant analysis on principal component scores; the scores are log posteriors up to a constant."""
+    return lambda m: discriminate_on_axes(m, *m.components(k))
 
-    def solve(m: Moments):
-        axes, value = m.components(k)
-        n_c = np.maximum(m.class_n, 1e-300)
-        centres = axes.T @ (m.class_sums / n_c - m.x_mean[:, None])  # components x classes
-        within = np.diag(value) - (centres * m.class_n) @ centres.T
-        pooled = within / max(m.n - (m.class_n > 0).sum(), 1)
-        direction = np.linalg.pinv(pooled, hermitian=True) @ centres
-        coef = axes @ direction
-        prior = np.where(m.class_n > 0, np.log(n_c / m.n), -1e3)
-        return coef, prior - 0.5 * np.sum(centres * direction, axis=0) - m.x_mean @ coef
 
-    return solve
+def from_pilot(rows: DataFrame, keys: Sequence[str], column: str) -> tuple[DataFrame, DataFrame]:
+    """(*rows* as distances to one spectrum of their key, that spectrum and the number of outputs by key)."""
+    outputs = rows.groupBy(*keys).agg(F.max(F.size("target")).alias("_c"), F.min(column).alias("_pilot"))
+    return with_values(rows, outputs, keys, ["_pilot"]).withColumn(column, F.zip_with(column, "_pilot", lambda a, b: a - b)), outputs
 
 
 def fit_linear(rows: DataFrame, solver: Solver, keys: Sequence[str] = KEYS, fold: str = "fold", column: str = "intensities") -> DataFrame:
     """One linear model per (keys, fold), trained on the other folds: coef (channels x outputs, flat), intercept.
 
-    Products are summed of the distances to one spectrum of the key, so a large common offset costs no digits.
+    Products are summed of the distances to one spectrum of the key, so a large common offset costs no digits. A task holds
+    a (channels + outputs)^2 matrix for each fold of a key; ``wide.fit_wide`` holds none.
     """
     keys = list(keys)
-    outputs = rows.groupBy(*keys).agg(F.max(F.size("target")).alias("_c"), F.min(column).alias("_pilot"))
-    rows = with_values(rows, outputs, keys, ["_pilot"]).withColumn(column, F.zip_with(column, "_pilot", lambda a, b: a - b))
+    rows, outputs = from_pilot(rows, keys, column)
 
     def design(data, _):
         x = data[column]
