@@ -15,6 +15,7 @@ from registry.views import (
 from spectrafold.functions.metrics import metric_names, register_metric, unregister_metric
 from spectrafold.functions.spectral import snv
 from spectrafold.operators import estimators as est
+from spectrafold.operators import wide
 from spectrafold.operators import fold_metrics as fm
 from spectrafold.operators.knn import cross_val_knn, nearest
 from spectrafold.session import ensure_checkpoint_dir
@@ -306,17 +307,17 @@ SELECT CAST(spectrum_id % 3 AS INTEGER) AS fold, spectrum_id, {r('any_value(x.y)
 FROM xl JOIN x USING (spectrum_id) JOIN scaled ON f = spectrum_id % 3 AND scaled.channel = xl.channel JOIN icept USING (f) GROUP BY spectrum_id"""
 
 
-def classified(name: str, solver, sql: str | None = None):
+def classified(name: str, solver, sql: str | None = None, predict=est.cross_val_linear):
     @query(name, sql)
     def _(spark, sf):
-        out = est.cross_val_linear(folded(spark, sf, True), solver, classify=True)
+        out = predict(folded(spark, sf, True), solver, classify=True)
         return rounded(out.select("fold", "spectrum_id", "label", F.posexplode("proba").alias("class", "share")), 6)
 
 
-def regressed(name: str, solver, sql: str | None = None):
+def regressed(name: str, solver, sql: str | None = None, predict=est.cross_val_linear):
     @query(name, sql)
     def _(spark, sf):
-        out = est.cross_val_linear(folded(spark, sf, False), solver, classify=False)
+        out = predict(folded(spark, sf, False), solver, classify=False)
         return rounded(out.select("fold", "spectrum_id", "y", "y_pred"), 6)
 
 
@@ -327,6 +328,11 @@ classified("pca_lda", est.pca_lda(30))
 regressed("ridge", est.ridge(1.0), ridge_sql(False))
 regressed("pls", est.pls(10), pls_sql(10))
 regressed("pcr", est.pcr(20))
+regressed("ridge_wide", wide.ridge(1.0), ridge_sql(False), wide.cross_val_wide)
+regressed("pls_wide", wide.pls(10), pls_sql(10), wide.cross_val_wide)
+regressed("pcr_wide", wide.pcr(20), None, wide.cross_val_wide)
+classified("ridge_classify_wide", wide.ridge(1.0), ridge_sql(True), wide.cross_val_wide)
+classified("pca_lda_wide", wide.pca_lda(30), None, wide.cross_val_wide)
 
 KNN = SPECTRA + f""",
 s AS (SELECT spectrum_id, channel, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM xl WINDOW w AS (PARTITION BY spectrum_id)),
