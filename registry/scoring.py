@@ -250,31 +250,79 @@ def _(spark, sf):
         "spectrum_id", F.col("z.classes").alias("class"), F.col("z.proba").alias("share")))
 
 
-def ridge_sql(classify: bool) -> str:
-    """Normal equations of the other folds' rows, solved by elimination, a pivot in each step of the recursion."""
+def eliminated(name: str, source: str, size: int) -> str:
+    """*source* (f, i, v: the rows of a square matrix with right sides behind) solved, a pivot in each step of the recursion."""
+    return f"""{name} AS (SELECT f, i, v, 0 AS k FROM {source} UNION ALL
+  SELECT f, i, CASE WHEN i = k THEN list_transform(v, lambda a: a / p[k + 1]) ELSE list_transform(v, lambda a, q: a - v[k + 1] / p[k + 1] * p[q]) END, k + 1
+  FROM (SELECT *, first_value(v) OVER (PARTITION BY f ORDER BY CASE WHEN i = k THEN 0 ELSE 1 END) AS p FROM {name}) WHERE k < {size})"""
+
+
+def linear_sql(coef: str, classify: bool, start: str | None = None) -> str:
+    """Predictions by the tables *coef* names last: coef (f, i, o, b), on the centred cross products (xx, xy) of the other folds'
+    rows; the intercept starts from the mean target, or from the column *start* of the table offsets (f, o)."""
     targets = ("SELECT spectrum_id, o, CAST(x.label = k.label AS INTEGER) * 1e0 AS t FROM x, (SELECT label, row_number() OVER (ORDER BY label) - 1 AS o FROM (SELECT DISTINCT label FROM x)) k"
                if classify else "SELECT spectrum_id, 0 AS o, y AS t FROM x")
     raw = "SELECT spectrum_id, o, sum(x * b) + any_value(b0) AS s FROM xl JOIN coef ON f = spectrum_id % 3 AND i = channel JOIN icept USING (f, o) GROUP BY 1, 2"
     last = (f"""SELECT CAST(spectrum_id % 3 AS INTEGER) AS fold, spectrum_id, label, CAST(o AS INTEGER) AS class, {r('e / sum(e) OVER (PARTITION BY spectrum_id)')} AS share
 FROM (SELECT spectrum_id, o, exp(s - max(s) OVER (PARTITION BY spectrum_id)) AS e FROM raw) JOIN x USING (spectrum_id)"""
             if classify else f"SELECT CAST(spectrum_id % 3 AS INTEGER) AS fold, spectrum_id, {r('y')} AS y, {r('s')} AS y_pred FROM raw JOIN x USING (spectrum_id)")
+    joined = "" if start is None else " JOIN offsets ON offsets.f = coef.f AND offsets.o = coef.o"
     return "WITH RECURSIVE" + SPECTRA + f""",
 fs AS (SELECT f FROM range(3) t(f)), tgt AS ({targets}),
 m AS (SELECT f, channel, avg(x) AS m FROM xl, fs WHERE spectrum_id % 3 <> f GROUP BY 1, 2),
-tm AS (SELECT f, o, avg(t) AS tm FROM tgt, fs WHERE spectrum_id % 3 <> f GROUP BY 1, 2),
+tm AS (SELECT f, o, avg(t) AS tm, sum(t) AS tn, count(*) AS n FROM tgt, fs WHERE spectrum_id % 3 <> f GROUP BY 1, 2),
 c AS (SELECT f, spectrum_id, channel, x - m AS x FROM xl JOIN m USING (channel) WHERE spectrum_id % 3 <> f),
-xx AS (SELECT a.f, a.channel AS i, b.channel AS j, sum(a.x * b.x) + CASE WHEN a.channel = b.channel THEN 1 ELSE 0 END AS v FROM c a JOIN c b USING (f, spectrum_id) GROUP BY 1, 2, 3),
+xx AS (SELECT a.f, a.channel AS i, b.channel AS j, sum(a.x * b.x) AS v FROM c a JOIN c b USING (f, spectrum_id) GROUP BY 1, 2, 3),
 xy AS (SELECT c.f, channel AS i, 64 + tgt.o AS j, sum(x * (t - tm)) AS v FROM c JOIN tgt USING (spectrum_id) JOIN tm ON tm.f = c.f AND tm.o = tgt.o GROUP BY 1, 2, 3),
-rows_ AS (SELECT f, i, list(v ORDER BY j) AS v FROM (SELECT * FROM xx UNION ALL SELECT * FROM xy) GROUP BY 1, 2),
-g AS (SELECT f, i, v, 0 AS k FROM rows_ UNION ALL
-  SELECT f, i, CASE WHEN i = k THEN list_transform(v, lambda a: a / p[k + 1]) ELSE list_transform(v, lambda a, q: a - v[k + 1] / p[k + 1] * p[q]) END, k + 1
-  FROM (SELECT *, first_value(v) OVER (PARTITION BY f ORDER BY CASE WHEN i = k THEN 0 ELSE 1 END) AS p FROM g) WHERE k < 64),
-coef AS (SELECT f, i, unnest(range(len(v) - 64)) AS o, unnest(v[65:]) AS b FROM g WHERE k = 64),
-icept AS (SELECT coef.f, coef.o, any_value(tm) - sum(m * b) AS b0 FROM coef JOIN m ON m.f = coef.f AND channel = i JOIN tm ON tm.f = coef.f AND tm.o = coef.o GROUP BY 1, 2),
+{coef},
+icept AS (SELECT coef.f, coef.o, any_value({start or "tm"}) - sum(m * b) AS b0 FROM coef JOIN m ON m.f = coef.f AND channel = i JOIN tm ON tm.f = coef.f AND tm.o = coef.o{joined} GROUP BY 1, 2),
 raw AS ({raw})
 {last}"""
 
 
+def ridge_sql(classify: bool) -> str:
+    return linear_sql(f"""
+rows_ AS (SELECT f, i, list(v ORDER BY j) AS v FROM (SELECT f, i, j, v + CASE WHEN i = j THEN 1 ELSE 0 END AS v FROM xx UNION ALL SELECT * FROM xy) GROUP BY 1, 2),
+{eliminated("g", "rows_", 64)},
+coef AS (SELECT f, i, unnest(range(len(v) - 64)) AS o, unnest(v[65:]) AS b FROM g WHERE k = 64)""", classify)
+
+
+def axes_sql(k: int, sweeps: int = 9) -> str:
+    """The k leading principal axes, ax (f, a, i, w, value): the 64 rows of the cross products are turned pair by pair until all
+    are at right angles (their lengths are then the sums of squares). A sweep has 63 rounds of 32 pairs whose numbers add up to
+    the round's, modulo 63; the last row meets the one left alone. An axis has no sign of its own, so all must be read from one run."""
+    alone, dot = "(k * 32) % 63", lambda a, b: f"list_dot_product({a}, {b})"
+    turn = "(CASE WHEN zeta < 0 THEN -1 ELSE 1 END) / (abs(zeta) + sqrt(1 + zeta * zeta))"
+    return f"""
+turned AS (SELECT f, i, list(v ORDER BY j) AS v, 0 AS k FROM xx GROUP BY 1, 2 UNION ALL
+  SELECT f, i, CASE WHEN t IS NULL THEN v WHEN i = pair THEN list_transform(v, lambda a, q: (a - t * vq[q]) / sqrt(1 + t * t))
+    ELSE list_transform(v, lambda a, q: (a + t * vp[q]) / sqrt(1 + t * t)) END, k + 1
+  FROM (SELECT *, CASE WHEN zeta IS NOT NULL THEN {turn} END AS t FROM (SELECT *, ({dot("vq", "vq")} - {dot("vp", "vp")}) / nullif(2 * {dot("vp", "vq")}, 0) AS zeta FROM (
+    SELECT *, first_value(v) OVER (PARTITION BY f, pair ORDER BY i) AS vp, first_value(v) OVER (PARTITION BY f, pair ORDER BY i DESC) AS vq FROM (
+      SELECT *, least(i, CASE WHEN i = 63 THEN {alone} WHEN i = {alone} THEN 63 ELSE (k % 63 - i + 63) % 63 END) AS pair FROM turned WHERE k < {63 * sweeps}))))),
+long_ AS (SELECT f, v, sqrt({dot("v", "v")}) AS value FROM turned WHERE k = {63 * sweeps}),
+axis AS MATERIALIZED (SELECT f, v, value, row_number() OVER (PARTITION BY f ORDER BY value DESC) AS a FROM long_),
+ax AS (SELECT f, a - 1 AS a, unnest(range(64)) AS i, unnest(v) / value AS w, value FROM axis WHERE a <= {k})"""
+
+
+def pcr_sql(k: int, classify: bool) -> str:
+    return linear_sql(axes_sql(k) + """,
+slope AS (SELECT ax.f, a, j - 64 AS o, sum(w * v) / any_value(value) AS s FROM ax JOIN xy USING (f, i) GROUP BY 1, 2, 3),
+coef AS (SELECT f, ax.i, o, sum(w * s) AS b FROM ax JOIN slope USING (f, a) GROUP BY 1, 2, 3)""", classify)
+
+
+def pca_lda_sql(k: int) -> str:
+    return linear_sql(axes_sql(k) + f""",
+centre AS (SELECT ax.f, a, j - 64 AS o, sum(w * v) / any_value(tn) AS s, any_value(tn) AS tn, any_value(n) AS n FROM ax JOIN xy USING (f, i) JOIN tm ON tm.f = ax.f AND tm.o = j - 64 GROUP BY 1, 2, 3),
+within_ AS (SELECT p.f, p.a, q.a AS j, (CASE WHEN p.a = q.a THEN any_value(value) ELSE 0 END - sum(p.s * p.tn * q.s)) / (any_value(p.n) - count(*)) AS v
+  FROM centre p JOIN centre q USING (f, o) JOIN axis ON axis.f = p.f AND axis.a = p.a + 1 GROUP BY 1, 2, 3),
+pooled AS (SELECT f, a AS i, list(v ORDER BY j) AS v FROM (SELECT * FROM within_ UNION ALL SELECT f, a, {k} + o, s FROM centre) GROUP BY 1, 2),
+{eliminated("solved", "pooled", k)},
+way AS (SELECT f, i AS a, unnest(range(len(v) - {k})) AS o, unnest(v[{k + 1}:]) AS d FROM solved WHERE k = {k}),
+coef AS (SELECT f, ax.i, o, sum(w * d) AS b FROM ax JOIN way USING (f, a) GROUP BY 1, 2, 3),
+offsets AS (SELECT f, o, ln(any_value(tn) / any_value(n)) - 0.5 * sum(s * d) AS start FROM centre JOIN way USING (f, a, o) GROUP BY 1, 2)""", True, "start")
+
+
 def pls_sql(k: int) -> str:
     """Partial least squares of one output, component by component, on the cross products of the other folds' rows."""
     tables, dot = [], lambda a, b: f"list_dot_product({a}, {b})"
@@ -323,16 +371,16 @@ def regressed(name: str, solver, sql: str | None = None, predict=est.cross_val_l
 
 classified("ridge_classify", est.ridge(1.0), ridge_sql(True))
 classified("pls_classify", est.pls(10))
-classified("pcr_classify", est.pcr(20))
-classified("pca_lda", est.pca_lda(30))
+classified("pcr_classify", est.pcr(20), pcr_sql(20, True))
+classified("pca_lda", est.pca_lda(30), pca_lda_sql(30))
 regressed("ridge", est.ridge(1.0), ridge_sql(False))
 regressed("pls", est.pls(10), pls_sql(10))
-regressed("pcr", est.pcr(20))
+regressed("pcr", est.pcr(20), pcr_sql(20, False))
 regressed("ridge_wide", wide.ridge(1.0), ridge_sql(False), wide.cross_val_wide)
 regressed("pls_wide", wide.pls(10), pls_sql(10), wide.cross_val_wide)
-regressed("pcr_wide", wide.pcr(20), None, wide.cross_val_wide)
+regressed("pcr_wide", wide.pcr(20), pcr_sql(20, False), wide.cross_val_wide)
 classified("ridge_classify_wide", wide.ridge(1.0), ridge_sql(True), wide.cross_val_wide)
-classified("pca_lda_wide", wide.pca_lda(30), None, wide.cross_val_wide)
+classified("pca_lda_wide", wide.pca_lda(30), pca_lda_sql(30), wide.cross_val_wide)
 
 KNN = SPECTRA + f""",
 s AS (SELECT spectrum_id, channel, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM xl WINDOW w AS (PARTITION BY spectrum_id)),
