@@ -250,10 +250,12 @@ def best_before(rows: DataFrame, keys: Sequence[str], order: str, best: Column)
     in the first): the first half of a running maximum, the other is a window within (*keys*, ``_range``).
 
     A sketch of the key's *order* (numbers or dates, not null) gives the cuts; rows of equal *order* share a range, and where
-    the cuts lie changes no result. Between tasks go the cuts and one value for each range, at most RANGES for a key.
+    the cuts lie changes no result. Between tasks go the cuts and one value for each range, at most RANGES for a key. The cuts
+    are computed first and broadcast if small: with few keys, an exchange by key would put a key's rows into one task.
     """
     keys = list(keys)
     cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)).alias("_cuts"))
+    cuts = measured_broadcast(materialize(cuts))
     placed, step = with_values(rows, cuts, keys, ["_cuts"]).withColumn("_range", F.lit(0)), RANGES // 2
     while step:  # binary search: the number of cuts below the row
         placed = placed.withColumn("_range", F.col("_range") + F.when(F.get("_cuts", F.col("_range") + (step - 1)) < F.col(order), step).otherwise(0))

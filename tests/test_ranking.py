@@ -1,5 +1,7 @@
 """Imputation, pair counts, ratings, significance and reports on small cases."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +204,18 @@ def test_score_all_groups_runs_with_default_rounds(spark, monkeypatch):
     seen, whole = {}, registered.rk.score_all
     monkeypatch.setattr(registered.rk, "score_all", lambda rows, **kwargs: seen.update(kwargs) or whole(rows, **kwargs))
     assert "group" in entry.queries()["score_all_groups"](spark, "/root/testdata/sf0.001").columns and "rounds" not in seen
+
+
+def test_fronts_of_few_keys_are_not_exchanged_by_key(spark):
+    """The rows of a key stay with the tasks that read them until they are cut into ranges."""
+    rows = spark.range(4000).selectExpr("concat('g', id % 2) as g", "cast(id as string) as model", "cast(id * 37 % 4001 as double) as t", "cast(id % 91 as double) as s")
+    near = rk.near_pareto(rows, "t", "s", 1.0, by=["g"])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g#" in plan and "_range#" in plan
+    assert not re.search(r"hashpartitioning\(g#\d+, \d+\)", plan)
+    data = sorted((r["t"], r["s"], r["g"]) for r in rows.collect())
+    best, want = {}, 0
+    for _, s, g in data:
+        best[g] = max(best.get(g, s), s)
+        want += best[g] - s <= 1.0
+    assert near.count() == want
