@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrafold.functions import kernels
@@ -69,6 +69,12 @@ def train_moments(rows: DataFrame, by: Sequence[str], hold_out: str | None, colu
     return leave_one_out(moments(rows, [*by, hold_out], column), by, hold_out), [*by, hold_out]
 
 
+def array_bytes(state: DataFrame, by: Sequence[str]) -> Column:
+    """Bytes of the arrays of a state row."""
+    arrays = [f for f in state.schema.fields if f.dataType.typeName() == "array" and f.name not in by]
+    return sum((F.size(F.flatten(f.name) if f.dataType.elementType.typeName() == "array" else F.col(f.name)) * 8 for f in arrays), F.lit(64))
+
+
 StateKernel = Callable[[np.ndarray, dict], np.ndarray]
 
 
@@ -82,9 +88,7 @@ def replay(rows: DataFrame, state: DataFrame, by: Sequence[str], kernel: StateKe
     by, output = list(by), output or column
     fields = [f.name for f in state.schema.fields if f.name not in by]
     arrays = [f.name for f in state.schema.fields if f.dataType.typeName() == "array" and f.name not in by]
-    size = sum((F.size(F.flatten(a) if state.schema[a].dataType.elementType.typeName() == "array" else F.col(a)) * 8
-                for a in arrays), F.lit(64))
-    measured = state.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()[0]
+    measured = state.agg(F.coalesce(F.sum(array_bytes(state, by)), F.lit(0)).cast("long")).first()[0]
     keep = [c for c in rows.columns if c != output]
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"`{output}` array<double>"])
 
@@ -138,15 +142,85 @@ def replay(rows: DataFrame, state: DataFrame, by: Sequence[str], kernel: StateKe
     return salted.groupBy(*by, "_salt").cogroup(copies.groupBy(*by, "_salt")).applyInArrow(meet, schema)
 
 
+#: Bytes of spectra that a kernel gets at a time: its own arrays are some ten times as large.
+SLICE_BYTES = 1024 * 1024
+
+
+def replay_all(rows: DataFrame, chains: dict[str, Sequence], column: str = "intensities", limit: int = BROADCAST_BYTES) -> DataFrame | None:
+    """Every chain of steps run on *column* into the column that names it, all in one pass: a task needs one Python worker,
+    which holds a batch and works on slices of at most SLICE_BYTES. None if states are too large to broadcast or have
+    different keys.
+
+    A step is a kernel (matrix -> matrix) or a :class:`FittedStep`.
+    """
+    fitted = [step for steps in chains.values() for step in steps if isinstance(step, FittedStep)]
+    if len({tuple(step.by) for step in fitted}) > 1 or sum(step.size() for step in fitted) > limit:
+        return None
+    by = fitted[0].by if fitted else []
+    spark = rows.sparkSession
+    plain = {name: [(step.kernel, spark.sparkContext.broadcast(step.lookup())) if isinstance(step, FittedStep) else (step, None)
+                    for step in steps] for name, steps in chains.items()}
+    keep = [c for c in rows.columns if c not in chains]
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` array<double>" for c in chains])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = as_lists(batch.column(column))
+        keys = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * len(lists)
+        code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        codes, n = np.array([code[k] for k in keys], dtype=np.int64), widths(lists)
+        parts, order = {name: [] for name in plain}, []
+        for key, i in code.items():
+            for width in np.unique(n[codes == i]):
+                found = np.flatnonzero((codes == i) & (n == width))
+                step = max(1, SLICE_BYTES // (8 * max(int(width), 1)))
+                for at in (found[low : low + step] for low in range(0, len(found), step)):
+                    order.append(at)
+                    for name, steps in plain.items():
+                        if width < 0:
+                            parts[name].append(pa.array([None] * len(at), type=pa.list_(pa.float64())))
+                            continue
+                        x = matrix(lists, at, int(width))
+                        for kernel, state in steps:
+                            if state is not None and key not in state.value:
+                                raise KeyError(f"no fitted state for {dict(zip(by, key))}")
+                            x = kernel(x) if state is None else kernel(x, state.value[key])
+                        parts[name].append(from_matrix(x))
+        back = pa.array(np.argsort(np.concatenate(order), kind="stable"))
+        done = [pa.chunked_array(v, type=pa.list_(pa.float64())).combine_chunks().take(back) for v in parts.values()]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *done], names=[*keep, *plain])
+
+    def over_batches(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield run(batch)
+
+    return rows.mapInArrow(over_batches, schema)
+
+
 class FittedStep:
     """A fitted step: its materialized state and the kernel that replays it."""
 
     def __init__(self, state: DataFrame, by: Sequence[str], kernel: StateKernel, column: str):
         self.state, self.by, self.kernel, self.column = state, list(by), kernel, column
+        self._size, self._lookup = None, None
 
     def transform(self, rows: DataFrame, output: str | None = None) -> DataFrame:
         return replay(rows, self.state, self.by, self.kernel, self.column, output)
 
+    def size(self) -> int:
+        """Bytes of the state's arrays."""
+        if self._size is None:
+            self._size = self.state.agg(F.coalesce(F.sum(array_bytes(self.state, self.by)), F.lit(0)).cast("long")).first()[0]
+        return self._size
+
+    def lookup(self) -> dict:
+        """The state by key, for states of a measured, small size."""
+        if self._lookup is None:
+            fields = [f for f in self.state.schema.fields if f.name not in self.by]
+            self._lookup = {tuple(r[c] for c in self.by): {
+                f.name: np.array(r[f.name]) if f.dataType.typeName() == "array" else r[f.name] for f in fields} for r in self.state.collect()}
+        return self._lookup
+
 
 class MSC:
     """Multiplicative scatter correction against the mean training spectrum, fitted on a region."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import partial
+from itertools import groupby
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
@@ -58,11 +59,35 @@ def fitted_step(step: str, p: dict):
     }[step]()
 
 
-def stateless(df: DataFrame, steps: Sequence[str], params: dict, column: str) -> DataFrame:
-    """Consecutive per-spectrum steps as one Arrow pass."""
-    if not steps:
-        return df
-    return df.withColumn(column, kernel_column(column, chain([spectrum_kernel(s, params) for s in steps])))
+def run_stages(df: DataFrame, stages: Sequence, column: str) -> DataFrame:
+    """Stages in order: consecutive kernels and fitted steps are one Arrow pass, others are functions of the table."""
+    for plain, group in groupby(stages, lambda s: isinstance(s, (Kernel, fitted.FittedStep))):
+        if not plain:
+            for stage in group:
+                df = stage(df)
+        else:
+            df = run_chains(df, {column: list(group)}, column)
+    return df
+
+
+def run_chains(df: DataFrame, chains: dict[str, list], column: str) -> DataFrame:
+    """Each chain of kernels and fitted steps run on *column*, into the column that names it, in one Arrow pass."""
+    done = fitted.replay_all(df, {name: [s.run if isinstance(s, Kernel) else s for s in steps] for name, steps in chains.items()}, column)
+    if done is not None:
+        return done
+    for name, steps in sorted(chains.items(), key=lambda c: c[0] == column):  # states too large to broadcast: step by step
+        rows = df.withColumn("_kept", F.col(column)) if name != column else df
+        for step in steps:
+            rows = rows.withColumn(column, kernel_column(column, step.run)) if isinstance(step, Kernel) else step.transform(rows)
+        df = rows.withColumn(name, F.col(column)).withColumn(column, F.col("_kept")).drop("_kept") if name != column else rows
+    return df
+
+
+class Kernel:
+    """Consecutive per-spectrum steps as one kernel."""
+
+    def __init__(self, steps: Sequence[str], params: dict):
+        self.run = chain([spectrum_kernel(s, params) for s in steps])
 
 
 class Preprocessor(Estimator):
@@ -93,7 +118,8 @@ class Preprocessor(Estimator):
             return PreprocessorModel(self.column, [], blocks=blocks, width=_width(dataset, self.column))
         steps = enabled_steps(self.params_)
         width = _width(dataset, self.column)
-        stages, run, df = [], [], dataset
+        # *df*: the rows so far, that is *since* run on *base*
+        stages, run, df, base, since = [], [], dataset, dataset, []
         last = [s for s in steps if s in ("gcu", "lvse")]
         for step in [s for s in steps if s not in last]:
             if step == "crop_physical":
@@ -102,30 +128,32 @@ class Preprocessor(Estimator):
                 cut = partial(_crop, axis=self.axis, params=self.params_, column=self.column)
                 stages.append(cut)
                 df = cut(df)
+                base, since = df, []
             elif step in FITTED:
-                df, run = self._flush(df, run, stages)
+                if run:
+                    kernel, run = Kernel(run, self.params_), []
+                    stages.append(kernel)
+                    since.append(kernel)
+                    df = run_stages(base, since, self.column)
                 if any(s in COSTLY for s in steps) and len(stages) == 1:
                     df = materialize(df)
+                    base, since = df, []
                 done = fitted_step(step, self.params_).fit(df, self.by, self.hold_out, self.column)
-                stages.append(done.transform)
-                df = done.transform(df)
+                stages.append(done)
+                since.append(done)
+                df = run_stages(base, since, self.column)
             else:
                 run.append(step)
         if not last:
             run.append("nan_to_zero")
-        df, run = self._flush(df, run, stages)
+        if run:
+            stages.append(Kernel(run, self.params_))
+            df = run_stages(base, [*since, stages[-1]], self.column)
         if last:
             models = [fitted_step(s, self.params_).fit(df, self.by, self.hold_out, self.column) for s in last]
             stages.append(partial(_side_by_side, models=models, column=self.column))
         return PreprocessorModel(self.column, stages, width=width)
 
-    def _flush(self, df, run, stages):
-        if run:
-            stage = partial(stateless, steps=list(run), params=self.params_, column=self.column)
-            stages.append(stage)
-            df = stage(df)
-        return df, []
-
 
 def _width(df: DataFrame, column: str) -> tuple[int, int]:
     r = df.agg(F.min(F.size(column)), F.max(F.size(column))).first()
@@ -138,8 +166,7 @@ def _crop(df: DataFrame, axis: DataFrame, params: dict, column: str) -> DataFram
 
 def _side_by_side(df: DataFrame, models, column: str) -> DataFrame:
     names = [f"_{column}_{i}" for i in range(len(models))]
-    for model, name in zip(models, names):
-        df = model.transform(df, name)
+    df = run_chains(df, {name: [model] for model, name in zip(models, names)}, column)
     return df.withColumn(column, nan_to_zero(F.concat(*names))).drop(*names)
 
 
@@ -156,8 +183,12 @@ class PreprocessorModel(Model):
         df = dataset.withColumn(self.column, F.when(bad, F.raise_error(F.lit(message)).cast("array<double>")).otherwise(F.col(self.column)))
         if self.blocks:
             names = [f"_block_{i}" for i in range(len(self.blocks))]
-            for block, name in zip(self.blocks, names):
-                df = block.replay(df.withColumn(name, F.col(self.column)), name)
+            chains = {name: block.stages for name, block in zip(names, self.blocks)}
+            if all(isinstance(s, (Kernel, fitted.FittedStep)) for stages in chains.values() for s in stages):
+                df = run_chains(df, chains, self.column)
+            else:
+                for block, name in zip(self.blocks, names):
+                    df = block.replay(df.withColumn(name, F.col(self.column)), name)
             return df.withColumn(self.column, F.concat(*names)).drop(*names)
         return self.replay(df, self.column)
 
@@ -165,8 +196,7 @@ class PreprocessorModel(Model):
         """Run the stages on another column of the same content."""
         if column != self.column:
             df = df.withColumnRenamed(self.column, "_kept").withColumnRenamed(column, self.column)
-        for stage in self.stages:
-            df = stage(df)
+        df = run_stages(df, self.stages, self.column)
         if column != self.column:
             df = df.withColumnRenamed(self.column, column).withColumnRenamed("_kept", self.column)
         return df

@@ -176,3 +176,17 @@ def test_gcu_by_fold_uses_the_other_folds(spectra_df):
     alone = fitted.GCU(rho=3, max_iter=8).fit(spectra_df.where("fold <> 1"), ["task"]).state.first()
     assert np.allclose(np.array(alone["parts"]), np.array(state[1]["parts"]))
     assert step.transform(spectra_df).count() == spectra_df.count()
+
+
+@pytest.mark.parametrize("name", ["all", "prep_ensemble"])
+def test_a_recipe_is_one_pass(spectra_df, name, monkeypatch):
+    """One Python worker for a task replays all steps and blocks; slices and step by step give the same values."""
+    model = prep.Preprocessor.named(name, by=["task"], hold_out="fold").fit(spectra_df)
+    out = model.transform(spectra_df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    whole = matrix_of(out)
+    monkeypatch.setattr(fitted, "SLICE_BYTES", 1000)
+    assert np.allclose(matrix_of(model.transform(spectra_df)), whole, rtol=1e-9, atol=1e-9)
+    monkeypatch.setattr(fitted, "replay_all", lambda *a, **k: None)
+    assert np.allclose(matrix_of(model.transform(spectra_df)), whole, rtol=1e-9, atol=1e-9)
