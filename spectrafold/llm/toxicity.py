@@ -201,12 +201,14 @@ def _association(in1: np.ndarray, in0: np.ndarray, n1: float, n0: float) -> np.n
     return 2 * (term(in1, seen * n1 / n) + term(in0, seen * n0 / n) + term(n1 - in1, (n - seen) * n1 / n) + term(n0 - in0, (n - seen) * n0 / n))
 
 
-def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def platt(logits: np.ndarray, y: np.ndarray, count: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of the logistic curve through logits and labels with the least log loss, with Platt's softened
-    targets; both labels count alike. A grid of slopes and middle points, so separable labels are no trouble."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    targets; both labels count alike. A grid of slopes and middle points, so separable labels are no trouble. A logit may
+    stand for *count* of its kind."""
+    count = np.ones(len(y)) if count is None else count
+    n1, n0 = count[y == 1].sum(), count[y == 0].sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
+    weight = count * np.where(y == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
     best = (np.inf, 1.0, 0.0)
     for middle in np.unique(np.r_[np.quantile(logits, np.linspace(0, 1, 61)), np.linspace(logits.min(), logits.max(), 61)]):
         for slope in np.geomspace(0.05, 4, 16):
