@@ -19,6 +19,8 @@ RADII = (0.25, 1.15, 1.3, 1.45, 2.0)
 SLACK = 1.65
 #: Vectors in a block (a task's index), and queries that meet it at a time.
 BLOCK_ROWS, QUERY_ROWS = 8192, 512
+#: Bytes of packed queries that a task holds while blocks stream by, and streams at least (if there are as many blocks).
+HELD_BYTES, STREAMS = 32 * 1024 * 1024, 64
 #: Binary columns of a packed block: 64-bit integers, and vectors of doubles.
 PACKED = ("ids", "tells", "copies", "vectors")
 
@@ -83,6 +85,26 @@ class Index:
             yield int(own), self.ids[found[best]], score[best]
 
 
+class Best:
+    """The *k* nearest rows found so far of each of some queries, nearest first, ties by id."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, copies: np.ndarray, k: int):
+        self.of, self.k = (ids, keys, copies), k
+        self.near, self.score = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
+
+    def add(self, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
+        """*found*: (ids, cosines) of each query, in the order of the queries."""
+        for i, (ids, score) in enumerate(found):
+            ids, score = np.concatenate([self.near[i], ids]), np.concatenate([self.score[i], score])
+            by = np.lexsort((ids, -score))[:self.k]
+            self.near[i], self.score[i] = ids[by], score[by]
+
+    def rows(self) -> pa.RecordBatch:
+        at, place = np.nonzero(self.score > -np.inf)
+        columns = [*(x[at] for x in self.of), self.near[at, place], self.score[at, place]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "tell", "copies", "vec_id", "score"])
+
+
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null, no null or non-finite component, not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -109,10 +131,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
     length are compared. With fewer than *k* others all are returned. Rows that share an id are rows of their own: candidates
     of each other, and each of them that is a query has its own *k* rows in the result.
 
-    Equal rows are counted first; the others are dealt by a hash of id and vector into blocks of about BLOCK_ROWS, each indexed by one task at a time; packed queries
-    meet every block, and their *k* best of each block are ranked. A window holds what is within WIDTH * R of the query on
-    a projection, for radius R in RADII; vectors in at least THRESHOLD windows are verified; the search ends when *k* of
-    them are within R.
+    Equal rows are counted first; the others are dealt by a hash of id and vector into blocks of about BLOCK_ROWS. Blocks and
+    packed queries meet where tasks read them: a task holds some queries and indexes the blocks of a stream one by one, and
+    the queries' *k* best of the stream are ranked. What is shuffled grows with the rows, not with the pairs, and nothing is
+    broadcast. A window holds what is within WIDTH * R of the query on a projection, for radius R in RADII; vectors in at
+    least THRESHOLD windows are verified; the search of a block ends when *k* of them are within R.
     """
     given = vectors.withColumn("__query", F.coalesce(queries, F.lit(False)))
     rows = given.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("vector"), "__query")
@@ -127,30 +150,33 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
 
     data = _packed(rows.select("size", dealt(blocks).alias("block"), "id", "tell", "copies", "vector"), ["size", "block"])
     asked = _packed(rows.filter("__query").select("size", dealt(parts).alias("part"), "id", "tell", "copies", "vector"), ["size", "part"])
-    pairs = [F.lit(x) for s, n in blocks.items() for x in (s, n)] or [F.lit(0).cast("long"), F.lit(1)]
-    last = F.create_map(*pairs)[F.col("size")].cast("long") - 1
-    asked = asked.select("size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), *[F.col(c).alias(f"q_{c}") for c in PACKED])
-    met = data.join(asked, ["size", "block"])
+    streams = max(1, min(sum(blocks.values()), max(STREAMS, 2 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    shares = max(1, -(-sum(8 * (s + 3) * q for s, (_, q) in counts.items()) // HELD_BYTES))
+
+    def spread(packed: DataFrame, by: str, n: int) -> DataFrame:
+        return packed.repartitionById(n, F.pmod(F.col("size") + F.col(by), F.lit(n)).cast("int"))
+
+    asked = spread(asked, "part", shares).select("size", "part", *[F.col(c).alias(f"q_{c}") for c in PACKED])
+    met = spread(data, "block", streams).join(asked.hint("shuffle_replicate_nl"), "size")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, index = None, None
+        held, index, best = None, None, {}
         for batch in batches:
             for row in range(batch.num_rows):
-                size, block = batch.column("size")[row].as_py(), batch.column("block")[row].as_py()
+                size, block, part = (batch.column(c)[row].as_py() for c in ("size", "block", "part"))
 
-                def read(side: str) -> list[np.ndarray]:
-                    return [np.frombuffer(batch.column(side + c)[row].as_buffer(), "<f8" if c == "vectors" else "<i8") for c in PACKED]
+                def read(side: str) -> list[np.ndarray]:  # copies, as views would keep the whole batch
+                    return [np.frombuffer(batch.column(side + c)[row].as_buffer(), "<f8" if c == "vectors" else "<i8").copy() for c in PACKED]
 
                 if held != (size, block):
                     ids, tells, copies, body = read("")
                     held, index = (size, block), Index(ids, body.reshape(-1, size), tells, copies)
                 q_ids, q_tells, q_copies, q_body = read("q_")
-                found = list(index.search(q_ids, q_body.reshape(-1, size), k, q_tells))
-                many = [len(i) for _, i, _ in found]
-                yield pa.RecordBatch.from_arrays([
-                    *(pa.array(np.repeat(x, many).astype(np.int64)) for x in (q_ids, q_tells, q_copies)),
-                    pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))],
-                    names=["query_id", "tell", "copies", "vec_id", "score"])
+                if (size, part) not in best:
+                    best[size, part] = Best(q_ids, q_tells, q_copies, k)
+                best[size, part].add(found for _, *found in index.search(q_ids, q_body.reshape(-1, size), k, q_tells))
+        for some in best.values():
+            yield some.rows()
 
     found = met.mapInArrow(run, "query_id long, tell long, copies long, vec_id long, score double")
     rank = "cast(row_number() over (partition by query_id, tell order by score desc, vec_id) as int) as rank"

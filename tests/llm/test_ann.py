@@ -76,3 +76,32 @@ def test_repeated_ids_and_extreme_vectors(spark):
     got = sorted((r["rank"], r.vec_id, round(r.score, 3)) for r in ann.nearest(frame, F.col("vec_id") % 50 == 0).collect())
     of_a_copy, of_the_other = [(1, 50, 1.0), (2, 50, 1.0), (3, 7, 0.707), (4, 50, 0.0)], [(1, 7, 0.707), (2, 50, 0.0), (3, 50, 0.0), (4, 50, 0.0)]
     assert got == sorted(of_a_copy * 3 + of_the_other)
+
+
+def test_queries_meet_blocks_without_copies_of_either(spark, monkeypatch):
+    """Nothing that holds queries once for each block is broadcast or shuffled; several streams and shares give the same rows."""
+    for name, value in (("BLOCK_ROWS", 30), ("QUERY_ROWS", 4), ("STREAMS", 3), ("HELD_BYTES", 1000)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((100, 8)), 6, axis=0) + 0.01 * rng.standard_normal((600, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(600 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((200, 5)))]  # another length: neighbours of their own
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 10 == 0, k=5)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "explode(sequence" not in plan
+    want = brute(range(600), x, every=10)
+    assert len(got) == 80 and all(set(g) == {1, 2, 3, 4, 5} for g in got.values())
+    for q, near in want.items():
+        assert [got[q][n + 1][0] for n in range(5)] == [i for i, _ in near]
+        assert np.allclose([got[q][n + 1][1] for n in range(5)], [s for _, s in near], atol=1e-12)
+    assert all(i >= 600 for q in got if q >= 600 for i, _ in got[q].values())
+
+
+def test_best_keeps_ties_by_id():
+    best = ann.Best(np.array([7, 8]), np.array([1, 2]), np.array([1, 3]), 2)
+    best.add([(np.array([5, 6]), np.array([0.5, 0.5])), (np.array([], np.int64), np.array([]))])
+    best.add([(np.array([4]), np.array([0.5])), (np.array([9]), np.array([-1.0]))])
+    assert best.rows().to_pydict() == {"query_id": [7, 7, 8], "tell": [1, 1, 2], "copies": [1, 1, 3], "vec_id": [4, 5, 9], "score": [0.5, 0.5, -1.0]}
